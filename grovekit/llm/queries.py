@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from grovekit.llm.packing import op7_harmonic_packing
 from grovekit.llm.sharding import op6_hypergeometric_sharding
 from grovekit.llm.token_counts import op9_token_counts
+from grovekit.llm.toxicity import op5_toxicity_grammar
+from grovekit.llm.warc import OP1_SQL, op1_warc_salvage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_warc_salvage,
+        op5_toxicity_grammar,
         op6_hypergeometric_sharding,
         op7_harmonic_packing,
         op9_token_counts,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc_salvage": OP1_SQL}
