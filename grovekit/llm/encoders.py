@@ -5,6 +5,7 @@ the library, and put the results together; so ids and counts are those of the li
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import re
@@ -173,3 +174,14 @@ class WordIds:
             self.start = self.start[: self.memory + 1]
             self.flat = self.flat[: self.start[-1]]
         return out
+
+
+@functools.lru_cache(maxsize=4)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that later tasks find what earlier ones have encoded."""
+    return WordIds(path)
+
+
+@functools.lru_cache(maxsize=4)
+def piece_counter(path: str) -> PieceCounter:
+    return PieceCounter(path)

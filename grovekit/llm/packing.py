@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.llm.common import documents
-from grovekit.llm.encoders import WordIds
+from grovekit.llm.encoders import word_ids
 
 CAPACITY = 4096
 END_ID = 2
@@ -92,7 +92,7 @@ def _pack(model_path: str, capacity: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordIds(model_path), Packer(TaskContext.get().partitionId(), capacity)
+        words, packer = word_ids(model_path), Packer(TaskContext.get().partitionId(), capacity)
         end = np.array([END_ID], np.uint32)
 
         def flush(part):
