@@ -30,6 +30,10 @@ PURITY = 0.8
 #: Words and stems kept at most, the strongest first.
 LEXICON_ROWS = 20_000
 STEMS = (4, 5, 6)
+#: Of the toxic documents that hold a word or stem, this share must hold no stronger one.
+NEW_SHARE = 0.02
+#: Log weight below the strongest entry within which an entry is taken without that.
+PEER = 1.5
 THRESHOLD = 0.7
 CLAUSE_WORDS = 40
 KNOWN_WORDS = 400_000
@@ -229,6 +233,34 @@ def _count(wanted: set[str] | None):
     return run
 
 
+def _held(wanted: set[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted({f for w in words_of(t.as_py()) for f in features(w)} & wanted) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["features"])
+
+    return run
+
+
+def explaining(lexicon: dict[str, float], held: list[list[str]]) -> dict[str, float]:
+    """The entries, strongest first, that some toxic documents without a stronger one hold, or that are about as
+    strong as the strongest. Near copies of one toxic
+    document share many harmless words, but the documents that hold those have a stronger entry already."""
+    at: dict[str, list[int]] = {}
+    for i, row in enumerate(held):
+        for f in row:
+            at.setdefault(f, []).append(i)
+    open_, out = [True] * len(held), {}
+    for f, weight in sorted(lexicon.items(), key=lambda x: (-x[1], len(x[0]), x[0])):
+        rows = at.get(f, [])
+        peer = bool(out) and weight >= next(iter(out.values())) - PEER and not any(f.startswith(g.rstrip("*")) for g in out)
+        if peer or sum(open_[i] for i in rows) >= max(3, math.ceil(NEW_SHARE * len(rows))):
+            out[f] = weight
+            for i in rows:
+                open_[i] = False
+    return out
+
+
 def _weigh(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,6 +310,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
         if k1 / (k1 + k0) >= PURITY and chance_log(k1, k0, prior) <= math.log(CHANCE):
             lexicon[f] = math.log((k1 + 0.5) / (n1 + 1)) - math.log((k0 + 0.5) / (n0 + 1))
     lexicon = dict(sorted(lexicon.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_ROWS])
+    held = train.filter("toxic > 0").select("text").mapInArrow(_held(set(lexicon)), "features array<string>")
+    lexicon = explaining(lexicon, [r[0] for r in held.collect()])
     model = Model(lexicon, (0.0, 1.0))
     found = train.mapInArrow(_weigh(model), "evidence double, toxic int").toPandas()
     return Model(lexicon, fit_curve(found["evidence"].to_numpy(), (found["toxic"] > 0).to_numpy(float)))
