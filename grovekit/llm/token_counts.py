@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.llm.common import documents, scratch
-from grovekit.llm.encoders import PieceCounter, file_digest
+from grovekit.llm.encoders import file_digest, piece_counter
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 LIMIT = 4096
@@ -22,7 +22,7 @@ ENCODE_CHARS = 1 << 20
 
 def _encode(model_path: str, digest: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(model_path)
+        counter = piece_counter(model_path)
         if file_digest(model_path) != digest:
             raise ValueError(f"{model_path} differs between driver and executor")
         for batch in batches:
