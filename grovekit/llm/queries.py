@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grovekit.llm.decontamination import OP10_SQL, op10_positional_decontamination
+from grovekit.llm.licenses import OP2_SQL, op2_license_minhash
 from grovekit.llm.packing import op7_harmonic_packing
 from grovekit.llm.sharding import op6_hypergeometric_sharding
 from grovekit.llm.token_counts import op9_token_counts
@@ -16,11 +18,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_salvage,
+        op2_license_minhash,
         op5_toxicity_grammar,
         op6_hypergeometric_sharding,
         op7_harmonic_packing,
         op9_token_counts,
+        op10_positional_decontamination,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_salvage": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_salvage": OP1_SQL,
+    "op2_license_minhash": OP2_SQL,
+    "op10_positional_decontamination": OP10_SQL,
+}
