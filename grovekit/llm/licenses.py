@@ -9,8 +9,6 @@ cases. What is found is then checked by exact containment of the template's shin
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +19,6 @@ CONTAINED = 0.8
 MISS = 1e-4
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK = 4
-#: Classes up to this one compare their hashes as columns, larger ones as arrays.
-WIDE = 16
 
 # Notices of public licences.
 TEMPLATES = {
@@ -81,51 +77,51 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
     classes: dict[int, list[dict]] = {}
     for t in table:
         classes.setdefault(class_of(t["m"]), []).append(t)
-    signed = lambda h, k: (h ^ exchange(k))
+    if not classes:
+        return spark.createDataFrame([], "doc_id long, template_id string, containment double, n_windows long")
     bands = {s: max(bands_for(t["m"], s) for t in ts) for s, ts in classes.items()}
-    rows = [(s, k, min(signed(h, k) for h in t["hashes"]), t["template_id"]) for s, ts in classes.items() for t in ts for k in range(bands[s])]
+    rows = [(s, k, min(h ^ exchange(k) for h in t["hashes"]), t["template_id"]) for s, ts in classes.items() for t in ts for k in range(bands[s])]
+    # The value of a band gives back the hash it comes from. A window that has none of those hashes can't share a
+    # band with a template, so its bands needn't be worked out.
+    sources = F.array(*[F.lit(h) for h in sorted({v ^ exchange(k) for _, k, v, _ in rows})])
     words = shingled(F.col("text"))
     n = F.size("_words") - SHINGLE + 1
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(*[F.element_at("_words", i + j) for j in range(SHINGLE)]))
-    most = 2 * max(classes, default=1)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    hashes = F.transform(places, lambda i: F.xxhash64(*[F.element_at("_words", i + j) for j in range(SHINGLE)]))
+    most = 2 * max(classes)
+    at = F.col("block") * BLOCK
+    # Tests of a text stand inside the generator: a filter would be moved below and have the words cut again.
+    numbers = F.when(F.arrays_overlap("_hashes", sources), F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
     blocks = (
         docs.select("doc_id", words.alias("_words"))
-        .filter(n > 0)
         .withColumn("_hashes", hashes)
-        .select("doc_id", "_words", "_hashes", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).alias("block"))
+        .select("doc_id", "_words", "_hashes", F.explode(numbers).alias("block"))
+        .select("doc_id", "block", F.slice("_hashes", at + 1, most).alias("spread"), F.slice("_words", at + 1, most + BLOCK + SHINGLE - 1).alias("context"))
+        .filter(F.arrays_overlap("spread", sources))
     )
-    at = F.col("block") * BLOCK
-    found: list[Column] = []
-    for s, ts in sorted(classes.items()):
+
+    def values(s: int) -> Column:
+        """The bands of the windows of class s that begin in a block."""
+        table = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(exchange(k)).alias("bits")) for k in range(bands[s])])
+
+        def window(skip: int) -> Column:
+            inside = F.slice("spread", skip + 1, 1 if s == 1 else 2 * s)
+            return F.transform(
+                table,
+                lambda b: F.struct(
+                    F.lit(s).alias("s"), (at + skip).alias("start"), b["band"].alias("band"), F.array_min(F.transform(inside, lambda h: h.bitwiseXOR(b["bits"]))).alias("value")
+                ),
+            )
+
         if s == 1:
-            values = [t["hashes"][0] for t in ts]
-            for j in range(BLOCK):
-                h = F.get("_hashes", at + j)
-                found.append(F.when(h.isin(values), F.array(F.struct(F.lit(1).alias("s"), (at + j).alias("start"), F.lit(0).alias("band"), h.alias("value")))))
-            continue
-        spread = [F.get("_hashes", at + j) for j in range(2 * s)]
-        for k in range(bands[s]):
-            bits = F.lit(exchange(k))
-            if s <= WIDE:
-                least = F.least(*[h.bitwiseXOR(bits) for h in spread])
-            else:
-                least = F.array_min(F.transform(F.slice("_hashes", at + 1, 2 * s), lambda h: h.bitwiseXOR(bits)))  # noqa: B023
-            values = sorted({r[2] for r in rows if r[0] == s and r[1] == k})
-            hit = least.isin(values)
-            if s > BLOCK:
-                hit = (F.col("block") % (s // BLOCK) == 0) & hit
-            found.append(F.when(hit, F.array(F.struct(F.lit(s).alias("s"), at.alias("start"), F.lit(k).alias("band"), least.alias("value")))))
-    if not found:
-        return spark.createDataFrame([], "doc_id long, template_id string, containment double, n_windows long")
-    # the words that the longest window spans, for the few blocks with a band in common with a template
-    hits = blocks.filter(reduce(lambda a, b: a | b, [c.isNotNull() for c in found])).select(
-        "doc_id", "block", F.slice("_words", at + 1, most + BLOCK + SHINGLE - 1).alias("context"), F.flatten(F.array_compact(F.array(*found))).alias("found")
-    )
+            return F.concat(*[window(j) for j in range(BLOCK)])
+        return F.when(F.col("block") % (s // BLOCK) == 0, window(0)).otherwise(F.array())
+
+    hits = blocks.select("doc_id", "block", "context", F.explode(F.concat(*[values(s) for s in sorted(classes)])).alias("f"))
     known = spark.createDataFrame(rows, "s int, band int, value long, template_id string")
     exact = spark.createDataFrame([(t["template_id"], t["shingles"]) for t in table], "template_id string, shingles array<string>")
     pairs = (
-        hits.select("doc_id", "block", "context", F.explode("found").alias("f"))
-        .select("doc_id", "block", "context", "f.*")
+        hits.select("doc_id", "block", "context", "f.*")
         .join(F.broadcast(known), ["s", "band", "value"])
         .select("doc_id", "s", "start", "template_id", (F.col("start") - F.col("block") * BLOCK).alias("skip"), "context")
         .distinct()
