@@ -11,6 +11,7 @@ from grovekit.llm.licenses import OP2_SQL, op2_license_minhash
 from grovekit.llm.packing import op7_harmonic_packing
 from grovekit.llm.sharding import op6_hypergeometric_sharding
 from grovekit.llm.token_counts import op9_token_counts
+from grovekit.llm.topk import OP4_SQL, op4_bit_sliced_topk
 from grovekit.llm.toxicity import op5_toxicity_grammar
 from grovekit.llm.warc import OP1_SQL, op1_warc_salvage
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_warc_salvage,
         op2_license_minhash,
+        op4_bit_sliced_topk,
         op5_toxicity_grammar,
         op6_hypergeometric_sharding,
         op7_harmonic_packing,
@@ -30,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_salvage": OP1_SQL,
     "op2_license_minhash": OP2_SQL,
+    "op4_bit_sliced_topk": OP4_SQL,
     "op10_positional_decontamination": OP10_SQL,
 }
