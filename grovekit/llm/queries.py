@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from grovekit.llm.decontamination import OP10_SQL, op10_positional_decontamination
+from grovekit.llm.jaccard_join import op3_ngram_jaccard_join
 from grovekit.llm.licenses import OP2_SQL, op2_license_minhash
 from grovekit.llm.packing import op7_harmonic_packing
 from grovekit.llm.sharding import op6_hypergeometric_sharding
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_warc_salvage,
         op2_license_minhash,
+        op3_ngram_jaccard_join,
         op4_bit_sliced_topk,
         op5_toxicity_grammar,
         op6_hypergeometric_sharding,
