@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grovekit.llm.decontamination import OP10_SQL, op10_positional_decontamination
 from grovekit.llm.jaccard_join import op3_ngram_jaccard_join
+from grovekit.llm.language_model import op8_elias_fano_lm
 from grovekit.llm.licenses import OP2_SQL, op2_license_minhash
 from grovekit.llm.packing import op7_harmonic_packing
 from grovekit.llm.sharding import op6_hypergeometric_sharding
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_toxicity_grammar,
         op6_hypergeometric_sharding,
         op7_harmonic_packing,
+        op8_elias_fano_lm,
         op9_token_counts,
         op10_positional_decontamination,
     )
