@@ -108,7 +108,6 @@ class EliasFano:
         if not self.n:
             return np.full(len(values), -1, np.int64)
         high = (values >> _U(self.l)).astype(np.int64) if self.l < 64 else np.zeros(len(values), np.int64)
-        high = np.minimum(high, len(self.samples) * self.EVERY - 2 * self.EVERY) if len(self.samples) > 2 else high
         begin = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) - (high - 1), 0)
         end = self.select0(high.copy()) - high
         low = values & _U((1 << self.l) - 1)
