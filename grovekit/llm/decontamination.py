@@ -139,12 +139,8 @@ def proximity_matches(index: DataFrame, looked: DataFrame, slop: int) -> DataFra
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """A row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    Null texts have no words; null item texts no phrases; an item without an id hits words but isn't counted. A
-    document is its id and its text, so repeated rows get equal results and one id may have several texts. Empty
-    tables give an empty result or no hits. Other columns play no part."""
+def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The documents in which a phrase of an item occurs: _d (doc_id), _g (hash of the text), n_hit, items."""
     found = staged(phrases(items, size), "test-phrases")
     terms = found.select(F.explode("phrase").alias("term")).distinct()
     looked = staged(anchors(found, term_counts(docs, terms)), "test-anchors")
@@ -174,7 +170,16 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
     known = hit.join(which, (hit["doc_id"].eqNullSafe(which["doc_id"])) & (hit["_h"] == which["_h"]), "left").select(hit["doc_id"].alias("_d"), hit["_h"].alias("_g"), "n_hit", "items")
-    known = staged(known, "test-hits")
+    return staged(known, "test-hits")
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """A row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null texts have no words; null item texts no phrases; an item without an id hits words but isn't counted. A
+    document is its id and its text, so repeated rows get equal results and one id may have several texts. Empty
+    tables give an empty result or no hits. Other columns play no part."""
+    known = hits(docs, items, size)
     each = _body(docs).select("doc_id", "_h", F.size("_words").cast("long").alias("n_words"))
     joined = each.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
@@ -190,6 +195,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     )
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of docs in which no phrase of an item occurs, with their columns."""
+    found = hits(docs, items, size)
+    h = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & (h == found["_g"]), "left_anti")
+
+
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return contamination(documents(spark, sf_dir), items).drop("_h")

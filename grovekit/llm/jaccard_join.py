@@ -312,5 +312,13 @@ def link_components(docs: DataFrame) -> DataFrame:
     return rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose id names their component, so one of each, with their columns. Rows without an id stay;
+    of rows with one id and text one stays."""
+    named = link_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(documents(spark, sf_dir))
