@@ -35,7 +35,11 @@ FREQUENT = 24
 #: Groups of frequent tokens: one for so many tokens of a text.
 GROUP_TOKENS = 32
 #: Rounds that compare with one member of each entry, before all that is left is compared.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 4
+#: A round of those that finds less than this share of the first one's links is the last.
+WORTH = 0.05
+#: Bins of a text's histogram of tokens.
+BINS = 128
 
 _U = np.uint64
 
@@ -65,23 +69,45 @@ def _batch(columns: list[tuple[str, list | pa.Array | np.ndarray, pa.DataType]])
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for _, c, t in columns], [n for n, _, _ in columns])
 
 
+def histogram(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each of BINS: two texts share at most the sum of the lesser counts."""
+    counts = np.bincount((tokens >> _U(40)).astype(np.int64) % BINS, minlength=BINS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def _counts(hist: bytes) -> np.ndarray:
+    return np.frombuffer(hist, np.uint8 if len(hist) == BINS else np.uint32).astype(np.int64)
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose histograms allow the link."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = _counts(x.as_py()), _counts(y.as_py())
+            most = int(np.minimum(x, y).sum())
+            keep.append(100 * most >= PERCENT * (int(x.sum()) + int(y.sum()) - most))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, cid, n), and at the end of a task its part of the frequency sketch."""
     sketch = np.zeros(COUNTERS, np.int32)
     seen = False
     for batch in batches:
-        cid, n = [], []
+        cid, n, hist = [], [], []
         for _, tokens in token_sets(batch.column("text")):
+            hist.append(histogram(tokens) if len(tokens) else None)
             cid.append(class_id(tokens) if len(tokens) else None)
             n.append(len(tokens))
             np.add.at(sketch, (tokens & _U(COUNTERS - 1)).astype(np.int64), 1)
             seen = True
         none = pa.nulls(len(n), pa.binary())
-        yield _batch([("doc_id", batch.column("doc_id"), pa.int64()), ("cid", cid, pa.int64()), ("n", n, pa.int64()), ("part", pa.nulls(len(n), pa.int32()), None), ("sketch", none, None)])
+        yield _batch([("doc_id", batch.column("doc_id"), pa.int64()), ("cid", cid, pa.int64()), ("n", n, pa.int64()), ("hist", hist, pa.binary()), ("part", pa.nulls(len(n), pa.int32()), None), ("sketch", none, None)])
     if seen:
         parts = [zlib.compress(np.minimum(p, 65535).astype(np.uint16).tobytes(), 1) for p in np.split(sketch, PARTS)]
         none = pa.nulls(PARTS, pa.int64())
-        yield _batch([("doc_id", none, None), ("cid", none, None), ("n", none, None), ("part", list(range(PARTS)), pa.int32()), ("sketch", parts, pa.binary())])
+        yield _batch([("doc_id", none, None), ("cid", none, None), ("n", none, None), ("hist", pa.nulls(PARTS, pa.binary()), None), ("part", list(range(PARTS)), pa.int32()), ("sketch", parts, pa.binary())])
 
 
 def _add_sketches(part: pa.Table) -> pa.Table:
@@ -253,7 +279,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = staged(docs.mapInArrow(_describe, "doc_id long, cid long, n long, part int, sketch binary"), "jaccard-docs")
+    described = staged(docs.mapInArrow(_describe, "doc_id long, cid long, n long, hist binary, part int, sketch binary"), "jaccard-docs")
     rows = described.filter("part is null").select("doc_id", "cid", "n")
     # counters and bitmaps below have a fixed size (8 bytes and 1 bit for each of COUNTERS), whatever the corpus
     summed = described.filter("part is not null").select("part", "sketch").groupBy("part").applyInArrow(_add_sketches, "part int, counts binary")
@@ -264,44 +290,55 @@ def link_components(docs: DataFrame) -> DataFrame:
     packed = docs.select("text").mapInArrow(_index(levels, buckets), "bucket long, keys binary, cids binary, ns binary, common binary")
     entries = staged(packed.groupBy("bucket").applyInArrow(_entries, ENTRY), "jaccard-index")
 
-    wanted = entries.select("cid").mapInArrow(_bits, "part int, bits binary").groupBy("part").applyInArrow(_or_bits, "part int, bits binary")
-    bits = sc.broadcast(_gathered(wanted.collect(), COUNTERS // PARTS // 8))
-    sets = staged(docs.select("text").mapInArrow(_sets(bits), "cid long, tokens binary").dropDuplicates(["cid"]), "jaccard-sets")
+    hists = described.filter("cid is not null").groupBy("cid").agg(F.max("hist").alias("hist"))
+    hists = staged(hists.join(entries.select("cid").distinct(), "cid", "left_semi"), "jaccard-histograms")
+
+    def both_sides(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
+        x = pairs.join(of.select(F.col("cid").alias("a"), F.col(value).alias("x")), "a")
+        return x.join(of.select(F.col("cid").alias("b"), F.col(value).alias("y")), "b").select("a", "b", "x", "y")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those that link."""
-        x = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
-        both = x.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+        """Of pairs (a, b) those that link. Histograms leave few of the others; for what they leave, the token sets are
+        made anew from the texts, each class once a task, by a bitmap of the classes that are asked for."""
+        left = staged(both_sides(pairs, hists, "hist").mapInArrow(_possible, "a long, b long"), "jaccard-possible")
+        asked = left.select(F.col("a").alias("cid")).union(left.select("b"))
+        parts = asked.mapInArrow(_bits, "part int, bits binary").groupBy("part").applyInArrow(_or_bits, "part int, bits binary").collect()
+        bits = sc.broadcast(_gathered(parts, COUNTERS // PARTS // 8))
+        sets = docs.select("text").mapInArrow(_sets(bits), "cid long, tokens binary")
+        sets = staged(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
+        return both_sides(left, sets, "tokens").mapInArrow(_verify, "a long, b long")
 
     large = lambda m, n: m * 100 >= n * PERCENT
     links = roots = None
-    left = entries
-    for turn in range(PIVOT_ROUNDS + 1):
+    left, first, turn, last = entries, 0, 0, False
+    while True:
         if roots is not None:
             # entries whose classes are in one component have nothing more to show
             at = left.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
             mixed = at.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
             left = staged(at.join(mixed, "key", "left_semi"), "jaccard-left")
         else:
-            left = staged(left.withColumn("root", F.col("cid")), "jaccard-left")
-        if not left.limit(1).count():
-            break
-        if turn < PIVOT_ROUNDS:
-            # the most common-place class of each component in an entry; of those the first by another order each turn
-            pick = F.max_by(F.struct("cid", "n", "root"), F.struct("common", F.xxhash64("cid", F.lit(turn))))
-            if turn:
-                pick = F.max_by(F.struct("cid", "n", "root"), F.xxhash64("root", "cid", F.lit(turn)))
-            pivots = left.groupBy("key").agg(pick.alias("p"))
-            pairs = left.join(pivots, "key").filter(F.col("root") != F.col("p.root")).filter(large(F.least("n", "p.n"), F.greatest("n", "p.n")))
-            pairs = pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
-        else:
+            left = left.withColumn("root", F.col("cid"))
+        if last or turn == PIVOT_ROUNDS:
             other = left.select("key", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("r2"))
             pairs = left.join(other, "key").filter((F.col("cid") < F.col("c2")) & (F.col("root") != F.col("r2")) & large(F.least("n", "n2"), F.greatest("n", "n2")))
             pairs = pairs.select(F.col("cid").alias("a"), F.col("c2").alias("b"))
+        else:
+            # the most common-place class of an entry, and in later turns any of another component
+            order = F.xxhash64("root", "cid", F.lit(turn)) if turn else F.struct("common", "cid")
+            pivots = left.groupBy("key").agg(F.max_by(F.struct("cid", "n", "root"), order).alias("p"))
+            pairs = left.join(pivots, "key").filter(F.col("root") != F.col("p.root")).filter(large(F.least("n", "p.n"), F.greatest("n", "p.n")))
+            pairs = pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
         new = staged(verified(pairs.distinct()), "jaccard-links")
-        links = new if links is None else links.unionByName(new)
-        roots = connected(links)
+        found = new.count()
+        if found:
+            links = new if links is None else links.unionByName(new)
+            roots = connected(links)
+        if last or turn == PIVOT_ROUNDS:
+            break
+        first = first or found
+        last = found <= WORTH * first
+        turn += 1
 
     # the smallest id of each class, and then of each component
     classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
