@@ -2,7 +2,7 @@
 
 Level 1 holds the words (by 64-bit hash), level k the k-grams that occur twice or more, each as the place of its first
 k-1 words in the level before and the number of its last word. A level's entries are monotone and stored in
-Elias-Fano form: low bits packed, high bits in unary with samples for select. An entry is found by the successor
+Elias-Fano form: low bits packed, high bits in unary with a directory for select. An entry is found by the successor
 search of its context's range. Beside each entry stand its discounted probability and the weight that its own
 successors leave to the shorter context, on a grid of 16 bits. Levels are files that scorers map into memory.
 
@@ -46,10 +46,8 @@ _NONE = np.iinfo(np.int64).max
 class EliasFano:
     """A monotone sequence of distinct unsigned 64-bit integers below `top`."""
 
-    EVERY = 64
-
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
-        self.n, self.l, self.low, self.high, self.samples = n, low_bits, low, high, samples
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
+        self.n, self.l, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
 
     @classmethod
     def of(cls, values: np.ndarray, top: int) -> EliasFano:
@@ -59,8 +57,8 @@ class EliasFano:
         bits = np.zeros(n + int(top >> l) + 2 + 64, np.uint8)
         bits[high + np.arange(n)] = 1
         bits = np.concatenate([bits, np.zeros(-len(bits) % 64, np.uint8)])
-        zeros = np.flatnonzero(bits == 0)[:: cls.EVERY]
         words = np.packbits(bits, bitorder="little").view(_U)
+        zeros = np.cumsum(64 - np.bitwise_count(words).astype(np.int64))
         low = np.zeros(n * l // 64 + 2, _U)
         if l:
             part = values & _U((1 << l) - 1)
@@ -69,7 +67,7 @@ class EliasFano:
             np.bitwise_or.at(low, at >> 6, part << shift)
             over = (at & 63) + l > 64
             np.bitwise_or.at(low, (at[over] >> 6) + 1, part[over] >> (_U(64) - shift[over]))
-        return cls(n, l, low, words, zeros.astype(np.int64))
+        return cls(n, l, low, words, zeros.astype(np.uint32 if zeros[-1] < 1 << 32 else np.int64))
 
     def low_at(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -81,18 +79,9 @@ class EliasFano:
 
     def select0(self, h: np.ndarray) -> np.ndarray:
         """Where the h-th zero (from 0) of the high bits stands."""
-        at = self.samples[h // self.EVERY]
-        need = h % self.EVERY  # zeros to pass from there
-        word = at >> 6
-        left = ~self.high[word] & (_U(0xFFFFFFFFFFFFFFFF) << (at & 63).astype(_U))
-        count = np.bitwise_count(left).astype(np.int64)
-        short = np.flatnonzero(count <= need)
-        while len(short):
-            need[short] -= count[short]
-            word[short] += 1
-            left[short] = ~self.high[word[short]]
-            count[short] = np.bitwise_count(left[short])
-            short = short[count[short] <= need[short]]
+        word = np.searchsorted(self.zeros, h.astype(self.zeros.dtype), "right")
+        need = h - np.where(word > 0, self.zeros[np.maximum(word - 1, 0)], 0).astype(np.int64)
+        left = ~self.high[word]
         # the need-th set bit of the word, by halves
         base = np.zeros(len(h), np.int64)
         for half in (32, 16, 8, 4, 2, 1):
@@ -112,17 +101,22 @@ class EliasFano:
         end = self.select0(high.copy()) - high
         low = values & _U((1 << self.l) - 1)
         out = np.full(len(values), -1, np.int64)
+        # the first entry of the range that is not below the value: a frequent context has many in one range
+        stop = end.copy()
         todo = np.flatnonzero(begin < end)
         while len(todo):
-            seen = self.low_at(begin[todo])
-            hit = seen == low[todo]
-            out[todo[hit]] = begin[todo[hit]]
-            begin[todo] += 1
-            todo = todo[(seen < low[todo]) & (begin[todo] < end[todo])]
+            middle = (begin[todo] + end[todo]) >> 1
+            below = self.low_at(middle) < low[todo]
+            begin[todo[below]] = middle[below] + 1
+            end[todo[~below]] = middle[~below]
+            todo = todo[begin[todo] < end[todo]]
+        at = np.flatnonzero(begin < stop)
+        hit = at[self.low_at(begin[at]) == low[at]]
+        out[hit] = begin[hit]
         return out
 
     def save(self) -> dict[str, np.ndarray]:
-        return {"head": np.array([self.n, self.l], np.int64), "low": self.low, "high": self.high, "samples": self.samples}
+        return {"head": np.array([self.n, self.l], np.int64), "low": self.low, "high": self.high, "zeros": self.zeros}
 
 
 # ---- files ---------------------------------------------------------------------------------------------------------
@@ -180,7 +174,7 @@ class Trie:
     @functools.cache
     def coded(self, level: int, part: int) -> EliasFano:
         head = self.array(level, part, "head")
-        return EliasFano(int(head[0]), int(head[1]), *(self.array(level, part, k) for k in ("low", "high", "samples")))
+        return EliasFano(int(head[0]), int(head[1]), *(self.array(level, part, k) for k in ("low", "high", "zeros")))
 
     def bucket(self, level: int, values: np.ndarray) -> np.ndarray:
         """Words lie in buckets by the high bits of their hash, so that all levels keep one order; n-grams by a mix
