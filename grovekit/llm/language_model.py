@@ -34,6 +34,8 @@ LEAST_COUNT = 2
 STEPS = 6000
 #: Tokens whose n-grams a task holds before it combines their counts.
 HELD_TOKENS = 4_000_000
+#: Tokens that are looked up together, about.
+RUN_TOKENS = 600_000
 BUCKETS = 48
 _U = np.uint64
 END = int(mix(np.array([0x656E64], _U))[0])
@@ -97,8 +99,13 @@ class EliasFano:
         if not self.n:
             return np.full(len(values), -1, np.int64)
         high = (values >> _U(self.l)).astype(np.int64) if self.l < 64 else np.zeros(len(values), np.int64)
-        begin = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) - (high - 1), 0)
-        end = self.select0(high.copy()) - high
+        at = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) + 1, 0)
+        begin = at - high
+        # the ones from there to the next zero; runs that leave the word are looked up by select
+        ahead = ~self.high[at >> 6] >> (at & 63).astype(_U)
+        end = begin + np.bitwise_count((ahead & (~ahead + _U(1))) - _U(1))
+        if (far := np.flatnonzero(ahead == 0)).size:
+            end[far] = self.select0(high[far]) - high[far]
         low = values & _U((1 << self.l) - 1)
         out = np.full(len(values), -1, np.int64)
         # the first entry of the range that is not below the value: a frequent context has many in one range
@@ -147,7 +154,7 @@ def _get(folder: str, name: str) -> np.ndarray:
             with fs.open_input_stream(f"{base}/{name}.npy") as f, open(f"{path}.{os.getpid()}", "wb") as g:
                 g.write(f.read())
             os.replace(f"{path}.{os.getpid()}", path)
-    return np.load(path, mmap_mode="r")
+    return np.load(path, mmap_mode="r").view(np.ndarray)
 
 
 def _grid(p: np.ndarray) -> np.ndarray:
@@ -180,8 +187,8 @@ class Trie:
         """Words lie in buckets by the high bits of their hash, so that all levels keep one order; n-grams by a mix
         of theirs, so that a frequent context is spread."""
         if level == 1:
-            return ((values >> _U(32)) * _U(self.buckets) >> _U(32)).astype(np.int64)
-        return (mix(values) % _U(self.buckets)).astype(np.int64)
+            return ((values >> _U(32)) * _U(self.buckets) >> _U(32)).astype(np.uint16)
+        return (mix(values) % _U(self.buckets)).astype(np.uint16)
 
     def entry(self, level: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The value that stands for a k-gram: its context's place and, relative to that, its last word's number."""
@@ -205,7 +212,7 @@ class Trie:
 
     def read(self, level: int, places: np.ndarray, key: str) -> np.ndarray:
         """What stands beside the entries at `places` (all found)."""
-        part = np.searchsorted(self.offsets[level - 1], places, "right") - 1
+        part = (np.searchsorted(self.offsets[level - 1], places, "right") - 1).astype(np.uint16)
         out = None
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(self.buckets + 1))
@@ -222,7 +229,9 @@ class Trie:
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, token hashes with the end of each text, where each text begins)."""
+    """(number of the first text, token hashes with the end of each text, where each text begins), for runs of texts of
+    about RUN_TOKENS."""
+    held, sizes, at = [], [], 0
     for i, data, edges in blocks(column):
         words, first = word_hashes(data, edges)
         n = len(first) - 1
@@ -231,30 +240,40 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         keep = np.ones(len(out), bool)
         keep[ends] = False
         out[keep], out[ends] = words, _U(END)
-        yield i, out, np.concatenate([[0], ends + 1])
-
-
-def grams(trie: Trie, order: int, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For each token its word number (-1: unknown) and, for each k from 2 to order, the place of the (k-1)-gram before
-    it (-1: none). The start of a text stands before its first token as a word of its own."""
+        held.append(out)
+        sizes.append(np.diff(ends, prepend=-1))
+        if sum(map(len, held)) >= RUN_TOKENS:
+            yield at, np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            held, sizes, at = [], [], i + n
+    if held:
+        yield at, np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def grams(trie: Trie, order: int, tokens: np.ndarray, begin: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Where each token's k-gram (that ends with it) stands in level k, for k from 1 to order, or -1; and the counts of
+    the words. The start of a text stands before its first token as a word of its own."""
     distinct, inverse = np.unique(tokens, return_inverse=True)
-    words = trie.find(1, distinct)[inverse]
-    start = trie.vocabulary
-    before = np.concatenate([[start], words[:-1]])
-    before[begin[:-1]] = start
-    contexts = [before]
-    for k in range(3, order + 1):
-        # the (k-1)-gram that ends before a token is the one of one less that ended before it, and that word
-        shorter = contexts[-1]
-        prior = np.concatenate([[-1], shorter[:-1]])
-        prior[begin[:-1]] = -1
-        usable = (prior >= 0) & (before >= 0) & (before < start)
+    found = trie.find(1, distinct)
+    counts = np.zeros(len(distinct), np.int64)
+    if (hit := found >= 0).any():
+        counts[hit] = trie.read(1, found[hit], "counts")
+    words, counts = found[inverse], counts[inverse]
+    common = counts >= LEAST_COUNT
+    places = [words]
+    for k in range(2, order + 1):
+        before = preceding(trie, k, places[-1], begin)
         place = np.full(len(tokens), -1, np.int64)
-        if usable.any():
-            values, back = np.unique(trie.entry(k - 1, prior[usable], before[usable]), return_inverse=True)
-            place[usable] = trie.find(k - 1, values)[back]
-        contexts.append(place)
-    return words, contexts
+        usable = np.flatnonzero((before >= 0) & common)
+        place[usable] = trie.find(k, trie.entry(k, before[usable], words[usable]))
+        places.append(place)
+    return places, counts
+
+
+def preceding(trie: Trie, k: int, places: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The context of each token's k-gram: where the (k-1)-gram before it stands, given those of level k - 1."""
+    before = np.concatenate([[-1], places[:-1]])
+    before[begin[:-1]] = trie.vocabulary if k == 2 else -1
+    return before
 
 
 PACKED = "bucket long, keys binary, counts binary"
@@ -299,22 +318,10 @@ def _count(trie: Trie, level: int):
                 if level == 1:
                     keys = tokens
                 else:
-                    words, contexts = grams(trie, level, tokens, begin)
-                    context = contexts[-1]
-                    usable = (context >= 0) & (words >= 0)
-                    if level > 2:
-                        # the (k-1)-gram that ends with the token must be known too
-                        short = contexts[-2]
-                        own = np.full(len(tokens), -1, np.int64)
-                        ok = usable & (short >= 0)
-                        values, back = np.unique(trie.entry(level - 1, short[ok], words[ok]), return_inverse=True)
-                        own[ok] = trie.find(level - 1, values)[back]
-                        usable &= own >= 0
-                    else:
-                        common = np.zeros(len(tokens), bool)
-                        distinct, back = np.unique(words[usable], return_inverse=True)
-                        common[usable] = (trie.read(1, distinct, "counts") >= LEAST_COUNT)[back]
-                        usable &= common
+                    places, counts = grams(trie, level - 1, tokens, begin)
+                    words, context = places[0], preceding(trie, level, places[-1], begin)
+                    # the (k-1)-gram that ends with the token must be known too
+                    usable = (context >= 0) & (places[-1] >= 0) & (counts >= LEAST_COUNT)
                     keys = trie.entry(level, context[usable], words[usable])
                 held.append(keys)
                 n += len(keys)
@@ -434,29 +441,17 @@ def _lefts(trie: Trie, level: int, places: np.ndarray) -> np.ndarray:
 
 def token_scores(trie: Trie, order: int, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token: known or not, log10 of the base probability, log10 of the model's."""
-    words, contexts = grams(trie, order, tokens, begin)
-    known = words >= 0
-    counts = np.zeros(len(tokens))
-    distinct, back = np.unique(words[known], return_inverse=True)
-    if known.any():
-        counts[known] = trie.read(1, distinct, "counts")[back]
+    places, counts = grams(trie, order, tokens, begin)
     base = (counts + 0.5) / (trie.tokens + 0.5 * (trie.vocabulary + 1))
     p = base.copy()
     for k in range(2, order + 1):
-        context = contexts[k - 2]
-        usable = context >= 0
-        if not usable.any():
-            continue
-        distinct, back = np.unique(context[usable], return_inverse=True)
-        p[usable] *= _lefts(trie, k - 1, distinct)[back]
-        usable &= known
-        values, back = np.unique(trie.entry(k, context[usable], words[usable]), return_inverse=True)
-        place = trie.find(k, values)
-        hit = place >= 0
-        share = np.zeros(len(values))
-        if hit.any():
-            share[hit] = _TABLE[trie.read(k, place[hit], "share")]
-        p[usable] += share[back]
+        context = preceding(trie, k, places[k - 2], begin)
+        usable = np.flatnonzero(context >= 0)
+        p[usable] *= _lefts(trie, k - 1, context[usable])
+        hit = np.flatnonzero(places[k - 1] >= 0)
+        if len(hit):
+            p[hit] += _TABLE[trie.read(k, places[k - 1][hit], "share")]
+    known = places[0] >= 0
     return known, np.log10(base), np.log10(np.maximum(p, 1e-300))
 
 
