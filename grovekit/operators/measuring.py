@@ -76,8 +76,8 @@ def gate_compare(current: DataFrame, historical: DataFrame) -> DataFrame:
     past = historical.select("result", F.col("median_speedup").alias("_past"), F.col("noise_ratio").alias("_noise"))
     joined = current.join(past, "result", "left")
     status = (
-        F.when(F.col("_past").isNull(), "skipped: not in history")
-        .when(F.col("median_speedup").isNull(), "skipped: no baseline")
+        F.when(F.col("median_speedup").isNull(), "skipped: no baseline")
+        .when(F.col("_past").isNull(), "skipped: not in history")
         .when(F.greatest("noise_ratio", "_noise") > NOISE_LIMIT, "skipped: noisy")
         .when(F.col("median_speedup") < F.col("_past") * (1 - TOLERANCE), "regressed")
         .otherwise("ok")

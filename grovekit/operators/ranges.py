@@ -69,7 +69,7 @@ def resume_lookup(files: DataFrame, checkpoints: DataFrame) -> DataFrame:
         zero = (lambda c: F.coalesce(c, F.lit(0).cast("long"))) if k == "ctime_ns" else (lambda c: c)
         usable = usable & zero(F.col(k)).eqNullSafe(zero(F.col(f"_{k}")))
     joined = files.join(there, "path", "left").withColumn("usable", F.col("ranges").isNotNull() & usable)
-    return joined.withColumn("ranges", F.when("usable", F.col("ranges"))).drop(*[f"_{k}" for k in keys])
+    return joined.withColumn("ranges", F.when(F.col("usable"), F.col("ranges"))).drop(*[f"_{k}" for k in keys])
 
 
 def checkpoint_upsert(checkpoints: DataFrame, new: DataFrame) -> DataFrame:

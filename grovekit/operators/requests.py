@@ -74,7 +74,7 @@ def delete_result(progress: DataFrame) -> DataFrame:
     out = progress.groupBy("req_id").agg(
         F.count_if("removed").alias("removed_count"), F.count_if(~F.col("removed")).alias("failures"), F.coalesce(F.bool_or("cancelled"), F.lit(False)).alias("_c")
     )
-    return out.withColumn("outcome", F.when("_c", "cancelled").when(F.col("failures") > 0, "partial").otherwise("complete")).drop("_c")
+    return out.withColumn("outcome", F.when(F.col("_c"), "cancelled").when(F.col("failures") > 0, "partial").otherwise("complete")).drop("_c")
 
 
 def set_metadata(entries: DataFrame, requests: DataFrame) -> DataFrame:
