@@ -38,8 +38,10 @@ GROUP_TOKENS = 32
 PIVOT_ROUNDS = 4
 #: A round of those that finds less than this share of the first one's links is the last.
 WORTH = 0.05
-#: Bins of a text's histogram of tokens.
-BINS = 128
+#: Bins of a text's histogram of tokens, and of its shorter one.
+BINS, SHORT_BINS = 128, 32
+#: Longer index entries are compared with a pivot first.
+LONG_RUN = 16
 
 _U = np.uint64
 
@@ -79,6 +81,89 @@ def _counts(hist: bytes) -> np.ndarray:
     return np.frombuffer(hist, np.uint8 if len(hist) == BINS else np.uint32).astype(np.int64)
 
 
+def short_histogram(tokens: np.ndarray) -> bytes:
+    """The same in SHORT_BINS bytes; all 0 where a count doesn't fit, which rules nothing out."""
+    counts = np.bincount((tokens >> _U(40)).astype(np.int64) % SHORT_BINS, minlength=SHORT_BINS)
+    return (counts if counts.max() < 256 else np.zeros(SHORT_BINS)).astype(np.uint8).tobytes()
+
+
+def _triangles(g: int, runs: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs inside each of the runs of g rows that begin at `first`."""
+    i, j = np.triu_indices(g, 1)
+    return (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+
+
+def _run_pairs(mode: str, turn: int):
+    """Pairs (a, b) of rows with one key, from rows sorted by key (key, cid, n, common, root, brief): in `first` all pairs
+    of short runs, and those with one row (the pivot) of long ones; in `pivot` those with a pivot of another root; in
+    `rest` all pairs of unlike roots. Sizes and histograms must allow the link."""
+
+    def allowed(c: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small, large = np.minimum(c["n"][i], c["n"][j]).astype(np.int64), np.maximum(c["n"][i], c["n"][j]).astype(np.int64)
+        keep = (c["root"][i] != c["root"][j]) & (small * 100 >= large * PERCENT)
+        i, j = i[keep], j[keep]
+        out = np.ones(len(i), bool)
+        for at in range(0, len(i), 200_000):
+            x, y = c["brief"][i[at : at + 200_000]], c["brief"][j[at : at + 200_000]]
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            total = (c["n"][i[at : at + 200_000]] + c["n"][j[at : at + 200_000]]).astype(np.int64)
+            whole = (x.sum(axis=1, dtype=np.int64) > 0) & (y.sum(axis=1, dtype=np.int64) > 0)
+            out[at : at + 200_000] = ~whole | (100 * most >= PERCENT * (total - most))
+        return i[out], j[out]
+
+    def candidates(c: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        first = np.flatnonzero(np.diff(c["key"], prepend=c["key"][:1] - 1)) if len(c["key"]) else np.empty(0, np.int64)
+        size = np.diff(first, append=len(c["key"]))
+        if mode == "first":
+            for g in range(2, LONG_RUN + 1):
+                if (of := first[size == g]).size:
+                    for at in range(0, len(of), 20_000):
+                        yield allowed(c, *_triangles(g, len(of), of[at : at + 20_000]))
+        for a, g in zip(first, size):
+            if g <= LONG_RUN:
+                continue
+            rows = np.arange(a, a + g)
+            if mode == "rest":
+                for k in range(g - 1):  # row by row, so that memory follows the run and not its square
+                    yield allowed(c, np.full(g - 1 - k, a + k), rows[k + 1 :])
+            else:
+                order = mix((c["root"][rows] ^ (c["cid"][rows] + turn)).view(_U)) if turn else c["common"][rows]
+                p = rows[np.lexsort((c["cid"][rows], order))[-1]]
+                yield allowed(c, np.full(g, p), rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict | None = None
+
+        def emit(c: dict) -> Iterator[pa.RecordBatch]:
+            found, n = [], 0
+            for i, j in [*candidates(c)] if mode != "rest" else candidates(c):
+                if len(i):
+                    x, y = c["cid"][i], c["cid"][j]
+                    found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(i) > 1000 else np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                    n += len(i)
+                if n > 1_000_000:
+                    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                    yield _batch([("a", pairs[0], pa.int64()), ("b", pairs[1], pa.int64())])
+                    found, n = [], 0
+            if found:
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield _batch([("a", pairs[0], pa.int64()), ("b", pairs[1], pa.int64())])
+
+        for batch in batches:
+            c = {name: batch.column(name).to_numpy() for name in ("key", "cid", "n", "common", "root")}
+            c["brief"] = np.frombuffer(b"".join(batch.column("brief").to_pylist()), np.uint8).reshape(-1, SHORT_BINS)
+            held = c if held is None else {k: np.concatenate([held[k], c[k]]) for k in c}
+            # the last run may go on in the next batch
+            cut = int(np.searchsorted(held["key"], held["key"][-1])) if len(held["key"]) else 0
+            if cut > 100_000:
+                yield from emit({k: v[:cut] for k, v in held.items()})
+                held = {k: v[cut:] for k, v in held.items()}
+        if held is not None:
+            yield from emit(held)
+
+    return run
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose histograms allow the link."""
     for batch in batches:
@@ -95,19 +180,20 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(COUNTERS, np.int32)
     seen = False
     for batch in batches:
-        cid, n, hist = [], [], []
+        cid, n, hist, brief = [], [], [], []
         for _, tokens in token_sets(batch.column("text")):
             hist.append(histogram(tokens) if len(tokens) else None)
+            brief.append(short_histogram(tokens) if len(tokens) else None)
             cid.append(class_id(tokens) if len(tokens) else None)
             n.append(len(tokens))
             np.add.at(sketch, (tokens & _U(COUNTERS - 1)).astype(np.int64), 1)
             seen = True
         none = pa.nulls(len(n), pa.binary())
-        yield _batch([("doc_id", batch.column("doc_id"), pa.int64()), ("cid", cid, pa.int64()), ("n", n, pa.int64()), ("hist", hist, pa.binary()), ("part", pa.nulls(len(n), pa.int32()), None), ("sketch", none, None)])
+        yield _batch([("doc_id", batch.column("doc_id"), pa.int64()), ("cid", cid, pa.int64()), ("n", n, pa.int64()), ("hist", hist, pa.binary()), ("brief", brief, pa.binary()), ("part", pa.nulls(len(n), pa.int32()), None), ("sketch", none, None)])
     if seen:
         parts = [zlib.compress(np.minimum(p, 65535).astype(np.uint16).tobytes(), 1) for p in np.split(sketch, PARTS)]
         none = pa.nulls(PARTS, pa.int64())
-        yield _batch([("doc_id", none, None), ("cid", none, None), ("n", none, None), ("hist", pa.nulls(PARTS, pa.binary()), None), ("part", list(range(PARTS)), pa.int32()), ("sketch", parts, pa.binary())])
+        yield _batch([("doc_id", none, None), ("cid", none, None), ("n", none, None), ("hist", pa.nulls(PARTS, pa.binary()), None), ("brief", pa.nulls(PARTS, pa.binary()), None), ("part", list(range(PARTS)), pa.int32()), ("sketch", parts, pa.binary())])
 
 
 def _add_sketches(part: pa.Table) -> pa.Table:
@@ -279,7 +365,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = staged(docs.mapInArrow(_describe, "doc_id long, cid long, n long, hist binary, part int, sketch binary"), "jaccard-docs")
+    described = staged(docs.mapInArrow(_describe, "doc_id long, cid long, n long, hist binary, brief binary, part int, sketch binary"), "jaccard-docs")
     rows = described.filter("part is null").select("doc_id", "cid", "n")
     # counters and bitmaps below have a fixed size (8 bytes and 1 bit for each of COUNTERS), whatever the corpus
     summed = described.filter("part is not null").select("part", "sketch").groupBy("part").applyInArrow(_add_sketches, "part int, counts binary")
@@ -290,7 +376,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     packed = docs.select("text").mapInArrow(_index(levels, buckets), "bucket long, keys binary, cids binary, ns binary, common binary")
     entries = staged(packed.groupBy("bucket").applyInArrow(_entries, ENTRY), "jaccard-index")
 
-    hists = described.filter("cid is not null").groupBy("cid").agg(F.max("hist").alias("hist"))
+    hists = described.filter("cid is not null").groupBy("cid").agg(F.max("hist").alias("hist"), F.max("brief").alias("brief"))
     hists = staged(hists.join(entries.select("cid").distinct(), "cid", "left_semi"), "jaccard-histograms")
 
     def both_sides(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
@@ -308,37 +394,29 @@ def link_components(docs: DataFrame) -> DataFrame:
         sets = staged(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
         return both_sides(left, sets, "tokens").mapInArrow(_verify, "a long, b long")
 
-    large = lambda m, n: m * 100 >= n * PERCENT
+    # one row of 56 bytes an index entry from here on; the entries of one key meet in one task, sorted
+    left = staged(entries.join(hists.select("cid", "brief"), "cid").withColumn("root", F.col("cid")), "jaccard-entries")
     links = roots = None
-    left, first, turn, last = entries, 0, 0, False
+    first, turn, mode = 0, 0, "first"
     while True:
-        if roots is not None:
-            # entries whose classes are in one component have nothing more to show
-            at = left.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-            mixed = at.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
-            left = staged(at.join(mixed, "key", "left_semi"), "jaccard-left")
-        else:
-            left = left.withColumn("root", F.col("cid"))
-        if last or turn == PIVOT_ROUNDS:
-            other = left.select("key", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("r2"))
-            pairs = left.join(other, "key").filter((F.col("cid") < F.col("c2")) & (F.col("root") != F.col("r2")) & large(F.least("n", "n2"), F.greatest("n", "n2")))
-            pairs = pairs.select(F.col("cid").alias("a"), F.col("c2").alias("b"))
-        else:
-            # the most common-place class of an entry, and in later turns any of another component
-            order = F.xxhash64("root", "cid", F.lit(turn)) if turn else F.struct("common", "cid")
-            pivots = left.groupBy("key").agg(F.max_by(F.struct("cid", "n", "root"), order).alias("p"))
-            pairs = left.join(pivots, "key").filter(F.col("root") != F.col("p.root")).filter(large(F.least("n", "p.n"), F.greatest("n", "p.n")))
-            pairs = pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
-        new = staged(verified(pairs.distinct()), "jaccard-links")
+        sorted_ = left.repartition(max(8, buckets // 8), "key").sortWithinPartitions("key")
+        pairs = sorted_.mapInArrow(_run_pairs(mode, turn), "a long, b long").distinct()
+        new = staged(verified(pairs), "jaccard-links")
         found = new.count()
         if found:
             links = new if links is None else links.unionByName(new)
             roots = connected(links)
-        if last or turn == PIVOT_ROUNDS:
+        if mode == "rest":
             break
         first = first or found
-        last = found <= WORTH * first
         turn += 1
+        mode = "rest" if turn > 1 and found <= WORTH * first or turn >= PIVOT_ROUNDS else "pivot"
+        # long entries whose classes aren't all in one component
+        at = left if roots is None else left.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        mixed = at.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n")).filter((F.col("_a") != F.col("_b")) & (F.col("_n") > LONG_RUN)).select("key")
+        left = staged(at.join(mixed, "key", "left_semi"), "jaccard-left")
+        if not left.limit(1).count():
+            break
 
     # the smallest id of each class, and then of each component
     classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
