@@ -38,10 +38,10 @@ def from_seconds(seconds: Column, nanos: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """B as it is; KiB to TiB with one decimal."""
+    """B as it is; KiB to TiB with one decimal, ties to the even digit."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(out)
+        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n / float(1024**power), 1))).otherwise(out)
     return out
 
 

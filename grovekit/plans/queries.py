@@ -821,9 +821,9 @@ _HUMAN = """CASE WHEN n >= 1099511627776 THEN printf('%.1f TiB', n / 10995116277
  WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE CAST(n AS VARCHAR) || ' B' END"""
 
 
-@query("f01_human_bytes", f"SELECT o_orderkey, {_HUMAN} AS shown FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) * (o_orderkey * o_orderkey % 1000) AS n FROM orders)")
+@query("f01_human_bytes", f"SELECT o_orderkey, {_HUMAN} AS shown FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey * o_orderkey % 1000) AS n FROM orders)")
 def _(s, d):
-    n = F.round("o_totalprice").cast("long") * (F.col("o_orderkey") * F.col("o_orderkey") % 1000)
+    n = F.floor("o_totalprice") * (F.col("o_orderkey") * F.col("o_orderkey") % 1000)
     return V.table(s, d, "orders").select("o_orderkey", S.human_bytes(n).alias("shown"))
 
 
