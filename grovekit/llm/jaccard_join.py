@@ -1,7 +1,7 @@
 """Jaccard self-join of texts over word n-grams by token-combination prefixes.
 
 A text's tokens are its distinct shingles, as 64-bit hashes, in one global order: by how frequent they are, roughly,
-and then by hash. Two texts that are alike share a token in prefixes of |x| - ceil(t |x|) + 1, and 1 + e tokens when
+and then by hash; tokens of one text only come first. Two texts that are alike share a token in prefixes of |x| - ceil(t |x|) + 1, and 1 + e tokens when
 both prefixes are e longer. Rare tokens are indexed alone. Tokens of frequent classes are indexed as combinations of
 two: the extended prefix is split into e groups by hash, so of 1 + e shared frequent tokens two fall into one group.
 
@@ -32,6 +32,9 @@ COUNTERS = 1 << 22
 PARTS = 16
 #: A shingle whose counter stands this far above the mean belongs to a frequent class.
 FREQUENT = 24
+#: Tokens are told from those of one class only by a bitmap of 2^32 / FOLD bits (16 MB), made in slices.
+SLICE_BITS, FOLD = 6, 32
+SLICES = 1 << SLICE_BITS
 #: Groups of frequent tokens: one for so many tokens of a text.
 GROUP_TOKENS = 32
 #: Rounds that compare with one member of each entry, before all that is left is compared.
@@ -196,6 +199,55 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([("doc_id", none, None), ("cid", none, None), ("n", none, None), ("hist", pa.nulls(PARTS, pa.binary()), None), ("brief", pa.nulls(PARTS, pa.binary()), None), ("part", list(range(PARTS)), pa.int32()), ("sketch", parts, pa.binary())])
 
 
+def _unique_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The token hashes of a task, cut to 32 bits: a row for each of SLICES, sorted, as differences in two bytes or
+    more; `twice` has those that two classes of the task hold."""
+    held, n, seen = [], 0, set()
+
+    def flush() -> pa.RecordBatch:
+        values, count = np.unique(np.concatenate(held), return_counts=True)
+        rows = []
+        for name, v in (("once", values), ("twice", values[count > 1])):
+            edges = np.searchsorted(v, np.arange(SLICES + 1) << (32 - SLICE_BITS))
+            rows += [(b, name == "twice", _narrow(np.diff(v[edges[b] : edges[b + 1]], prepend=b << (32 - SLICE_BITS)))) for b in range(SLICES) if edges[b + 1] > edges[b]]
+        return _batch([("slice", [r[0] for r in rows], pa.int64()), ("twice", [r[1] for r in rows], pa.bool_()), ("values", [r[2] for r in rows], pa.binary())])
+
+    for batch in batches:
+        for _, tokens in token_sets(batch.column("text")):
+            if not len(tokens) or (cid := class_id(tokens)) in seen:
+                continue
+            if len(seen) < 2_000_000:
+                seen.add(cid)
+            held.append((tokens >> _U(32)).astype(np.int64))
+            n += len(tokens)
+            if n > 4_000_000:
+                yield flush()
+                held, n = [], 0
+    if held:
+        yield flush()
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    width = 2 if values.max(initial=0) < 1 << 16 else 4
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _shared(part: pa.Table) -> pa.Table:
+    """A slice's tokens that stand in more than one class, as a bitmap; each bit stands for FOLD neighbouring hashes."""
+    number = part.column("slice")[0].as_py()
+    seen, twice = np.zeros(1 << (32 - SLICE_BITS), bool), np.zeros(1 << (32 - SLICE_BITS), bool)
+    for again, values in zip(part.column("twice").to_pylist(), part.column("values")):
+        data = values.as_py()
+        at = np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1), dtype=np.int64)
+        if again:
+            twice[at] = True
+        else:
+            twice[at] |= seen[at]
+            seen[at] = True
+    bits = np.packbits(twice.reshape(-1, FOLD).any(axis=1), bitorder="little")
+    return pa.table({"slice": pa.array([number], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
 def _add_sketches(part: pa.Table) -> pa.Table:
     total = np.zeros(COUNTERS // PARTS, np.int64)
     for x in part.column("sketch"):
@@ -210,22 +262,23 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.where(over < 1, 0, 1 + np.floor(np.log2(np.maximum(over, 1)))).astype(np.uint8)
 
 
-def prefix_entries(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The index keys of a text with these tokens (sorted) and their frequency classes."""
+def prefix_entries(tokens: np.ndarray, level: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The index keys of a text with these tokens (sorted), their frequency classes, and whether others may hold them.
+    Tokens that no other class holds come first and need no entry."""
     n = len(tokens)
-    order = np.lexsort((tokens, level))
-    tokens, level = tokens[order], level[order]
+    order = np.lexsort((tokens, level, shared))
+    tokens, level, shared = tokens[order], level[order], shared[order]
     short = n - -(-PERCENT * n // 100) + 1
     if n < 2:
-        return tokens
+        return tokens[:0]  # one like it has the same token, and so is the same class
     keys = []
     # a partner may be smaller or larger; the group count goes by the smaller one's size, so a text takes part under
     # every group count that its partners of a smaller size have
     for groups in sorted({group_count(n), group_count(-(-PERCENT * n // 100))}):
         size = min(n, short + groups)
-        rare = level[:size] == 0
+        rare = (level[:size] == 0) & shared[:size]
         keys.append(tokens[:size][rare])
-        frequent = tokens[:size][~rare]
+        frequent = tokens[:size][(level[:size] > 0) & shared[:size]]
         if len(frequent) > 1:
             group = mix(frequent) % _U(groups)
             order = np.lexsort((frequent, group))
@@ -243,11 +296,11 @@ def group_count(n: int) -> int:
     return max(1, (1 << max(0, n.bit_length() - 1)) // GROUP_TOKENS)
 
 
-def _index(levels, buckets: int):
+def _index(levels, shared, buckets: int):
     """Rows (bucket, keys, cids, ns, common) of the index entries of the classes that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = np.frombuffer(levels.value, np.uint8), set()
+        level, several, seen = np.frombuffer(levels.value, np.uint8), np.frombuffer(shared.value, np.uint8), set()
         keys, cids, ns, common, held = [], [], [], [], 0
 
         def flush():
@@ -272,7 +325,8 @@ def _index(levels, buckets: int):
                 if len(seen) < 2_000_000:
                     seen.add(cid)
                 own = level[(tokens & _U(COUNTERS - 1)).astype(np.int64)]
-                keys.append(prefix_entries(tokens, own))
+                at = (tokens >> _U(32)).astype(np.int64) // FOLD
+                keys.append(prefix_entries(tokens, own, (several[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
                 cids.append(cid)
                 ns.append(len(tokens))
                 common.append(float(own.mean()))
@@ -373,7 +427,11 @@ def link_components(docs: DataFrame) -> DataFrame:
     levels = sc.broadcast(levels_of(counts).tobytes())
     total = int(counts.sum())
     buckets = max(64, total // 500_000)
-    packed = docs.select("text").mapInArrow(_index(levels, buckets), "bucket long, keys binary, cids binary, ns binary, common binary")
+    # of a fixed size too, and as whole: a bit is set wherever a token may stand in two classes
+    once = docs.select("text").mapInArrow(_unique_parts, "slice long, twice boolean, values binary")
+    found = {r[0]: bytes(r[1]) for r in once.groupBy("slice").applyInArrow(_shared, "slice long, bits binary").collect()}
+    shared = sc.broadcast(b"".join(found.get(b, bytes((1 << (32 - SLICE_BITS)) // FOLD // 8)) for b in range(SLICES)))
+    packed = docs.select("text").mapInArrow(_index(levels, shared, buckets), "bucket long, keys binary, cids binary, ns binary, common binary")
     entries = staged(packed.groupBy("bucket").applyInArrow(_entries, ENTRY), "jaccard-index")
 
     hists = described.filter("cid is not null").groupBy("cid").agg(F.max("hist").alias("hist"), F.max("brief").alias("brief"))
