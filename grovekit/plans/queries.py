@@ -827,12 +827,12 @@ def _(s, d):
     return V.table(s, d, "orders").select("o_orderkey", S.human_bytes(n).alias("shown"))
 
 
-@query("f02_ratios", """SELECT path, CASE WHEN allocated_bytes = 0 THEN -1.0 ELSE round(size / allocated_bytes, 6) END AS amplification, greatest(size - allocated_bytes, 0) AS wasted, CASE WHEN size > 0 THEN round(allocated_bytes / size, 6) ELSE 0 END AS share,
- CASE WHEN size > 0 THEN round(allocated_bytes / size, 6) ELSE 1 END AS noise FROM inodes""")
+@query("f02_ratios", """SELECT path, CASE WHEN allocated_bytes = 0 THEN -1.0 ELSE round(size / allocated_bytes, 12) END AS amplification, greatest(size - allocated_bytes, 0) AS wasted, CASE WHEN size > 0 THEN round(allocated_bytes / size, 12) ELSE 0 END AS share,
+ CASE WHEN size > 0 THEN round(allocated_bytes / size, 12) ELSE 1 END AS noise FROM inodes""")
 def _(s, d):
     n, a = F.col("size"), F.col("allocated_bytes")
     grown = S.amplification(n, a)
-    return V.inodes(s, d).select("path", F.when(grown == float("inf"), -1.0).otherwise(F.round(grown, 6)).alias("amplification"), S.wasted_bytes(n, a).alias("wasted"), F.round(S.share(a, n), 6).alias("share"), F.round(S.noise_ratio(a, n), 6).alias("noise"))
+    return V.inodes(s, d).select("path", F.when(grown == float("inf"), -1.0).otherwise(F.round(grown, 12)).alias("amplification"), S.wasted_bytes(n, a).alias("wasted"), F.round(S.share(a, n), 12).alias("share"), F.round(S.noise_ratio(a, n), 12).alias("noise"))
 
 
 @query("f03_collision_key", "SELECT path, lower(nfc_normalize(path)) AS collision_key FROM coll")
