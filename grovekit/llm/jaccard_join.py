@@ -114,7 +114,18 @@ def _run_pairs(mode: str, turn: int):
             out[at : at + 200_000] = ~whole | (100 * most >= PERCENT * (total - most))
         return i[out], j[out]
 
+    def nearest(c: dict, member: list[np.ndarray], pivot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs of long runs, for each class that with the most common-place pivot: what these pairs find only
+        saves later comparisons, and a group of near copies has many runs with the same members."""
+        m, p = np.concatenate(member), np.concatenate(pivot)
+        order = np.lexsort((c["cid"][p], c["common"][p], c["cid"][m]))
+        m, p = m[order], p[order]
+        last = np.append(c["cid"][m][1:] != c["cid"][m][:-1], True)
+        return m[last], p[last]
+
     def candidates(c: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        members: list[np.ndarray] = []
+        pivots: list[np.ndarray] = []
         first = np.flatnonzero(np.diff(c["key"], prepend=c["key"][:1] - 1)) if len(c["key"]) else np.empty(0, np.int64)
         size = np.diff(first, append=len(c["key"]))
         if mode == "first":
@@ -132,7 +143,12 @@ def _run_pairs(mode: str, turn: int):
             else:
                 order = mix((c["root"][rows] ^ (c["cid"][rows] + turn)).view(_U)) if turn else c["common"][rows]
                 p = rows[np.lexsort((c["cid"][rows], order))[-1]]
-                yield allowed(c, np.full(g, p), rows)
+                member, pivot = allowed(c, rows, np.full(g, p))
+                if len(member):
+                    members.append(member)
+                    pivots.append(pivot)
+        if members:
+            yield nearest(c, members, pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
@@ -457,7 +473,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     links = roots = None
     first, turn, mode = 0, 0, "first"
     while True:
-        sorted_ = left.repartition(max(8, buckets // 8), "key").sortWithinPartitions("key")
+        sorted_ = left.repartition(max(8, buckets // 32), "key").sortWithinPartitions("key")
         pairs = sorted_.mapInArrow(_run_pairs(mode, turn), "a long, b long").distinct()
         new = staged(verified(pairs), "jaccard-links")
         found = new.count()
