@@ -42,7 +42,7 @@ PIVOT_ROUNDS = 4
 #: A round of those that finds less than this share of the first one's links is the last.
 WORTH = 0.05
 #: Bins of a text's histogram of tokens, and of its shorter one.
-BINS, SHORT_BINS = 128, 32
+BINS, SHORT_BINS = 128, 64
 #: Longer index entries are compared with a pivot first.
 LONG_RUN = 16
 
@@ -468,7 +468,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         sets = staged(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
         return both_sides(left, sets, "tokens").mapInArrow(_verify, "a long, b long")
 
-    # one row of 56 bytes an index entry from here on; the entries of one key meet in one task, sorted
+    # one row of 88 bytes an index entry from here on; the entries of one key meet in one task, sorted
     left = staged(entries.join(hists.select("cid", "brief"), "cid").withColumn("root", F.col("cid")), "jaccard-entries")
     links = roots = None
     first, turn, mode = 0, 0, "first"
