@@ -13,6 +13,10 @@ from grovekit.llm.packing import pack_documents
 from grovekit.llm.toxicity import learn, score_documents
 
 
+#: Near copies of the corpus: shingles of five words, a similarity of 0.8 or more. The query op3 has its own contract.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar doesn't call toxic."""
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -21,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of near copies."""
-    return one_of_each(docs)
+    return one_of_each(docs, NEAR_SIZE, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

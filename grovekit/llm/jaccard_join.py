@@ -25,6 +25,7 @@ from grovekit.llm.common import documents, staged
 from grovekit.llm.components import connected
 from grovekit.llm.hashing import blocks, mix, runs, word_hashes
 
+#: Words of a shingle and the least similarity in percent (above 50), where a caller gives no others.
 SIZE = 4
 PERCENT = 85
 #: Counters of the frequency sketch; its size doesn't depend on the corpus.
@@ -49,11 +50,11 @@ LONG_RUN = 16
 _U = np.uint64
 
 
-def token_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def token_sets(column: pa.Array, size: int = SIZE) -> Iterator[tuple[int, np.ndarray]]:
     """(number, sorted distinct shingle hashes) of every text, in order."""
     for i, data, edges in blocks(column):
         words, first = word_hashes(data, edges)
-        h, begin = runs(words, first, SIZE)
+        h, begin = runs(words, first, size)
         text = np.repeat(np.arange(len(begin) - 1, dtype=np.int64), np.diff(begin))
         order = np.lexsort((h, text))
         h, text = h[order], text[order]
@@ -96,14 +97,14 @@ def _triangles(g: int, runs: int, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
 
 
-def _run_pairs(mode: str, turn: int):
+def _run_pairs(mode: str, turn: int, percent: int):
     """Pairs (a, b) of rows with one key, from rows sorted by key (key, cid, n, common, root, brief): in `first` all pairs
     of short runs, and those with one row (the pivot) of long ones; in `pivot` those with a pivot of another root; in
     `rest` all pairs of unlike roots. Sizes and histograms must allow the link."""
 
     def allowed(c: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         small, large = np.minimum(c["n"][i], c["n"][j]).astype(np.int64), np.maximum(c["n"][i], c["n"][j]).astype(np.int64)
-        keep = (c["root"][i] != c["root"][j]) & (small * 100 >= large * PERCENT)
+        keep = (c["root"][i] != c["root"][j]) & (small * 100 >= large * percent)
         i, j = i[keep], j[keep]
         out = np.ones(len(i), bool)
         for at in range(0, len(i), 200_000):
@@ -111,7 +112,7 @@ def _run_pairs(mode: str, turn: int):
             most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
             total = (c["n"][i[at : at + 200_000]] + c["n"][j[at : at + 200_000]]).astype(np.int64)
             whole = (x.sum(axis=1, dtype=np.int64) > 0) & (y.sum(axis=1, dtype=np.int64) > 0)
-            out[at : at + 200_000] = ~whole | (100 * most >= PERCENT * (total - most))
+            out[at : at + 200_000] = ~whole | (100 * most >= percent * (total - most))
         return i[out], j[out]
 
     def nearest(c: dict, member: list[np.ndarray], pivot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,64 +184,76 @@ def _run_pairs(mode: str, turn: int):
     return run
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _possible(percent: int):
     """Pairs whose histograms allow the link."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = _counts(x.as_py()), _counts(y.as_py())
-            most = int(np.minimum(x, y).sum())
-            keep.append(100 * most >= PERCENT * (int(x.sum()) + int(y.sum()) - most))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = _counts(x.as_py()), _counts(y.as_py())
+                most = int(np.minimum(x, y).sum())
+                keep.append(100 * most >= percent * (int(x.sum()) + int(y.sum()) - most))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _describe(size: int):
     """Rows (doc_id, cid, n), and at the end of a task its part of the frequency sketch."""
-    sketch = np.zeros(COUNTERS, np.int32)
-    seen = False
-    for batch in batches:
-        cid, n, hist, brief = [], [], [], []
-        for _, tokens in token_sets(batch.column("text")):
-            hist.append(histogram(tokens) if len(tokens) else None)
-            brief.append(short_histogram(tokens) if len(tokens) else None)
-            cid.append(class_id(tokens) if len(tokens) else None)
-            n.append(len(tokens))
-            np.add.at(sketch, (tokens & _U(COUNTERS - 1)).astype(np.int64), 1)
-            seen = True
-        none = pa.nulls(len(n), pa.binary())
-        yield _batch([("doc_id", batch.column("doc_id"), pa.int64()), ("cid", cid, pa.int64()), ("n", n, pa.int64()), ("hist", hist, pa.binary()), ("brief", brief, pa.binary()), ("part", pa.nulls(len(n), pa.int32()), None), ("sketch", none, None)])
-    if seen:
-        parts = [zlib.compress(np.minimum(p, 65535).astype(np.uint16).tobytes(), 1) for p in np.split(sketch, PARTS)]
-        none = pa.nulls(PARTS, pa.int64())
-        yield _batch([("doc_id", none, None), ("cid", none, None), ("n", none, None), ("hist", pa.nulls(PARTS, pa.binary()), None), ("brief", pa.nulls(PARTS, pa.binary()), None), ("part", list(range(PARTS)), pa.int32()), ("sketch", parts, pa.binary())])
-
-
-def _unique_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(COUNTERS, np.int32)
+        seen = False
+        for batch in batches:
+            cid, n, hist, brief = [], [], [], []
+            for _, tokens in token_sets(batch.column("text"), size):
+                hist.append(histogram(tokens) if len(tokens) else None)
+                brief.append(short_histogram(tokens) if len(tokens) else None)
+                cid.append(class_id(tokens) if len(tokens) else None)
+                n.append(len(tokens))
+                np.add.at(sketch, (tokens & _U(COUNTERS - 1)).astype(np.int64), 1)
+                seen = True
+            none = pa.nulls(len(n), pa.binary())
+            yield _batch([("doc_id", batch.column("doc_id"), pa.int64()), ("cid", cid, pa.int64()), ("n", n, pa.int64()), ("hist", hist, pa.binary()), ("brief", brief, pa.binary()), ("part", pa.nulls(len(n), pa.int32()), None), ("sketch", none, None)])
+        if seen:
+            parts = [zlib.compress(np.minimum(p, 65535).astype(np.uint16).tobytes(), 1) for p in np.split(sketch, PARTS)]
+            none = pa.nulls(PARTS, pa.int64())
+            yield _batch([("doc_id", none, None), ("cid", none, None), ("n", none, None), ("hist", pa.nulls(PARTS, pa.binary()), None), ("brief", pa.nulls(PARTS, pa.binary()), None), ("part", list(range(PARTS)), pa.int32()), ("sketch", parts, pa.binary())])
+
+    return run
+
+
+def _unique_parts(size: int):
     """The token hashes of a task, cut to 32 bits: a row for each of SLICES, sorted, as differences in two bytes or
     more; `twice` has those that two classes of the task hold."""
-    held, n, seen = [], 0, set()
 
-    def flush() -> pa.RecordBatch:
-        values, count = np.unique(np.concatenate(held), return_counts=True)
-        rows = []
-        for name, v in (("once", values), ("twice", values[count > 1])):
-            edges = np.searchsorted(v, np.arange(SLICES + 1) << (32 - SLICE_BITS))
-            rows += [(b, name == "twice", _narrow(np.diff(v[edges[b] : edges[b + 1]], prepend=b << (32 - SLICE_BITS)))) for b in range(SLICES) if edges[b + 1] > edges[b]]
-        return _batch([("slice", [r[0] for r in rows], pa.int64()), ("twice", [r[1] for r in rows], pa.bool_()), ("values", [r[2] for r in rows], pa.binary())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, seen = [], 0, set()
 
-    for batch in batches:
-        for _, tokens in token_sets(batch.column("text")):
-            if not len(tokens) or (cid := class_id(tokens)) in seen:
-                continue
-            if len(seen) < 2_000_000:
-                seen.add(cid)
-            held.append((tokens >> _U(32)).astype(np.int64))
-            n += len(tokens)
-            if n > 4_000_000:
-                yield flush()
-                held, n = [], 0
-    if held:
-        yield flush()
+        def flush() -> pa.RecordBatch:
+            values, count = np.unique(np.concatenate(held), return_counts=True)
+            rows = []
+            for name, v in (("once", values), ("twice", values[count > 1])):
+                edges = np.searchsorted(v, np.arange(SLICES + 1) << (32 - SLICE_BITS))
+                rows += [(b, name == "twice", _narrow(np.diff(v[edges[b] : edges[b + 1]], prepend=b << (32 - SLICE_BITS)))) for b in range(SLICES) if edges[b + 1] > edges[b]]
+            return _batch([("slice", [r[0] for r in rows], pa.int64()), ("twice", [r[1] for r in rows], pa.bool_()), ("values", [r[2] for r in rows], pa.binary())])
+
+        for batch in batches:
+            for _, tokens in token_sets(batch.column("text"), size):
+                if not len(tokens) or (cid := class_id(tokens)) in seen:
+                    continue
+                if len(seen) < 2_000_000:
+                    seen.add(cid)
+                held.append((tokens >> _U(32)).astype(np.int64))
+                n += len(tokens)
+                if n > 4_000_000:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    return run
 
 
 def _narrow(values: np.ndarray) -> bytes:
@@ -278,19 +291,19 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.where(over < 1, 0, 1 + np.floor(np.log2(np.maximum(over, 1)))).astype(np.uint8)
 
 
-def prefix_entries(tokens: np.ndarray, level: np.ndarray, shared: np.ndarray) -> np.ndarray:
+def prefix_entries(tokens: np.ndarray, level: np.ndarray, shared: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The index keys of a text with these tokens (sorted), their frequency classes, and whether others may hold them.
     Tokens that no other class holds come first and need no entry."""
     n = len(tokens)
     order = np.lexsort((tokens, level, shared))
     tokens, level, shared = tokens[order], level[order], shared[order]
-    short = n - -(-PERCENT * n // 100) + 1
+    short = n - -(-percent * n // 100) + 1
     if n < 2:
         return tokens[:0]  # one like it has the same token, and so is the same class
     keys = []
     # a partner may be smaller or larger; the group count goes by the smaller one's size, so a text takes part under
     # every group count that its partners of a smaller size have
-    for groups in sorted({group_count(n), group_count(-(-PERCENT * n // 100))}):
+    for groups in sorted({group_count(n), group_count(-(-percent * n // 100))}):
         size = min(n, short + groups)
         rare = (level[:size] == 0) & shared[:size]
         keys.append(tokens[:size][rare])
@@ -312,7 +325,7 @@ def group_count(n: int) -> int:
     return max(1, (1 << max(0, n.bit_length() - 1)) // GROUP_TOKENS)
 
 
-def _index(levels, shared, buckets: int):
+def _index(levels, shared, buckets: int, size: int, percent: int):
     """Rows (bucket, keys, cids, ns, common) of the index entries of the classes that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,14 +348,14 @@ def _index(levels, shared, buckets: int):
             )
 
         for batch in batches:
-            for _, tokens in token_sets(batch.column("text")):
+            for _, tokens in token_sets(batch.column("text"), size):
                 if not len(tokens) or (cid := class_id(tokens)) in seen:
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(cid)
                 own = level[(tokens & _U(COUNTERS - 1)).astype(np.int64)]
                 at = (tokens >> _U(32)).astype(np.int64) // FOLD
-                keys.append(prefix_entries(tokens, own, (several[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                keys.append(prefix_entries(tokens, own, (several[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool), percent))
                 cids.append(cid)
                 ns.append(len(tokens))
                 common.append(float(own.mean()))
@@ -375,14 +388,14 @@ def _entries(part: pa.Table) -> pa.Table:
     return pa.table({"key": key[many], "cid": cid[many], "n": n[many], "common": common[many]})
 
 
-def _sets(wanted):
+def _sets(wanted, size: int):
     """Token sets of the classes whose bit is set, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(wanted.value, np.uint8), set()
         for batch in batches:
             cids, sets = [], []
-            for _, tokens in token_sets(batch.column("text")):
+            for _, tokens in token_sets(batch.column("text"), size):
                 if not len(tokens):
                     continue
                 cid = class_id(tokens)
@@ -396,14 +409,17 @@ def _sets(wanted):
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,8 +442,9 @@ def _gathered(rows: list, width: int) -> bytes:
     return b"".join(found.get(p, bytes(width)) for p in range(PARTS))
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
+def link_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text): shingles of `size` words, links from a
+    Jaccard similarity of `percent` hundredths.
 
     Null and empty texts have no shingles and are linked with nothing. Repeated rows and ids each keep a row; a null
     id never names a component others have ids for, and is the component's id where no row has one. Very long texts
@@ -435,7 +452,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = staged(docs.mapInArrow(_describe, "doc_id long, cid long, n long, hist binary, brief binary, part int, sketch binary"), "jaccard-docs")
+    described = staged(docs.mapInArrow(_describe(size), "doc_id long, cid long, n long, hist binary, brief binary, part int, sketch binary"), "jaccard-docs")
     rows = described.filter("part is null").select("doc_id", "cid", "n")
     # counters and bitmaps below have a fixed size (8 bytes and 1 bit for each of COUNTERS), whatever the corpus
     summed = described.filter("part is not null").select("part", "sketch").groupBy("part").applyInArrow(_add_sketches, "part int, counts binary")
@@ -444,10 +461,10 @@ def link_components(docs: DataFrame) -> DataFrame:
     total = int(counts.sum())
     buckets = max(64, total // 500_000)
     # of a fixed size too, and as whole: a bit is set wherever a token may stand in two classes
-    once = docs.select("text").mapInArrow(_unique_parts, "slice long, twice boolean, values binary")
+    once = docs.select("text").mapInArrow(_unique_parts(size), "slice long, twice boolean, values binary")
     found = {r[0]: bytes(r[1]) for r in once.groupBy("slice").applyInArrow(_shared, "slice long, bits binary").collect()}
     shared = sc.broadcast(b"".join(found.get(b, bytes((1 << (32 - SLICE_BITS)) // FOLD // 8)) for b in range(SLICES)))
-    packed = docs.select("text").mapInArrow(_index(levels, shared, buckets), "bucket long, keys binary, cids binary, ns binary, common binary")
+    packed = docs.select("text").mapInArrow(_index(levels, shared, buckets, size, percent), "bucket long, keys binary, cids binary, ns binary, common binary")
     entries = staged(packed.groupBy("bucket").applyInArrow(_entries, ENTRY), "jaccard-index")
 
     hists = described.filter("cid is not null").groupBy("cid").agg(F.max("hist").alias("hist"), F.max("brief").alias("brief"))
@@ -460,13 +477,13 @@ def link_components(docs: DataFrame) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that link. Histograms leave few of the others; for what they leave, the token sets are
         made anew from the texts, each class once a task, by a bitmap of the classes that are asked for."""
-        left = staged(both_sides(pairs, hists, "hist").mapInArrow(_possible, "a long, b long"), "jaccard-possible")
+        left = staged(both_sides(pairs, hists, "hist").mapInArrow(_possible(percent), "a long, b long"), "jaccard-possible")
         asked = left.select(F.col("a").alias("cid")).union(left.select("b"))
         parts = asked.mapInArrow(_bits, "part int, bits binary").groupBy("part").applyInArrow(_or_bits, "part int, bits binary").collect()
         bits = sc.broadcast(_gathered(parts, COUNTERS // PARTS // 8))
-        sets = docs.select("text").mapInArrow(_sets(bits), "cid long, tokens binary")
+        sets = docs.select("text").mapInArrow(_sets(bits, size), "cid long, tokens binary")
         sets = staged(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
-        return both_sides(left, sets, "tokens").mapInArrow(_verify, "a long, b long")
+        return both_sides(left, sets, "tokens").mapInArrow(_verify(percent), "a long, b long")
 
     # one row of 88 bytes an index entry from here on; the entries of one key meet in one task, sorted
     left = staged(entries.join(hists.select("cid", "brief"), "cid").withColumn("root", F.col("cid")), "jaccard-entries")
@@ -474,7 +491,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     first, turn, mode = 0, 0, "first"
     while True:
         sorted_ = left.repartition(max(8, buckets // 32), "key").sortWithinPartitions("key")
-        pairs = sorted_.mapInArrow(_run_pairs(mode, turn), "a long, b long").distinct()
+        pairs = sorted_.mapInArrow(_run_pairs(mode, turn, percent), "a long, b long").distinct()
         new = staged(verified(pairs), "jaccard-links")
         found = new.count()
         if found:
@@ -501,10 +518,10 @@ def link_components(docs: DataFrame) -> DataFrame:
     return rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose id names their component, so one of each, with their columns. Rows without an id stay;
     of rows with one id and text one stays."""
-    named = link_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    named = link_components(docs, size, percent).filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(named, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
