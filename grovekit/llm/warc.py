@@ -65,18 +65,20 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The header fields (names in lower case), the block and the end of the record at `at`; Damaged if a check fails."""
     if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if stop < 0:
-        raise Damaged("header without an end")
-    fields = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    fields, stop = {}, data.find(b"\r\n", at)
+    while True:
+        line_at, stop = stop + 2, data.find(b"\r\n", stop + 2)
+        if stop < 0:
+            raise Damaged("header without an end")
+        if stop == line_at:
+            break
+        name, colon, value = data[line_at:stop].partition(b":")
         if not colon:
             raise Damaged("header line without a colon")
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     if not re.fullmatch(r"\d{1,15}", fields.get("content-length", "")):
         raise Damaged("no content length")
-    begin = stop + 4
+    begin = stop + 2
     end = begin + int(fields["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("block of another length")

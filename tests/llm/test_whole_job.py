@@ -54,3 +54,13 @@ def test_pipeline_near_copies(spark):
     want = leaders(rows, 5, 80)
     assert want[1] == 0 and want[3] == 2 and want[5] == 5 and want[7] == 7 and want[9] == 8
     assert {r["doc_id"] for r in corpus_pipeline.jaccard_join(spark, docs, "").collect()} == set(want.values())
+
+
+def test_warc_long_urls(spark, tmp_path):
+    from grovekit.llm.warc import plan_revisits, read_warc, write_warc
+
+    rows = [(1, "http://x/" + "q" * 70_000, "a"), (2, "data:," + " " * 40_000, "b"), (3, "http://x/", "c")]
+    folder = f"file://{tmp_path}/warc"
+    write_warc(plan_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")), folder)
+    got = {r["page_id"]: r["url"] for r in read_warc(spark, folder).filter("gap_reason is null").collect()}
+    assert got == {i: url.replace(" ", "%20") for i, url, _ in rows}
