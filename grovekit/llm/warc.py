@@ -2,7 +2,8 @@
 
 The reader checks each record: the gzip member's checksum, the version line, the header, the length and the block
 digest. Where a check fails it searches for the next gzip member or version line that passes all of them, goes on
-from there, and logs the bytes between as a quarantined gap."""
+from there, and logs the bytes between as a quarantined gap. It does so in the content of a member too, also in what
+comes before a data error or a cut end."""
 
 from __future__ import annotations
 
@@ -24,16 +25,18 @@ from grovekit.llm.common import scratch, staged
 REVISIT_BYTES = 1000
 #: An archive file is closed when it has this many bytes.
 ARCHIVE_BYTES = 8 << 20
-#: A gzip member that would expand beyond this is quarantined.
-RECORD_BYTES = 1 << 30
+#: The content of a gzip member up to this size is kept; that of larger ones is expanded again as records are read.
+HELD_BYTES = 1 << 26
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "name string, bytes long, records long"
 RECORDS = (
     "path string, start long, end long, gap_reason string, record_type string, page_id long, url string,"
-    " payload_bytes long, payload_digest string, refers_to long, payload binary"
+    " payload_bytes long, payload_digest string, refers_to long, payload binary,"
+    " member_from long, member_to long"
 )
 _MAGIC = b"\x1f\x8b\x08"
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _PAGE = "<urn:x-page:%d>"
 
 
@@ -61,15 +64,19 @@ class Damaged(ValueError):
     pass
 
 
+class Short(Damaged):
+    """The data ends before the record does."""
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The header fields (names in lower case), the block and the end of the record at `at`; Damaged if a check fails."""
-    if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
-        raise Damaged("no version line")
+    if not _VERSION.match(data, at):
+        raise (Short if len(data) - at < 10 else Damaged)("no version line")
     fields, stop = {}, data.find(b"\r\n", at)
     while True:
         line_at, stop = stop + 2, data.find(b"\r\n", stop + 2)
         if stop < 0:
-            raise Damaged("header without an end")
+            raise Short("header without an end")
         if stop == line_at:
             break
         name, colon, value = data[line_at:stop].partition(b":")
@@ -81,70 +88,167 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     begin = stop + 2
     end = begin + int(fields["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
-        raise Damaged("block of another length")
+        raise (Short if end + 4 > len(data) else Damaged)("block of another length")
     block = data[begin:end]
-    kind, _, want = fields.get("warc-block-digest", "").partition(":")
-    if kind.lower() == "sha1" and len(want) == 40 and hashlib.sha1(block).hexdigest() != want.lower():
+    if (want := _digest(fields)) and hashlib.sha1(block).hexdigest() != want:
         raise Damaged("block digest")
     return fields, block, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content and the end of the gzip member at `at`."""
+def _digest(fields: dict[str, str]) -> str | None:
+    """The block digest that a record can be checked by."""
+    kind, _, want = fields.get("warc-block-digest", "").partition(":")
+    return want.lower() if kind.lower() == "sha1" and len(want) == 40 else None
+
+
+def _member(data: bytes, at: int) -> tuple[int, str | None, list[bytes] | None]:
+    """The end of the gzip member at `at`, what is wrong with it, and its content if it is small and nothing is."""
     expand, parts, size, pos = zlib.decompressobj(31), [], 0, at
     while not expand.eof:
         if pos >= len(data):
-            raise Damaged("member cut short")
+            return pos, "member cut short", None
         try:
-            parts.append(expand.decompress(data[pos : pos + 65536]))
+            part = expand.decompress(data[pos : pos + 65536])
         except zlib.error as e:
-            raise Damaged("member checksum" if "check" in str(e) else "member data") from None
+            return pos, "member checksum" if "check" in str(e) else "member data", None
         pos += 65536
-        size += len(parts[-1])
-        if size > RECORD_BYTES:
-            raise Damaged("member too large")
-    return b"".join(parts), min(pos, len(data)) - len(expand.unused_data)
-
+        size += len(part)
+        if size > HELD_BYTES:
+            parts = None
+        elif parts is not None:
+            parts.append(part)
+    return min(pos, len(data)) - len(expand.unused_data), None, parts
+
+
+def _expanded(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int]]:
+    """The content of a sound member in parts, each with the place in data up to which it is expanded."""
+    expand = zlib.decompressobj(31)
+    for pos in range(at, end, 65536):
+        yield expand.decompress(data[pos : min(pos + 65536, end)]), min(pos + 65536, end)
+
+
+def _before_damage(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """The same of a damaged member, up to the damage. No part reaches beyond a place where another member or a plain
+    record may begin, so the search can go on where a part ends."""
+    expand, pos, later = zlib.decompressobj(31), at, _NEXT.search(data, at + 1)
+    while pos < len(data) and not expand.eof:
+        if later and later.start() <= pos:
+            later = _NEXT.search(data, pos + 1)
+        end = min(pos + 65536, later.start() if later else len(data))
+        before = expand.copy()
+        try:
+            yield expand.decompress(data[pos:end]), end
+        except zlib.error:
+            for i in range(pos, end):
+                try:
+                    yield before.decompress(data[i : i + 1]), i + 1
+                except zlib.error:
+                    return
+        pos = end
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, bytes | None]]:
-    """(start, end, None, fields, block) per record and (start, end, reason, None, None) per quarantined gap, in order.
 
-    Together they cover every byte but the line ends between plain records. A member may hold several records; they
-    share its start and end."""
-
-    def good(at: int) -> tuple[list, int]:
-        if data.startswith(_MAGIC, at):
-            content, end = _member(data, at)
-            found, pos = [], 0
-            while pos < len(content):
-                fields, block, pos = parse_record(content, pos)
-                found.append((fields, block))
-            if not found:
-                raise Damaged("empty member")
-            return found, end
-        fields, block, end = parse_record(data, at)
-        return [(fields, block)], end
-
-    pos, gap, reason = 0, None, ""
-    while pos < len(data):
+def _records(parts: Iterator[tuple[bytes, int]], unchecked: bool) -> Iterator[tuple[int, int, int, str | None, dict | None, bytes | None]]:
+    """(place, from, to, reason, fields, block) per record and per gap of a member's content: `from` and `to` count in
+    the content, `place` is up to where data was expanded for it. Without `unchecked` only records with a block digest
+    are taken. Memory follows the longest record, or the content from a header that claims a longer block than there is."""
+    held, base, at, place, over = b"", 0, 0, 0, False
+    gap, reason = None, ""
+
+    def more(least: int) -> None:
+        nonlocal held, base, at, place, over
+        got, n = [held[at:]], 0
+        base, at = base + at, 0
+        while n < least:
+            part, where = next(parts, (None, 0))
+            if part is None:
+                over = True
+                break
+            got.append(part)
+            n, place = n + len(part), where
+        held = b"".join(got)
+
+    more(1)
+    while at < len(held):
         try:
-            found, end = good(pos)
+            fields, block, end = parse_record(held, at)
+            if not unchecked and not _digest(fields):
+                raise Damaged("record without a digest in a damaged member")
         except Damaged as e:
+            if isinstance(e, Short) and not over:
+                more(max(1, len(held) - at))  # twice as much each time
+                continue
             if gap is None:
-                gap, reason = pos, str(e)
-            later = _NEXT.search(data, pos + 1)
-            pos = later.start() if later else len(data)
+                gap, reason = base + at, str(e)
+            while not (later := _VERSION.search(held, at + 1)) and not over:
+                at = max(at, len(held) - 10)  # a version line may go on in the next part
+                more(65536)
+            at = later.start() if later else len(held)
             continue
         if gap is not None:
-            yield gap, pos, reason, None, None
+            yield place, gap, base + at, reason, None, None
             gap = None
-        for fields, block in found:
-            yield pos, end, None, fields, block
-        pos = end
-        while data[pos : pos + 2] == b"\r\n":
-            pos += 2
+        yield place, base + at, base + end, None, fields, block
+        at = end
+        if at >= len(held) and not over:
+            more(1)
+    if gap is not None:
+        yield place, gap, base + len(held), reason, None, None
+
+
+def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, bytes | None, tuple[int, int] | None]]:
+    """(start, end, None, fields, block, within) per record and (start, end, reason, None, None, within) per quarantined
+    gap, in order.
+
+    Together they cover every byte but the line ends between plain records. A member may hold several records; they
+    share its start and end, and `within` has their places in its content, as it has those of gaps between them. Records
+    before the damage of a member end where it had been read that far, and the gap begins there; after a failed check
+    of the member only those with a block digest count."""
+    pos, gap, reason, within = 0, None, "", None
+    while pos < len(data):
+        bad = None  # why nothing, or nothing more, is found at pos
+        plain = not data.startswith(_MAGIC, pos)
+        if plain:
+            try:
+                fields, block, end = parse_record(data, pos)
+                found = iter([(end, 0, 0, None, fields, block)])
+            except Damaged as e:
+                found, bad = iter(()), str(e)
+        else:
+            end, bad, parts = _member(data, pos)
+            if bad:
+                found = _records(_before_damage(data, pos), bad == "member cut short")
+            else:
+                found = _records(iter([(b"".join(parts), end)]) if parts is not None else _expanded(data, pos, end), True)
+        start, to, waiting, records = pos, 0, [], 0
+        for place, a, b, why, fields, block in found:
+            if why:
+                waiting.append((a, b, why))  # the last one may go on behind the member
+                continue
+            if gap is not None:
+                yield gap, start, reason, None, None, within
+                gap = None
+            records += 1
+            pos, to = place if bad else end, b
+            for x, y, w in waiting:
+                yield start, pos, w, None, None, (x, y)
+            waiting = []
+            yield start, pos, None, fields, block, None if plain else (a, b)
+        if records and not bad:
+            for x, y, w in waiting:
+                yield start, end, w, None, None, (x, y)
+            while data[pos : pos + 2] == b"\r\n":
+                pos += 2
+            continue
+        if gap is None:
+            gap, reason = pos, bad or (waiting[0][2] if waiting else "empty member")
+            within = (to, waiting[-1][1]) if records and waiting else None
+        if not bad:
+            pos = end  # the whole content was searched
+            continue
+        later = _NEXT.search(data, pos if records else pos + 1)
+        pos = later.start() if later else len(data)
     if gap is not None:
-        yield gap, len(data), reason, None, None
+        yield gap, len(data), reason, None, None, within
 
 
 # ---- Spark ---------------------------------------------------------------------------------------------------------
@@ -228,15 +332,16 @@ def write_warc(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
 
 def _read(with_payload: bool):
     names = [x.split()[0] for x in RECORDS.split(", ") for x in x.split(",")]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def page(text: str | None) -> int | None:
         found = re.fullmatch(r"<urn:x-page:(-?\d+)>", text or "")
         return int(found[1]) if found else None
 
-    def row(path, start, end, reason, fields, block):
+    def row(path, start, end, reason, fields, block, within):
+        within = within or (None, None)
         if fields is None:
-            return path, start, end, reason, None, None, None, None, None, None, None
+            return path, start, end, reason, None, None, None, None, None, None, None, *within
         kind, (head, _, payload) = fields.get("warc-type"), block.partition(b"\r\n\r\n")
         if kind == "revisit":
             length = re.search(rb"(?i)^content-length:\s*(\d+)", head, re.M)
@@ -244,7 +349,7 @@ def _read(with_payload: bool):
         else:
             size, digest = len(payload), hashlib.sha1(payload).hexdigest()
         refers = page(fields.get("warc-refers-to")) if kind == "revisit" else None
-        return path, start, end, None, kind, page(fields.get("warc-record-id")), fields.get("warc-target-uri"), size, digest, refers, payload if with_payload else None
+        return path, start, end, None, kind, page(fields.get("warc-record-id")), fields.get("warc-target-uri"), size, digest, refers, payload if with_payload else None, *within
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +357,7 @@ def _read(with_payload: bool):
                 part, held = [], 0
                 for found in salvage(content.as_py()):
                     part.append(row(path, *found))
-                    held += len(part[-1][-1] or b"") + 200
+                    held += len(part[-1][10] or b"") + 200
                     if held > 1 << 24:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
                         part, held = [], 0
@@ -265,7 +370,8 @@ def _read(with_payload: bool):
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """A row per record and per quarantined gap (gap_reason set) of the archives in folder.
 
-    Empty files give no rows; a file that is damaged throughout gives one gap."""
+    Places are those in the file; member_from and member_to those in the content of a member. Empty files give no rows;
+    a file that is damaged throughout gives one gap."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
     return files.mapInArrow(_read(with_payload), RECORDS)
 

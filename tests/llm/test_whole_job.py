@@ -1,6 +1,9 @@
 """Whole results: cases that a shorter job would leave out."""
 
+import zlib
+
 import numpy as np
+import pytest
 
 
 def near(a, b, size, percent):
@@ -64,3 +67,83 @@ def test_warc_long_urls(spark, tmp_path):
     write_warc(plan_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")), folder)
     got = {r["page_id"]: r["url"] for r in read_warc(spark, folder).filter("gap_reason is null").collect()}
     assert got == {i: url.replace(" ", "%20") for i, url, _ in rows}
+
+
+def member(n, level=6, size=300, digest=True):
+    import gzip
+    import hashlib
+
+    from grovekit.llm.warc import record_bytes
+
+    rng = np.random.default_rng(n)
+    records = []
+    for i in range(n):
+        body = rng.bytes(size).hex().encode()
+        record = record_bytes(i, f"http://x/{i}", body, len(body), hashlib.sha1(body).hexdigest(), None)
+        records.append(record if digest else record.replace(b"WARC-Block-Digest", b"X-Was-Digest"))
+    return records, lambda parts=records: gzip.compress(b"".join(parts), level, mtime=0)
+
+
+def read(data):
+    from grovekit.llm.warc import salvage
+
+    found = list(salvage(data))
+    at = 0
+    for start, end, *_ in found:  # every byte is covered, in order
+        assert start <= at <= end
+        at = end
+    assert at == len(data)
+    pages = [int(x[3]["warc-record-id"][12:-1]) for x in found if x[3]]
+    return pages, [(x[0], x[1], x[2], x[5]) for x in found if x[2]]
+
+
+@pytest.mark.parametrize("held", [1 << 26, 1000])
+def test_salvage_within_members(monkeypatch, held):
+    from grovekit.llm import warc
+
+    monkeypatch.setattr(warc, "HELD_BYTES", held)  # the smaller one: members are expanded again in parts
+    for level, size in ((6, 300), (0, 300), (6, 90_000)):
+        records, packed = member(6, level, size)
+        whole, edges = packed(), np.cumsum([0, *map(len, records)]).tolist()
+        assert read(whole) == ([*range(6)], [])
+        for k in (0, 2, 5):  # a wrong block digest in a sound member
+            parts = list(records)
+            parts[k] = parts[k].replace(b"HTTP/1.1 200", b"HTTP/1.1 300")
+            data = packed(parts)
+            assert read(data) == ([i for i in range(6) if i != k], [(0, len(data), "block digest", (edges[k], edges[k + 1]))])
+            behind = read(data + whole)
+            assert behind[0] == [i for i in range(6) if i != k] + [*range(6)]
+        for cut in (1, 8):  # cut in the trailer: all the content is there
+            pages, gaps = read(whole[:-cut])
+            assert pages == [*range(6)] and {g[2] for g in gaps} <= {"member cut short"}
+        cut = whole[: len(whole) * 2 // 3]
+        known = len(zlib.decompressobj(31).decompress(cut))
+        pages, gaps = read(cut)
+        assert pages == [i for i in range(6) if edges[i + 1] <= known] and len(pages) > 2 and gaps[-1][2] == "member cut short"
+        bad = bytearray(whole)
+        bad[-6] ^= 1  # the checksum
+        assert read(bytes(bad) + whole)[0] == [*range(6)] * 2
+        bad = bytearray(whole)
+        at = len(whole) * 2 // 3
+        bad[at] ^= 0xFF  # the data
+        known = len(zlib.decompressobj(31).decompress(whole[:at]))
+        sure = [i for i in range(6) if edges[i + 1] <= known]
+        pages, gaps = read(whole + bytes(bad) + whole)
+        assert pages[:6] == pages[-6:] == [*range(6)] and pages[6 : 6 + len(sure)] == sure and 14 < len(pages) < 18 and gaps
+    records, packed = member(6, digest=False)  # nothing but the member's checksum vouches for these
+    bad = bytearray(packed())
+    bad[-6] ^= 1
+    assert read(packed())[0] == read(packed()[:-1])[0] == [*range(6)] and read(bytes(bad))[0] == []
+
+
+def test_salvage_within_members_as_rows(spark, tmp_path):
+    from grovekit.llm.warc import read_warc
+
+    records, packed = member(5)
+    records[2] = records[2].replace(b"HTTP/1.1 200", b"HTTP/1.1 300")
+    (tmp_path / "a.warc.gz").write_bytes(packed(records))
+    (tmp_path / "b.warc.gz").write_bytes(member(5)[1]()[:-1])
+    rows = read_warc(spark, f"file://{tmp_path}").collect()
+    assert sorted(r["page_id"] for r in rows if not r["gap_reason"]) == [0, 0, 1, 1, 2, 3, 3, 4, 4]
+    a = len(records[0]) + len(records[1])
+    assert [(r["member_from"], r["member_to"]) for r in rows if r["gap_reason"] == "block digest"] == [(a, a + len(records[2]))]
