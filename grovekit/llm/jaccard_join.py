@@ -7,8 +7,8 @@ two: the extended prefix is split into e groups by hash, so of 1 + e shared freq
 
 Texts with equal token sets are one class and meet nowhere. Classes that share an index entry are verified on their
 whole token sets, first each with the entry's most common-place member (in groups of near copies that is the one they
-come from), then all that are not yet in one component. Only links between unlike components are looked for, since
-the result is the components."""
+come from), then all that are not yet in one component. For components only links between unlike ones are looked for
+(link_components); all_links verifies every pair of classes that shares an entry."""
 
 from __future__ import annotations
 
@@ -100,7 +100,7 @@ def _triangles(g: int, runs: int, first: np.ndarray) -> tuple[np.ndarray, np.nda
 def _run_pairs(mode: str, turn: int, percent: int):
     """Pairs (a, b) of rows with one key, from rows sorted by key (key, cid, n, common, root, brief): in `first` all pairs
     of short runs, and those with one row (the pivot) of long ones; in `pivot` those with a pivot of another root; in
-    `rest` all pairs of unlike roots. Sizes and histograms must allow the link."""
+    `rest` all pairs of unlike roots of long ones; in `all` all pairs. Sizes and histograms must allow the link."""
 
     def allowed(c: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         small, large = np.minimum(c["n"][i], c["n"][j]).astype(np.int64), np.maximum(c["n"][i], c["n"][j]).astype(np.int64)
@@ -129,7 +129,7 @@ def _run_pairs(mode: str, turn: int, percent: int):
         pivots: list[np.ndarray] = []
         first = np.flatnonzero(np.diff(c["key"], prepend=c["key"][:1] - 1)) if len(c["key"]) else np.empty(0, np.int64)
         size = np.diff(first, append=len(c["key"]))
-        if mode == "first":
+        if mode in ("first", "all"):
             for g in range(2, LONG_RUN + 1):
                 if (of := first[size == g]).size:
                     for at in range(0, len(of), 20_000):
@@ -138,7 +138,7 @@ def _run_pairs(mode: str, turn: int, percent: int):
             if g <= LONG_RUN:
                 continue
             rows = np.arange(a, a + g)
-            if mode == "rest":
+            if mode in ("rest", "all"):
                 for k in range(g - 1):  # row by row, so that memory follows the run and not its square
                     yield allowed(c, np.full(g - 1 - k, a + k), rows[k + 1 :])
             else:
@@ -156,7 +156,7 @@ def _run_pairs(mode: str, turn: int, percent: int):
 
         def emit(c: dict) -> Iterator[pa.RecordBatch]:
             found, n = [], 0
-            for i, j in [*candidates(c)] if mode != "rest" else candidates(c):
+            for i, j in [*candidates(c)] if mode in ("first", "pivot") else candidates(c):
                 if len(i):
                     x, y = c["cid"][i], c["cid"][j]
                     found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(i) > 1000 else np.stack([np.minimum(x, y), np.maximum(x, y)]))
@@ -442,15 +442,10 @@ def _gathered(rows: list, width: int) -> bytes:
     return b"".join(found.get(p, bytes(width)) for p in range(PARTS))
 
 
-def link_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text): shingles of `size` words, links from a
-    Jaccard similarity of `percent` hundredths.
-
-    Null and empty texts have no shingles and are linked with nothing. Repeated rows and ids each keep a row; a null
-    id never names a component others have ids for, and is the component's id where no row has one. Very long texts
-    count whole. Other columns play no part; an empty table gives an empty table."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+def _prepared(docs: DataFrame, size: int, percent: int):
+    """Rows (doc_id, cid, n) of docs, index entries with sizes and short histograms (each class its own root), the number
+    of buckets, and what verifies pairs of classes."""
+    sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = staged(docs.mapInArrow(_describe(size), "doc_id long, cid long, n long, hist binary, brief binary, part int, sketch binary"), "jaccard-docs")
     rows = described.filter("part is null").select("doc_id", "cid", "n")
@@ -487,6 +482,18 @@ def link_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
     # one row of 88 bytes an index entry from here on; the entries of one key meet in one task, sorted
     left = staged(entries.join(hists.select("cid", "brief"), "cid").withColumn("root", F.col("cid")), "jaccard-entries")
+    return rows, left, buckets, verified
+
+
+def link_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text): shingles of `size` words, links from a
+    Jaccard similarity of `percent` hundredths.
+
+    Null and empty texts have no shingles and are linked with nothing. Repeated rows and ids each keep a row; a null
+    id never names a component others have ids for, and is the component's id where no row has one. Very long texts
+    count whole. Other columns play no part; an empty table gives an empty table."""
+    spark = docs.sparkSession
+    rows, left, buckets, verified = _prepared(docs, size, percent)
     links = roots = None
     first, turn, mode = 0, 0, "first"
     while True:
@@ -518,6 +525,24 @@ def link_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     return rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def all_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links between classes, (a, b) with a < b, and the class of each row: (doc_id, cid, n), without one where a
+    text has no shingles. Rows of one class are linked too. There are as many links as near copies have pairs."""
+    rows, entries, buckets, verified = _prepared(docs, size, percent)
+    sorted_ = entries.repartition(max(8, buckets // 32), "key").sortWithinPartitions("key")
+    return staged(verified(sorted_.mapInArrow(_run_pairs("all", 0, percent), "a long, b long").distinct()), "jaccard-all-links"), rows
+
+
+def link_counts(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_links for every row of docs(doc_id, text): with how many other rows it is linked."""
+    links, rows = all_links(docs, size, percent)
+    classes = rows.filter("cid is not null").groupBy("cid").agg(F.count("*").alias("_k"))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(classes.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("_k").alias("_near"))
+    counts = classes.join(near, "cid", "left").select("cid", (F.col("_k") - 1 + F.coalesce("_near", F.lit(0))).alias("n_links"))
+    return rows.join(counts, "cid", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose id names their component, so one of each, with their columns. Rows without an id stay;
     of rows with one id and text one stays."""

@@ -147,3 +147,24 @@ def test_salvage_within_members_as_rows(spark, tmp_path):
     assert sorted(r["page_id"] for r in rows if not r["gap_reason"]) == [0, 0, 1, 1, 2, 3, 3, 4, 4]
     a = len(records[0]) + len(records[1])
     assert [(r["member_from"], r["member_to"]) for r in rows if r["gap_reason"] == "block digest"] == [(a, a + len(records[2]))]
+
+
+def test_all_links(spark):
+    from grovekit.llm.jaccard_join import all_links, link_counts
+
+    rng = np.random.default_rng(4)
+    base, rows = [f"w{i}" for i in range(175)], []
+    for i in range(40):  # more near copies than are compared with each other for their component
+        w = list(base)
+        for k in rng.integers(0, len(w), int(rng.integers(0, 6))):
+            w[k] = f"new{rng.integers(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(50, rows[3][1]), (51, rows[3][1]), (52, "one two"), (53, "one two"), (54, "alone"), (55, None), (56, ""), (None, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(i, sum(bool(a and b) and m != n and near(a, b, 4, 85) for m, (_, b) in enumerate(rows))) for n, (i, a) in enumerate(rows)]
+    by = lambda found: sorted(map(tuple, found), key=repr)
+    assert by(link_counts(docs).collect()) == by(want) and sum(n for _, n in want) > 400
+    links, members = all_links(docs)
+    texts, cid = {i: t for i, t in rows}, {r["cid"]: r["doc_id"] for r in members.filter("doc_id is not null and cid is not null").collect()}
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    assert got == {(a, b) for a in cid for b in cid if a < b and near(texts[cid[a]], texts[cid[b]], 4, 85)}
