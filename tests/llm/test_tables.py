@@ -181,35 +181,46 @@ def test_top_k(spark):
 
 
 def test_decontamination(spark, docs, none):
-    from grovekit.llm.decontamination import build_index, contamination, phrases, proximity_matches, without_contaminated
+    from grovekit.llm.decontamination import contamination, phrases, search, without_contaminated
 
-    items = [(1, " ".join(f"TOK{i}" for i in range(20, 34))), (10, "one two"), (2, "tok1 tok2"), (3, None), (4, " , "), (None, "wörld it s fine"), (5, "héllo wörld"), (6, "absent words only")]
+    items = [(1, " ".join(f"TOK{i}" for i in range(20, 34))), (10, "one two"), (2, "tok1 tok2"), (3, None), (4, " , "), (None, "wörld it s fine"), (5, "héllo wörld"), (6, "absent words only"), (7, "x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
 
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
 
-    want = collections.Counter()
+    want, near = collections.Counter(), collections.Counter()
+    total = collections.Counter(w for _, t in TEXTS for w in words(t))
     for d, t in TEXTS:
-        w, hit, found = words(t), set(), set()
+        w, hit, found, close = words(t), set(), set(), set()
         for i, text in items:
             v = words(text)
             n = min(10, len(v))
             for k in range(len(v) - n + 1 if n else 0):
-                for at in range(len(w) - n + 1):
-                    if w[at : at + n] == v[k : k + n]:
+                p = v[k : k + n]
+                anchor = min(range(n), key=lambda j: (total[p[j]], j))
+                for at in range(len(w)):
+                    if w[at : at + n] == p:
                         hit.update(range(at, at + n))
                         found |= {str(i)} if i is not None else set()
-        want[d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
-    assert counted(contamination(docs, bench).drop("_h").collect()) == want
+                    if w[at] == p[anchor] and all(x in w[max(0, at - anchor + j - 2) : max(0, at - anchor + j + 3)] for j, x in enumerate(p)):
+                        close |= {str(i)} if i is not None else set()
+        want[d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), len(close)] += 1
+    assert counted(contamination(docs, bench).collect()) == want
     assert contamination(none, bench).count() == 0
     assert not contamination(docs, bench.limit(0)).filter("contaminated").count()
     assert without_contaminated(docs, bench).columns == docs.columns
-    looked = spark.createDataFrame([("k", ["tok5", "tok6"], "tok5", 0, "tok6", 1)], "key string, phrase array<string>, term1 string, at1 int, term2 string, at2 int")
-    one = spark.createDataFrame([(1, "tok5 a tok6"), (2, "tok5 a b c d tok6")], "doc_id long, text string")
-    index = build_index(one, spark.createDataFrame([("tok5", True), ("tok6", False)], "term string, rarest boolean"))
-    assert [r["doc_id"] for r in proximity_matches(index, looked, 2).collect()] == [1]
-    assert phrases(bench, 10).count() == 5 + 1 + 1 + 1 + 1 + 1
+    assert phrases(bench, 10).count() == 5 + 1 + 1 + 1 + 1 + 1 + 1
+
+    ten = [f"t{i}" for i in range(10)]
+    moved = [*ten[:4], "a", "b", *ten[4:]]
+    far = [*ten[:4], "a", "b", "c", *ten[4:]]
+    rows = [(1, ten), (2, moved), (3, far), (4, [*ten[:4], "other", *ten[5:]]), (5, [*ten[:3], ten[4], ten[3], *ten[5:]])]
+    # t0 is the rarest term: all others stand once more in a text of their own
+    one = spark.createDataFrame([(i, " ".join(w)) for i, w in [*rows, (6, ten[1:])]], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(ten))], "item_id long, text string")
+    assert sorted(map(tuple, search(one, asked).select("doc_id", "start", "length", "off").collect())) == [(1, 0, 10, 0), (2, 0, 10, 12), (5, 0, 10, 2)]
+    assert [r["doc_id"] for r in search(one, asked, slop=0).collect()] == [1]
 
 
 def test_licenses(spark, docs, none):
