@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -34,6 +36,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filesystem(uri: str):
+    """Arrow's file system of a folder's URI, and its path there. Names that Hadoop uses for stores which Arrow knows by
+    others (s3a, s3n, dbfs) are translated; hdfs needs libhdfs on the executors."""
+    import pyarrow.fs
+
+    scheme, colon, rest = uri.partition(":")
+    if scheme == "dbfs":
+        uri = "file:///dbfs/" + rest.lstrip("/")
+    elif scheme in ("s3a", "s3n"):
+        uri = "s3:" + rest
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
+def tidied(run):
+    """An Arrow function of a task that gives back to the system, when it ends, the memory that it no longer holds:
+    workers are kept for later tasks, of other operators too."""
+
+    @functools.wraps(run)
+    def tidy(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidy
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

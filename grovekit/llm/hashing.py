@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are hashed together, about.
 BLOCK_BYTES = 1 << 20
+#: Words of more bytes are hashed one by one: of a polynomial modulo 2^64 two long words can be made to agree.
+LONG_WORD = 128
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -63,7 +66,10 @@ def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_code[data] * up[:n], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, edges)
+    h = mix(h + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(_lower[data[starts[i] : ends[i]]].tobytes(), digest_size=8).digest(), "little")
+    return h, np.searchsorted(starts, edges)
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

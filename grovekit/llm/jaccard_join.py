@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, staged
+from grovekit.llm.common import documents, staged, tidied
 from grovekit.llm.components import connected
 from grovekit.llm.hashing import blocks, mix, runs, word_hashes
 
@@ -46,6 +46,8 @@ WORTH = 0.05
 BINS, SHORT_BINS = 128, 64
 #: Longer index entries are compared with a pivot first.
 LONG_RUN = 16
+#: Tokens, and index entries, that a task holds before it puts them out; and classes that it remembers.
+HELD_TOKENS, HELD_ENTRIES, REMEMBERED = 1_500_000, 500_000, 200_000
 
 _U = np.uint64
 
@@ -75,9 +77,14 @@ def _batch(columns: list[tuple[str, list | pa.Array | np.ndarray, pa.DataType]])
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for _, c, t in columns], [n for n, _, _ in columns])
 
 
+def _binned(tokens: np.ndarray, bins: int) -> np.ndarray:
+    return np.bincount((tokens >> _U(40)).astype(np.int64) % bins, minlength=bins)
+
+
 def histogram(tokens: np.ndarray) -> bytes:
-    """How many tokens fall into each of BINS: two texts share at most the sum of the lesser counts."""
-    counts = np.bincount((tokens >> _U(40)).astype(np.int64) % BINS, minlength=BINS)
+    """How many of the tokens that other classes may hold fall into each of BINS: two texts share at most the sum of the
+    lesser counts."""
+    counts = _binned(tokens, BINS)
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
@@ -87,7 +94,7 @@ def _counts(hist: bytes) -> np.ndarray:
 
 def short_histogram(tokens: np.ndarray) -> bytes:
     """The same in SHORT_BINS bytes; all 0 where a count doesn't fit, which rules nothing out."""
-    counts = np.bincount((tokens >> _U(40)).astype(np.int64) % SHORT_BINS, minlength=SHORT_BINS)
+    counts = _binned(tokens, SHORT_BINS)
     return (counts if counts.max() < 256 else np.zeros(SHORT_BINS)).astype(np.uint8).tobytes()
 
 
@@ -110,7 +117,7 @@ def _run_pairs(mode: str, turn: int, percent: int):
         for at in range(0, len(i), 200_000):
             x, y = c["brief"][i[at : at + 200_000]], c["brief"][j[at : at + 200_000]]
             most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            total = (c["n"][i[at : at + 200_000]] + c["n"][j[at : at + 200_000]]).astype(np.int64)
+            total = c["n"][i[at : at + 200_000]].astype(np.int64) + c["n"][j[at : at + 200_000]]
             whole = (x.sum(axis=1, dtype=np.int64) > 0) & (y.sum(axis=1, dtype=np.int64) > 0)
             out[at : at + 200_000] = ~whole | (100 * most >= percent * (total - most))
         return i[out], j[out]
@@ -181,79 +188,82 @@ def _run_pairs(mode: str, turn: int, percent: int):
         if held is not None:
             yield from emit(held)
 
-    return run
+    return tidied(run)
 
 
 def _possible(percent: int):
-    """Pairs whose histograms allow the link."""
+    """Pairs whose sizes and histograms allow the link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = _counts(x.as_py()), _counts(y.as_py())
-                most = int(np.minimum(x, y).sum())
-                keep.append(100 * most >= percent * (int(x.sum()) + int(y.sum()) - most))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+            total = batch.column("xn").to_numpy() + batch.column("yn").to_numpy()
+            most = np.array([np.minimum(_counts(x.as_py()), _counts(y.as_py())).sum() for x, y in zip(batch.column("x"), batch.column("y"))], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(100 * most >= percent * (total - most), pa.bool_()))
 
+    return tidied(run)
 
-def _describe(size: int):
-    """Rows (doc_id, cid, n), and at the end of a task its part of the frequency sketch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(COUNTERS, np.int32)
-        seen = False
-        for batch in batches:
-            cid, n, hist, brief = [], [], [], []
-            for _, tokens in token_sets(batch.column("text"), size):
-                hist.append(histogram(tokens) if len(tokens) else None)
-                brief.append(short_histogram(tokens) if len(tokens) else None)
-                cid.append(class_id(tokens) if len(tokens) else None)
-                n.append(len(tokens))
-                np.add.at(sketch, (tokens & _U(COUNTERS - 1)).astype(np.int64), 1)
-                seen = True
-            none = pa.nulls(len(n), pa.binary())
-            yield _batch([("doc_id", batch.column("doc_id"), pa.int64()), ("cid", cid, pa.int64()), ("n", n, pa.int64()), ("hist", hist, pa.binary()), ("brief", brief, pa.binary()), ("part", pa.nulls(len(n), pa.int32()), None), ("sketch", none, None)])
-        if seen:
-            parts = [zlib.compress(np.minimum(p, 65535).astype(np.uint16).tobytes(), 1) for p in np.split(sketch, PARTS)]
-            none = pa.nulls(PARTS, pa.int64())
-            yield _batch([("doc_id", none, None), ("cid", none, None), ("n", none, None), ("hist", pa.nulls(PARTS, pa.binary()), None), ("brief", pa.nulls(PARTS, pa.binary()), None), ("part", list(range(PARTS)), pa.int32()), ("sketch", parts, pa.binary())])
+DESCRIBED = "doc_id long, cid long, n long, part int, sketch binary, slice long, twice boolean, values binary"
 
-    return run
 
+def _describe(size: int):
+    """A row (doc_id, cid, n) for each text. Besides, the task's part of the frequency sketch in PARTS rows; and its token
+    hashes, cut to 32 bits: a row for each of SLICES, sorted, as differences in two bytes or more. Those that two classes
+    of the task hold come once more, with `twice`."""
+    names = [x.split()[0] for x in DESCRIBED.split(", ")]
+    types = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.binary())))
 
-def _unique_parts(size: int):
-    """The token hashes of a task, cut to 32 bits: a row for each of SLICES, sorted, as differences in two bytes or
-    more; `twice` has those that two classes of the task hold."""
+    def rows(number: int, **columns) -> pa.RecordBatch:
+        return _batch([(k, columns.get(k, pa.nulls(number, types[k])), types[k]) for k in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, seen = [], 0, set()
+        sketch = np.zeros(COUNTERS, np.int32)
+        held, waiting, seen, any_ = [], 0, Seen(), False
 
         def flush() -> pa.RecordBatch:
             values, count = np.unique(np.concatenate(held), return_counts=True)
-            rows = []
-            for name, v in (("once", values), ("twice", values[count > 1])):
+            found = []
+            for twice, v in ((False, values), (True, values[count > 1])):
+                v = v.astype(np.int64)
                 edges = np.searchsorted(v, np.arange(SLICES + 1) << (32 - SLICE_BITS))
-                rows += [(b, name == "twice", _narrow(np.diff(v[edges[b] : edges[b + 1]], prepend=b << (32 - SLICE_BITS)))) for b in range(SLICES) if edges[b + 1] > edges[b]]
-            return _batch([("slice", [r[0] for r in rows], pa.int64()), ("twice", [r[1] for r in rows], pa.bool_()), ("values", [r[2] for r in rows], pa.binary())])
+                found += [(b, twice, _narrow(np.diff(v[edges[b] : edges[b + 1]], prepend=b << (32 - SLICE_BITS)))) for b in range(SLICES) if edges[b + 1] > edges[b]]
+            return rows(len(found), slice=[r[0] for r in found], twice=[r[1] for r in found], values=[r[2] for r in found])
 
         for batch in batches:
+            cid, n = [], []
             for _, tokens in token_sets(batch.column("text"), size):
-                if not len(tokens) or (cid := class_id(tokens)) in seen:
-                    continue
-                if len(seen) < 2_000_000:
-                    seen.add(cid)
-                held.append((tokens >> _U(32)).astype(np.int64))
-                n += len(tokens)
-                if n > 4_000_000:
-                    yield flush()
-                    held, n = [], 0
+                cid.append(class_id(tokens) if len(tokens) else None)
+                n.append(len(tokens))
+                np.add.at(sketch, (tokens & _U(COUNTERS - 1)).astype(np.int64), 1)
+                any_ = True
+                if len(tokens) and seen.new(cid[-1]):
+                    held.append((tokens >> _U(32)).astype(np.uint32))
+                    waiting += len(tokens)
+                    if waiting > HELD_TOKENS:
+                        yield flush()
+                        held, waiting = [], 0
+            yield rows(len(n), doc_id=batch.column("doc_id"), cid=cid, n=n)
         if held:
             yield flush()
+        if any_:
+            parts = [zlib.compress(np.minimum(p, 65535).astype(np.uint16).tobytes(), 1) for p in np.split(sketch, PARTS)]
+            yield rows(PARTS, part=list(range(PARTS)), sketch=parts)
+
+    return tidied(run)
+
 
-    return run
+class Seen:
+    """Whether a class is new to a task, as far as remembered: what is said to be new twice is only done twice."""
+
+    def __init__(self):
+        self.known: set[int] = set()
+
+    def new(self, cid: int) -> bool:
+        if cid in self.known:
+            return False
+        if len(self.known) < REMEMBERED:
+            self.known.add(cid)
+        return True
 
 
 def _narrow(values: np.ndarray) -> bytes:
@@ -325,48 +335,57 @@ def group_count(n: int) -> int:
     return max(1, (1 << max(0, n.bit_length() - 1)) // GROUP_TOKENS)
 
 
+INDEXED = "bucket long, keys binary, cids binary, ns binary, common binary, cid long, n long, hist binary, brief binary"
+
+
 def _index(levels, shared, buckets: int, size: int, percent: int):
-    """Rows (bucket, keys, cids, ns, common) of the index entries of the classes that a task meets."""
+    """Rows (bucket, keys, cids, ns, common) of the index entries of the classes that a task meets, and a row (cid, n,
+    hist, brief) of each class that has an entry."""
+    names = [x.split()[0] for x in INDEXED.split(", ")]
+    types = dict(zip(names, (pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.binary(), pa.binary())))
+
+    def rows(number: int, **columns) -> pa.RecordBatch:
+        return _batch([(k, columns.get(k, pa.nulls(number, types[k])), types[k]) for k in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, several, seen = np.frombuffer(levels.value, np.uint8), np.frombuffer(shared.value, np.uint8), set()
-        keys, cids, ns, common, held = [], [], [], [], 0
+        level, several, seen = np.frombuffer(levels.value, np.uint8), np.frombuffer(shared.value, np.uint8), Seen()
+        keys, cids, ns, common, hists, briefs, held = [], [], [], [], [], [], 0
 
         def flush():
             k = np.concatenate(keys)
             sizes = np.array([len(x) for x in keys])
-            c, n, m = (np.repeat(np.array(v, t), sizes) for v, t in ((cids, np.int64), (ns, np.int64), (common, np.float32)))
+            c, n, m = (np.repeat(np.array(v, t), sizes) for v, t in ((cids, np.int64), (ns, np.int32), (common, np.float32)))
             bucket = (mix(k) % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]
-            return _batch(
-                [
-                    ("bucket", [b for b, _ in rows], pa.int64()),
-                    *((name, [v[o].tobytes() for _, o in rows], pa.binary()) for name, v in (("keys", k), ("cids", c), ("ns", n.astype(np.int32)), ("common", m))),
-                ]
-            )
+            found = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]
+            yield rows(len(found), bucket=[b for b, _ in found], **{name: [v[o].tobytes() for _, o in found] for name, v in (("keys", k), ("cids", c), ("ns", n), ("common", m))})
+            yield rows(len(cids), cid=cids, n=ns, hist=hists, brief=briefs)
 
         for batch in batches:
             for _, tokens in token_sets(batch.column("text"), size):
-                if not len(tokens) or (cid := class_id(tokens)) in seen:
+                if not len(tokens) or not seen.new(cid := class_id(tokens)):
                     continue
-                if len(seen) < 2_000_000:
-                    seen.add(cid)
                 own = level[(tokens & _U(COUNTERS - 1)).astype(np.int64)]
                 at = (tokens >> _U(32)).astype(np.int64) // FOLD
-                keys.append(prefix_entries(tokens, own, (several[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool), percent))
+                others = (several[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                found = prefix_entries(tokens, own, others, percent)
+                if not len(found):
+                    continue
+                keys.append(found)
                 cids.append(cid)
                 ns.append(len(tokens))
                 common.append(float(own.mean()))
-                held += len(keys[-1])
-                if held > 2_000_000:
-                    yield flush()
-                    keys, cids, ns, common, held = [], [], [], [], 0
+                hists.append(histogram(tokens[others]))
+                briefs.append(short_histogram(tokens[others]))
+                held += len(found)
+                if held > HELD_ENTRIES:
+                    yield from flush()
+                    keys, cids, ns, common, hists, briefs, held = [], [], [], [], [], [], 0
         if held:
-            yield flush()
+            yield from flush()
 
-    return run
+    return tidied(run)
 
 
 ENTRY = "key long, cid long, n int, common float"
@@ -392,7 +411,7 @@ def _sets(wanted, size: int):
     """Token sets of the classes whose bit is set, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(wanted.value, np.uint8), set()
+        bits, seen = np.frombuffer(wanted.value, np.uint8), Seen()
         for batch in batches:
             cids, sets = [], []
             for _, tokens in token_sets(batch.column("text"), size):
@@ -400,13 +419,12 @@ def _sets(wanted, size: int):
                     continue
                 cid = class_id(tokens)
                 at = cid & (len(bits) * 8 - 1)
-                if bits[at >> 3] >> (at & 7) & 1 and cid not in seen:
-                    seen.add(cid)
+                if bits[at >> 3] >> (at & 7) & 1 and seen.new(cid):
                     cids.append(cid)
                     sets.append(tokens.tobytes())
             yield _batch([("cid", cids, pa.int64()), ("tokens", sets, pa.binary())])
 
-    return run
+    return tidied(run)
 
 
 def _verify(percent: int):
@@ -419,7 +437,7 @@ def _verify(percent: int):
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return tidied(run)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,8 +465,8 @@ def _prepared(docs: DataFrame, size: int, percent: int):
     of buckets, and what verifies pairs of classes."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = staged(docs.mapInArrow(_describe(size), "doc_id long, cid long, n long, hist binary, brief binary, part int, sketch binary"), "jaccard-docs")
-    rows = described.filter("part is null").select("doc_id", "cid", "n")
+    described = staged(docs.mapInArrow(_describe(size), DESCRIBED), "jaccard-docs")
+    rows = described.filter("part is null and slice is null").select("doc_id", "cid", "n")
     # counters and bitmaps below have a fixed size (8 bytes and 1 bit for each of COUNTERS), whatever the corpus
     summed = described.filter("part is not null").select("part", "sketch").groupBy("part").applyInArrow(_add_sketches, "part int, counts binary")
     counts = np.frombuffer(_gathered(summed.collect(), COUNTERS // PARTS * 8), np.int64)
@@ -456,23 +474,24 @@ def _prepared(docs: DataFrame, size: int, percent: int):
     total = int(counts.sum())
     buckets = max(64, total // 500_000)
     # of a fixed size too, and as whole: a bit is set wherever a token may stand in two classes
-    once = docs.select("text").mapInArrow(_unique_parts(size), "slice long, twice boolean, values binary")
+    once = described.filter("slice is not null").select("slice", "twice", "values")
     found = {r[0]: bytes(r[1]) for r in once.groupBy("slice").applyInArrow(_shared, "slice long, bits binary").collect()}
     shared = sc.broadcast(b"".join(found.get(b, bytes((1 << (32 - SLICE_BITS)) // FOLD // 8)) for b in range(SLICES)))
-    packed = docs.select("text").mapInArrow(_index(levels, shared, buckets, size, percent), "bucket long, keys binary, cids binary, ns binary, common binary")
+    indexed = staged(docs.select("text").mapInArrow(_index(levels, shared, buckets, size, percent), INDEXED), "jaccard-indexed")
+    packed = indexed.filter("bucket is not null").select("bucket", "keys", "cids", "ns", "common")
     entries = staged(packed.groupBy("bucket").applyInArrow(_entries, ENTRY), "jaccard-index")
 
-    hists = described.filter("cid is not null").groupBy("cid").agg(F.max("hist").alias("hist"), F.max("brief").alias("brief"))
+    hists = indexed.filter("cid is not null").groupBy("cid").agg(F.max("n").alias("n"), F.max("hist").alias("hist"), F.max("brief").alias("brief"))
     hists = staged(hists.join(entries.select("cid").distinct(), "cid", "left_semi"), "jaccard-histograms")
 
-    def both_sides(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
-        x = pairs.join(of.select(F.col("cid").alias("a"), F.col(value).alias("x")), "a")
-        return x.join(of.select(F.col("cid").alias("b"), F.col(value).alias("y")), "b").select("a", "b", "x", "y")
+    def both_sides(pairs: DataFrame, of: DataFrame, value: str, *more: str) -> DataFrame:
+        x = pairs.join(of.select(F.col("cid").alias("a"), F.col(value).alias("x"), *[F.col(m).alias(f"x{m}") for m in more]), "a")
+        return x.join(of.select(F.col("cid").alias("b"), F.col(value).alias("y"), *[F.col(m).alias(f"y{m}") for m in more]), "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that link. Histograms leave few of the others; for what they leave, the token sets are
         made anew from the texts, each class once a task, by a bitmap of the classes that are asked for."""
-        left = staged(both_sides(pairs, hists, "hist").mapInArrow(_possible(percent), "a long, b long"), "jaccard-possible")
+        left = staged(both_sides(pairs, hists, "hist", "n").mapInArrow(_possible(percent), "a long, b long"), "jaccard-possible")
         asked = left.select(F.col("a").alias("cid")).union(left.select("b"))
         parts = asked.mapInArrow(_bits, "part int, bits binary").groupBy("part").applyInArrow(_or_bits, "part int, bits binary").collect()
         bits = sc.broadcast(_gathered(parts, COUNTERS // PARTS // 8))
@@ -547,8 +566,9 @@ def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
     """The rows of docs whose id names their component, so one of each, with their columns. Rows without an id stay;
     of rows with one id and text one stays."""
     named = link_components(docs, size, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    kept = rows.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id", "h"])
+    return kept.unionByName(rows.filter("doc_id is null")).select("row.*")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
