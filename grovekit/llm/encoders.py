@@ -12,8 +12,17 @@ import re
 
 import numpy as np
 
-#: Chunks that a process keeps at most; beyond it, new chunks are encoded once a batch and forgotten.
-MEMORY_CHUNKS = 600_000
+#: Bytes, about, of the chunks that a process keeps; beyond it, new chunks are encoded once a batch and forgotten.
+MEMORY_BYTES = 40 << 20
+#: What a kept chunk takes beside its characters, about.
+CHUNK_BYTES = 150
+
+
+def _forget(known: dict[str, int], size: int, memory: int) -> int:
+    """Takes the newest chunks out of `known` until they take `memory` bytes; what they then take."""
+    while size > memory and known:
+        size -= len(known.popitem()[0]) + CHUNK_BYTES
+    return size
 
 
 def file_digest(path: str) -> str:
@@ -29,13 +38,13 @@ class PieceCounter:
 
     MARK = "▁"
 
-    def __init__(self, path: str, memory: int = MEMORY_CHUNKS):
+    def __init__(self, path: str, memory: int = MEMORY_BYTES):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.cuts = not any(self.MARK in p.lstrip(self.MARK) for p in pieces) and self._plain_spaces()
-        self.memory, self.known = memory, {}
+        self.memory, self.size, self.known = memory, 0, {}
 
     def _plain_spaces(self) -> bool:
         """The model puts one space before a text and keeps all others."""
@@ -60,7 +69,7 @@ class PieceCounter:
             if None in map(self.known.get, parts):
                 new.update((p, None) for p in parts if p not in self.known)
         if new:
-            self.known.update(zip(new, self.whole(list(new))))
+            self._keep(new, self.whole(list(new)))
         for i, parts in chunks.items():
             if "" in parts:  # runs of spaces make pieces of their own
                 out[i] = sum(map(self._run, *zip(*_runs(parts))))
@@ -68,10 +77,13 @@ class PieceCounter:
                 out[i] = sum(map(self.known.__getitem__, parts))
         for i, n in zip(rest, self.whole([texts[i] for i in rest])):
             out[i] = n
-        while len(self.known) > self.memory:
-            self.known.popitem()
+        self.size = _forget(self.known, self.size, self.memory)
         return out
 
+    def _keep(self, chunks, counts) -> None:
+        self.known.update(zip(chunks, counts))
+        self.size += sum(map(len, chunks)) + CHUNK_BYTES * len(chunks)
+
     def _run(self, spaces: int, part: str) -> int:
         """Tokens of a run of spaces (with the one that the model adds) and what follows it."""
         if spaces == 1 and part:
@@ -80,7 +92,7 @@ class PieceCounter:
         if not key:
             return 1
         if key not in self.known:
-            self.known[key] = len(self.model.encode(key))
+            self._keep([key], [len(self.model.encode(key))])
         return self.known[key]
 
 
@@ -96,15 +108,16 @@ def _runs(parts: list[str]):
 
 
 class WordIds:
-    """Ids of a tokenizers BPE file whose pre-tokenizer takes letter runs, single digits and runs of other signs,
-    drops white space, and marks the end of each with a suffix. Texts are cut at ASCII spaces, line ends and around
-    runs of common signs; each distinct chunk is encoded once. Chunks of letters alone end with the only suffixed
-    id they have, so many of them are encoded as one text. Texts with an apostrophe, a number, or an added token
-    keep those chunks whole, and they are encoded one by one."""
+    """Ids of a tokenizers BPE file whose pre-tokenizer takes contractions after an apostrophe, letter runs, single
+    digits and runs of all other signs, drops white space, and marks the end of each with a suffix. Texts are cut at
+    ASCII spaces and line ends, and around a run of ASCII signs without an apostrophe that has ASCII letters, digits
+    or white space on both sides: no piece reaches across such a place, and no sign there composes with another. Each
+    distinct chunk is encoded once. Chunks of ASCII letters alone end with the only suffixed id they have, so many
+    of them are encoded as one text; all others are encoded one by one. A text with an added token goes whole."""
 
-    SIGNS = re.compile(r"([!-&(-/:-@\[-`{-~]+)")
+    SIGNS = re.compile(r"(?<![^A-Za-z0-9 \t\r\n])([!-&(-/:-@\[-`{-~]+)(?![^A-Za-z0-9 \t\r\n])")
 
-    def __init__(self, path: str, memory: int = MEMORY_CHUNKS):
+    def __init__(self, path: str, memory: int = MEMORY_BYTES):
         import json
 
         from tokenizers import Tokenizer
@@ -118,7 +131,7 @@ class WordIds:
         self.ends = np.zeros(self.model.get_vocab_size() + 1, bool)
         for piece, i in self.model.get_vocab().items():
             self.ends[i] = bool(suffix) and piece.endswith(suffix)
-        self.memory = memory
+        self.memory, self.size = memory, 0
         self.place: dict[str, int] = {}
         self.flat = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
@@ -146,13 +159,18 @@ class WordIds:
         sizes.append(np.array([len(x) for x in rest], np.int64))
         n = len(self.place)
         self.place.update(zip(plain + other, range(n, n + len(new))))
+        self.size += sum(map(len, new)) + CHUNK_BYTES * len(new)
         self.flat = np.concatenate([self.flat, *ids])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if not self.cuts or any(x in t for x in self.added for t in texts):
+        if not self.cuts:
             return [np.array(x, np.uint32) for x in self.whole(texts)]
+        apart = {i: np.array(x, np.uint32) for i in range(len(texts)) if any(x in texts[i] for x in self.added) for x in self.whole([texts[i]])}
+        if apart:
+            rest = iter(self.ids([t for i, t in enumerate(texts) if i not in apart]))
+            return [apart[i] if i in apart else next(rest) for i in range(len(texts))]
         chunks = [self.SIGNS.sub(r" \1 ", t.replace("\n", " ")).split(" ") for t in texts]
         parts = list(itertools.chain.from_iterable(chunks))
         at = np.fromiter(map(self.place.get, parts, itertools.repeat(-1)), np.int64, len(parts))
@@ -168,11 +186,10 @@ class WordIds:
         ends = np.concatenate([[0], ends])
         edges = ends[np.cumsum([0, *map(len, chunks)])]
         out = [flat[a:b] for a, b in zip(edges, edges[1:])]
-        if len(self.place) > self.memory:
-            while len(self.place) > self.memory:
-                self.place.popitem()
-            self.start = self.start[: self.memory + 1]
-            self.flat = self.flat[: self.start[-1]]
+        if self.size > self.memory:
+            self.size = _forget(self.place, self.size, self.memory)
+            self.start = self.start[: len(self.place) + 1].copy()
+            self.flat = self.flat[: self.start[-1]].copy()
         return out
 
 

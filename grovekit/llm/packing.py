@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents
+from grovekit.llm.common import documents, tidied
 from grovekit.llm.encoders import word_ids
 
 CAPACITY = 4096
@@ -111,7 +111,7 @@ def _pack(model_path: str, capacity: int):
             yield rows(found)
         yield rows(list(packer.close()))
 
-    return run
+    return tidied(run)
 
 
 def pack_documents(docs: DataFrame, model_path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -94,6 +94,22 @@ def test_encoders_agree_with_libraries():
         assert [list(x) for t in odd for x in words.ids([t])] == words.whole(odd)
 
 
+def test_encoders_on_mixed_signs():
+    import public_tokenizers as P
+
+    from grovekit.llm.encoders import PieceCounter, WordIds
+
+    known = ["He said, “Hello,” and left.", "„Ja!“ sagte er.", "«Bonjour!» dit-il.", "(5 €)", "“yes.”", "wait…, what", "x!'s", "it's!", "!'ll", "'t's", "=\u0338 <\u0338>", "a;\u037e", "\u212a!x", "İ.i̇", "\x1c!a", "3!4²!½"]
+    rng = np.random.default_rng(11)
+    signs = [*"abcxyzST09", *"!-.,;:'\"()=<>_`~", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", "\u00a0", "\u2028", "é", "É", "ß", "İ", "Σ", "я", "中", "“", "”", "’", "…", "—", "€", "²", "½", "\u0301", "\u0338", "\u037e", "\u200b", "😀", "▁", "'s", "'ll", "n't", "<|endoftext|>"]
+    odd = known + ["".join(signs[k] for k in rng.integers(0, len(signs) - (i % 20 > 0), int(rng.integers(1, 14)))) for i in range(6000)]
+    pieces, words = PieceCounter(P.path("piece_bpe_32k.model")), WordIds(P.path("word_bpe_49k.json"))
+    assert pieces.count(odd) == pieces.whole(odd)
+    whole = words.whole(odd)
+    assert [list(x) for x in words.ids(odd)] == whole
+    assert [list(x) for t in odd[:500] for x in words.ids([t])] == whole[:500]
+
+
 @pytest.mark.parametrize("block_rows", [1000, 2])
 def test_sharding(docs, none, block_rows):
     from grovekit.llm.sharding import shuffle_into_shards
