@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon turns each word into a class: insult, threat, target, negation, report, or other. Insult words and stems
-are learned from labelled documents; the other classes are fixed lists. Four small transducers read the classes of a
-clause: one follows who is addressed, one negation, one reported speech, one the clause's insults and threats. They
-are composed into one transducer, whose arcs carry the pattern matched and its weight. A document's evidence is what
-its matched clauses weigh, and a logistic curve turns that into a score. Words score only as part of a clause."""
+A lexicon turns each word into a class: insult, harm, intent, target, negation, report, or other. Insult words and stems
+are learned from labelled documents; the other classes are fixed lists. Five small transducers read the classes of a
+clause, each what the one before puts out: `threats` finds announced harm to somebody, `insults` tells epithets from
+strings of them, `directed` whether somebody is addressed, `negation` and `reported` what is denied or somebody else's.
+They are composed into one transducer, whose arcs carry the pattern matched and its weight. A word by itself weighs
+nothing: a verb of harm counts only in a threat, an insult only as the pattern that its clause makes of it. A document's
+evidence is what its matched clauses weigh, and a logistic curve turns that into a score."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, fold, staged
+from grovekit.llm.common import documents, fold, staged, tidied
 
 #: Labelled rows that the lexicon and the curve are fitted on, about (a sample by a hash of the id when there are more).
 LABELLED_ROWS = 20_000
@@ -27,27 +29,28 @@ LABELLED_ROWS = 20_000
 CHANCE = 1e-7
 #: ... and when at least this share of the documents that hold it are toxic.
 PURITY = 0.8
-#: Words and stems kept at most, the strongest first.
-LEXICON_ROWS = 20_000
 STEMS = (4, 5, 6)
 #: Of the toxic documents that hold a word or stem, this share must hold no stronger one.
 NEW_SHARE = 0.02
 #: Log weight below the strongest entry within which an entry is taken without that.
 PEER = 1.5
 THRESHOLD = 0.7
-CLAUSE_WORDS = 40
-KNOWN_WORDS = 400_000
+#: Distinct words whose class a task remembers.
+KNOWN_WORDS = 100_000
 
-OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT, END = range(7)
+OTHER, TARGET, NEGATION, REPORT, INTENT, HARM, INSULT, END, THREAT, EPITHET, STRING = range(11)
 
 # Words of the closed classes, English, German, French, Spanish.
 TARGETS = "you your yours yourself he him she her they them their people those everyone du dich dir dein ihr euch sie tu te toi vous votre il elle ils elles vosotros usted ustedes ellos ellas"
 NEGATIONS = "not no never neither nor without isn't aren't don't doesn't nicht kein keine nie niemals ne pas jamais non nunca jamás sin"
 REPORTS = "said says say wrote claimed called reported alleged quoted according sagte sagt schrieb nannte dit écrit appelé selon dijo dice escribió llamó según"
-THREATS = "kill murder hurt destroy burn shoot stab strangle beat töten ermorden verletzen vernichten tuer assassiner détruire frapper matar asesinar destruir golpear"
-#: Weights of the patterns a clause can match, as factors on the learned weight of an insult (a threat weighs THREAT_WEIGHT).
-FACTORS = {"insult": 1.0, "directed": 1.5, "denied": 0.4, "reported": 0.6}
-THREAT_WEIGHT = 0.5
+INTENTS = "will shall going gonna i'll we'll werde werden wird vais va vont allons voy vas vamos van"
+HARMS = "kill murder hurt destroy burn shoot stab strangle beat töten ermorden verletzen vernichten erschießen tuer assassiner détruire frapper brûler matar asesinar destruir golpear quemar"
+#: What the patterns weigh: as factors on the learned weight of an insult; a threat by itself.
+FACTORS = {"epithet": 0.6, "string": 1.0, "directed": 1.8, "denied": 0.4, "reported": 0.6}
+THREAT_WEIGHT = 4.0
+#: Words between the parts of a pattern, at most.
+SPAN = 4
 
 
 # ---- the grammar ---------------------------------------------------------------------------------------------------
@@ -79,50 +82,82 @@ class Transducer:
         return out
 
 
-def negation(span: int = 3) -> Transducer:
-    """An insult or threat within `span` words after a negation is denied."""
+LEXICAL = (OTHER, TARGET, NEGATION, REPORT, INTENT, HARM, INSULT, END)
+
+
+def threats(span: int = SPAN) -> Transducer:
+    """Puts out a threat where somebody announces harm: an intent, then harm, then its target ("I will ... you"), or the
+    target first ("you are going to ..."). Each part stands within `span` words of the one before. A verb of harm by
+    itself is put out as any other word."""
+    t = Transducer(("none", 0))
+    t.arcs[t.start, HARM] = (t.start, OTHER, 1.0)
+    t.arcs[t.start, INTENT] = (("intent", span), OTHER, 1.0)
+    t.arcs[t.start, TARGET] = (("target", span), TARGET, 1.0)
+    for kind in ("intent", "target", "both", "harm"):
+        for n in range(1, span + 1):
+            at, less = (kind, n), (kind, n - 1) if n > 1 else t.start
+            for symbol in (OTHER, NEGATION, REPORT, INSULT):
+                t.arcs[at, symbol] = (less, symbol, 1.0)
+            t.arcs[at, END] = (t.start, END, 1.0)
+            t.arcs[at, INTENT] = ({"intent": ("intent", span), "target": ("both", span), "both": ("both", span), "harm": ("intent", span)}[kind], OTHER, 1.0)
+            t.arcs[at, HARM] = {"intent": (("harm", span), OTHER, 1.0), "target": (less, OTHER, 1.0), "both": (t.start, THREAT, 1.0), "harm": (("harm", span), OTHER, 1.0)}[kind]
+            t.arcs[at, TARGET] = (t.start, THREAT, 1.0) if kind == "harm" else (("both" if kind == "both" else "target" if kind == "target" else "intent", span), TARGET, 1.0)
+    return t
+
+
+def insults(span: int = 2) -> Transducer:
+    """Insults within `span` words after another one are a string of insults; one by itself is an epithet."""
     t = Transducer(0)
     for n in range(span + 1):
-        t.arcs[n, NEGATION] = (span, NEGATION, 1.0)
+        t.arcs[n, INSULT] = (span, STRING if n else EPITHET, FACTORS["string" if n else "epithet"])
         t.arcs[n, END] = (0, END, 1.0)
-        for s in (OTHER, TARGET, REPORT):
-            t.arcs[n, s] = (max(0, n - 1), s, 1.0)
-        for s in (INSULT, THREAT):
-            t.arcs[n, s] = (0, s, FACTORS["denied"] if n else 1.0)
+        for symbol in (OTHER, TARGET, NEGATION, REPORT, THREAT):
+            t.arcs[n, symbol] = (max(0, n - 1), symbol, 1.0)
     return t
 
 
-def reported() -> Transducer:
-    """What follows a word of reporting in its clause is somebody else's."""
-    t = Transducer("own")
-    t.arcs["own", REPORT] = ("theirs", REPORT, 1.0)
-    t.arcs["theirs", END] = ("own", END, 1.0)
-    for s in (INSULT, THREAT):
-        t.arcs["theirs", s] = ("theirs", s, FACTORS["reported"])
+def directed(span: int = SPAN) -> Transducer:
+    """An insult within `span` words after a target is aimed at somebody."""
+    t = Transducer(0)
+    for n in range(span + 1):
+        t.arcs[n, TARGET] = (span, TARGET, 1.0)
+        t.arcs[n, THREAT] = (span, THREAT, 1.0)
+        t.arcs[n, END] = (0, END, 1.0)
+        for symbol in (OTHER, NEGATION, REPORT):
+            t.arcs[n, symbol] = (max(0, n - 1), symbol, 1.0)
+        for symbol in (EPITHET, STRING):
+            t.arcs[n, symbol] = (n, symbol, FACTORS["directed"] if n else 1.0)
     return t
 
 
-def directed(span: int = 4) -> Transducer:
-    """An insult or threat within `span` words after a target is aimed at somebody."""
+def negation(span: int = SPAN) -> Transducer:
+    """An insult or threat within `span` words after a negation is denied."""
     t = Transducer(0)
     for n in range(span + 1):
-        t.arcs[n, TARGET] = (span, TARGET, 1.0)
+        t.arcs[n, NEGATION] = (span, NEGATION, 1.0)
         t.arcs[n, END] = (0, END, 1.0)
-        for s in (OTHER, NEGATION, REPORT):
-            t.arcs[n, s] = (max(0, n - 1), s, 1.0)
-        for s in (INSULT, THREAT):
-            t.arcs[n, s] = (max(0, n - 1), s, FACTORS["directed"] if n else FACTORS["insult"])
+        for symbol in (OTHER, TARGET, REPORT):
+            t.arcs[n, symbol] = (max(0, n - 1), symbol, 1.0)
+        for symbol in (EPITHET, STRING, THREAT):
+            t.arcs[n, symbol] = (0, symbol, FACTORS["denied"] if n else 1.0)
     return t
 
 
-def scored() -> Transducer:
-    """Puts out insults and threats alone."""
-    return Transducer(0, {(0, s): (0, None, 1.0) for s in (OTHER, TARGET, NEGATION, REPORT, END)})
+def reported() -> Transducer:
+    """What follows a word of reporting in its clause is somebody else's."""
+    t = Transducer("own")
+    t.arcs["own", REPORT] = ("theirs", REPORT, 1.0)
+    t.arcs["theirs", END] = ("own", END, 1.0)
+    for symbol in (EPITHET, STRING, THREAT):
+        t.arcs["theirs", symbol] = ("theirs", symbol, FACTORS["reported"])
+    return t
 
 
 def grammar() -> Transducer:
-    symbols = range(7)
-    return negation().then(reported(), symbols).then(directed(), symbols).then(scored(), symbols)
+    machine = threats()
+    for part in (insults(), directed(), negation(), reported()):
+        machine = machine.then(part, LEXICAL)
+    return machine
 
 
 # ---- words ---------------------------------------------------------------------------------------------------------
@@ -157,7 +192,7 @@ class Model:
     def __post_init__(self):
         self.machine = grammar()
         self.closed = {}
-        for symbol, listed in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)):
+        for symbol, listed in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (INTENT, INTENTS), (HARM, HARMS)):
             self.closed.update(dict.fromkeys(listed.split(), symbol))
         self.known: dict[str, int] = {}
         self.weights: dict[str, float] = {}
@@ -185,27 +220,26 @@ class Model:
                 self.known[token] = self.symbol(token)
             classes = list(map(self.known.__getitem__, tokens))
         total, done = 0.0, -1
-        if INSULT in classes or THREAT in classes:
+        if INSULT in classes or HARM in classes:
             for i, c in enumerate(classes):
-                if c < THREAT or i <= done:
+                if c != INSULT and c != HARM or i <= done:
                     continue
                 begin = i
-                while begin > done + 1 and i - begin < CLAUSE_WORDS and not tokens[begin - 1].endswith(_STOPS):
+                while begin > done + 1 and not tokens[begin - 1].endswith(_STOPS):
                     begin -= 1
                 done = i
-                while done + 1 < len(tokens) and done - begin < CLAUSE_WORDS and not tokens[done].endswith(_STOPS):
+                while done + 1 < len(tokens) and not tokens[done].endswith(_STOPS):
                     done += 1
                 total += self.clause(tokens[begin : done + 1], classes[begin : done + 1])
-        if len(self.known) > KNOWN_WORDS:
-            while len(self.known) > KNOWN_WORDS:
-                self.weights.pop(self.known.popitem()[0], None)
+        while len(self.known) > KNOWN_WORDS:
+            self.weights.pop(self.known.popitem()[0], None)
         return total
 
     def clause(self, tokens: list[str], classes: list[int]) -> float:
         state, total = self.machine.start, 0.0
         for token, c in zip(tokens, classes):
             state, put, weight = self.machine.step(state, c)
-            if put == INSULT:
+            if put == EPITHET or put == STRING:
                 total += weight * self.weights[token]
             elif put == THREAT:
                 total += weight * THREAT_WEIGHT
@@ -230,7 +264,7 @@ def _count(wanted: set[str] | None):
                 found.update(each if wanted is None else each & wanted)
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["feature", "n"])
 
-    return run
+    return tidied(run)
 
 
 def _held(wanted: set[str]):
@@ -239,7 +273,7 @@ def _held(wanted: set[str]):
             found = [sorted({f for w in words_of(t.as_py()) for f in features(w)} & wanted) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["features"])
 
-    return run
+    return tidied(run)
 
 
 def explaining(lexicon: dict[str, float], held: list[list[str]]) -> dict[str, float]:
@@ -267,7 +301,7 @@ def _weigh(model: Model):
             values = [model.evidence(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), batch.column("toxic")], ["evidence", "toxic"])
 
-    return run
+    return tidied(run)
 
 
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.05, steps: int = 30) -> tuple[float, float]:
@@ -283,15 +317,16 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.05, step
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     """A model from labelled documents outside the held-out fold. Rows with a null id, text or label are left out; an
-    id with two labels or texts counts with each; equal texts count once. Without toxic and clean rows: an empty lexicon."""
+    id with two labels or texts counts with each; equal texts count once, as toxic if any row of theirs is. Very long
+    texts are read whole. Without toxic or clean rows, as for empty tables, the lexicon is empty. Other columns play no part."""
     spark = docs.sparkSession
     usable = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id"), 3) != 1).distinct()
     share = min(1.0, rows / max(1, usable.count()))
     # the sample has about `rows` ids and two small columns whatever the corpus, so it may be broadcast
     sample = usable.filter(F.shiftright(F.xxhash64("doc_id", F.lit(11)), 32) < (2**32 * share) - 2**31)
     train = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(sample), "doc_id")
-    train = train.dropDuplicates(["doc_id", "toxic"]).select("text", "toxic", F.xxhash64("text").alias("_h")).dropDuplicates(["_h"]).select("text", "toxic")
-    train = staged(train, "toxic-train")
+    train = train.groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    train = staged(train.select("text", "toxic"), "toxic-train")
     sizes = {bool(r["toxic"]): r["count"] for r in train.groupBy(F.col("toxic") > 0).count().toDF("toxic", "count").collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
@@ -309,7 +344,6 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
         k0 = clean.get(f, 0)
         if k1 / (k1 + k0) >= PURITY and chance_log(k1, k0, prior) <= math.log(CHANCE):
             lexicon[f] = math.log((k1 + 0.5) / (n1 + 1)) - math.log((k0 + 0.5) / (n0 + 1))
-    lexicon = dict(sorted(lexicon.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_ROWS])
     held = train.filter("toxic > 0").select("text").mapInArrow(_held(set(lexicon)), "features array<string>")
     lexicon = explaining(lexicon, [r[0] for r in held.collect()])
     model = Model(lexicon, (0.0, 1.0))
@@ -327,12 +361,15 @@ def score_udf(model: Model):
         for part in parts:
             yield pd.Series([model.score(t or "") for t in part], dtype="float64")
 
+    score = tidied(score)
     score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double")
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted (columns of those names are replaced). A null text counts as empty."""
+    """docs with score and predicted (columns of those names are replaced, all others kept). A null text counts as empty,
+    and an empty one scores as one without a match. Repeated rows score alike; very long texts count whole; an empty
+    table gives an empty table."""
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
 
     scored = docs.select(*keep, score_udf(model)(F.col("text").cast("string")).alias("score"))

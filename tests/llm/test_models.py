@@ -40,13 +40,39 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_grammar_patterns():
-    from grovekit.llm.toxicity import Model
+    from grovekit.llm.toxicity import FACTORS, THREAT_WEIGHT, Model
 
     m = Model({"zork": 4.0}, (0.0, 1.0))
     plain, aimed, denied, told = (m.evidence(t) for t in ("the zork here", "you are a zork", "it is not a zork", "the man said zork"))
-    assert aimed > plain > told > denied > 0
+    assert plain == 4 * FACTORS["epithet"] and aimed > plain > told > denied > 0
+    assert m.evidence("zork zork") == pytest.approx(plain + 4 * FACTORS["string"])
     assert m.evidence("you leave. a zork") == plain  # a target counts within its clause alone
     assert m.evidence("zork. zork") == 2 * plain and m.evidence("") == 0
+    assert m.evidence("the man said " + "word " * 60 + "zork") == told  # a clause has no greatest length
+    for text in ("i will kill you", "we are going to hurt them all", "you will soon burn", "ich werde dich töten. ich werde töten dich"):
+        assert m.evidence(text) == THREAT_WEIGHT
+    for text in ("heavy rain can beat and burn young leaves", "kill", "they kill", "you. kill", "i will go. kill you", "i will kill the old engine and then restart for you"):
+        assert m.evidence(text) == 0
+    assert 0 < m.evidence("i will never kill you") < THREAT_WEIGHT and 0 < m.evidence("he said i will kill you") < THREAT_WEIGHT
+
+
+def test_toxicity_of_given_documents(spark):
+    """Held-out accuracy on the labelled documents of the smallest tables that have enough of them."""
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    from grovekit.llm.toxicity import op5_toxicity_grammar
+
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = op5_toxicity_grammar(spark, folder).collect()
+    held = [(r["score"], labels[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    pos, neg = np.array([s for s, y, _ in held if y]), np.array([s for s, y, _ in held if not y])
+    auc = np.mean([(s > neg).mean() + (s == neg).mean() / 2 for s in pos])
+    caught, called = sum(p for _, y, p in held if y), sum(p for *_, p in held)
+    print(f"held out {len(held)}, toxic {len(pos)}, AUC {auc:.3f}, recall {caught / len(pos):.3f}, precision {caught / called:.3f}")
+    assert auc > 0.85 and caught / len(pos) > 0.7 and caught / called > 0.95
 
 
 def brute_model(texts, d=0.6):
