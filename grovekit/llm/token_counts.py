@@ -1,7 +1,8 @@
 """Token counts through a digest cache.
 
-Every text is known by the SHA-256 of its normalised content; a count is stored under that digest and the digest of
-the tokenizer's file. Texts whose digest has no count are reduced to one row each, encoded, and appended to the cache."""
+Every text is known by the SHA-256 of its normalised content: its UTF-8 bytes, a null as none. (Nothing that could
+change a count is normalised away.) A count is stored under that digest and the digest of the tokenizer's file. Texts
+whose digests have no count are reduced to one row each, encoded, and appended to the cache."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, scratch
+from grovekit.llm.common import documents, scratch, tidied
 from grovekit.llm.encoders import file_digest, piece_counter
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -39,7 +40,7 @@ def _encode(model_path: str, digest: str):
                 ["content_digest", "tokenizer_digest", "n_tokens"],
             )
 
-    return run
+    return tidied(run)
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
@@ -50,31 +51,34 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache)
 
 
+KEY = ["content_digest", "tokenizer_digest"]
+
+
 def count_tokens(docs: DataFrame, model_path: str, cache: str, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit.
 
     A null text is the empty text, with no bytes and no tokens. Equal texts are encoded once; repeated rows and
-    ties in any other column keep a row each. Columns of docs with the new names are replaced. The count of an
-    empty table is an empty table. Very long texts are encoded whole."""
+    ties in any other column keep a row each. Columns of docs with the new names are replaced, all others kept. The
+    count of an empty table is an empty table. Very long texts are encoded whole. A pair of digests that stands in the
+    cache more than once, as after two runs at a time, counts once."""
     spark = docs.sparkSession
     digest = file_digest(model_path)
-    keep = [c for c in docs.columns if c not in ("content_digest", "n_bytes", "n_tokens", "over_limit")]
+    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.select(*keep, F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("content_digest"))
-    stored = read_cache(spark, cache).filter(F.col("tokenizer_digest") == digest)
+    content, tokenizer = F.unhex(F.sha2(body.cast("binary"), 256)).alias("content_digest"), F.lit(digest).alias("tokenizer_digest")
+    keyed = docs.select(F.struct(*keep).alias("row"), F.octet_length(body).cast("long").alias("n_bytes"), content, tokenizer)
+    stored = read_cache(spark, cache)
     misses = (
-        docs.select(body.alias("text"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("content_digest"))
+        docs.select(body.alias("text"), content)
         .groupBy("content_digest")
         .agg(F.first("text").alias("text"))
-        .join(stored.select("content_digest"), "content_digest", "left_anti")
+        .withColumn("tokenizer_digest", F.lit(digest))
+        .join(stored.select(*KEY), KEY, "left_anti")
+        .drop("tokenizer_digest")
     )
     misses.mapInArrow(_encode(model_path, digest), CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).filter(F.col("tokenizer_digest") == digest).select("content_digest", "n_tokens")
-    return (
-        keyed.join(counts, "content_digest")
-        .drop("content_digest")
-        .withColumn("over_limit", F.col("n_tokens") > LIMIT)
-    )
+    counts = read_cache(spark, cache).filter(F.col("tokenizer_digest") == digest).groupBy(*KEY).agg(F.max("n_tokens").alias("n_tokens"))
+    return keyed.join(counts, KEY).select("row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,16 @@ _ZERO = 1 << BITS
 BLOCK_SCHEMA = "block long, n long, d long, rows binary, ids binary, vectors binary, shift long, slices binary"
 
 
+def rounded(x: np.ndarray, shift: int) -> np.ndarray:
+    """x / 2^shift to the nearest integer; no step of it leaves 64 bits."""
+    return (x >> shift) + ((x >> (shift - 1)) & 1) if shift else x
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, int]:
     """x >> shift, rounded, so that it fits in BITS and a sign; and the shift."""
     top = int(np.abs(x).max(initial=0))
     shift = max(0, top.bit_length() - BITS)
-    return (x + ((1 << shift) >> 1)) >> shift, shift
+    return rounded(x, shift), shift
 
 
 def slices_of(quantised: np.ndarray) -> np.ndarray:
@@ -108,7 +113,7 @@ class Block:
     def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, shift: int, slices: np.ndarray):
         self.rows, self.ids, self.vectors, self.shift, self.slices = rows, ids, vectors, shift, slices
         real = vectors.astype(float)
-        quantised = ((vectors + ((1 << shift) >> 1)) >> shift).astype(float) * 2.0**shift
+        quantised = rounded(vectors, shift).astype(float) * 2.0**shift
         self.longest = float(np.sqrt((real**2).sum(axis=1)).max(initial=0))
         self.left_out = float(np.sqrt(((real - quantised) ** 2).sum(axis=1)).max(initial=0))
         full = np.zeros(slices.shape[2] * 64, np.uint8)
@@ -124,10 +129,8 @@ class Block:
         bound = int(np.abs(query).max(initial=0)) * int(np.abs(self.vectors).max(initial=0)) * max(1, len(query))
         if bound < 2**62:
             return self.vectors[at] @ query
-        scores = [sum(int(a) * int(b) for a, b in zip(self.vectors[i], query)) for i in at]
-        if any(abs(s) >= 2**63 for s in scores):
-            raise OverflowError("a score beyond 64 bits")
-        return np.array(scores, np.int64)
+        most = 2**63 - 1
+        return np.array([max(-most, min(most, sum(int(a) * int(b) for a, b in zip(self.vectors[i], query)))) for i in at], np.int64)
 
     def search(self, row: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The first k (vec_id, score) but for the row itself."""
@@ -159,7 +162,7 @@ def integer_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
         df.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
         .filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull())
         .filter(F.forall("x", finite))
-        .select("vec_id", F.transform("x", lambda x: F.floor(x * 1024)).alias("v"))
+        .select("vec_id", F.transform("x", lambda x: F.greatest(F.floor(x * 1024), F.lit(1 - 2**63))).alias("v"))
     )
 
 
@@ -222,6 +225,8 @@ def top_k(df: DataFrame, queries: Column, k: int = K, block_rows: int = BLOCK_RO
     all other rows of df(vec_id, embedding); ties go to the smaller vec_id.
 
     A repeated row is a row of its own, as a query and as a candidate. Shorter vectors count as padded with zeros.
+    Components beyond 2^63 / 1024 and scores beyond 64 bits count as the nearest number that has 64 bits. Vectors that
+    are null or hold what is null or not finite take no part; other columns, whatever their names, neither.
     Fewer candidates than k give as many ranks; an empty table gives none. Queries are sent to every block of the
     index, in blocks, and a block gives k rows a query at most."""
     rows = staged(integer_vectors(df).withColumn("row", F.monotonically_increasing_id()), "vectors")

@@ -7,6 +7,7 @@ comes before a data error or a cut end."""
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -15,11 +16,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import scratch, staged
+from grovekit.llm.common import filesystem, scratch, staged, tidied
 
 #: Payloads below this size are never written as revisits.
 REVISIT_BYTES = 1000
@@ -72,17 +72,22 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The header fields (names in lower case), the block and the end of the record at `at`; Damaged if a check fails."""
     if not _VERSION.match(data, at):
         raise (Short if len(data) - at < 10 else Damaged)("no version line")
-    fields, stop = {}, data.find(b"\r\n", at)
+    fields, name, stop = {}, "", data.find(b"\r\n", at)
     while True:
         line_at, stop = stop + 2, data.find(b"\r\n", stop + 2)
         if stop < 0:
             raise Short("header without an end")
         if stop == line_at:
             break
-        name, colon, value = data[line_at:stop].partition(b":")
-        if not colon:
+        line = data[line_at:stop].decode("utf-8", "replace")
+        if line[0] in " \t" and name:  # a folded line goes on with the field before
+            fields[name] = f"{fields[name]} {line.strip()}".strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
             raise Damaged("header line without a colon")
-        fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        fields[name] = value.strip()
     if not re.fullmatch(r"\d{1,15}", fields.get("content-length", "")):
         raise Damaged("no content length")
     begin = stop + 2
@@ -96,9 +101,14 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def _digest(fields: dict[str, str]) -> str | None:
-    """The block digest that a record can be checked by."""
+    """The block digest that a record can be checked by, in hexadecimal: SHA-1, written so or in base 32."""
     kind, _, want = fields.get("warc-block-digest", "").partition(":")
-    return want.lower() if kind.lower() == "sha1" and len(want) == 40 else None
+    if kind.strip().lower() != "sha1":
+        return None
+    want = want.strip()
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", want):
+        return want.lower()
+    return base64.b32decode(want.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", want) else None
 
 
 def _member(data: bytes, at: int) -> tuple[int, str | None, list[bytes] | None]:
@@ -257,7 +267,9 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, by
 def plan_revisits(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) with payload, payload_bytes, payload_digest and refers_to (null: a response).
 
-    Pages without an id are responses and nothing refers to them."""
+    Pages without an id are responses and nothing refers to them. A null page is an empty one. Repeated rows are
+    records of their own: those with the largest id of their payload are responses, the others revisits. Very long
+    pages and urls count whole; an empty table gives an empty one; other columns, whatever their names, play no part."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     found = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumns(
         {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload"), "_key": F.xxhash64("payload")}
@@ -277,7 +289,7 @@ def plan_revisits(pages: DataFrame) -> DataFrame:
 
 def _write(folder: str, archive_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(f"{base}/_staged", recursive=True)
         out, name, size, n = None, "", 0, 0
         done = []
@@ -305,16 +317,16 @@ def _write(folder: str, archive_bytes: int):
             [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["name", "bytes", "records"]
         )
 
-    return run
+    return tidied(run)
 
 
 def _publish(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         for batch in batches:
             for name in batch.column("name").to_pylist():
                 # a task that runs again finds what it has moved already
-                if fs.get_file_info(f"{base}/{name}").type == pa.fs.FileType.NotFound:
+                if fs.get_file_info(f"{base}/{name}").type.name == "NotFound":
                     fs.move(f"{base}/_staged/{name}", f"{base}/{name}")
             yield batch
 
@@ -324,7 +336,8 @@ def _publish(folder: str):
 def write_warc(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record per row of plan_revisits() to archives in folder, a URI that all executors reach; returns the
     table of archives. Each attempt of a task writes files of its own to a hidden folder; only those that the committed
-    table names are moved out of it, so a lost executor leaves no record twice."""
+    table names are moved out of it, so a lost executor leaves no record twice. A task holds one record at a time; an
+    empty table gives no archive."""
     planned = planned.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
     written = staged(planned.mapInArrow(_write(folder, archive_bytes), WRITTEN), "warc-written")
     return staged(written.mapInArrow(_publish(folder), WRITTEN), "warc-published")
@@ -364,7 +377,7 @@ def _read(with_payload: bool):
                 if part:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
 
-    return run
+    return tidied(run)
 
 
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
@@ -377,15 +390,17 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
 
 
 def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to archives and read back."""
+    """Every page written to archives and read back. Fails if the reader finds a gap or another number of records."""
     folder = scratch(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    write_warc(plan_revisits(pages), folder)
-    return (
-        read_warc(spark, folder, with_payload=False)
-        .filter("gap_reason is null")
-        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    )
+    written = write_warc(plan_revisits(pages), folder).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if not written:
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = staged(read_warc(spark, folder, with_payload=False).drop("payload", "url"), "warc-read")
+    read, gaps = found.agg(F.count_if(F.col("gap_reason").isNull()), F.count_if(F.col("gap_reason").isNotNull())).first()
+    if gaps or read != written:
+        raise RuntimeError(f"{written} records were written to {folder}; {read} and {gaps} gaps were read")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """
