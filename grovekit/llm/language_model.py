@@ -1,13 +1,17 @@
 """A language model in an Elias-Fano n-gram trie.
 
-Level 1 holds the words (by 64-bit hash), level k the k-grams that occur twice or more, each as the place of its first
-k-1 words in the level before and the number of its last word. A level's entries are monotone and stored in
-Elias-Fano form: low bits packed, high bits in unary with a directory for select. An entry is found by the successor
-search of its context's range. Beside each entry stand its discounted probability and the weight that its own
-successors leave to the shorter context, on a grid of 16 bits. Levels are files that scorers map into memory.
-
+Level 1 holds the words (by 64-bit hash), level k the k-grams that occur `least` times or more, in the order of the
+place that their first k-1 words have in the level before, and of the number of their last word. Beside each entry of a
+level stands a pointer to where its successors begin in the next one. Pointers are monotone and stored in Elias-Fano
+form (low bits packed, high bits in unary with a directory for select). So are the entries: a word number relative to
+its context, made monotone by the place where the context's successors begin. An entry is found by its context's range
+and the successor search within it; a context without successors needs no search. Beside each entry stand its discounted
+probability and the weight that its own successors leave to the shorter context, on a grid of 16 bits.
+
+A level lies in parts, each a stretch of that order, which scorers map into memory. The number of parts follows the
+size of the corpus, and stretches have about equally many tokens; a very frequent context is split between parts.
 Counts are made level by level: a k-gram is counted only where both its (k-1)-grams are in the level before, which
-loses none that occurs twice. Each task combines its own counts and sends one packed piece to each bucket."""
+loses none that occurs `least` times. Each task combines its own counts and sends one packed piece to each part."""
 
 from __future__ import annotations
 
@@ -16,27 +20,29 @@ import io
 import os
 import tempfile
 import urllib.parse
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, fold, scratch, staged
+from grovekit.llm.common import documents, filesystem, fold, scratch, staged, tidied
 from grovekit.llm.hashing import blocks, mix, word_hashes
 
 ORDER = 3
 DISCOUNT = 0.6
+#: How often a bigram or trigram occurs at least to be kept, unless a caller says otherwise. 1 keeps all.
 LEAST_COUNT = 2
 #: Steps of a quantised logarithm to the base 10; values are rounded down, so that no sum exceeds 1.
 STEPS = 6000
 #: Tokens whose n-grams a task holds before it combines their counts.
-HELD_TOKENS = 4_000_000
+HELD_TOKENS = 2_000_000
 #: Tokens that are looked up together, about.
 RUN_TOKENS = 600_000
-BUCKETS = 48
+#: Bytes of text for each part of a level, about, and parts at least.
+PART_BYTES, LEAST_PARTS = 16 << 20, 16
 _U = np.uint64
 END = int(mix(np.array([0x656E64], _U))[0])
 _NONE = np.iinfo(np.int64).max
@@ -46,7 +52,7 @@ _NONE = np.iinfo(np.int64).max
 
 
 class EliasFano:
-    """A monotone sequence of distinct unsigned 64-bit integers below `top`."""
+    """A monotone sequence of unsigned 64-bit integers below `top`; distinct ones where find() is used."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.l, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
@@ -79,20 +85,35 @@ class EliasFano:
         x = (self.low[word] >> shift) | np.where(shift > 0, self.low[word + 1] << ((_U(64) - shift) & _U(63)), _U(0))
         return x & _U((1 << self.l) - 1)
 
-    def select0(self, h: np.ndarray) -> np.ndarray:
-        """Where the h-th zero (from 0) of the high bits stands."""
-        word = np.searchsorted(self.zeros, h.astype(self.zeros.dtype), "right")
-        need = h - np.where(word > 0, self.zeros[np.maximum(word - 1, 0)], 0).astype(np.int64)
-        left = ~self.high[word]
-        # the need-th set bit of the word, by halves
-        base = np.zeros(len(h), np.int64)
+    @staticmethod
+    def _in_word(word: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Where the need-th set bit of each word stands, by halves."""
+        base = np.zeros(len(need), np.int64)
         for half in (32, 16, 8, 4, 2, 1):
-            n = np.bitwise_count(left & _U((1 << half) - 1)).astype(np.int64)
+            n = np.bitwise_count(word & _U((1 << half) - 1)).astype(np.int64)
             skip = n <= need
             need = np.where(skip, need - n, need)
             base += skip * half
-            left = np.where(skip, left >> _U(half), left & _U((1 << half) - 1))
-        return (word << 6) + base
+            word = np.where(skip, word >> _U(half), word & _U((1 << half) - 1))
+        return base
+
+    def select0(self, h: np.ndarray) -> np.ndarray:
+        """Where the h-th zero (from 0) of the high bits stands."""
+        word = np.searchsorted(self.zeros, h.astype(self.zeros.dtype), "right")
+        need = h - np.where(word > 0, self.zeros[np.maximum(word - 1, 0)], 0).astype(np.int64)
+        return (word << 6) + self._in_word(~self.high[word], need)
+
+    @functools.cached_property
+    def ones(self) -> np.ndarray:
+        """How many ones stand in the high bits up to the end of each word; for access() alone."""
+        return ((np.arange(1, len(self.zeros) + 1, dtype=np.int64) << 6) - self.zeros).astype(self.zeros.dtype)
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places i."""
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right")
+        need = i - np.where(word > 0, self.ones[np.maximum(word - 1, 0)], 0).astype(np.int64)
+        high = (word << 6) + self._in_word(self.high[word], need) - i
+        return (high << self.l) + self.low_at(i).astype(np.int64)
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, or -1: the first entry of the range of its high bits that is not below it."""
@@ -131,18 +152,18 @@ class EliasFano:
 
 def _put(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Writes <name>.<array>.npy files; a task that runs again writes the same bytes."""
-    fs, base = pa.fs.FileSystem.from_uri(folder)
+    fs, base = filesystem(folder)
     fs.create_dir(base, recursive=True)
     for key, a in arrays.items():
         out = io.BytesIO()
         np.save(out, a)
-        path = f"{base}/{name}.{key}.npy"
-        with fs.open_output_stream(f"{path}.{os.getpid()}") as f:
+        path, own = f"{base}/{name}.{key}.npy", f"{base}/{name}.{key}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as f:
             f.write(out.getbuffer())
-        fs.move(f"{path}.{os.getpid()}", path)
+        fs.move(own, path)
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=30_000)
 def _get(folder: str, name: str) -> np.ndarray:
     """A file mapped into memory; where the folder is no mounted one, a copy of it on the executor."""
     if folder.startswith("file:"):
@@ -150,10 +171,11 @@ def _get(folder: str, name: str) -> np.ndarray:
     else:
         path = os.path.join(tempfile.gettempdir(), f"{urllib.parse.quote(folder, safe='')}-{name}.npy")
         if not os.path.exists(path):
-            fs, base = pa.fs.FileSystem.from_uri(folder)
-            with fs.open_input_stream(f"{base}/{name}.npy") as f, open(f"{path}.{os.getpid()}", "wb") as g:
+            fs, base = filesystem(folder)
+            own = f"{path}.{uuid.uuid4().hex}"
+            with fs.open_input_stream(f"{base}/{name}.npy") as f, open(own, "wb") as g:
                 g.write(f.read())
-            os.replace(f"{path}.{os.getpid()}", path)
+            os.replace(own, path)
     return np.load(path, mmap_mode="r").view(np.ndarray)
 
 
@@ -168,60 +190,109 @@ _TABLE = np.append(10.0 ** (-np.arange(65535) / STEPS), 0.0)
 
 
 class Trie:
-    """The model in `folder`; every level in `buckets` parts."""
-
-    def __init__(self, folder: str, buckets: int, sizes: list[list[int]], tokens: int, starts: int):
-        self.folder, self.buckets, self.sizes, self.tokens, self.starts = folder, buckets, sizes, tokens, starts
-        self.vocabulary = sum(sizes[0]) if sizes else 0
-        self.offsets = [np.concatenate([[0], np.cumsum(s)]).astype(np.int64) for s in sizes]
+    """The model in `folder`; every level in `parts` parts. What the driver sends to tasks is a few numbers for each part:
+    how many entries a part of a level has (sizes) and how many tokens they count (mass), the first entry of each
+    (firsts), and where the successors of a part's entries begin in the next level (begins)."""
+
+    def __init__(self, folder: str, parts: int, least: int):
+        self.folder, self.parts, self.least = folder, parts, least
+        self.sizes: list[list[int]] = []
+        self.mass: list[np.ndarray] = []
+        self.firsts: list[np.ndarray] = []
+        self.begins: list[np.ndarray] = []
+        self.offsets: list[np.ndarray] = []
+        self.vocabulary = self.tokens = self.starts = 0
+
+    def add_level(self, found: dict[int, tuple[int, int, int]]) -> None:
+        """A level of parts with (entries, tokens, first entry's value)."""
+        self.sizes = [*self.sizes, [found.get(b, (0, 0, 0))[0] for b in range(self.parts)]]
+        self.mass = [*self.mass, np.concatenate([[0], np.cumsum([found.get(b, (0, 0, 0))[1] for b in range(self.parts)])]).astype(np.int64)]
+        self.offsets = [*self.offsets, np.concatenate([[0], np.cumsum(self.sizes[-1])]).astype(np.int64)]
+        firsts = [found[b][2] if self.sizes[-1][b] else None for b in range(self.parts)]
+        after = 2**64 - 1
+        for b in reversed(range(self.parts)):  # an empty part begins where the next one does
+            after = firsts[b] = after if firsts[b] is None else firsts[b]
+        self.firsts = [*self.firsts, np.array(firsts, _U)]
 
     def array(self, level: int, part: int, key: str) -> np.ndarray:
         return _get(self.folder, f"{level}-{part}.{key}")
 
-    @functools.cache
-    def coded(self, level: int, part: int) -> EliasFano:
-        head = self.array(level, part, "head")
-        return EliasFano(int(head[0]), int(head[1]), *(self.array(level, part, k) for k in ("low", "high", "zeros")))
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "opened"}
 
-    def bucket(self, level: int, values: np.ndarray) -> np.ndarray:
-        """Words lie in buckets by the high bits of their hash, so that all levels keep one order; n-grams by a mix
-        of theirs, so that a frequent context is spread."""
-        if level == 1:
-            return ((values >> _U(32)) * _U(self.buckets) >> _U(32)).astype(np.uint16)
-        return (mix(values) % _U(self.buckets)).astype(np.uint16)
+    def coded(self, level: int, part: int, prefix: str = "") -> EliasFano:
+        opened = self.__dict__.setdefault("opened", {})
+        if (level, part, prefix) not in opened:
+            head = self.array(level, part, f"{prefix}head")
+            opened[level, part, prefix] = EliasFano(int(head[0]), int(head[1]), *(self.array(level, part, prefix + k) for k in ("low", "high", "zeros")))
+        return opened[level, part, prefix]
 
-    def entry(self, level: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The value that stands for a k-gram: its context's place and, relative to that, its last word's number."""
+    def value(self, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """What a k-gram is sorted by: its context's place, and its last word's number."""
         return parents.astype(_U) * _U(self.vocabulary + 1) + words.astype(_U)
 
-    def top(self, level: int) -> int:
-        return 1 << 64 if level == 1 else (sum(self.sizes[level - 2]) + 1) * (self.vocabulary + 1)
+    def part_of(self, level: int, values: np.ndarray) -> np.ndarray:
+        """The part of each of the sorted values while a level is counted. Words: by the high bits of their hash. n-grams:
+        by how many tokens the contexts before theirs count and, of their own context's, by the word's number."""
+        if level == 1:
+            return ((values >> _U(32)) * _U(self.parts) >> _U(32)).astype(np.int64)
+        parents, words = (values // _U(self.vocabulary + 1)).astype(np.int64), (values % _U(self.vocabulary + 1)).astype(float)
+        before, own = np.full(len(parents), float(self.tokens)), np.full(len(parents), float(self.starts))
+        if (inside := np.flatnonzero(parents < self.offsets[level - 2][-1])).size:
+            before[inside], own[inside] = self.read(level - 1, parents[inside], "before"), self.read(level - 1, parents[inside], "counts")
+            owner = np.searchsorted(self.offsets[level - 2], parents[inside], "right") - 1
+            before[inside] += self.mass[level - 2][owner]
+        total = float(self.mass[level - 2][-1] + (self.starts if level == 2 else 0))
+        return np.minimum((before + own * (words / max(1, self.vocabulary))) / max(total, 1.0) * self.parts, self.parts - 1).astype(np.int64)
+
+    def _by_part(self, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(part.astype(np.uint16) if self.parts < 65536 else part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(self.parts + 2))
+        for b in np.flatnonzero(np.diff(edges)):
+            yield int(b), order[edges[b] : edges[b + 1]]
+
+    def words(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of words in level 1, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        for b, at in self._by_part(self.part_of(1, hashes)):
+            if self.sizes[0][b]:
+                found = self.coded(1, b).find(hashes[at])
+                out[at] = np.where(found >= 0, found + self.offsets[0][b], -1)
+        return out
 
-    def find(self, level: int, values: np.ndarray) -> np.ndarray:
-        """Places in the level, or -1."""
-        out = np.full(len(values), -1, np.int64)
-        part = self.bucket(level, values)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            at = order[edges[b] : edges[b + 1]]
-            if len(at) and self.sizes[level - 1][b]:
-                found = self.coded(level, b).find(values[at])
-                out[at] = np.where(found >= 0, found + self.offsets[level - 1][b], -1)
+    def successors(self, level: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the successors of the entries at `places` begin and end in the next level, by the level's pointers."""
+        distinct, back = np.unique(places, return_inverse=True)
+        begin, end = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        owner = np.searchsorted(self.offsets[level - 1], distinct, "right") - 1  # the start of a text comes after all words
+        for b, at in self._by_part(owner):
+            pointers, first = self.coded(level, b, "to-"), distinct[at] - self.offsets[level - 1][b]
+            begin[at], end[at] = pointers.access(first) + self.begins[level - 1][b], pointers.access(first + 1) + self.begins[level - 1][b]
+        return begin[back], end[back]
+
+    def find(self, level: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The places of k-grams in their level, or -1, by their contexts' ranges."""
+        out = np.full(len(parents), -1, np.int64)
+        begin, end = self.successors(level - 1, parents)
+        some = np.flatnonzero(end > begin)
+        part = np.searchsorted(self.firsts[level - 1], self.value(parents[some], words[some]), "right") - 1
+        some, part = some[part >= 0], part[part >= 0]
+        first = np.maximum(begin[some] - self.offsets[level - 1][part], 0)
+        inside = first < np.diff(self.offsets[level - 1])[part]
+        some, part, first = some[inside], part[inside], first[inside]
+        relative = first.astype(_U) * _U(self.vocabulary + 1) + words[some].astype(_U)
+        for b, at in self._by_part(part):
+            found = self.coded(level, b).find(relative[at])
+            out[some[at]] = np.where(found >= 0, found + self.offsets[level - 1][b], -1)
         return out
 
     def read(self, level: int, places: np.ndarray, key: str) -> np.ndarray:
         """What stands beside the entries at `places` (all found)."""
-        part = (np.searchsorted(self.offsets[level - 1], places, "right") - 1).astype(np.uint16)
         out = None
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            at = order[edges[b] : edges[b + 1]]
-            if len(at):
-                values = self.array(level, b, key)[places[at] - self.offsets[level - 1][b]]
-                out = np.zeros(len(places), values.dtype) if out is None else out
-                out[at] = values
+        for b, at in self._by_part(np.searchsorted(self.offsets[level - 1], places, "right") - 1):
+            values = self.array(level, b, key)[places[at] - self.offsets[level - 1][b]]
+            out = np.zeros(len(places), values.dtype) if out is None else out
+            out[at] = values
         return np.zeros(0, np.int64) if out is None else out
 
 
@@ -253,18 +324,18 @@ def grams(trie: Trie, order: int, tokens: np.ndarray, begin: np.ndarray) -> tupl
     """Where each token's k-gram (that ends with it) stands in level k, for k from 1 to order, or -1; and the counts of
     the words. The start of a text stands before its first token as a word of its own."""
     distinct, inverse = np.unique(tokens, return_inverse=True)
-    found = trie.find(1, distinct)
+    found = trie.words(distinct)
     counts = np.zeros(len(distinct), np.int64)
     if (hit := found >= 0).any():
         counts[hit] = trie.read(1, found[hit], "counts")
     words, counts = found[inverse], counts[inverse]
-    common = counts >= LEAST_COUNT
+    common = counts >= trie.least
     places = [words]
     for k in range(2, order + 1):
         before = preceding(trie, k, places[-1], begin)
         place = np.full(len(tokens), -1, np.int64)
         usable = np.flatnonzero((before >= 0) & common)
-        place[usable] = trie.find(k, trie.entry(k, before[usable], words[usable]))
+        place[usable] = trie.find(k, before[usable], words[usable])
         places.append(place)
     return places, counts
 
@@ -276,19 +347,18 @@ def preceding(trie: Trie, k: int, places: np.ndarray, begin: np.ndarray) -> np.n
     return before
 
 
-PACKED = "bucket long, keys binary, counts binary"
+PACKED = "part long, keys binary, counts binary"
 
 
 def _pack(trie: Trie, level: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket. Sorted keys go as differences, so that the exchange's compression has something to do."""
-    part = trie.bucket(level, keys)
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(trie.buckets + 1))
-    rows = [(b, order[edges[b] : edges[b + 1]]) for b in range(trie.buckets) if edges[b + 1] > edges[b]]
+    """A row for each part. Sorted keys go as differences, so that the exchange's compression has something to do."""
+    part = trie.part_of(level, keys)
+    edges = np.searchsorted(part, np.arange(trie.parts + 1))
+    rows = [(b, slice(edges[b], edges[b + 1])) for b in range(trie.parts) if edges[b + 1] > edges[b]]
     packed = [_narrow(np.diff(keys[o], prepend=_U(0))) for _, o in rows]
     return pa.RecordBatch.from_arrays(
         [pa.array([b for b, _ in rows], pa.int64()), pa.array(packed, pa.binary()), pa.array([_narrow(counts[o].astype(_U)) for _, o in rows], pa.binary())],
-        ["bucket", "keys", "counts"],
+        ["part", "keys", "counts"],
     )
 
 
@@ -321,8 +391,8 @@ def _count(trie: Trie, level: int):
                     places, counts = grams(trie, level - 1, tokens, begin)
                     words, context = places[0], preceding(trie, level, places[-1], begin)
                     # the (k-1)-gram that ends with the token must be known too
-                    usable = (context >= 0) & (places[-1] >= 0) & (counts >= LEAST_COUNT)
-                    keys = trie.entry(level, context[usable], words[usable])
+                    usable = (context >= 0) & (places[-1] >= 0) & (counts >= trie.least)
+                    keys = trie.value(context[usable], words[usable])
                 held.append(keys)
                 n += len(keys)
                 if n >= HELD_TOKENS:
@@ -331,98 +401,103 @@ def _count(trie: Trie, level: int):
         if n:
             yield flush()
 
-    return run
+    return tidied(run)
 
 
 def _merge(trie: Trie, level: int):
-    """Counts of a bucket; its entries as a file; and for the contexts what their entries take, by context bucket."""
+    """Counts of a part; its entries as a file; and for the contexts how many entries they have and what these take, by the
+    context's part."""
 
     def run(part: pa.Table) -> pa.Table:
-        bucket = part.column("bucket")[0].as_py()
+        number = part.column("part")[0].as_py()
         keys = np.concatenate([np.cumsum(_widen(x.as_py()), dtype=_U) for x in part.column("keys")])
         counts = np.concatenate([_widen(x.as_py()) for x in part.column("counts")]).astype(np.int64)
         keys, back = np.unique(keys, return_inverse=True)
         counts = np.bincount(back, counts).astype(np.int64)
-        total = int(counts.sum())
-        if level > 1:
-            keep = counts >= LEAST_COUNT
+        tokens, rows = int(counts.sum()), []
+        if level == 1:
+            arrays = EliasFano.of(keys, 1 << 64).save()
+        else:
+            keep = counts >= trie.least
             keys, counts = keys[keep], counts[keep]
-        arrays = EliasFano.of(keys, trie.top(level)).save() | {"counts": counts}
-        if level > 1:
+            tokens = int(counts.sum())
             context = (keys // _U(trie.vocabulary + 1)).astype(np.int64)
-            if level == 2:
-                whole = np.full(len(keys), trie.starts, np.int64)
-                inside = context < trie.vocabulary
-                if inside.any():
-                    whole[inside] = trie.read(1, context[inside], "counts")
-            else:
-                whole = trie.read(level - 1, context, "counts") if len(keys) else np.zeros(0, np.int64)
-            arrays["share"] = _grid((counts - DISCOUNT) / np.maximum(whole, 1))
-            places, at = np.unique(context, return_inverse=True)
-            taken = np.bincount(at, (counts - DISCOUNT) / np.maximum(whole, 1)) if len(keys) else np.zeros(0)
-            owner = np.minimum(np.searchsorted(trie.offsets[level - 2], places, "right") - 1, trie.buckets)
-            edges = np.searchsorted(owner, np.arange(trie.buckets + 2))
-            rows = [(b, places[edges[b] : edges[b + 1]].tobytes(), taken[edges[b] : edges[b + 1]].tobytes()) for b in range(trie.buckets + 1) if edges[b + 1] > edges[b]]
-        else:
-            rows = []
-        _put(trie.folder, f"{level}-{bucket}", arrays)
-        rows.append((-1 - bucket, b"", b""))
-        return pa.table(
-            {
-                "owner": pa.array([r[0] for r in rows], pa.int64()),
-                "places": pa.array([r[1] for r in rows], pa.binary()),
-                "taken": pa.array([r[2] for r in rows], pa.binary()),
-                "entries": pa.array([0] * (len(rows) - 1) + [len(keys)], pa.int64()),
-                "total": pa.array([0] * (len(rows) - 1) + [total], pa.int64()),
-            }
-        )
+            places, begin, at, entries = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
+            relative = begin[at].astype(_U) * _U(trie.vocabulary + 1) + keys % _U(trie.vocabulary + 1)
+            arrays = EliasFano.of(relative, max(1, len(keys)) * (trie.vocabulary + 1)).save()
+            whole = np.full(len(places), trie.starts, np.int64)
+            if (inside := np.flatnonzero(places < trie.offsets[level - 2][-1])).size:
+                whole[inside] = trie.read(level - 1, places[inside], "counts")
+            share = (counts - DISCOUNT) / np.maximum(whole, 1)[at]
+            arrays["share"] = _grid(share)
+            taken = np.bincount(at, share, minlength=len(places))
+            owner = np.searchsorted(trie.offsets[level - 2], places, "right") - 1
+            edges = np.searchsorted(owner, np.arange(trie.parts + 2))
+            rows = [(b, *(x[edges[b] : edges[b + 1]].tobytes() for x in (places, taken, entries.astype(np.int64))), 0, 0, 0) for b in range(trie.parts + 1) if edges[b + 1] > edges[b]]
+        arrays |= {"counts": counts, "before": np.cumsum(counts) - counts}
+        _put(trie.folder, f"{level}-{number}", arrays)
+        first = int(keys[:1].view(np.int64)[0]) if len(keys) else 0
+        rows.append((-1 - number, b"", b"", b"", len(keys), tokens, first))
+        names = ("owner", "places", "taken", "successors", "entries", "tokens", "first")
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
 
     run.__annotations__ = {"part": pa.Table, "return": pa.Table}
     return run
 
 
 def _leave(trie: Trie, level: int):
-    """The weight that the successors of a bucket's entries leave to the shorter context, as a file."""
+    """For the entries of a part of `level`: the weight that their successors leave to the shorter context, and the pointers
+    to where these begin, as files. A row (owner, successors)."""
 
     def run(part: pa.Table) -> pa.Table:
         owner = part.column("owner")[0].as_py()
-        places = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in part.column("places")])
-        taken = np.concatenate([np.frombuffer(x.as_py(), float) for x in part.column("taken")])
-        n = trie.sizes[level - 1][owner] if owner < trie.buckets else 1
-        first = trie.offsets[level - 1][owner]
-        sums = np.bincount(places - first, taken, minlength=n)
-        _put(trie.folder, f"{level}-{owner}", {"left": _grid(np.maximum(1.0 - sums, 0.0))})
-        return pa.table({"owner": pa.array([owner], pa.int64())})
+        column = lambda name, t: np.concatenate([np.frombuffer(x.as_py(), t) for x in part.column(name)])
+        places = column("places", np.int64)
+        n = trie.sizes[level - 1][owner] if owner < trie.parts else 1
+        at = places - trie.offsets[level - 1][owner]
+        taken = np.bincount(at, column("taken", float), minlength=n)
+        pointers = np.concatenate([[0], np.cumsum(np.bincount(at, column("successors", np.int64), minlength=n))]).astype(_U)
+        _put(trie.folder, f"{level}-{owner}", {"left": _grid(np.maximum(1.0 - taken, 0.0))} | _pointers(pointers))
+        return pa.table({"owner": pa.array([owner], pa.int64()), "successors": pa.array([int(pointers[-1])], pa.int64())})
 
     run.__annotations__ = {"part": pa.Table, "return": pa.Table}
     return run
 
 
-MERGED = "owner long, places binary, taken binary, entries long, total long"
+def _pointers(values: np.ndarray) -> dict[str, np.ndarray]:
+    return {f"to-{k}": v for k, v in EliasFano.of(values, int(values[-1]) + 1).save().items()}
+
 
+MERGED = "owner long, places binary, taken binary, successors binary, entries long, tokens long, first long"
 
-def build(texts: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> Trie:
-    """A model of the texts in df(text). The driver holds a number for each bucket and level."""
+
+def build(texts: DataFrame, order: int = ORDER, parts: int | None = None, least: int = LEAST_COUNT) -> Trie:
+    """A model of the texts in df(text), of n-grams that occur `least` times or more (1: all; words always are).
+
+    A null text is an empty one, which is an end alone. Repeated rows count each; very long texts count whole; other
+    columns play no part. From an empty table comes a model that knows no word. Without `parts` their number follows the
+    size of the texts. The driver holds a few numbers for each part and level."""
     spark = texts.sparkSession
-    folder = scratch(spark, "trie")
     texts = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    trie = Trie(folder, buckets, [], 0, 0)
-    sizes: list[list[int]] = []
+    starts, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    trie = Trie(scratch(spark, "trie"), parts or max(LEAST_PARTS, -(-size // PART_BYTES)), least)
+    trie.starts = starts
     for level in range(1, order + 1):
         packed = texts.mapInArrow(_count(trie, level), PACKED)
-        merged = staged(packed.groupBy("bucket").applyInArrow(_merge(trie, level), MERGED), f"trie-level-{level}")
-        found = {-1 - r["owner"]: (r["entries"], r["total"]) for r in merged.filter("owner < 0").select("owner", "entries", "total").collect()}
-        sizes.append([found.get(b, (0, 0))[0] for b in range(buckets)])
+        merged = staged(packed.groupBy("part").applyInArrow(_merge(trie, level), MERGED), f"trie-level-{level}")
+        found = {-1 - r["owner"]: (r["entries"], r["tokens"], r["first"] % 2**64) for r in merged.filter("owner < 0").select("owner", "entries", "tokens", "first").collect()}
         if level == 1:
-            starts = texts.count()
-            trie = Trie(folder, buckets, [*sizes], sum(t for _, t in found.values()), starts)
+            trie.tokens, trie.vocabulary = sum(t for _, t, _ in found.values()), sum(n for n, _, _ in found.values())
         else:
-            left = merged.filter("owner >= 0").groupBy("owner").applyInArrow(_leave(trie, level - 1), "owner long")
-            have = {r[0] for r in left.collect()}
-            spare = [b for b in range(buckets + (level == 2)) if b not in have and (b == buckets or sizes[level - 2][b])]
-            for b in spare:  # parts none of whose entries has a successor: no weight is taken
-                _put(folder, f"{level - 1}-{b}", {"left": np.zeros(sizes[level - 2][b] if b < buckets else 1, np.uint16)})
-            trie = Trie(folder, buckets, [*sizes], trie.tokens, trie.starts)
+            left = merged.filter("owner >= 0").groupBy("owner").applyInArrow(_leave(trie, level - 1), "owner long, successors long")
+            have = {r[0]: r[1] for r in left.collect()}
+            for b in range(trie.parts + (level == 2)):
+                n = trie.sizes[level - 2][b] if b < trie.parts else 1
+                if b not in have and n:  # none of the part's entries has a successor: no weight is taken
+                    _put(trie.folder, f"{level - 1}-{b}", {"left": np.zeros(n, np.uint16)} | _pointers(np.zeros(n + 1, _U)))
+            trie.begins = [*trie.begins, np.concatenate([[0], np.cumsum([have.get(b, 0) for b in range(trie.parts + 1)])]).astype(np.int64)]
+        trie.add_level(found)
     return trie
 
 
@@ -433,7 +508,7 @@ def _lefts(trie: Trie, level: int, places: np.ndarray) -> np.ndarray:
     out = np.zeros(len(places), np.uint16)
     start = (places == trie.vocabulary) if level == 1 else np.zeros(len(places), bool)
     if start.any():
-        out[start] = trie.array(1, trie.buckets, "left")[0]
+        out[start] = trie.array(1, trie.parts, "left")[0]
     if not start.all():
         out[~start] = trie.read(level, places[~start], "left")
     return _TABLE[out]
@@ -470,13 +545,14 @@ def _score(trie: Trie, order: int):
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return run
+    return tidied(run)
 
 
 def score_texts(docs: DataFrame, trie: Trie, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of df(doc_id, text, held_out).
 
-    A null or empty text is an end alone. Repeated rows score alike; other columns play no part."""
+    A null or empty text is an end alone. Repeated rows score alike; very long texts are scored whole; an empty table gives
+    an empty table; other columns play no part."""
     body = docs.select("doc_id", "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return body.mapInArrow(_score(trie, order), schema)

@@ -75,7 +75,7 @@ def test_toxicity_of_given_documents(spark):
     assert auc > 0.85 and caught / len(pos) > 0.7 and caught / called > 0.95
 
 
-def brute_model(texts, d=0.6):
+def brute_model(texts, d=0.6, least=2):
     counts = collections.Counter()
     tok = [[*(w.decode() for w in (t or "").encode().lower().split()), "</e>"] for t in texts]
     for t in tok:
@@ -84,7 +84,7 @@ def brute_model(texts, d=0.6):
         for k in (2, 3):
             counts.update(tuple(s[j : j + k]) for j in range(len(s) - k + 1))
     n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
-    kept = {g: c for g, c in counts.items() if len(g) > 1 and c >= 2}
+    kept = {g: c for g, c in counts.items() if len(g) > 1 and c >= least}
     whole = lambda h: len(texts) if h == ("<s>",) else counts[h] if len(h) == 1 else kept.get(h, 0)
     taken = collections.Counter()
     for g, c in kept.items():
@@ -100,21 +100,23 @@ def brute_model(texts, d=0.6):
     return p, n, {g[0] for g in counts if len(g) == 1}
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("parts, least", [(5, 2), (1, 1), (23, 1), (None, 3)])
+def test_language_model(spark, parts, least):
     from grovekit.llm.language_model import build, score_texts
 
-    texts = [t for _, t in corpus(200)[0]] + [None, "", "once ONLY", "once only"]
+    texts = [t for _, t in corpus(200)[0]] + [None, "", "once ONLY", "once only"] + ["the same words " * 3] * 4
     train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    asked = [*texts[:20], None, "", "unseen words w1 w2 w1 w2", "w1 " * 3000]
+    asked = [*texts[:20], None, "", "unseen words w1 w2 w1 w2", "w1 " * 3000, "the same words the same"]
     docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(asked)], "doc_id long, text string, held_out boolean")
-    p, n, known = brute_model(texts)
-    for r in score_texts(docs, build(train, buckets=5)).collect():
+    p, n, known = brute_model(texts, least=least)
+    for r in score_texts(docs, build(train, parts=parts, least=least)).collect():
         t = [*(w.decode() for w in (asked[r["doc_id"]] or "").encode().lower().split()), "</e>"]
         s = ["<s>", *t]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in known for w in t), n)
         assert r["base_score"] == pytest.approx(sum(math.log10(p((w,))) for w in t), rel=1e-9)
         assert r["score"] == pytest.approx(sum(math.log10(p(tuple(s[max(0, j - 2) : j + 1]))) for j in range(1, len(s))), abs=0.0006 * len(t) + 1e-6)
-    assert score_texts(docs.limit(0), build(train.limit(0), buckets=2)).count() == 0
+    assert score_texts(docs.limit(0), build(train.limit(0), parts=2)).count() == 0
+    assert {r["score"] for r in score_texts(docs, build(train.limit(0), parts=2)).collect()} == {r["base_score"] for r in score_texts(docs, build(train.limit(0), parts=2)).collect()}
 
 
 def test_elias_fano():
@@ -126,7 +128,10 @@ def test_elias_fano():
         e, q = EliasFano.of(v, top), rng.integers(0, top, 2000, dtype=np.uint64)
         assert (e.find(v) == np.arange(len(v))).all()
         assert (e.find(q) == np.where(np.isin(q, v), np.searchsorted(v, q), -1)).all()
+        assert (e.access(np.arange(len(v))).astype(np.uint64) == v).all()
     assert (EliasFano.of(np.empty(0, np.uint64), 10).find(q) == -1).all()
+    steps = np.cumsum(rng.integers(0, 3, 3000) * rng.integers(0, 2, 3000)).astype(np.uint64)  # with equal neighbours
+    assert (EliasFano.of(steps, int(steps[-1]) + 1).access(np.arange(3000)).astype(np.uint64) == steps).all()
 
 
 def test_salvage():
