@@ -9,30 +9,21 @@ cases. What is found is then checked by exact containment of the template's shin
 from __future__ import annotations
 
 import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.llm.common import documents
+from grovekit.llm.license_texts import TEMPLATES
 
 SHINGLE = 5
 CONTAINED = 0.8
 MISS = 1e-4
+TEMPLATE_ROWS = 100_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK = 4
 
-# Notices of public licences.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "mit": "Released under the MIT License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
-    "mpl-2.0": "subject to the terms of the Mozilla Public License, v. 2.0.",
-    "lgpl": "under the terms of the GNU Lesser General Public License",
-    "bsd": "Redistribution and use in source and binary forms, with or without",
-}
-
-
 def shingled(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _SEPARATORS), "")
 
@@ -69,9 +60,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
     """A row per document and template found: doc_id, template_id, containment (the most of any window, as a share),
     n_windows.
 
-    Null and empty texts and those of fewer words than a shingle have no row. Repeated rows count their windows
-    together, as do texts that share an id; a null id is an id. The templates are a list in the program, so their
-    bands are small whatever the corpus."""
+    Null and empty texts and those of fewer words than a shingle have no row, and an empty table none. Repeated rows
+    count their windows together, as do texts that share an id; a null id is an id. Very long texts are scanned whole;
+    other columns, whatever their names, play no part. Templates of fewer words than a shingle can't be looked up and are
+    refused. Templates are a list in the program; beyond TEMPLATE_ROWS bands or shingles their tables are not broadcast."""
+    short = [k for k, v in templates.items() if len(re.sub(_SEPARATORS, " ", v.lower()).split()) < SHINGLE]
+    if short:
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(short)}")
     spark = docs.sparkSession
     table = [r.asDict() for r in template_table(spark, templates).collect()]
     classes: dict[int, list[dict]] = {}
@@ -120,12 +115,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
     hits = blocks.select("doc_id", "block", "context", F.explode(F.concat(*[values(s) for s in sorted(classes)])).alias("f"))
     known = spark.createDataFrame(rows, "s int, band int, value long, template_id string")
     exact = spark.createDataFrame([(t["template_id"], t["shingles"]) for t in table], "template_id string, shingles array<string>")
+    small = F.broadcast if max(len(rows), sum(t["m"] for t in table)) <= TEMPLATE_ROWS else lambda df: df
     pairs = (
         hits.select("doc_id", "block", "context", "f.*")
-        .join(F.broadcast(known), ["s", "band", "value"])
+        .join(small(known), ["s", "band", "value"])
         .select("doc_id", "s", "start", "template_id", (F.col("start") - F.col("block") * BLOCK).alias("skip"), "context")
         .distinct()
-        .join(F.broadcast(exact), "template_id")
+        .join(small(exact), "template_id")
     )
     size = F.when(F.col("s") == 1, 1).otherwise(2 * F.col("s"))
     count = F.least(size, F.size("context") - F.col("skip") - SHINGLE + 1)

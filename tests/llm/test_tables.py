@@ -247,7 +247,43 @@ def test_licenses(spark, docs, none):
     assert {(r["doc_id"], r["template_id"]) for r in scan_licenses(df, TEMPLATES).collect()} == {(1, "apache-2.0"), (2, "cc-by-nc-4.0"), (5, "mit")}
     assert scan_licenses(none, TEMPLATES).count() == 0 and scan_licenses(docs, TEMPLATES).count() == 0
     assert scan_licenses(df, {}).count() == 0
+    with pytest.raises(ValueError):
+        scan_licenses(df, {"x": "MIT License"})
     for m in range(1, 40):  # the chance of a miss at the least containment
         s = class_of(m)
         held = -(-8 * m // 10)
         assert s == 1 or (1 - held / (2 * s + m - held)) ** bands_for(m, s) <= 1e-4
+
+
+def test_whole_license_texts(spark):
+    """Every template's own text, one with some words changed and a part of it, against brute force."""
+    from grovekit.llm.licenses import CONTAINED, SHINGLE, TEMPLATES, class_of, scan_licenses
+
+    rng = np.random.default_rng(2)
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w]
+    rows = []
+    for text in TEMPLATES.values():
+        w = words(text)
+        changed = list(w)
+        for k in rng.integers(0, len(w), max(1, len(w) // 60)):
+            changed[k] = "other"
+        filler = [f"f{k}" for k in rng.integers(0, 900, 700)]
+        for body in (w, changed, w[: len(w) * 3 // 4], w[len(w) // 8 :]):
+            at = int(rng.integers(0, 600))
+            rows.append((len(rows) % 90, " ".join([*filler[:at], *body, *filler[at:]])))
+    want = collections.Counter()
+    grams = lambda w: [tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)]
+    best = {}
+    for d, text in rows:
+        g = grams(words(text))
+        for k, v in TEMPLATES.items():
+            own = set(grams(words(v)))
+            s = class_of(len(own))
+            for b in range(0, len(g), s if s > 1 else 1):
+                held = len(own & set(g[b : b + (2 * s if s > 1 else 1)])) / len(own)
+                if held >= CONTAINED:
+                    best[d, k] = max(held, best.get((d, k), 0))
+                    want[d, k] += 1
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), TEMPLATES).collect()
+    assert {(r["doc_id"], r["template_id"]): (round(r["containment"], 9), r["n_windows"]) for r in got} == {k: (round(best[k], 9), n) for k, n in want.items()}
+    assert len(want) > 60
