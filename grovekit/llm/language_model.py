@@ -110,10 +110,23 @@ class EliasFano:
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at the places i."""
+        return self.access_two(i, False)[0]
+
+    def access_two(self, i: np.ndarray, next_too: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The values at the places i and i + 1."""
         word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right")
         need = i - np.where(word > 0, self.ones[np.maximum(word - 1, 0)], 0).astype(np.int64)
-        high = (word << 6) + self._in_word(self.high[word], need) - i
-        return (high << self.l) + self.low_at(i).astype(np.int64)
+        bit = self._in_word(self.high[word], need)
+        value = (((word << 6) + bit - i) << self.l) + self.low_at(i).astype(np.int64)
+        if not next_too:
+            return value, value
+        # the next one mostly stands in the same word
+        ahead = self.high[word] >> bit.astype(_U) >> _U(1)
+        more = np.bitwise_count((ahead & (~ahead + _U(1))) - _U(1)).astype(np.int64)
+        after = (((word << 6) + bit + 1 + more - (i + 1)) << self.l) + self.low_at(i + 1).astype(np.int64)
+        if (far := np.flatnonzero(ahead == 0)).size:
+            after[far] = self.access(i[far] + 1)
+        return value, after
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, or -1: the first entry of the range of its high bits that is not below it."""
@@ -260,31 +273,33 @@ class Trie:
                 out[at] = np.where(found >= 0, found + self.offsets[0][b], -1)
         return out
 
-    def successors(self, level: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the successors of the entries at `places` begin and end in the next level, by the level's pointers."""
-        distinct, back = np.unique(places, return_inverse=True)
-        begin, end = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        owner = np.searchsorted(self.offsets[level - 1], distinct, "right") - 1  # the start of a text comes after all words
+    def successors(self, level: int, places: np.ndarray, left: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Where the successors of the entries at `places` begin and end in the next level, by the level's pointers; and the
+        weight that they leave."""
+        begin, end, weights = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64), np.zeros(len(places), np.uint16) if left else None
+        owner = np.searchsorted(self.offsets[level - 1], places, "right") - 1  # the start of a text comes after all words
         for b, at in self._by_part(owner):
-            pointers, first = self.coded(level, b, "to-"), distinct[at] - self.offsets[level - 1][b]
-            begin[at], end[at] = pointers.access(first) + self.begins[level - 1][b], pointers.access(first + 1) + self.begins[level - 1][b]
-        return begin[back], end[back]
-
-    def find(self, level: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The places of k-grams in their level, or -1, by their contexts' ranges."""
-        out = np.full(len(parents), -1, np.int64)
-        begin, end = self.successors(level - 1, parents)
-        some = np.flatnonzero(end > begin)
-        part = np.searchsorted(self.firsts[level - 1], self.value(parents[some], words[some]), "right") - 1
-        some, part = some[part >= 0], part[part >= 0]
-        first = np.maximum(begin[some] - self.offsets[level - 1][part], 0)
-        inside = first < np.diff(self.offsets[level - 1])[part]
-        some, part, first = some[inside], part[inside], first[inside]
-        relative = first.astype(_U) * _U(self.vocabulary + 1) + words[some].astype(_U)
-        for b, at in self._by_part(part):
+            first = places[at] - self.offsets[level - 1][b]
+            x, y = self.coded(level, b, "to-").access_two(first)
+            begin[at], end[at] = x + self.begins[level - 1][b], y + self.begins[level - 1][b]
+            if left:
+                weights[at] = self.array(level, b, "left")[first]
+        return begin, end, weights
+
+    def find(self, level: int, parents: np.ndarray, words: np.ndarray, begin: np.ndarray, share: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """The places of k-grams in their level, or -1, and their shares. Their contexts' successors begin at `begin`."""
+        out, shares = np.full(len(parents), -1, np.int64), np.full(len(parents), 65535, np.uint16) if share else None
+        part = np.searchsorted(self.firsts[level - 1], self.value(parents, words), "right") - 1
+        first = np.maximum(begin - self.offsets[level - 1][part], 0)
+        some = np.flatnonzero((part >= 0) & (first < np.diff(self.offsets[level - 1])[part]))
+        relative = first[some].astype(_U) * _U(self.vocabulary + 1) + words[some].astype(_U)
+        for b, at in self._by_part(part[some]):
             found = self.coded(level, b).find(relative[at])
-            out[some[at]] = np.where(found >= 0, found + self.offsets[level - 1][b], -1)
-        return out
+            at, found = some[at[found >= 0]], found[found >= 0]
+            out[at] = found + self.offsets[level - 1][b]
+            if share:
+                shares[at] = self.array(level, b, "share")[found]
+        return out, shares
 
     def read(self, level: int, places: np.ndarray, key: str) -> np.ndarray:
         """What stands beside the entries at `places` (all found)."""
@@ -320,9 +335,10 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield at, np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def grams(trie: Trie, order: int, tokens: np.ndarray, begin: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def grams(trie: Trie, order: int, tokens: np.ndarray, begin: np.ndarray, weights: list | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """Where each token's k-gram (that ends with it) stands in level k, for k from 1 to order, or -1; and the counts of
-    the words. The start of a text stands before its first token as a word of its own."""
+    the words. The start of a text stands before its first token as a word of its own. To `weights` are added, for each k
+    from 2, the tokens with a context, what this one leaves to the shorter one, and the k-grams' shares."""
     distinct, inverse = np.unique(tokens, return_inverse=True)
     found = trie.words(distinct)
     counts = np.zeros(len(distinct), np.int64)
@@ -330,13 +346,26 @@ def grams(trie: Trie, order: int, tokens: np.ndarray, begin: np.ndarray) -> tupl
         counts[hit] = trie.read(1, found[hit], "counts")
     words, counts = found[inverse], counts[inverse]
     common = counts >= trie.least
-    places = [words]
+    places, scored = [words], weights is not None
     for k in range(2, order + 1):
         before = preceding(trie, k, places[-1], begin)
+        at = np.flatnonzero(before >= 0)
+        if k == 2:  # a text has few words that differ: each is looked up once
+            which = np.concatenate([[len(found)], inverse[:-1]])
+            which[begin[:-1]] = len(found)
+            own = np.append(found, trie.vocabulary)
+            known = np.flatnonzero(own >= 0)
+            each = np.zeros(len(own), np.int64)
+            each[known] = np.arange(len(known))
+            start, stop, left = (x if x is None else x[each[which[at]]] for x in trie.successors(1, own[known], scored))
+        else:
+            start, stop, left = trie.successors(k - 1, before[at], scored)
         place = np.full(len(tokens), -1, np.int64)
-        usable = np.flatnonzero((before >= 0) & common)
-        place[usable] = trie.find(k, before[usable], words[usable])
+        look = np.flatnonzero(common[at] & (stop > start))
+        place[at[look]], share = trie.find(k, before[at[look]], words[at[look]], start[look], scored)
         places.append(place)
+        if scored:
+            weights.append((at, left, at[look], share))
     return places, counts
 
 
@@ -504,28 +533,15 @@ def build(texts: DataFrame, order: int = ORDER, parts: int | None = None, least:
 # ---- scoring -------------------------------------------------------------------------------------------------------
 
 
-def _lefts(trie: Trie, level: int, places: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(places), np.uint16)
-    start = (places == trie.vocabulary) if level == 1 else np.zeros(len(places), bool)
-    if start.any():
-        out[start] = trie.array(1, trie.parts, "left")[0]
-    if not start.all():
-        out[~start] = trie.read(level, places[~start], "left")
-    return _TABLE[out]
-
-
 def token_scores(trie: Trie, order: int, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token: known or not, log10 of the base probability, log10 of the model's."""
-    places, counts = grams(trie, order, tokens, begin)
+    weights: list = []
+    places, counts = grams(trie, order, tokens, begin, weights)
     base = (counts + 0.5) / (trie.tokens + 0.5 * (trie.vocabulary + 1))
     p = base.copy()
-    for k in range(2, order + 1):
-        context = preceding(trie, k, places[k - 2], begin)
-        usable = np.flatnonzero(context >= 0)
-        p[usable] *= _lefts(trie, k - 1, context[usable])
-        hit = np.flatnonzero(places[k - 1] >= 0)
-        if len(hit):
-            p[hit] += _TABLE[trie.read(k, places[k - 1][hit], "share")]
+    for at, left, looked, share in weights:
+        p[at] *= _TABLE[left]
+        p[looked] += _TABLE[share]
     known = places[0] >= 0
     return known, np.log10(base), np.log10(np.maximum(p, 1e-300))
 
