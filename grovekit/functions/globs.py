@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def glob_to_regex(pattern: str) -> str:
-    """An anchored regular expression. `*` and `?` match slashes too; `**` stands for any run of components; `[..]`
+    """An anchored regular expression, for which a line end is a character like any other. `*` and `?` match slashes too; `**` stands for any run of components; `[..]`
     and `{a,b}` are classes and alternatives. Works for Java and RE2 alike."""
     out, i, depth = "", 0, 0
     while i < len(pattern):
@@ -42,7 +42,7 @@ def glob_to_regex(pattern: str) -> str:
             out, i = out + re.escape(pattern[i + 1]), i + 2
         else:
             out, i = out + (re.escape(c) if not c.isalnum() and c.isascii() and c not in "/_ " else c), i + 1
-    return f"^{out}$"
+    return f"(?s)\\A{out}\\z"  # names may hold line ends
 
 
 @dataclass(frozen=True)

@@ -115,3 +115,16 @@ def overlap_check(source: Column, destination: Column, source_is_directory: Colu
         .when(source_is_directory & path_starts_with(source, destination), "source_inside")
         .otherwise("none")
     )
+
+
+def resolve(directory: Column, target: Column) -> Column:
+    """The path that a link's target names from the directory in which the link stands; null for one outside the tree."""
+    parts = F.concat(F.when(directory == "", F.array().cast("array<string>")).otherwise(F.split(directory, "/")), F.split(target, "/"))
+    out = F.lit("..")
+
+    def step(held: Column, part: Column) -> Column:
+        up = F.when(F.size(held) == 0, F.array(out)).when(F.coalesce(F.get(held, F.lit(0)) == out, F.lit(False)), held).otherwise(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))))
+        return F.when((part == "") | (part == "."), held).when(F.coalesce(F.get(held, F.lit(0)) == out, F.lit(False)), held).when(part == out, up).otherwise(F.concat(held, F.array(part)))
+
+    found = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(~F.startswith(target, F.lit("/")) & ~F.coalesce(F.get(found, F.lit(0)) == out, F.lit(False)), F.array_join(found, "/"))

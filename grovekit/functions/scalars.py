@@ -122,17 +122,20 @@ def sample_select(key: Column, seed: str, fraction: float) -> Column:
     return sample_position(key, seed) < fraction
 
 
-@F.pandas_udf(T.DecimalType(20, 0))
-def mix64(x: pd.Series) -> pd.Series:
+def mix64(x: Column | str) -> Column:
     """A 64-bit finaliser of a counter generator, unsigned."""
-    from decimal import Decimal
+    signed = _mix64_bits(x)
+    return (signed.cast("decimal(20,0)") + F.when(signed < 0, F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))).cast("decimal(20,0)")
 
+
+@F.pandas_udf(T.LongType())
+def _mix64_bits(x: pd.Series) -> pd.Series:
     with np.errstate(over="ignore"):
         z = x.to_numpy(np.int64).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
-    return pd.Series([Decimal(int(v)) for v in z])
+    return pd.Series(z.view(np.int64))
 
 
 @F.pandas_udf(T.LongType())

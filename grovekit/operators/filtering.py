@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import paths as P
 from grovekit.functions.globs import Rule
-from grovekit.operators.trees import exploded
 
 
 def _match(rule: Rule, path: Column) -> Column:
@@ -51,9 +50,12 @@ def ignore_scope_join(df: DataFrame, rules: DataFrame) -> DataFrame:
     """df(path, ..) with included by a table of ignore rules (scope, ord, action, regex), as many as there are: the
     nearest enclosing directory with a matching rule decides, on the path relative to it; ancestors of the path count
     after the path itself. Joined by equality on the directory."""
-    rows = exploded(df.select("path").distinct()).withColumnsRenamed({"ancestor": "candidate", "distance": "dist"})
-    parents = rows.select("path", "candidate", "dist", F.explode(F.concat(P.path_ancestors(F.col("candidate")), F.array(F.lit("")))).alias("scope"))
-    matched = parents.join(rules.select("scope", "ord", "action", "regex"), "scope").filter(
+    # (path, directory above it) once a level; those without rules go before the paths below them multiply
+    above = df.select("path").distinct().select("path", F.explode(F.concat(P.path_ancestors(F.col("path")), F.array(F.lit("")))).alias("scope"))
+    ruled = above.join(rules.select("scope").distinct(), "scope", "left_semi")
+    inside = F.filter(P.path_and_ancestors(F.col("path")), lambda c: F.when(F.col("scope") == "", True).otherwise(F.startswith(c, F.concat("scope", F.lit("/")))))
+    rows = ruled.select("path", "scope", F.posexplode(inside).alias("dist", "candidate"))
+    matched = rows.join(rules.select("scope", "ord", "action", "regex"), "scope").filter(
         F.expr("rlike(if(scope = '', candidate, substr(candidate, length(scope) + 2)), regex)")
     )
     best = matched.groupBy("path").agg(F.min_by("action", F.struct("dist", (-F.length("scope")).alias("s"), "ord")).alias("_action"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from grovekit.functions import paths as P
 from grovekit.functions import scalars as S
+from grovekit.staging import staged
 
 # The limits of the deletion audit.
 SUSPICIOUS_COUNT, SUSPICIOUS_SHARE = 100, 0.5
@@ -98,20 +99,26 @@ def deletion_audit(plan: DataFrame, max_delete: int | None = None) -> DataFrame:
 
 
 def sync_report(plan: DataFrame, failures: DataFrame, partial_work: bool = False) -> DataFrame:
-    """A row of counters. failures(path): entries that could not be done; they count as failed, not as done."""
-    bad = failures.select("path").distinct().withColumn("_bad", F.lit(True))
-    c, ok = F.col("classification"), F.col("_bad").isNull()
+    """A row of counters. failures(path, severity): entries that could not be done; they count as failed, not as done.
+    Those of the severity `warning` were done and count as warnings beside it. Physical bytes are what was moved: of a
+    plan with physical_bytes (null: the size) those, else the sizes."""
+    severity = F.col("severity") if "severity" in failures.columns else F.lit("error")
+    seen = failures.groupBy("path").agg(F.bool_or(severity != "warning").alias("_bad"), F.count_if(severity == "warning").alias("_warnings"))
+    c, ok = F.col("classification"), ~F.coalesce("_bad", F.lit(False))
+    physical = F.coalesce("physical_bytes", "size") if "physical_bytes" in plan.columns else F.col("size")
     moved = c.isin("new", "changed") & ok
     zero = F.lit(0).cast("long")
     return (
-        plan.join(bad, "path", "left")
+        plan.join(seen, "path", "left")
         .agg(
             F.count_if(moved & (F.col("kind") == "file")).alias("transferred"),
             F.coalesce(F.sum(F.when(moved & (F.col("kind") == "file"), F.col("size"))), zero).alias("bytes"),
+            F.coalesce(F.sum(F.when(moved & (F.col("kind") == "file"), physical)), zero).alias("physical_bytes"),
             F.count_if((c == "unchanged") & ok).alias("skipped"),
             F.count_if((c == "metadata_only") & ok).alias("repaired"),
             F.count_if((c == "extraneous") & ok).alias("deleted"),
             F.count_if(~ok).alias("failed"),
+            F.coalesce(F.sum("_warnings"), zero).alias("warnings"),
         )
         .withColumn("partial_failure", (F.col("failed") != 0) | F.lit(partial_work))
     )
@@ -170,9 +177,9 @@ def delete_order(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
-    """df with its place (from 1) in a total order, without one task seeing all rows: rows are dealt by range, counted by
-    partition, and numbered inside it. The order should have no ties."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """df with its place (from 1) in a total order, without one task seeing all rows: rows are dealt by range and written,
+    so that a partition keeps its number, then counted by partition and numbered inside it. The order should have no ties."""
+    ranged = staged(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_p").count()
     before = F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(W.partitionBy("_p").orderBy(*order))

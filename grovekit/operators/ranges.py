@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from grovekit.staging import staged
+
 CHUNK = 16 << 20
 BATCH_BYTES, BATCH_FILES = 32 << 20, 8192
 
@@ -60,16 +62,23 @@ def range_coverage(files: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
+FINGERPRINT = ("size", "mtime_ns", "ctime_ns", "device", "inode", "kind")
+
+
+def fingerprint_matches(ours: str, theirs: str) -> Column:
+    """Whether the columns of FINGERPRINT under two prefixes say the same; a change time that wasn't taken counts as 0."""
+    zero = lambda k, c: F.coalesce(c, F.lit(0).cast("long")) if k == "ctime_ns" else c
+    same = F.lit(True)
+    for k in FINGERPRINT:
+        same = same & zero(k, F.col(f"{ours}{k}")).eqNullSafe(zero(k, F.col(f"{theirs}{k}")))
+    return same
+
+
 def resume_lookup(files: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """files with the ranges of their checkpoint where size, time, inode and kind are those recorded; else none."""
-    keys = ("size", "mtime_ns", "ctime_ns", "device", "inode", "kind")
-    there = checkpoints.select("path", *[F.col(k).alias(f"_{k}") for k in keys], "ranges")
-    usable = F.lit(True)
-    for k in keys:
-        zero = (lambda c: F.coalesce(c, F.lit(0).cast("long"))) if k == "ctime_ns" else (lambda c: c)
-        usable = usable & zero(F.col(k)).eqNullSafe(zero(F.col(f"_{k}")))
-    joined = files.join(there, "path", "left").withColumn("usable", F.col("ranges").isNotNull() & usable)
-    return joined.withColumn("ranges", F.when(F.col("usable"), F.col("ranges"))).drop(*[f"_{k}" for k in keys])
+    """files with the ranges of their checkpoint where its fingerprint is the file's; else none."""
+    there = checkpoints.select("path", *[F.col(k).alias(f"_{k}") for k in FINGERPRINT], "ranges")
+    joined = files.join(there, "path", "left").withColumn("usable", F.col("ranges").isNotNull() & fingerprint_matches("", "_"))
+    return joined.withColumn("ranges", F.when(F.col("usable"), F.col("ranges"))).drop(*[f"_{k}" for k in FINGERPRINT])
 
 
 def checkpoint_upsert(checkpoints: DataFrame, new: DataFrame) -> DataFrame:
@@ -89,28 +98,43 @@ def stripe_chunks(chunks: DataFrame, streams: int, chunk: int = CHUNK) -> DataFr
     return chunks.withColumn("stream_id", F.floor(F.col("offset") / chunk) % streams)
 
 
-def pack_small_files(files: DataFrame, target: int = BATCH_BYTES, most: int = BATCH_FILES, flush_full: bool = True) -> DataFrame:
-    """path, size, batch_id: next fit in path order inside each partition of a range exchange; one partition gives
-    the order of a single scan. A batch ends when the next file would exceed the target, when it has `most` files and,
-    with flush_full, when it is exactly full; a larger file has its own."""
-    ranged = files.select("path", "size").repartitionByRange(F.col("path")).sortWithinPartitions(F.col("path").cast("binary"))
+def stripe_missing(missing: DataFrame, streams: int) -> DataFrame:
+    """path, offset, length, stream_id of missing(path, offset, length): round robin in the order of first ranges of all
+    files, then second ones, and so on, so that a file with many doesn't keep the others waiting."""
+    from grovekit.operators.planning import numbered
 
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    turn = F.row_number().over(W.partitionBy("path").orderBy("offset"))
+    placed = numbered(missing.withColumn("turn", turn), F.col("turn"), F.col("path").cast("binary"))
+    return placed.select("path", "offset", "length", ((F.col("place") - 1) % streams).alias("stream_id"))
+
+
+def pack_small_files(files: DataFrame, target: int = BATCH_BYTES, most: int = BATCH_FILES, flush_full: bool = True, shard_files: int = 1 << 20) -> DataFrame:
+    """path, size, batch_id: next fit in path order. A batch ends when the next file would exceed the target, when it has
+    `most` files and, with flush_full, when it is exactly full; a larger file has its own. Files are numbered in path order
+    first, and each shard_files of them are packed by themselves, one shard after the other in one task or in several:
+    up to so many files the batches are those of a single scan, and beyond it they never depend on partitions. A batch's
+    number is the shard's place in the upper 32 bits and the batch's place in it below."""
+    from grovekit.operators.planning import numbered
 
-        batch, held, n = TaskContext.get().partitionId() << 32, 0, 0
+    placed = numbered(files.select("path", "size"), F.col("path").cast("binary")).withColumn("shard", F.floor((F.col("place") - 1) / shard_files))
+    shards = placed.repartition("shard").sortWithinPartitions("shard", "place")
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, batch, held, n = None, 0, 0, 0
         for part in parts:
             ids = []
-            for size in part["size"]:
+            for own, size in zip(part["shard"], part["size"]):
+                if own != shard:
+                    shard, batch, held, n = own, int(own) << 32, 0, 0
                 if n and held + size > target:
                     batch, held, n = batch + 1, 0, 0
                 ids.append(batch)
                 held, n = held + size, n + 1
                 if n >= most or (flush_full and held == target) or held > target:
                     batch, held, n = batch + 1, 0, 0
-            yield part.assign(batch_id=ids)
+            yield part[["path", "size"]].assign(batch_id=ids)
 
-    return ranged.mapInPandas(pack, "path string, size long, batch_id long")
+    return shards.mapInPandas(pack, "path string, size long, batch_id long")
 
 
 def work_stats(work: DataFrame) -> DataFrame:
@@ -136,15 +160,17 @@ def duplicate_ids(ids: DataFrame) -> DataFrame:
 
 def list_page(entries: DataFrame, token: int, size: int) -> DataFrame:
     """The entries of each directory from place `token` on (in byte order of names): directory, path, final_page,
-    next_token (0 at the end)."""
+    next_token (0 at the end). Places come from one numbering by range, so a large directory is no task of its own."""
     if not 1 <= size <= 65536:
         raise ValueError("a page has 1 to 65536 entries")
     from grovekit.functions import paths as P
+    from grovekit.operators.planning import numbered
 
     at = entries.select(P.path_parent(F.col("path")).alias("directory"), "path")
-    place = F.row_number().over(W.partitionBy("directory").orderBy(F.col("path").cast("binary"))) - 1
-    placed = at.withColumn("_at", place).withColumn("_n", F.count("*").over(W.partitionBy("directory")))
+    placed = staged(numbered(at, F.col("directory").cast("binary"), F.col("path").cast("binary")), "listed")
+    bounds = placed.groupBy("directory").agg(F.min("place").alias("_first"), F.count("*").alias("_n"))
+    found = placed.join(bounds, "directory").withColumn("_at", F.col("place") - F.col("_first"))
     final = F.col("_n") <= token + size
-    return placed.filter((F.col("_at") >= token) & (F.col("_at") < token + size)).select(
+    return found.filter((F.col("_at") >= token) & (F.col("_at") < token + size)).select(
         "directory", "path", final.alias("final_page"), F.when(final, 0).otherwise(token + size).cast("long").alias("next_token")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import paths as P
 from grovekit.operators.trees import exploded
+from grovekit.staging import staged
 
 
 def stat_lookup(requests: DataFrame, entries: DataFrame, include_digest: bool = False) -> DataFrame:
@@ -69,6 +70,20 @@ def delete_recursive(entries: DataFrame, requests: DataFrame) -> DataFrame:
     return entries.join(gone, "path", "left_anti")
 
 
+def delete_outcome(entries: DataFrame, requests: DataFrame, stuck: DataFrame) -> DataFrame:
+    """path, place, outcome of a recursive deletion of requests(path), children first: `failed` for what stuck(path) says
+    can't be removed, `not_empty` for the directories above, `removed` for all else. The root is refused."""
+    from grovekit.operators.planning import numbered
+
+    roots = requests.filter("path <> ''").select(F.col("path").alias("ancestor")).distinct()
+    inside = exploded(entries).join(roots, "ancestor", "left_semi").select("path").distinct()
+    fails = inside.join(stuck.select("path").distinct(), "path", "left_semi").withColumn("_bad", F.lit(True))
+    above = fails.select(F.explode(P.path_ancestors(F.col("path"))).alias("path")).distinct().withColumn("_held", F.lit(True))
+    outcome = F.when(F.col("_bad"), "failed").when(F.col("_held"), "not_empty").otherwise("removed")
+    found = inside.join(fails, "path", "left").join(above, "path", "left").select("path", outcome.alias("outcome"))
+    return numbered(found, P.path_depth(F.col("path")).desc(), F.col("path").cast("binary"))
+
+
 def delete_result(progress: DataFrame) -> DataFrame:
     """req_id, removed_count, failures, outcome of rows (req_id, path, removed, cancelled)."""
     out = progress.groupBy("req_id").agg(
@@ -77,21 +92,31 @@ def delete_result(progress: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("_c"), "cancelled").when(F.col("failures") > 0, "partial").otherwise("complete")).drop("_c")
 
 
-def set_metadata(entries: DataFrame, requests: DataFrame) -> DataFrame:
-    """chmod and set_mtime: requests(path, mode, mtime_ns), nulls leave a value; a symlink at the end is followed once."""
-    link = entries.filter("kind = 'symlink'").select("path", F.decode("symlink_target", "UTF-8").alias("_target")) if "symlink_target" in entries.columns else None
+def set_metadata(entries: DataFrame, requests: DataFrame, most_links: int = 40) -> DataFrame:
+    """chmod and set_mtime: requests(path, mode, mtime_ns), nulls leave a value. A symlink at the end is followed, from the
+    directory that it stands in; one that leads out of the tree, to nothing, or through more than most_links others, is
+    left alone."""
     asked = requests.select("path", F.col("mode").alias("_mode"), F.col("mtime_ns").alias("_mtime"))
-    if link is not None:
-        asked = asked.join(link, "path", "left").select(F.coalesce("_target", "path").alias("path"), "_mode", "_mtime")
+    if "symlink_target" in entries.columns:
+        to = P.resolve(P.path_parent(F.col("path")), F.decode("symlink_target", "UTF-8"))
+        links = entries.filter("kind = 'symlink'").select("path", to.alias("_to"), F.lit(True).alias("_link"))
+        for _ in range(most_links + 1):
+            step = staged(asked.join(links, "path", "left"), "followed")
+            asked = step.filter("not coalesce(_link, false) or _to is not null").select(F.coalesce("_to", "path").alias("path"), "_mode", "_mtime")
+            if not step.filter("_link").limit(1).count():
+                break
+        else:
+            asked = asked.join(links, "path", "left_anti")
     asked = asked.groupBy("path").agg(F.max("_mode").alias("_mode"), F.max("_mtime").alias("_mtime"))
     return entries.join(asked, "path", "left").withColumns({"mode": F.coalesce("_mode", "mode"), "mtime_ns": F.coalesce("_mtime", "mtime_ns")}).select(*entries.columns)
 
 
 def fetch_chunks(df: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """path, offset, data, digest (of the whole) of a table (path, content)."""
+    """path, identity, size, offset, data, digest (of the whole) of a table (path, identity, content)."""
     n = F.octet_length("content")
-    cut = df.filter(n > 0).select("path", "content", F.sha2("content", 256).alias("digest"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(chunk))).alias("offset"))
-    return cut.select("path", F.col("offset").cast("long").alias("offset"), F.substring("content", F.col("offset") + 1, F.lit(chunk)).alias("data"), "digest")
+    whole = df.filter(n > 0).select("path", "identity", n.cast("long").alias("size"), "content", F.sha2("content", 256).alias("digest"))
+    cut = whole.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1, F.lit(chunk))))
+    return cut.select("path", "identity", "size", F.col("offset").cast("long").alias("offset"), F.substring("content", F.col("offset") + 1, F.lit(chunk)).alias("data"), "digest")
 
 
 def publish_cas(requests: DataFrame, current: DataFrame) -> DataFrame:
@@ -123,15 +148,23 @@ def stable_read_twice(before: DataFrame, after: DataFrame, again: DataFrame) ->
     return first.filter("status <> 'changed'").unionByName(second)
 
 
-def apply_plan(plan: DataFrame, destination: DataFrame, delete: bool = False, max_delete: int | None = None) -> DataFrame:
-    """The destination after the plan: new and changed rows and modes from the source; extraneous ones stay unless
-    they may be deleted, which the deletion audit decides (an error if it says no)."""
-    from grovekit.operators.planning import deletion_audit
+def apply_plan(plan: DataFrame, destination: DataFrame, delete: bool = False, max_delete: int | None = None, failures: DataFrame | None = None, partial_work: bool = False) -> DataFrame:
+    """The destination after the plan: new and changed rows and modes from the source.
+
+    Extraneous ones stay unless they may be deleted. The deletion audit decides that first (an error if it says no), and
+    then the gate: with a failure (failures: as in sync_report) or work left undone nothing is deleted. The plan is written
+    once if deletion is asked for, as both read it."""
+    from grovekit.operators.planning import delete_gate, deletion_audit, sync_report
 
-    if delete and (verdict := deletion_audit(plan, max_delete).first()["verdict"]) != "allowed":
-        raise ValueError(f"deletion refused: {verdict}")
+    if delete:
+        plan = staged(plan, "plan")
+        if (verdict := deletion_audit(plan, max_delete).first()["verdict"]) != "allowed":
+            raise ValueError(f"deletion refused: {verdict}")
+        if failures is not None or partial_work:
+            none = plan.select("path").limit(0) if failures is None else failures
+            delete = delete_gate(sync_report(plan, none, partial_work)).first()["may_delete"]
     c = F.col("classification")
-    rows = plan.filter(~(c == "extraneous")) if delete else plan
+    rows = plan if not delete else plan.filter(c != "extraneous")
     # an unchanged row is the destination's own; a repaired one takes the mode alone
     own = [F.when(c == "unchanged", F.col(f"dst_{x}")).when((c == "metadata_only") & F.lit(x != "mode"), F.col(f"dst_{x}")).otherwise(F.col(x)).alias(x) for x in destination.columns if x != "path"]
     return rows.select("path", *own)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from grovekit.functions import paths as P
+from grovekit.staging import staged
 
 
 def with_directories(entries: DataFrame, mode: int = 493) -> DataFrame:
@@ -30,6 +31,13 @@ def drop_collisions(entries: DataFrame, groups: DataFrame) -> DataFrame:
     return entries.join(gone, "path", "left_anti")
 
 
+def collision_failures(groups: DataFrame) -> DataFrame:
+    """A failure for each member of groups(collision_key, paths): path, collision_key, kind, message, which names the others."""
+    each = groups.select("collision_key", "paths", F.explode("paths").alias("path"))
+    others = F.array_join(F.array_remove("paths", F.col("path")), ", ")
+    return each.select("path", "collision_key", F.lit("collision").alias("kind"), F.concat(F.lit("the destination can't tell it from "), others).alias("message"))
+
+
 def path_collisions(entries: DataFrame, case_insensitive: bool = True, normalization_insensitive: bool = True) -> DataFrame:
     """collision_key, paths: names that a destination takes for one. The key is worked out in an Arrow batch; groups
     are found on it alone, and only those of more than one path are gathered."""
@@ -83,27 +91,37 @@ def restore_directory_set(plan: DataFrame, delete: bool = True) -> DataFrame:
     return written.union(kept).distinct()
 
 
-def tree_digest(entries: DataFrame, staged=lambda df, depth: df) -> DataFrame:
-    """path, tree_digest of every directory, from the digests of its sorted children: one stage for each depth, from
-    the deepest up, as many as the tree is deep. `staged` may write a level out (tables deeper than a plan should be)."""
-    at = entries.select("path", "kind", F.coalesce("digest", F.lit("")).alias("digest"), P.path_depth(F.col("path")).alias("depth"))
+def tree_digest(entries: DataFrame, bucket_rows: int = 65_536) -> DataFrame:
+    """path, tree_digest of every directory, from the digests of its children in the order of their names.
+
+    The entries are read once and written with their depths; from the deepest up, each level reads its own rows, joins
+    the digests of the level below, and is written, so that a plan holds one level however deep the tree is. A directory
+    of more children than bucket_rows is digested in buckets of names first (as many as the next power of two of the
+    quotient, by the names' hashes) and then over the buckets in their order, so that no task gathers more."""
+    name, parent = P.path_basename(F.col("path")), P.path_parent(F.col("path"))
+    columns = entries.select("path", "kind", F.coalesce("digest", F.lit("")).alias("digest"), name.alias("name"), parent.alias("parent"), P.path_depth(F.col("path")).alias("depth"))
+    at = staged(columns, "tree-entries")
     deepest = at.agg(F.max("depth")).first()[0] or 0
-    done, below = None, None
+    done, below = [], None
     for depth in range(deepest, 0, -1):
-        here = at.filter(F.col("depth") == depth).withColumn("own", F.sha2(F.concat_ws("|", "kind", P.path_basename(F.col("path")), "digest"), 256))
+        here, content = at.filter(F.col("depth") == depth), F.col("digest")
         if below is not None:
-            here = here.join(below.withColumnRenamed("parent", "path"), "path", "left")
-            here = here.withColumn("own", F.when(F.col("children").isNotNull(), F.sha2(F.concat_ws("|", F.lit("directory"), P.path_basename(F.col("path")), "children"), 256)).otherwise(F.col("own")))
-            dirs = here.filter("kind = 'directory'").select("path", F.col("own").alias("tree_digest"))
-        else:
-            dirs = here.filter("kind = 'directory'").select("path", F.col("own").alias("tree_digest"))
-        here = staged(here.select("path", "own"), depth)
-        done = dirs if done is None else done.union(dirs)
-        # children's digests have a fixed size; a directory gathers 64 characters for each
-        below = here.groupBy(P.path_parent(F.col("path")).alias("parent")).agg(
-            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(P.path_basename(F.col("path")), "own"))), lambda x: x["own"]), ""), 256).alias("children")
+            here = here.join(below, "path", "left")
+            content = F.coalesce("children", "digest")
+        kind = F.when(F.lit(below is not None) & F.col("children").isNotNull(), "directory").otherwise(F.col("kind")) if below is not None else F.col("kind")
+        level = staged(here.select("path", "kind", "name", "parent", F.sha2(F.concat_ws("|", kind, "name", content), 256).alias("own")), "tree-level")
+        done.append(level.filter("kind = 'directory'").select("path", F.col("own").alias("tree_digest")))
+        counts = level.groupBy("parent").agg(F.count("*").alias("n")).withColumn("buckets", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / bucket_rows, F.lit(1.0))))).cast("long"))
+        bucket = F.conv(F.substring(F.sha2("name", 256), 1, 8), 16, 10).cast("long") % F.col("buckets")
+        parts = level.join(counts.select("parent", "buckets"), "parent").groupBy("parent", "buckets", bucket.alias("bucket")).agg(
+            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "own"))), lambda x: x["own"]), ""), 256).alias("h")
         )
-    return done if done is not None else at.select("path", F.lit("").alias("tree_digest")).limit(0)
+        joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ""), 256)
+        below = parts.groupBy(F.col("parent").alias("path")).agg(F.when(F.count("*") == 1, F.first("h")).otherwise(joined).alias("children"))
+    out = at.select("path", F.lit("").alias("tree_digest")).limit(0)
+    for df in done:
+        out = out.unionByName(df)
+    return out
 
 
 def tree_profile(entries: DataFrame) -> DataFrame:

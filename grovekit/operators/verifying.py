@@ -17,17 +17,27 @@ def row_digest() -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def manifest_digest(entries: DataFrame, buckets: int = 256) -> DataFrame:
-    """item_count, logical_bytes, manifest_digest. Row digests are put together by bucket of the path's hash, in path
-    order, and then the buckets' digests, so that no task gathers more than its share of 64 characters a row."""
+def digest_buckets(rows: int) -> int:
+    """Buckets of a manifest's digest: 256, and more of them for more than 2^24 rows, so that one has about 2^16 at most."""
+    return max(256, 1 << (-(-rows // (1 << 16)) - 1).bit_length()) if rows else 256
+
+
+def manifest_digest(entries: DataFrame, buckets: int | None = None) -> DataFrame:
+    """item_count, logical_bytes, allocated_bytes (of files; null where they weren't taken), manifest_digest. Row digests
+    are put together by bucket of the path's hash, in path order, and then the buckets' digests, so that no task gathers
+    more than its share of 64 characters a row. The number of buckets follows from the number of rows (digest_buckets)."""
+    buckets = buckets or digest_buckets(entries.count())
     bucket = F.conv(F.substring(F.sha2("path", 256), 1, 8), 16, 10).cast("long") % buckets
-    rows = entries.select(bucket.alias("b"), F.struct(F.col("path"), row_digest().alias("h")).alias("x"), F.when(F.col("kind") == "file", F.col("size")).otherwise(0).alias("bytes"))
+    held = F.col("allocated_bytes") if "allocated_bytes" in entries.columns else F.lit(None).cast("long")
+    file = F.col("kind") == "file"
+    rows = entries.select(bucket.alias("b"), F.struct(F.col("path"), row_digest().alias("h")).alias("x"), F.when(file, F.col("size")).otherwise(0).alias("bytes"), F.when(file, held).alias("held"))
     parts = rows.groupBy("b").agg(
-        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), ""), 256).alias("h")
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("held").alias("held"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), ""), 256).alias("h")
     )
     return parts.agg(
         F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("item_count"),
         F.coalesce(F.sum("bytes"), F.lit(0).cast("long")).alias("logical_bytes"),
+        F.sum("held").alias("allocated_bytes"),
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("manifest_digest"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import paths as P
 from grovekit.functions import scalars as S
-from grovekit.functions.globs import rule_parse
+from grovekit.functions.globs import Rule, rule_parse
 from grovekit.operators import events as E
 from grovekit.operators import filtering as FL
 from grovekit.operators import measuring as M
@@ -20,6 +20,7 @@ from grovekit.operators import trees as T
 from grovekit.operators import verifying as VF
 from grovekit.plans import views as V
 from grovekit.sources import files as SF
+from grovekit.staging import scratch, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,7 +45,14 @@ def tree_diff(s: SparkSession, d: str) -> DataFrame:
 
 
 def failures(s: SparkSession, d: str) -> DataFrame:
-    return V.src(s, d).filter("size % 97 = 0").select("path")
+    """An error for some paths and warnings for others, for some of these two."""
+    n = F.col("size")
+    e = V.src(s, d).select("path", F.when(n % 97 == 0, F.array(F.lit("error"))).when(n % 89 == 0, F.array(F.lit("warning"), F.lit("warning"))).when(n % 83 == 0, F.array(F.lit("warning"))).alias("all"))
+    return e.select("path", F.explode("all").alias("severity"))
+
+
+def moved_plan(s: SparkSession, d: str) -> DataFrame:
+    return diff(s, d).withColumn("physical_bytes", F.when(F.col("size") % 2 == 0, F.floor(F.col("size") / 2)))
 
 
 _FAIL = "SELECT path FROM src WHERE size % 97 = 0"
@@ -219,11 +227,13 @@ def _(s, d):
     return V.src(s, d).select("path", S.sample_select(F.col("path"), "s1", 0.25).alias("sampled"))
 
 
-@query("p17_fingerprint_matches", "SELECT s.path, s.size = d.size AND s.mtime_ns = d.mtime_ns AND s.kind = d.kind AS matches FROM src s JOIN dst d USING (path)")
+@query("p17_fingerprint_matches", """SELECT s.path, s.size = d.size AND s.mtime_ns = d.mtime_ns AND s.kind = d.kind AND s.size % 5 <> 0 AND s.size % 7 <> 0 AS matches FROM src s JOIN dst d USING (path)""")
 def _(s, d):
-    b = V.dst(s, d).select("path", *[F.col(c).alias(f"d_{c}") for c in ("size", "mtime_ns", "kind")])
-    same = F.col("size").eqNullSafe(F.col("d_size")) & F.col("mtime_ns").eqNullSafe(F.col("d_mtime_ns")) & F.col("kind").eqNullSafe(F.col("d_kind"))
-    return V.src(s, d).join(b, "path").select("path", same.alias("matches"))
+    n = F.col("size")
+    ours = V.src(s, d).withColumns({"device": F.lit(1), "inode": n, "ctime_ns": F.when(n % 3 == 0, F.lit(None)).otherwise(0).cast("long")})
+    theirs = V.dst(s, d).withColumns({"device": F.when(n % 5 == 0, 2).otherwise(1), "inode": n, "ctime_ns": F.when(n % 7 == 0, 9).otherwise(0).cast("long")})
+    b = theirs.select("path", *[F.col(c).alias(f"held_{c}") for c in R.FINGERPRINT])
+    return ours.join(b, "path").select("path", R.fingerprint_matches("", "held_").alias("matches"))
 
 
 @query("p18_dry_run_actions", "SELECT path, kind, CASE classification WHEN 'new' THEN 'create' WHEN 'changed' THEN 'update' ELSE 'delete' END AS action FROM plan WHERE classification IN ('new', 'changed', 'extraneous')")
@@ -295,10 +305,14 @@ def _(s, d):
     return FL.ignore_scope_join(V.src(s, d), scoped_rules(s)).select("path", "included")
 
 
-@query("j08_descend_set", "SELECT DISTINCT ancestor AS path, true AS descend FROM anc WHERE dist > 0")
+_DESCENT = (Rule(0, 1, "include", "src0/fr/doc-*"), Rule(0, 2, "exclude", "src0"), Rule(0, 3, "exclude", "src1/{de,es}"), Rule(0, 4, "include", "src4/d?/keep"), Rule(0, 5, "exclude", "src4"))
+
+
+@query("j08_descend_set", """SELECT DISTINCT ancestor AS path, NOT (regexp_matches(ancestor, '^(src0|src4)(/|$)') OR ancestor IN ('src1/de', 'src1/es')) OR regexp_matches(ancestor, '^(src0|src0/fr|src4|src4/d.)$') AS descend
+ FROM anc WHERE dist > 0""")
 def _(s, d):
     dirs = V.src_tree(s, d).filter("kind = 'directory'").select("path")
-    return FL.descend_set(dirs, V.RULES).select("path", "descend")
+    return FL.descend_set(dirs, _DESCENT).select("path", "descend")
 
 
 @query("j09_digest_cache_lookup", f"SELECT path, c.digest AS cached_digest, c.digest IS NOT NULL AS hit FROM (SELECT path, {_FP} AS fp FROM src) s LEFT JOIN (SELECT {_FP} AS fp, digest FROM dst WHERE size % 3 <> 0) c USING (fp)")
@@ -337,6 +351,11 @@ def _(s, d):
     return T.drop_collisions(c, T.path_collisions(c)).select("path")
 
 
+@query("j12_collision_failures", f"SELECT unnest(members) AS path, collision_key, 'collision' AS kind FROM ({_GROUPS})")
+def _(s, d):
+    return T.collision_failures(T.path_collisions(V.collisions(s, d))).select("path", "collision_key", "kind")
+
+
 @query("j13_protect_skipped", "SELECT path, classification FROM plan WHERE NOT (classification = 'extraneous' AND size % 2 = 0)")
 def _(s, d):
     return PL.protect_skipped(diff(s, d), V.dst(s, d).filter("size % 2 = 0").select("path")).select("path", "classification")
@@ -390,16 +409,20 @@ def _(s, d):
 
 
 def gate_inputs(s, d):
-    x = V.samples(s, d)
-    now = M.bench_summary(x).join(M.noise(x).select("result", "noise_ratio"), "result").select("result", "median_speedup", "noise_ratio")
-    past = now.filter("result <> 'm2'").withColumn("median_speedup", F.col("median_speedup") * 1.5)
-    return x, now, past
+    """measured(samples), written once, and a past with faster results, of which one is missing and one has a baseline of
+    another name."""
+    now = staged(M.measured(V.gate_samples(s, d)), "measured")
+    past = now.filter("result <> 'm2'").withColumn("median_speedup", F.col("median_speedup") * F.when(F.col("result") == "m1", 1.5).otherwise(1.0))
+    return now, past.withColumn("baseline", F.when(F.col("result") == "m4", "m3").otherwise(F.col("baseline")))
+
 
+_GSTATUS = """SELECT result, CASE result WHEN 'm0' THEN 'skipped: no baseline' WHEN 'm1' THEN 'regressed' WHEN 'm2' THEN 'skipped: not in history' WHEN 'm4' THEN 'skipped: another baseline' WHEN 'm5' THEN 'skipped: noisy' ELSE 'ok' END AS status
+ FROM (SELECT DISTINCT result FROM gsamples)"""
 
-@query("j19_gate_compare", f"""SELECT result, CASE WHEN result = 'm1' THEN round(1 / 1.5, 6) END AS ratio, CASE result WHEN 'm0' THEN 'skipped: no baseline' WHEN 'm1' THEN 'regressed' ELSE 'skipped: not in history' END AS status
- FROM (SELECT DISTINCT result FROM samples)""")
+
+@query("j19_gate_compare", f"SELECT result, CASE WHEN result = 'm1' THEN round(1 / 1.5, 6) WHEN result NOT IN ('m0', 'm2') THEN 1.0 END AS ratio, status FROM ({_GSTATUS})")
 def _(s, d):
-    _, now, past = gate_inputs(s, d)
+    now, past = gate_inputs(s, d)
     return M.gate_compare(now, past).select("result", F.round("ratio", 6).alias("ratio"), "status")
 
 
@@ -483,28 +506,29 @@ def _(s, d):
     return PL.deletion_audit(diff(s, d)).withColumn("share", F.round("share", 9))
 
 
-_REPORT = f"""SELECT count(*) FILTER (moved AND kind = 'file') AS transferred, CAST(coalesce(sum(size) FILTER (moved AND kind = 'file'), 0) AS BIGINT) AS bytes, count(*) FILTER (ok AND classification = 'unchanged') AS skipped,
+_REPORT = f"""SELECT count(*) FILTER (moved AND kind = 'file') AS transferred, CAST(coalesce(sum(size) FILTER (moved AND kind = 'file'), 0) AS BIGINT) AS bytes,
+ CAST(coalesce(sum(CASE WHEN size % 2 = 0 THEN size // 2 ELSE size END) FILTER (moved AND kind = 'file'), 0) AS BIGINT) AS physical_bytes, (SELECT count(*) FILTER (size % 97 <> 0 AND size % 89 = 0) * 2 + count(*) FILTER (size % 97 <> 0 AND size % 89 <> 0 AND size % 83 = 0) FROM src) AS warnings, count(*) FILTER (ok AND classification = 'unchanged') AS skipped,
  count(*) FILTER (ok AND classification = 'metadata_only') AS repaired, count(*) FILTER (ok AND classification = 'extraneous') AS deleted, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (NOT ok) <> 0 AS partial_failure
  FROM (SELECT *, ok AND classification IN ('new', 'changed') AS moved FROM (SELECT *, path NOT IN ({_FAIL}) AS ok FROM plan))"""
 
 
 @query("a04_delete_gate", f"SELECT failed, partial_failure, NOT partial_failure AS may_delete FROM ({_REPORT})")
 def _(s, d):
-    return PL.delete_gate(PL.sync_report(diff(s, d), failures(s, d)))
+    return PL.delete_gate(PL.sync_report(moved_plan(s, d), failures(s, d)))
 
 
 @query("a05_sync_report", _REPORT)
 def _(s, d):
-    return PL.sync_report(diff(s, d), failures(s, d))
+    return PL.sync_report(moved_plan(s, d), failures(s, d))
 
 
 _ROWD = "sha256(path || '|' || kind || '|' || CAST(size AS VARCHAR) || '|' || CAST(mtime_ns AS VARCHAR) || '|' || CAST(mode AS VARCHAR) || '|' || digest)"
 
 
-@query("a06_manifest_digest", f"""SELECT CAST(sum(n) AS BIGINT) AS item_count, CAST(sum(bytes) AS BIGINT) AS logical_bytes, sha256(string_agg(h, '' ORDER BY b)) AS manifest_digest FROM
- (SELECT b, count(*) AS n, sum(size) AS bytes, sha256(string_agg(h, '' ORDER BY path)) AS h FROM (SELECT CAST('0x' || substr(sha256(path), 1, 8) AS BIGINT) % 256 AS b, path, size, {_ROWD} AS h FROM src) GROUP BY b)""")
+@query("a06_manifest_digest", f"""SELECT CAST(sum(n) AS BIGINT) AS item_count, CAST(sum(bytes) AS BIGINT) AS logical_bytes, CAST(sum(held) AS BIGINT) AS allocated_bytes, sha256(string_agg(h, '' ORDER BY b)) AS manifest_digest FROM
+ (SELECT b, count(*) AS n, sum(size) AS bytes, sum(size + 512 - size % 512) AS held, sha256(string_agg(h, '' ORDER BY path)) AS h FROM (SELECT CAST('0x' || substr(sha256(path), 1, 8) AS BIGINT) % 256 AS b, path, size, {_ROWD} AS h FROM src) GROUP BY b)""")
 def _(s, d):
-    return VF.manifest_digest(V.src(s, d))
+    return VF.manifest_digest(V.src(s, d).withColumn("allocated_bytes", F.col("size") + 512 - F.col("size") % 512))
 
 
 _LEAF = "sha256('file|' || regexp_extract(path, '[^/]*$') || '|' || digest)"
@@ -553,18 +577,33 @@ def _(s, d):
     return M.phase_medians(V.samples(s, d)).withColumn("median_seconds", F.round("median_seconds", 6))
 
 
-@query("a13_bench_gate", """SELECT 'fail' AS severity, result, 'samples of unlike work' AS message FROM samples GROUP BY result HAVING count(DISTINCT logical_bytes) > 1
- UNION ALL SELECT 'fail', 'm1', 'regressed' UNION ALL SELECT 'warn', 'm0', 'skipped: no baseline' UNION ALL SELECT 'warn', 'm2', 'skipped: not in history'""")
-def _(s, d):
-    x, now, past = gate_inputs(s, d)
-    return M.bench_gate(x, M.gate_compare(now, past), strict=True)
-
-
-@query("a14_bench_validate", f"""SELECT result, 'the order never crosses over' AS message FROM ({_PAIRS}) GROUP BY result HAVING NOT (bool_or(before_baseline) AND bool_or(NOT before_baseline))
- UNION ALL SELECT result, 'a repetition occurs twice' FROM samples WHERE result = 'm2' AND repetition = 0""")
-def _(s, d):
-    x = V.samples(s, d)
-    return M.bench_validate(x.unionByName(x.filter("result = 'm2' and repetition = 0")))
+@query("a13_bench_gate", f"""SELECT 'fail' AS severity, result, 'samples of unlike work' AS message FROM gsamples GROUP BY result HAVING count(DISTINCT logical_bytes) > 1
+ UNION ALL SELECT DISTINCT 'fail', result, 'the result is not the corpus' FROM gsamples WHERE result = 'm3' UNION ALL SELECT DISTINCT 'fail', result, 'counts differ from the result''s' FROM gsamples WHERE result = 'm2'
+ UNION ALL SELECT 'warn', result, 'noisy' FROM (SELECT result, any_value(m) AS med, median(abs(wall_seconds - m)) AS mad FROM (SELECT *, median(wall_seconds) OVER (PARTITION BY result) AS m FROM gsamples) GROUP BY result) WHERE mad / med > 0.15
+ UNION ALL SELECT CASE status WHEN 'regressed' THEN 'fail' ELSE 'warn' END, result, status FROM ({_GSTATUS}) WHERE status <> 'ok' UNION ALL SELECT 'fail', '', 'not a release build'""")
+def _(s, d):
+    now, past = gate_inputs(s, d)
+    return M.bench_gate(now, past, strict=True, report=M.Report(profile="debug"))
+
+
+@query("a14_bench_validate", f"""SELECT result, 'the order never crosses over' AS message FROM (SELECT s.result, s.method_order < b.method_order AS before_baseline FROM gsamples s JOIN gsamples b ON s.baseline = b.result AND s.repetition = b.repetition)
+  GROUP BY result HAVING NOT (bool_or(before_baseline) AND bool_or(NOT before_baseline))
+ UNION ALL SELECT DISTINCT result, 'a repetition occurs twice' FROM gsamples WHERE result = 'm2' UNION ALL SELECT DISTINCT result, 'wall seconds must be above 0' FROM gsamples WHERE result = 'm0'
+ UNION ALL SELECT DISTINCT result, 'cpu seconds must be 0 or more' FROM gsamples WHERE result = 'm1' UNION ALL SELECT DISTINCT result, 'phases must have names and seconds' FROM gsamples WHERE result = 'm3'
+ UNION ALL SELECT DISTINCT result, 'a cold cache, and no other, has a method of eviction' FROM gsamples WHERE result IN ('m4', 'm5') UNION ALL SELECT DISTINCT result, 'the baseline is missing' FROM gsamples WHERE result = 'm6'
+ UNION ALL SELECT DISTINCT result, 'repetitions differ from the baseline''s' FROM gsamples WHERE result = 'm5'""")
+def _(s, d):
+    r, n = F.col("result"), F.col("repetition")
+    x = V.gate_samples(s, d).filter("not (result = 'm5' and repetition = 4)")
+    x = x.unionByName(x.filter("result = 'm2' and repetition = 0"))
+    return M.bench_validate(
+        x.withColumn("wall_seconds", F.when((r == "m0") & (n == 1), 0.0).otherwise(F.col("wall_seconds")))
+        .withColumn("cpu_seconds", F.when((r == "m1") & (n == 2), F.lit(float("nan"))).otherwise(F.col("cpu_seconds")))
+        .withColumn("phases", F.when((r == "m3") & (n == 3), F.create_map(F.lit(" "), F.lit(1.0))).otherwise(F.col("phases")))
+        .withColumn("cache_state", F.when(r == "m4", "cold_evicted").otherwise("warm"))
+        .withColumn("cache_eviction_method", F.when(r == "m5", "drop"))
+        .withColumn("baseline", F.when(r == "m6", "none").otherwise(F.col("baseline")))
+    )
 
 
 @query("a15_engine_summary", """SELECT count(*) AS repetitions, max(peak_rss_bytes) AS max_rss, round(median(item_count / wall_seconds), 6) AS median_scan_rate, round(median(cpu_seconds), 6) AS median_index_seconds, max(peak_rss_bytes) <= 1500 AS budget_passed FROM samples""")
@@ -584,9 +623,10 @@ def _(s, d):
     return M.noise(V.samples(s, d)).withColumn("noise_ratio", F.round("noise_ratio", 6))
 
 
-@query("a18_remote_summary", f"SELECT s.result, round(median(wall_seconds), 6) AS median_wall, median(wire_bytes) AS median_wire, max(peak_rss_bytes) AS max_rss, round(any_value(sp), 6) AS speedup FROM samples s LEFT JOIN (SELECT result, median(speedup) AS sp FROM ({_PAIRS}) GROUP BY result) p ON p.result = s.result GROUP BY s.result")
+@query("a18_remote_summary", f"SELECT s.result, round(median(wall_seconds), 6) AS median_wall, median(wire_bytes) AS median_wire, round(median(cpu_seconds + 1), 6) AS median_setup, max(peak_rss_bytes) AS max_rss, round(any_value(sp), 6) AS speedup FROM samples s LEFT JOIN (SELECT result, median(speedup) AS sp FROM ({_PAIRS}) GROUP BY result) p ON p.result = s.result GROUP BY s.result")
 def _(s, d):
-    return M.remote_summary(V.samples(s, d)).select("result", F.round("median_wall", 6).alias("median_wall"), "median_wire", "max_rss", F.round("speedup", 6).alias("speedup"))
+    x = V.samples(s, d).withColumn("setup_seconds", F.col("cpu_seconds") + 1)
+    return M.remote_summary(x).select("result", F.round("median_wall", 6).alias("median_wall"), "median_wire", F.round("median_setup", 6).alias("median_setup"), "max_rss", F.round("speedup", 6).alias("speedup"))
 
 
 @query("a19_compression_probe")
@@ -596,12 +636,16 @@ def _(s, d):
 
 def work(s, d):
     f = V.table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("path"), (F.col("l_quantity").cast("long") * 1048576 - 1048576).alias("size"))
-    bucketed = f.withColumn("item_kind", F.when(S.size_bucket(F.col("size")) == "small", "batch").when(S.size_bucket(F.col("size")) == "whole", "whole").otherwise("chunk"))
-    chunks = R.chunk_files(bucketed.filter("item_kind = 'chunk'")).withColumn("item_kind", F.lit("chunk"))
-    return bucketed.filter("item_kind <> 'chunk'").select("item_kind", "path").unionByName(chunks.select("item_kind", "path")).withColumn("batch_id", F.when(F.col("item_kind") == "batch", F.lit(0)))
+    bucketed = f.withColumn("bucket", S.size_bucket(F.col("size")))
+    small = R.pack_small_files(bucketed.filter("bucket = 'small'"), most=7).select(F.lit("batch").alias("item_kind"), "path", "batch_id")
+    none = F.lit(None).cast("long").alias("batch_id")
+    whole = bucketed.filter("bucket = 'whole'").select(F.lit("whole").alias("item_kind"), "path", none)
+    chunks = R.chunk_files(bucketed.filter("bucket = 'chunked'")).select(F.lit("chunk").alias("item_kind"), "path", none)
+    return small.unionByName(whole).unionByName(chunks)
 
 
-@query("a20_work_stats", """SELECT CAST(CASE WHEN count(*) FILTER (n < 1048576) > 0 THEN 1 ELSE 0 END AS BIGINT) AS batches, count(*) FILTER (n < 1048576) AS batched_files, count(*) FILTER (n BETWEEN 1048576 AND 33554432) AS whole_files,
+# the small ones have no bytes, so a batch is full at its seventh file
+@query("a20_work_stats", """SELECT CAST((count(*) FILTER (n < 1048576) + 6) // 7 AS BIGINT) AS batches, count(*) FILTER (n < 1048576) AS batched_files, count(*) FILTER (n BETWEEN 1048576 AND 33554432) AS whole_files,
  CAST(sum(CASE WHEN n > 33554432 THEN (n + 16777215) // 16777216 ELSE 0 END) AS BIGINT) AS chunks FROM (SELECT CAST(l_quantity AS BIGINT) * 1048576 - 1048576 AS n FROM lineitem)""")
 def _(s, d):
     return R.work_stats(work(s, d))
@@ -666,9 +710,13 @@ def _(s, d):
     return T.hardlink_extra(V.inodes(s, d)).select("path", "inode", "name_number")
 
 
-@query("w05_pack_small_files")
+@query("w05_pack_small_files", """WITH RECURSIVE files AS (SELECT path, size, row_number() OVER (ORDER BY path) AS i FROM src),
+ packed(i, batch_id, held, n, full_) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false UNION ALL
+  SELECT f.i, b, h, k, k >= 50 OR h >= 65536 FROM (SELECT f.i, p.batch_id + CASE WHEN fresh THEN 1 ELSE 0 END AS b, CASE WHEN fresh THEN f.size ELSE p.held + f.size END AS h, CASE WHEN fresh THEN 1 ELSE p.n + 1 END AS k
+   FROM (SELECT p.*, f.size, f.i AS fi, p.full_ OR (p.n > 0 AND p.held + f.size > 65536) AS fresh FROM packed p JOIN files f ON f.i = p.i + 1) p JOIN files f ON f.i = p.fi) f)
+ SELECT f.path, f.size, p.batch_id FROM packed p JOIN files f ON f.i = p.i""")
 def _(s, d):
-    return R.pack_small_files(V.src(s, d), target=64 << 10, most=50)
+    return R.pack_small_files(V.src(s, d), target=64 << 10, most=50).select("path", "size", "batch_id")
 
 
 def chunked(s, d):
@@ -689,6 +737,13 @@ def _(s, d):
     return R.stripe_chunks(chunked(s, d), 4).select("path", "offset", F.col("stream_id").cast("long").alias("stream_id"))
 
 
+@query("w07_stripe_missing", """SELECT path, b AS "offset", len AS length, (row_number() OVER (ORDER BY turn, path) - 1) % 4 AS stream_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY b) AS turn FROM
+ (SELECT path, b, least(16777216, e - b) AS len FROM (SELECT path, unnest(range(a, e, 16777216)) AS b, e FROM (
+ SELECT path, coalesce(lag(fin) OVER (PARTITION BY path ORDER BY off), 0) AS a, off AS e FROM merged UNION ALL SELECT path, max(fin), 100663296 FROM merged GROUP BY path) WHERE a < e)))""")
+def _(s, d):
+    return R.stripe_missing(R.missing_chunks(V.range_files(s, d), V.ranges(s, d)), 4)
+
+
 @query("w07_stripe_small", "SELECT path, (row_number() OVER (ORDER BY path) - 1) % 4 AS stream_id FROM src")
 def _(s, d):
     return PL.numbered(V.src(s, d), F.col("path").cast("binary")).select("path", ((F.col("place") - 1) % 4).alias("stream_id"))
@@ -862,9 +917,15 @@ def _(s, d):
     return fingerprinted(s, d).select("path", "fingerprint")
 
 
-@query("f08_mix64")
+_MOD = "18446744073709551616"
+_MIX = f"""WITH a AS (SELECT o_orderkey, (CAST(o_orderkey AS UHUGEINT) + 11400714819323198485) % {_MOD} AS z FROM orders),
+ b AS (SELECT o_orderkey, (xor(z, z >> 30) * 13787848793156543929) % {_MOD} AS z FROM a), c AS (SELECT o_orderkey, (xor(z, z >> 27) * 10723151780598845931) % {_MOD} AS z FROM b)
+ SELECT o_orderkey, CAST(xor(z, z >> 31) AS VARCHAR) AS mixed FROM c"""
+
+
+@query("f08_mix64", _MIX)
 def _(s, d):
-    return V.table(s, d, "orders").select("o_orderkey", S.mix64("o_orderkey").alias("mixed"))
+    return V.table(s, d, "orders").select("o_orderkey", S.mix64("o_orderkey").cast("string").alias("mixed"))
 
 
 @query("f09_should_compress")
@@ -900,10 +961,19 @@ def _(s, d):
 # ---- table mutations -----------------------------------------------------------------------------------------------
 
 
-@query("m01_apply_plan", """SELECT path, kind, size, mtime_ns, mode, digest FROM src WHERE path NOT IN (SELECT path FROM plan WHERE classification IN ('unchanged', 'metadata_only')) UNION ALL
- SELECT path, d_kind, d_size, d_mtime, CASE WHEN classification = 'metadata_only' THEN mode ELSE d_mode END, d_digest FROM plan WHERE classification IN ('unchanged', 'metadata_only')""")
+_APPLIED = """SELECT path, kind, size, mtime_ns, mode, digest FROM src WHERE path NOT IN (SELECT path FROM plan WHERE classification IN ('unchanged', 'metadata_only')) UNION ALL
+ SELECT path, d_kind, d_size, d_mtime, CASE WHEN classification = 'metadata_only' THEN mode ELSE d_mode END, d_digest FROM plan WHERE classification IN ('unchanged', 'metadata_only')"""
+
+
+@query("m01_apply_plan", _APPLIED)
+def _(s, d):
+    return RQ.apply_plan(diff(s, d), V.dst(s, d), delete=True, failures=failures(s, d).filter("severity = 'warning'"))
+
+
+@query("m01_apply_gated", f"{_APPLIED} UNION ALL SELECT path, kind, size, mtime_ns, mode, digest FROM plan WHERE classification = 'extraneous'")
 def _(s, d):
-    return RQ.apply_plan(diff(s, d), V.dst(s, d), delete=True, max_delete=1 << 40)
+    """Entries that failed keep the extraneous ones where they are."""
+    return RQ.apply_plan(diff(s, d), V.dst(s, d), delete=True, failures=failures(s, d).filter("severity = 'error'"))
 
 
 def allowed(s, d, op):
@@ -926,10 +996,33 @@ def _(s, d):
     return RQ.delete_recursive(V.dst_tree(s, d), asked).select("path")
 
 
-@query("m05_set_metadata", f"SELECT path, CASE WHEN path IN (SELECT path FROM ({_STATUS}) WHERE op = 'chmod' AND status = 'ok') THEN 511 ELSE mode END AS mode FROM dst_tree")
+# of src7 a file of each language can't be removed: it keeps its directories
+_STUCK = "(SELECT min(path) AS path FROM dst_tree WHERE starts_with(path, 'src7/') AND kind = 'file' GROUP BY regexp_extract(path, '^(.*)/[^/]*$', 1))"
+
+
+@query("m04_delete_outcome", f"""SELECT path, row_number() OVER (ORDER BY len(string_split(path, '/')) DESC, path) AS place, CASE WHEN path IN (SELECT path FROM {_STUCK}) THEN 'failed' WHEN EXISTS (SELECT 1 FROM {_STUCK} s WHERE starts_with(s.path, t.path || '/'))
+ THEN 'not_empty' ELSE 'removed' END AS outcome FROM dst_tree t WHERE path = 'src7' OR starts_with(path, 'src7/')""")
+def _(s, d):
+    tree = V.dst_tree(s, d)
+    files = tree.filter("kind = 'file' and startswith(path, 'src7/')")
+    stuck = files.groupBy(P.path_parent(F.col("path")).alias("p")).agg(F.min("path").alias("path")).select("path")
+    return RQ.delete_outcome(tree, tree.filter("path = 'src7'").select("path"), stuck).select("path", "place", "outcome")
+
+
+# entries of an odd size stand for links to their neighbour in src9, which stands for a link to the file itself
+@query("m05_set_metadata", f"SELECT path, CASE WHEN path IN (SELECT path FROM ({_STATUS}) WHERE op = 'chmod' AND status = 'ok') THEN 511 ELSE mode END AS mode FROM dst_tree UNION ALL SELECT 'links/' || path, 438 FROM dst_tree WHERE kind = 'file' UNION ALL SELECT 'again/' || path, 438 FROM dst_tree WHERE kind = 'file'")
 def _(s, d):
-    asked = allowed(s, d, "chmod").select("path", F.lit(511).alias("mode"), F.lit(None).cast("long").alias("mtime_ns"))
-    return RQ.set_metadata(V.dst_tree(s, d), asked).select("path", "mode")
+    tree = V.dst_tree(s, d).withColumn("symlink_target", F.lit(None).cast("binary"))
+    p = F.col("path")
+
+    def links(prefix, target):
+        put = {"path": F.concat(F.lit(prefix), p), "kind": F.lit("symlink"), "mode": F.lit(438), "symlink_target": target.cast("binary")}
+        return tree.filter("kind = 'file'").select(*[put.get(c, F.col(c)).alias(c) for c in tree.columns])
+
+    up = F.repeat(F.lit("../"), P.path_depth(p).cast("int"))
+    whole = tree.unionByName(links("links/", F.concat(up, p))).unionByName(links("again/", F.concat(F.lit("./"), up, F.lit("links/x/../"), p)))
+    asked = allowed(s, d, "chmod").select(F.concat(F.lit("again/"), "path").alias("path"), F.lit(511).alias("mode"), F.lit(None).cast("long").alias("mtime_ns"))
+    return RQ.set_metadata(whole, asked).select("path", "mode")
 
 
 @query("m06_read_link", """SELECT req_id, r.path, CASE WHEN e.kind IS NULL THEN 'missing' WHEN e.size % 2 <> 0 THEN 'not_link' ELSE 'ok' END AS status, CASE WHEN e.size % 2 = 0 THEN e.digest END AS symlink_target FROM req r LEFT JOIN dst e ON r.path = e.path""")
@@ -938,10 +1031,11 @@ def _(s, d):
     return RQ.read_link(V.requests(s, d), e)
 
 
-@query("m07_fetch_chunks", """SELECT path, o AS "offset", sha256(substr(h, CAST(o * 2 + 1 AS BIGINT), 2048)) AS data_digest, digest FROM (SELECT path, h, digest, unnest(range(0, CAST(len(h) // 2 AS BIGINT), 1024)) AS o FROM
+@query("m07_fetch_chunks", """SELECT path, o AS "offset", sha256(substr(h, CAST(o * 2 + 1 AS BIGINT), 2048)) AS data_digest, digest, 'i:' || path AS identity, CAST(len(h) // 2 AS BIGINT) AS size FROM (SELECT path, h, digest, unnest(range(0, CAST(len(h) // 2 AS BIGINT), 1024)) AS o FROM
  (SELECT path, lower(hex(encode(content))) AS h, sha256(content) AS digest FROM content))""")
 def _(s, d):
-    return RQ.fetch_chunks(V.content(s, d), 1024).select("path", "offset", F.sha2(F.lower(F.hex("data")), 256).alias("data_digest"), "digest")
+    held = V.content(s, d).withColumn("identity", F.concat(F.lit("i:"), "path"))
+    return RQ.fetch_chunks(held, 1024).select("path", "offset", F.sha2(F.lower(F.hex("data")), 256).alias("data_digest"), "digest", "identity", "size")
 
 
 @query("m09_repair_metadata", "SELECT path, mode FROM plan WHERE classification = 'metadata_only'")

@@ -46,8 +46,9 @@ def test_globs():
     import re
 
     def match(p, s):
-        return bool(re.match(glob_to_regex(p), s))
+        return bool(re.match(glob_to_regex(p).replace(r"\z", r"\Z"), s))
 
     assert match("*.md", "docs/api/ref.md") and match("**/x", "x") and match("**/x", "a/b/x")
     assert match("x/**", "x/y") and not match("x/**", "x")
     assert match("a/**/b", "a/b") and match("a/**/b", "a/c/d/b") and match("{a,b}.[ch]", "b.h") and not match("[!a]", "a")
+    assert match("*", "a\nb") and match("a?b", "a\nb") and not match("a", "a\n") and not match("b", "a\nb")
