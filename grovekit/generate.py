@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grovekit.functions.paths import staging_name
 from grovekit.functions.scalars import mix64
 from grovekit.operators.planning import numbered
 
@@ -37,6 +38,21 @@ def corpus(spark: SparkSession, kind: str, entry_count: int, seed: int = 42, lar
     return rows.select(path.alias("path"), entry.alias("kind"), size.alias("size"), (n * 60_000_000_000).alias("mtime_ns"), F.lit(420).alias("mode"), word.alias("word"))
 
 
+def with_content(entries: DataFrame) -> DataFrame:
+    """entries of corpus() with `content`: as many bytes as the size says, drawn from the word in pieces of a digest;
+    the same byte for those whose word is 0. Made row by row on the executors; null for what isn't a file."""
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / 32).cast("int") - 1, F.lit(0))), lambda i: F.sha2(F.concat_ws(":", F.col("word").cast("string"), i.cast("string")), 256))
+    drawn = F.substring(F.unhex(F.array_join(pieces, "")), F.lit(1), F.col("size").cast("int"))
+    same = F.repeat(F.lit("a"), F.col("size").cast("int")).cast("binary")
+    return entries.withColumn("content", F.when(F.col("kind") == "file", F.when(F.col("word") == 0, same).otherwise(drawn)))
+
+
+def churned(content: Column) -> Column:
+    """A content with its first byte changed."""
+    first = F.conv(F.hex(F.substring(content, 1, 1)), 16, 10).cast("int").bitwiseXOR(F.lit(0xA5))
+    return F.when(F.octet_length(content) > 0, F.concat(F.unhex(F.lpad(F.hex(first), 2, "0")), F.substring(content, F.lit(2), F.octet_length(content)))).otherwise(content)
+
+
 def select_spaced(files: DataFrame, seed: int) -> DataFrame:
     """One of a hundred, spaced evenly over the sorted paths from a place that the seed gives (one at least)."""
     placed = numbered(files, F.col("path").cast("binary"), name="place").withColumn("place", F.col("place") - 1)
@@ -69,12 +85,19 @@ def workload(source: DataFrame, kind: str, seed: int = 42) -> tuple[DataFrame, D
         hit = F.coalesce("_hit", F.lit(False))
         if kind == "content-churn":
             changed = marked.withColumns({"word": F.when(hit, F.col("word") + 1).otherwise(F.col("word")), "mtime_ns": F.when(hit, F.col("mtime_ns") + 1_000_000_000).otherwise(F.col("mtime_ns"))})
+            if "content" in source.columns:
+                changed = changed.withColumn("content", F.when(hit, churned(F.col("content"))).otherwise(F.col("content")))
         elif kind == "metadata-churn":
             changed = marked.withColumns({"mtime_ns": F.when(hit, F.col("mtime_ns") + 60_000_000_000).otherwise(F.col("mtime_ns")), "mode": F.when(hit, F.lit(384)).otherwise(F.col("mode"))})
         else:
             changed = marked.withColumns({"kind": F.when(hit, "directory").otherwise(F.col("kind")), "size": F.when(hit, 0).otherwise(F.col("size")).cast("long")})
         return changed.select(*source.columns), source
-    half = F.xxhash64("path", F.lit(seed)) % 2 == 0
+    half = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), "path"), 256), 1, 1) < "8"
     if kind == "delete":
         return source.filter(half), source
-    return source, source.filter(half)
+    # the first file that is missing was under way: half of it stands under its staging name
+    begun = source.filter(~half & (F.col("kind") == "file")).orderBy(F.col("path").cast("binary")).limit(1)
+    part = {"path": staging_name(F.col("path")), "size": F.floor(F.col("size") / 2).cast("long")}
+    if "content" in source.columns:
+        part["content"] = F.substring("content", F.lit(1), F.floor(F.col("size") / 2).cast("int"))
+    return source, source.filter(half).unionByName(begun.select(*[part.get(c, F.col(c)).alias(c) for c in source.columns]))

@@ -17,6 +17,14 @@ def phase_durations(events: DataFrame) -> DataFrame:
     return last.filter("_b >= _a").select("run_id", "name", ((F.col("_b") - F.col("_a")) / 1e9).alias("seconds"))
 
 
+def phase_latencies(events: DataFrame) -> DataFrame:
+    """run_id, name, seconds from each end of a phase back to the start just before it: the batch form of the stream."""
+    order = W.partitionBy("run_id", "name").orderBy("ts_nanos", "started")
+    phases = events.filter((F.col("type") == "phase") & F.col("name").isin(*PHASES))
+    seen = phases.withColumn("_at", F.lag("ts_nanos").over(order)).withColumn("_begun", F.lag("started").over(order))
+    return seen.filter("not started and _begun").select("run_id", "name", ((F.col("ts_nanos") - F.col("_at")) / 1e9).alias("seconds"))
+
+
 def done_event(events: DataFrame) -> DataFrame:
     """The first `done` or `finished` record of each run."""
     found = events.filter(F.col("type").isin("done", "finished"))

@@ -133,6 +133,15 @@ def publish_cas(requests: DataFrame, current: DataFrame) -> DataFrame:
     return requests.join(there, "path", "left").select("req_id", "path", status.alias("status"), F.when(status == "changed", F.col("current_identity")).alias("current_identity"))
 
 
+def publish_requests(requests: DataFrame, current: DataFrame) -> DataFrame:
+    """current after the requests that publish_cas() lets through: size and digest are the payload's. Requests are held
+    against `current` as it is read now; what publishes the result should read it again (sources.files.publish does)."""
+    passed = publish_cas(requests, current).filter("status = 'ok'").select("req_id")
+    new = requests.join(passed, "req_id", "left_semi").groupBy("path").agg(F.max_by(F.struct(F.octet_length("payload").cast("long").alias("size"), "digest"), "req_id").alias("_new"))
+    put = {"size": F.coalesce("_new.size", "size"), "digest": F.coalesce("_new.digest", "digest")}
+    return current.join(new, "path", "left").select(*[put.get(c, F.col(c)).alias(c) for c in current.columns])
+
+
 def stable_read(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, status (stable, vanished, changed) by the fingerprint before and after a read."""
     later = after.select("path", F.col("fingerprint").alias("_after"))

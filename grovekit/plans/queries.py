@@ -21,6 +21,7 @@ from grovekit.operators import verifying as VF
 from grovekit.plans import views as V
 from grovekit.sources import files as SF
 from grovekit.staging import scratch, staged
+from grovekit.streaming import jobs as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,6 +73,72 @@ def _(s, d):
     return T.with_directories(files)
 
 
+@query("s01_tree_scan", """SELECT 'source=' || source AS path, 'directory' AS kind FROM documents GROUP BY source UNION ALL SELECT 'source=' || source || '/lang=' || lang, 'directory' FROM documents GROUP BY source, lang""")
+def _(s, d):
+    """The directories of a table that was written by source and language; the folder must be mounted on the executors."""
+    from urllib.parse import unquote, urlparse
+
+    from grovekit.sources.tree import TreeDataSource
+
+    folder = scratch(s, "scanned")
+    V.table(s, d, "documents").select("source", "lang", "doc_id").write.partitionBy("source", "lang").parquet(folder)
+    s.dataSource.register(TreeDataSource)
+    return s.read.format("tree").load(unquote(urlparse(folder).path)).filter("kind = 'directory'").select(F.col("path_str").alias("path"), "kind")
+
+
+_RECORDED = "path, kind, size, CAST(mtime_ns AS BIGINT) AS mtime_ns, mode, digest"
+
+
+@query("s04_manifest_json", f"SELECT {_RECORDED}, size + 512 - size % 512 AS allocated_bytes, CASE WHEN size % 7 = 0 THEN path END AS target, (SELECT count(*) FROM src) AS item_count FROM src")
+def _(s, d):
+    path = scratch(s, "manifest")
+    e = V.src(s, d).withColumn("allocated_bytes", F.col("size") + 512 - F.col("size") % 512).withColumn("symlink_target", F.when(F.col("size") % 7 == 0, F.col("path").cast("binary")))
+    SF.write_manifest_json(e, path)
+    back = SF.read_manifest_json(s, path, lines=True)
+    VF.refuse_unless_digest(back, back.select("manifest_digest").first()[0])
+    return back.select("path", "kind", "size", "mtime_ns", "mode", "digest", "allocated_bytes", F.col("symlink_target").cast("string").alias("target"), "item_count")
+
+
+@query("s05_bench_input_read", "SELECT result, baseline, repetition, method_order, round(wall_seconds, 9) AS wall_seconds, logical_bytes FROM gsamples")
+def _(s, d):
+    path = scratch(s, "report")
+    x = V.gate_samples(s, d).withColumnRenamed("phases", "phases_seconds")
+    fields = [F.col(c) for c in ("repetition", "method_order", "wall_seconds", "cpu_seconds", "peak_rss_bytes", "item_count", "logical_bytes", "phases_seconds", "oracle")]
+    results = x.groupBy(F.col("result").alias("name"), "baseline").agg(F.collect_list(F.struct(*fields)).alias("samples"))
+    results.agg(F.collect_list(F.struct("name", "baseline", "samples")).alias("results")).withColumn("schema", F.lit("input.v1")).write.json(path)
+    return SF.read_bench_input(s, path).select("result", "baseline", "repetition", "method_order", F.round("wall_seconds", 9).alias("wall_seconds"), "logical_bytes")
+
+
+@query("s06_event_log_read", "SELECT run_id, type, ts_nanos AS timestamp_unix_nanos, name, started, path, completed FROM ev")
+def _(s, d):
+    """Events as JSON lines, among lines that are no JSON or have no type."""
+    path = scratch(s, "events")
+    e = V.events(s, d).select("run_id", "type", F.col("ts_nanos").alias("timestamp_unix_nanos"), "name", "started", "path", "completed")
+    SF.write_event_log(e.withColumn("unknown", F.lit(1)), path)
+    e.select(F.concat(F.lit("not json "), "path").alias("value")).write.mode("append").text(path)
+    e.select(F.to_json(F.struct("run_id", "path")).alias("value")).write.mode("append").text(path)
+    return SF.read_event_log(s, path).select(*e.columns)
+
+
+@query("s07_failure_log", "SELECT 'error' AS type, 'io' AS kind, path AS origin, CASE WHEN event_id % 2 = 0 THEN 'm' || CAST(event_id AS VARCHAR) END AS message FROM ev WHERE type = 'failed'")
+def _(s, d):
+    path = scratch(s, "failures")
+    e = V.events(s, d).filter("type = 'failed'")
+    f = e.select(F.lit("error").alias("type"), F.lit("io").alias("kind"), F.col("path").alias("origin"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("m"), F.col("event_id").cast("string"))).alias("message"))
+    SF.append_failure_log(f.filter("origin < 'p3'"), path)
+    SF.append_failure_log(f.filter("origin >= 'p3'"), path)
+    return SF.read_failure_log(s, path).select("type", "kind", "origin", "message")
+
+
+@query("s13_publish", f"SELECT {_RECORDED} FROM src")
+def _(s, d):
+    """The destination is published, and then the source in its place."""
+    target = scratch(s, "published")
+    SF.publish(V.dst(s, d), target)
+    SF.publish(V.src(s, d), target)
+    return s.read.parquet(target)
+
+
 _LINES = """SELECT 'rules-' || CAST(page_id AS VARCHAR) AS origin, unnest(generate_series(1, 4)) AS line_number,
  unnest(['# ' || p, '', '+ ' || p, CASE page_id % 3 WHEN 0 THEN '- ' WHEN 1 THEN '!' ELSE '' END || p]) AS line FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)"""
 _PARSED = f"""SELECT origin, CAST(line_number AS BIGINT) AS line_number, CASE WHEN starts_with(line, '+ ') OR starts_with(line, '!') THEN 'include' ELSE 'exclude' END AS action,
@@ -958,6 +1025,76 @@ def _(s, d):
     return E.run_totals(V.events(s, d))
 
 
+@query("t02_phase_latency", """SELECT run_id, name, round((ts_nanos - before) / 1e9, 6) AS seconds FROM (SELECT *, lag(ts_nanos) OVER w AS before, lag(started) OVER w AS begun FROM ev WHERE type = 'phase' WINDOW w AS (PARTITION BY run_id, name ORDER BY ts_nanos))
+ WHERE NOT started AND begun""")
+def _(s, d):
+    return E.phase_latencies(V.events(s, d)).withColumn("seconds", F.round("seconds", 6))
+
+
+@query("t04_checkpoint_state", """SELECT path, 'x' AS fingerprint, off AS "offset", fin - off AS length FROM merged""")
+def _(s, d):
+    r = V.ranges(s, d).withColumn("fingerprint", F.lit("x"))
+    return R.checkpoint_upsert(r.limit(0), r)
+
+
+@query("t06_incremental_diff", "SELECT path, classification FROM plan WHERE classification <> 'extraneous' OR d_size % 2 = 0")
+def _(s, d):
+    """All source rows as changes, and for half of what is only at the destination the news that it is gone."""
+    out, source = scratch(s, "plans"), scratch(s, "changes")
+    gone = diff(s, d).filter("classification = 'extraneous' and size % 2 = 0")
+    V.src(s, d).withColumn("deleted", F.lit(False)).unionByName(gone.select(*V.src(s, d).columns).withColumn("deleted", F.lit(True))).write.parquet(source)
+    stream = s.readStream.schema(s.read.parquet(source).schema).parquet(source)
+    job = ST.incremental_diff(stream, lambda: V.dst(s, d), lambda plan, n: plan.select("path", "classification").write.mode("append").parquet(out))
+    job.option("checkpointLocation", scratch(s, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out)
+
+
+@query("t07_failure_router", "SELECT CASE WHEN type = 'failed' THEN 'error' ELSE 'warning' END AS type, path, ts_nanos FROM ev WHERE type IN ('failed', 'other')")
+def _(s, d):
+    source, out = scratch(s, "failures"), scratch(s, "routed")
+    e = V.events(s, d).select(F.when(F.col("type") == "failed", "error").when(F.col("type") == "other", "warning").otherwise("info").alias("type"), "path", "ts_nanos")
+    e.write.parquet(source)
+
+    def sink(name):
+        return lambda df: df.writeStream.format("parquet").option("checkpointLocation", scratch(s, "stream-state")).option("path", f"{out}/{name}").trigger(availableNow=True).start()
+
+    for q in ST.failure_router(s.readStream.schema(e.schema).parquet(source), {"error": sink("error"), "warning": sink("warning")}).values():
+        q.awaitTermination()
+    return s.read.parquet(f"{out}/error").unionByName(s.read.parquet(f"{out}/warning"))
+
+
+# ---- generators ----------------------------------------------------------------------------------------------------
+
+_SPACED = """SELECT path FROM (SELECT path, row_number() OVER (ORDER BY path) - 1 AS place, count(*) OVER () AS n FROM src) WHERE place IN
+ (SELECT (42 % n + i * n // t) % n FROM (SELECT count(*) AS n, greatest(count(*) // 100, 1) AS t FROM src), (SELECT unnest(range(0, 1000000)) AS i) WHERE i < t)"""
+_HALF = "substr(sha256('42:' || path), 1, 1) < '8'"
+
+
+@query("x01_workloads", f"""SELECT 'initial-copy' AS kind, 'new' AS classification, count(*) AS n FROM src UNION ALL SELECT 'no-op', 'unchanged', count(*) FROM src
+ UNION ALL SELECT k, CASE WHEN path IN ({_SPACED}) THEN 'changed' ELSE 'unchanged' END, count(*) FROM src, (VALUES ('content-churn'), ('metadata-churn'), ('type-replacement')) v(k) GROUP BY 1, 2
+ UNION ALL SELECT 'delete', CASE WHEN {_HALF} THEN 'unchanged' ELSE 'extraneous' END, count(*) FROM src GROUP BY 2
+ UNION ALL SELECT 'interrupted-resume', CASE WHEN {_HALF} THEN 'unchanged' ELSE 'new' END, count(*) FROM src GROUP BY 2 UNION ALL SELECT 'interrupted-resume', 'extraneous', 1""")
+def _(s, d):
+    """Each state of the generator, made of the source's manifest, against it."""
+    from grovekit.generate import WORKLOADS, workload
+
+    src, out = V.src(s, d).withColumn("word", F.lit(1).cast("decimal(20,0)")), None
+    for kind in WORKLOADS:
+        n = PL.manifest_diff(*workload(src, kind)).groupBy("classification").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+        out = n if out is None else out.unionByName(n)
+    return out.select("kind", "classification", "n")
+
+
+@query("x02_corpus_content", """SELECT path, CAST(size AS BIGINT) AS n_bytes, lower(hex(encode('')))||substr(sha256(CAST(doc_id AS VARCHAR) || ':0'), 1, CAST(least(size, 32) * 2 AS INTEGER)) AS head FROM (SELECT path, size % 200 AS size, doc_id FROM (SELECT *, mtime_ns // 60000000000 AS doc_id FROM src)) WHERE doc_id > 0""")
+def _(s, d):
+    """Contents of the generator for entries of the source, of the size modulo 200."""
+    from grovekit.generate import with_content
+
+    e = V.src(s, d).withColumns({"size": F.col("size") % 200, "word": F.floor(F.col("mtime_ns") / 60_000_000_000).cast("decimal(20,0)")}).filter("word > 0")
+    made = with_content(e)
+    return made.select("path", F.octet_length("content").cast("long").alias("n_bytes"), F.lower(F.hex(F.substring("content", 1, 32))).alias("head"))
+
+
 # ---- table mutations -----------------------------------------------------------------------------------------------
 
 
@@ -1041,3 +1178,18 @@ def _(s, d):
 @query("m09_repair_metadata", "SELECT path, mode FROM plan WHERE classification = 'metadata_only'")
 def _(s, d):
     return RQ.repair_metadata(diff(s, d))
+
+
+@query("m08_publish", f"""SELECT p.path, CASE WHEN q.path IS NOT NULL THEN sha256(q.path) ELSE p.digest END AS digest FROM dst p LEFT JOIN (SELECT {V._PATH} AS path FROM documents d JOIN dst e ON e.path = {V._PATH}
+ WHERE e.kind = 'file' AND e.size = strlen(text) + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AND doc_id % 7 <> 0) q ON p.path = q.path""")
+def _(s, d):
+    """Requests are checked, those that hold are applied, and the new table is published."""
+    n, target = F.col("doc_id"), scratch(s, "published")
+    payload = F.format_string("%s/%s/doc-%06d.txt", "source", "lang", "doc_id")
+    asked = V.table(s, d, "documents").select(
+        n.alias("req_id"), payload.alias("path"), (F.octet_length("text") + (n % 9 == 0).cast("int")).cast("string").alias("expected_identity"),
+        F.sha2(F.when(n % 7 == 0, F.concat(payload, F.lit("x"))).otherwise(payload), 256).alias("digest"), payload.alias("payload"),
+    )
+    current = V.dst(s, d).withColumn("identity", F.col("size").cast("string"))
+    SF.publish(RQ.publish_requests(asked, current).drop("identity"), target)
+    return s.read.parquet(target).select("path", "digest")

@@ -20,7 +20,7 @@ MANIFEST = (
 SAMPLE = (
     "struct<repetition: int, method_order: int, wall_seconds: double, cpu_seconds: double, peak_rss_bytes: long, item_count: long,"
     " logical_bytes: long, source_allocated_bytes: long, destination_allocated_bytes: long, wire_bytes: long, phases_seconds: map<string, double>,"
-    " cache_state: string, cache_eviction_method: string, oracle: struct<passed: boolean, mismatch_count: long, actual_digest: string, item_count: long, logical_bytes: long>>"
+    " cache_state: string, cache_eviction_method: string, setup_seconds: double, oracle: struct<passed: boolean, mismatch_count: long, expected_digest: string, actual_digest: string, item_count: long, logical_bytes: long>>"
 )
 BENCH_INPUT = (
     "schema string, build string, environment string, session string, corpus struct<id: string, digest: string>, tools array<string>,"

@@ -11,6 +11,7 @@ from grovekit import schemas
 from grovekit.functions import paths as P
 from grovekit.functions import scalars as S
 from grovekit.functions.globs import rule_parse
+from grovekit.operators.verifying import manifest_digest
 
 MANIFEST_VERSION = "manifest.v1"
 
@@ -27,9 +28,10 @@ def manifest_from_table(df: DataFrame, path, content, mtime_ns, mode) -> DataFra
     )
 
 
-def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of nested manifest documents; the recorded digest and counts stand in each."""
-    docs = spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(path)
+def read_manifest_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows of nested manifest documents, one a file, or with `lines` one a line, as write_manifest_json() puts them; the
+    recorded digest and counts stand in each row."""
+    docs = spark.read.schema(schemas.MANIFEST).option("multiLine", not lines).json(path)
     rows = docs.select("manifest_digest", "item_count", "digest_algorithm", F.explode("entries").alias("e"))
     return rows.select(
         P.from_hex_components(F.col("e.path.components_hex")).alias("path"),
@@ -47,24 +49,32 @@ def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
 
 def write_manifest_json(entries: DataFrame, path: str) -> None:
     """One JSON line per entry under the manifest's own field names: a document as large as a table can't be one row,
-    so an `entries` array holds one entry a line; the reader takes both forms."""
+    so an `entries` array holds one entry a line (read it with lines=True). Each line carries the whole manifest's
+    counts and digest, so a reader can check what it has read (refuse_unless_digest)."""
+    whole = manifest_digest(entries).first()
+    held = F.col("allocated_bytes") if "allocated_bytes" in entries.columns else F.lit(None).cast("long")
+    target = F.lower(F.hex("symlink_target")) if "symlink_target" in entries.columns else F.lit(None).cast("string")
     entry = F.struct(
         F.struct(P.hex_components(F.col("path")).alias("components_hex")).alias("path"),
         F.col("kind"),
         F.col("size").alias("length"),
+        held.alias("allocated_bytes"),
         F.col("digest").alias("content_digest"),
         F.col("mode"),
         F.struct(S.whole_seconds(F.col("mtime_ns")).alias("seconds"), S.nanoseconds_part(F.col("mtime_ns")).alias("nanoseconds")).alias("mtime"),
+        target.alias("symlink_target_hex"),
     )
-    entries.select(F.lit(MANIFEST_VERSION).alias("schema"), F.lit("hex").alias("path_encoding"), F.lit("sha256").alias("digest_algorithm"), F.array(entry).alias("entries")).write.json(path)
+    counts = [F.lit(whole[c]).cast("long").alias(c) for c in ("item_count", "logical_bytes", "allocated_bytes")]
+    head = [F.lit(MANIFEST_VERSION).alias("schema"), F.lit("hex").alias("path_encoding"), F.lit("sha256").alias("digest_algorithm"), *counts, F.lit(whole["manifest_digest"]).alias("manifest_digest")]
+    entries.select(*head, F.array(entry).alias("entries")).write.json(path)
 
 
 def read_bench_input(spark: SparkSession, path: str) -> DataFrame:
     """samples of nested report documents, in the columns that the measuring operators read."""
     docs = spark.read.schema(schemas.BENCH_INPUT).option("multiLine", True).json(path)
-    results = docs.select("schema", "environment", "session", F.explode("results").alias("r"))
-    rows = results.select("schema", "environment", "session", F.col("r.name").alias("result"), F.col("r.baseline").alias("baseline"), F.explode("r.samples").alias("s"))
-    return rows.select("schema", "environment", "session", "result", "baseline", "s.*").withColumnRenamed("phases_seconds", "phases").withColumn("allocated_bytes", F.col("destination_allocated_bytes"))
+    results = docs.select("schema", "environment", "session", F.posexplode("results").alias("result_number", "r"))
+    rows = results.select("schema", "environment", "session", "result_number", F.col("r.name").alias("result"), F.col("r.baseline").alias("baseline"), F.explode("r.samples").alias("s"))
+    return rows.select("schema", "environment", "session", "result_number", "result", "baseline", "s.*").withColumnRenamed("phases_seconds", "phases").withColumn("allocated_bytes", F.col("destination_allocated_bytes"))
 
 
 def _lines(reader, schema: str, path: str) -> DataFrame:
@@ -85,6 +95,11 @@ def read_failure_log(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark.read, schemas.FAILURES, path)
 
 
+def write_event_log(events: DataFrame, path: str) -> None:
+    """A JSON line for each event; null fields are left out."""
+    events.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).write.mode("append").text(path)
+
+
 def append_failure_log(failures: DataFrame, path: str) -> None:
     """Null fields are left out of the line."""
     failures.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).write.mode("append").text(path)
@@ -110,9 +125,21 @@ def discover_ignore_files(entries: DataFrame, name: str) -> DataFrame:
     return rules.select(P.path_parent(F.col("origin")).alias("scope"), F.col("line_number").alias("ord"), "action", "pattern", "origin")
 
 
+def recover(spark: SparkSession, target: str) -> bool:
+    """Puts a table back that a lost publish() left beside its place; whether there was one."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    goal = fs_path(target.rstrip("/"))
+    fs = goal.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(goal) or not fs.exists(goal.getParent()):
+        return False
+    left = [x.getPath() for x in fs.listStatus(goal.getParent()) if x.getPath().getName().startswith(f"{goal.getName()}.old-")]
+    return bool(left) and fs.rename(left[0], goal)
+
+
 def publish(df: DataFrame, target: str, key: str = "path", retries: int = 1) -> None:
     """Writes a table beside the target, reads it back, compares the count and the digest of its rows, and only then
-    puts it in the target's place; one more try if they differ."""
+    puts it in the target's place; one more try if they differ. Between the two renames that do so the former table
+    stands beside the target; if the driver is lost just then, the next publish() or recover() puts it back."""
     spark = df.sparkSession
 
     def measure(x: DataFrame):
@@ -122,6 +149,7 @@ def publish(df: DataFrame, target: str, key: str = "path", retries: int = 1) ->
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     goal = fs_path(target)
     fs = goal.getFileSystem(spark._jsc.hadoopConfiguration())
+    recover(spark, target)
     want = measure(df)
     for _ in range(retries + 1):
         beside = fs_path(f"{target.rstrip('/')}.stage-{uuid.uuid4().hex}")

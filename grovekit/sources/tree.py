@@ -42,9 +42,15 @@ def walk(root: bytes, at: bytes, pruned: frozenset[bytes]) -> Iterator[tuple]:
         yield from walk(root, os.path.join(at, name), pruned)
 
 
-class _Top(InputPartition):
-    def __init__(self, name: bytes):
-        self.name = name
+#: Directories are listed, down to so many levels, until there are as many partitions; single entries share one.
+PARTITIONS, LEVELS, SINGLE_ENTRIES = 256, 4, 10_000
+
+
+class _Part(InputPartition):
+    """Paths, each with whether all below it belongs to the partition too."""
+
+    def __init__(self, paths: list[tuple[bytes, bool]]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
@@ -55,16 +61,33 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         if not os.path.isdir(self.root):
-            return [_Top(b"")]
-        return [_Top(name) for name in sorted(os.listdir(self.root))] or [_Top(b"\0none")]
+            return [_Part([])]
+        single, whole, open_ = [], [], [b""]
+        for level in range(LEVELS):
+            found = []
+            for at in open_:
+                try:
+                    with os.scandir(os.path.join(self.root, at)) as names:
+                        listed = [(os.path.join(at, x.name), x.is_dir(follow_symlinks=False)) for x in names]
+                except OSError:
+                    whole.append(at)  # reading it says what is wrong
+                    continue
+                single += [at] * (level > 0)
+                single += [path for path, is_dir in listed if not is_dir or path in self.pruned]
+                found += [path for path, is_dir in listed if is_dir and path not in self.pruned]
+            open_ = found
+            if not open_ or len(open_) >= PARTITIONS:
+                break
+        parts = [_Part([(path, True)]) for path in sorted(whole + open_)]
+        single.sort()
+        parts += [_Part([(path, False) for path in single[k : k + SINGLE_ENTRIES]]) for k in range(0, len(single), SINGLE_ENTRIES)]
+        return parts or [_Part([(b"", False)])]
 
     def read(self, partition):
-        if partition.name == b"\0none":
-            return
-        if partition.name == b"":  # a single file: its own name
+        if not partition.paths:  # a single file: its own name
             rows = [_entry(os.path.dirname(self.root), os.path.basename(self.root))]
         else:
-            rows = walk(self.root, partition.name, self.pruned)
+            rows = (row for path, below in partition.paths if path or below for row in (walk(self.root, path, self.pruned) if below else [_entry(self.root, path)]))
         for row in rows:
             if row[-1] and self.fail:
                 raise OSError(f"{row[1]}: {row[-1]}")
@@ -72,8 +95,8 @@ class _Reader(DataSourceReader):
 
 
 class TreeDataSource(DataSource):
-    """spark.dataSource.register(TreeDataSource); spark.read.format("tree").load(path). One partition for each top-level
-    entry; options: mode (FAILFAST, or PERMISSIVE for error rows), prune (directories not to be entered, a line each)."""
+    """spark.dataSource.register(TreeDataSource); spark.read.format("tree").load(path). A partition for each of the
+    directories at the level that has enough of them; options: mode (FAILFAST, or PERMISSIVE for error rows), prune (directories not to be entered, a line each)."""
 
     @classmethod
     def name(cls) -> str:

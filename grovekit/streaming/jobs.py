@@ -3,6 +3,7 @@ the query's progress (numRowsDroppedByWatermark)."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,11 +37,15 @@ def failure_router(failures: DataFrame, sinks: dict[str, Callable[[DataFrame], o
     return {severity: start(failures.filter(F.col("type") == severity)) for severity, start in sinks.items()}
 
 
+#: State of a key that isn't touched for so long is dropped.
+STATE_MILLISECONDS = 7 * 24 * 3600 * 1000
+
+
 class PhaseLatency(StatefulProcessor):
     """Pairs the start and the end of a phase: rows (run_id, name, seconds) when both have come."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.begun = handle.getValueState("begun", "ts_nanos long")
+        self.begun = handle.getValueState("begun", "ts_nanos long", STATE_MILLISECONDS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
@@ -62,7 +67,7 @@ class PhaseLatency(StatefulProcessor):
 
 def phase_latency_stream(events: DataFrame) -> DataFrame:
     phases = events.filter((F.col("type") == "phase") & F.col("name").isin(*E.PHASES)).select("run_id", "name", "started", "ts_nanos")
-    return phases.groupBy("run_id", "name").transformWithStateInPandas(PhaseLatency(), "run_id long, name string, seconds double", "Append", "None")
+    return phases.groupBy("run_id", "name").transformWithStateInPandas(PhaseLatency(), "run_id long, name string, seconds double", "Append", "ProcessingTime")
 
 
 def union_of(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -81,21 +86,24 @@ class RangeTracker(StatefulProcessor):
     accepted, complete). A new fingerprint begins anew."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "fingerprint string, ranges array<struct<a: long, b: long>>")
+        self.held = handle.getValueState("held", "fingerprint string, ranges array<struct<a: long, b: long>>", STATE_MILLISECONDS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fingerprint, ranges = self.held.get() if self.held.exists() else (None, [])
         ranges = [tuple(r) for r in ranges]
-        out = []
+        covered, out = sum(y - x for x, y in ranges), []
         for part in rows:
             for r in part.itertuples():
                 if r.fingerprint != fingerprint:
-                    fingerprint, ranges = r.fingerprint, []
+                    fingerprint, ranges, covered = r.fingerprint, [], 0
                 a, b = int(r.offset), int(r.offset + r.length)
-                ok = b <= r.size and not any(a < y and x < b for x, y in ranges)
+                # held ranges are sorted and apart: only the neighbours of the place can overlap
+                at = bisect_left(ranges, (a, b))
+                ok = b <= r.size and not (at and ranges[at - 1][1] > a) and not (at < len(ranges) and ranges[at][0] < b)
                 if ok and a < b:
-                    ranges = union_of([*ranges, (a, b)])
-                out.append((key[0], a, b - a, ok, sum(y - x for x, y in ranges) >= r.size))
+                    ranges.insert(at, (a, b))
+                    covered += b - a
+                out.append((key[0], a, b - a, ok, covered >= r.size))
         self.held.update((fingerprint, ranges))
         yield pd.DataFrame(out, columns=["path", "offset", "length", "accepted", "complete"])
 
@@ -106,26 +114,28 @@ class RangeTracker(StatefulProcessor):
 def range_tracker(ranges: DataFrame) -> DataFrame:
     """ranges(path, size, fingerprint, offset, length)."""
     schema = "path string, offset long, length long, accepted boolean, complete boolean"
-    return ranges.groupBy("path").transformWithStateInPandas(RangeTracker(), schema, "Append", "None")
+    return ranges.groupBy("path").transformWithStateInPandas(RangeTracker(), schema, "Append", "ProcessingTime")
 
 
 class CheckpointState(StatefulProcessor):
     """The union of all verified ranges of a path under its fingerprint: rows (path, fingerprint, offset, length) of the
-    whole union after each batch."""
+    whole union after each batch that changes it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "fingerprint string, ranges array<struct<a: long, b: long>>")
+        self.held = handle.getValueState("held", "fingerprint string, ranges array<struct<a: long, b: long>>", STATE_MILLISECONDS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fingerprint, ranges = self.held.get() if self.held.exists() else (None, [])
-        ranges = [tuple(r) for r in ranges]
+        before = (fingerprint, ranges := [tuple(r) for r in ranges])
         for part in rows:
             for r in part.itertuples():
                 if r.fingerprint != fingerprint:
                     fingerprint, ranges = r.fingerprint, []
-                ranges.append((int(r.offset), int(r.offset + r.length)))
+                ranges = [*ranges, (int(r.offset), int(r.offset + r.length))]
         ranges = union_of(ranges)
         self.held.update((fingerprint, ranges))
+        if (fingerprint, ranges) == before:
+            return
         yield pd.DataFrame([(key[0], fingerprint, a, b - a) for a, b in ranges], columns=["path", "fingerprint", "offset", "length"])
 
     def close(self) -> None:
@@ -134,14 +144,18 @@ class CheckpointState(StatefulProcessor):
 
 def checkpoint_state(ranges: DataFrame) -> DataFrame:
     schema = "path string, fingerprint string, offset long, length long"
-    return ranges.groupBy("path").transformWithStateInPandas(CheckpointState(), schema, "Update", "None")
+    return ranges.groupBy("path").transformWithStateInPandas(CheckpointState(), schema, "Update", "ProcessingTime")
 
 
 def incremental_diff(changed: DataFrame, destination: Callable[[], DataFrame], emit: Callable[[DataFrame, int], None]):
-    """A writer that diffs each batch of changed source rows with the destination's rows of the same paths alone."""
+    """A writer that diffs each batch of changed source rows with the destination's rows of the same paths alone. Of
+    rows of one path the latest counts, and of equally late ones any single one. Where `changed` has a column `deleted`,
+    a path whose latest row says so is gone from the source, and its destination row is extraneous."""
 
     def each(batch: DataFrame, number: int) -> None:
-        touched = destination().join(batch.select("path"), "path", "left_semi")
-        emit(manifest_diff(batch, touched), number)
+        latest = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "mtime_ns").alias("x")).select("path", "x.*")
+        touched = destination().join(latest.select("path"), "path", "left_semi")
+        there = latest.filter("not coalesce(deleted, false)").drop("deleted") if "deleted" in latest.columns else latest
+        emit(manifest_diff(there, touched), number)
 
     return changed.writeStream.foreachBatch(each)
