@@ -37,15 +37,26 @@ def failure_router(failures: DataFrame, sinks: dict[str, Callable[[DataFrame], o
     return {severity: start(failures.filter(F.col("type") == severity)) for severity, start in sinks.items()}
 
 
-#: State of a key that isn't touched for so long is dropped.
-STATE_MILLISECONDS = 7 * 24 * 3600 * 1000
+class _Expiring(StatefulProcessor):
+    """State of a key that isn't touched for `expire_ms` is dropped; None keeps it. Expiry goes by processing time, and a
+    query with it has a next batch always: it doesn't end by itself under the trigger availableNow."""
 
+    def __init__(self, expire_ms: int | None = None):
+        self.expire_ms = expire_ms
 
-class PhaseLatency(StatefulProcessor):
+    @property
+    def time_mode(self) -> str:
+        return "None" if self.expire_ms is None else "ProcessingTime"
+
+    def close(self) -> None:
+        pass
+
+
+class PhaseLatency(_Expiring):
     """Pairs the start and the end of a phase: rows (run_id, name, seconds) when both have come."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.begun = handle.getValueState("begun", "ts_nanos long", STATE_MILLISECONDS)
+        self.begun = handle.getValueState("begun", "ts_nanos long", self.expire_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
@@ -61,13 +72,11 @@ class PhaseLatency(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=["run_id", "name", "seconds"])
 
-    def close(self) -> None:
-        pass
-
 
-def phase_latency_stream(events: DataFrame) -> DataFrame:
+def phase_latency_stream(events: DataFrame, expire_ms: int | None = None) -> DataFrame:
+    job = PhaseLatency(expire_ms)
     phases = events.filter((F.col("type") == "phase") & F.col("name").isin(*E.PHASES)).select("run_id", "name", "started", "ts_nanos")
-    return phases.groupBy("run_id", "name").transformWithStateInPandas(PhaseLatency(), "run_id long, name string, seconds double", "Append", "ProcessingTime")
+    return phases.groupBy("run_id", "name").transformWithStateInPandas(job, "run_id long, name string, seconds double", "Append", job.time_mode)
 
 
 def union_of(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -81,12 +90,12 @@ def union_of(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-class RangeTracker(StatefulProcessor):
+class RangeTracker(_Expiring):
     """Accepts a range of a path unless it overlaps one that was accepted or passes the end: rows (path, offset, length,
     accepted, complete). A new fingerprint begins anew."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "fingerprint string, ranges array<struct<a: long, b: long>>", STATE_MILLISECONDS)
+        self.held = handle.getValueState("held", "fingerprint string, ranges array<struct<a: long, b: long>>", self.expire_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fingerprint, ranges = self.held.get() if self.held.exists() else (None, [])
@@ -107,22 +116,20 @@ class RangeTracker(StatefulProcessor):
         self.held.update((fingerprint, ranges))
         yield pd.DataFrame(out, columns=["path", "offset", "length", "accepted", "complete"])
 
-    def close(self) -> None:
-        pass
-
 
-def range_tracker(ranges: DataFrame) -> DataFrame:
+def range_tracker(ranges: DataFrame, expire_ms: int | None = None) -> DataFrame:
     """ranges(path, size, fingerprint, offset, length)."""
+    job = RangeTracker(expire_ms)
     schema = "path string, offset long, length long, accepted boolean, complete boolean"
-    return ranges.groupBy("path").transformWithStateInPandas(RangeTracker(), schema, "Append", "ProcessingTime")
+    return ranges.groupBy("path").transformWithStateInPandas(job, schema, "Append", job.time_mode)
 
 
-class CheckpointState(StatefulProcessor):
+class CheckpointState(_Expiring):
     """The union of all verified ranges of a path under its fingerprint: rows (path, fingerprint, offset, length) of the
     whole union after each batch that changes it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "fingerprint string, ranges array<struct<a: long, b: long>>", STATE_MILLISECONDS)
+        self.held = handle.getValueState("held", "fingerprint string, ranges array<struct<a: long, b: long>>", self.expire_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fingerprint, ranges = self.held.get() if self.held.exists() else (None, [])
@@ -138,13 +145,11 @@ class CheckpointState(StatefulProcessor):
             return
         yield pd.DataFrame([(key[0], fingerprint, a, b - a) for a, b in ranges], columns=["path", "fingerprint", "offset", "length"])
 
-    def close(self) -> None:
-        pass
-
 
-def checkpoint_state(ranges: DataFrame) -> DataFrame:
+def checkpoint_state(ranges: DataFrame, expire_ms: int | None = None) -> DataFrame:
+    job = CheckpointState(expire_ms)
     schema = "path string, fingerprint string, offset long, length long"
-    return ranges.groupBy("path").transformWithStateInPandas(CheckpointState(), schema, "Update", "ProcessingTime")
+    return ranges.groupBy("path").transformWithStateInPandas(job, schema, "Update", job.time_mode)
 
 
 def incremental_diff(changed: DataFrame, destination: Callable[[], DataFrame], emit: Callable[[DataFrame, int], None]):
