@@ -152,3 +152,74 @@ def test_streams(spark, tmp_path):
     q = ST.range_tracker(stream).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["offset"], r["accepted"]) for r in spark.table("tracked").collect()) == [(0, True), (5, False), (10, True)]
+
+
+def test_links_resolve_from_their_directory(spark):
+    tree = spark.createDataFrame(
+        [("a/l", "symlink", b"f.txt"), ("a/f.txt", "file", None), ("f.txt", "file", None), ("a/up", "symlink", b"../f.txt"), ("b/l", "symlink", b"../a/./l"), ("out", "symlink", b"../x"), ("loop", "symlink", b"loop"), ("abs", "symlink", b"/f.txt")],
+        "path string, kind string, symlink_target binary",
+    ).withColumns({"size": F.lit(0), "mtime_ns": F.lit(0).cast("long"), "mode": F.lit(420)})
+
+    def changed(path):
+        asked = spark.createDataFrame([(path, 511, None)], "path string, mode int, mtime_ns long")
+        return [r["path"] for r in RQ.set_metadata(tree, asked, most_links=3).filter("mode = 511").collect()]
+
+    assert [changed(p) for p in ("a/l", "a/up", "b/l", "out", "loop", "abs", "f.txt")] == [["a/f.txt"], ["f.txt"], ["a/f.txt"], [], [], [], ["f.txt"]]
+
+
+def test_failures_keep_extraneous_rows(spark):
+    src, dst = entries(spark, file("a"), file("b", size=2)), entries(spark, file("a"), file("old"))
+    plan = PL.manifest_diff(src, dst)
+    bad = spark.createDataFrame([("b", "error")], "path string, severity string")
+    paths = lambda df: sorted(r["path"] for r in df.collect())
+    assert paths(RQ.apply_plan(plan, dst, delete=True)) == ["a", "b"]
+    assert paths(RQ.apply_plan(plan, dst, delete=True, failures=bad)) == paths(RQ.apply_plan(plan, dst, delete=True, partial_work=True)) == ["a", "b", "old"]
+    assert paths(RQ.apply_plan(plan, dst, delete=True, failures=bad.withColumn("severity", F.lit("warning")))) == ["a", "b"]
+
+
+def test_large_directories_are_digested_in_buckets(spark):
+    rows = entries(spark, *[file(f"d/f{i}", digest=str(i)) for i in range(40)], *[file(f"e/f{i}", digest=str(i)) for i in range(40)], file("e/g/h/i"))
+    tree = T.with_directories(rows)
+    got = {r["path"]: r["tree_digest"] for r in T.tree_digest(tree, bucket_rows=8).collect()}
+    again = {r["path"]: r["tree_digest"] for r in T.tree_digest(tree.repartition(5), bucket_rows=8).collect()}
+    other = {r["path"]: r["tree_digest"] for r in T.tree_digest(T.with_directories(rows.withColumn("digest", F.when(F.col("path") == "d/f7", "x").otherwise(F.col("digest")))), bucket_rows=8).collect()}
+    assert got == again and set(got) == {"d", "e", "e/g", "e/g/h"} and {p for p in got if got[p] != other[p]} == {"d"}
+
+
+def test_gate_findings(spark):
+    from grovekit.operators import measuring as M
+
+    def samples(factor, noisy=False, n=5, digest="c"):
+        rows = [(name, base, i, (k + i) % 2, (1.0 if base is None else factor) * (1 + i * noisy), 1.0, 7, 9, (True, 0, digest, digest, 7, 9)) for k, (name, base) in enumerate((("base", None), ("fast", "base"))) for i in range(n)]
+        schema = "result string, baseline string, repetition int, method_order int, wall_seconds double, cpu_seconds double, item_count long, logical_bytes long, oracle struct<passed: boolean, mismatch_count: long, expected_digest: string, actual_digest: string, item_count: long, logical_bytes: long>"
+        return M.measured(spark.createDataFrame(rows, schema))
+
+    def gate(*a, **k):
+        return {(r["severity"], r["result"], r["message"]) for r in M.bench_gate(*a, **k).collect()}
+
+    none = {("warn", "base", "skipped: no baseline")}
+    assert gate(samples(0.5), samples(0.5)) == none
+    assert gate(samples(0.6), samples(0.5)) == none | {("fail", "fast", "regressed")}
+    assert ("fail", "fast", "too few repetitions") in gate(samples(0.5, n=4), samples(0.5))
+    assert ("warn", "fast", "noisy") in gate(samples(0.5, noisy=True), samples(0.5))
+    pinned = M.Report(corpus_digest="d")
+    assert ("fail", "fast", "the result is not the corpus") in gate(samples(0.5), report=pinned)
+    assert ("warn", "", "reports differ in environment") in gate(samples(0.5), samples(0.5), report=M.Report(), past_report=M.Report(environment="x"))
+    assert ("warn", "", "the past report fails its own checks") in gate(samples(0.5), samples(0.5, n=2), past_report=M.Report())
+    assert gate(samples(0.5), strict=True) == {("warn", "", "no history"), ("fail", "", "nothing was compared")}
+
+
+def test_tree_source_splits_directories(spark, tmp_path, monkeypatch):
+    from grovekit.sources import tree as TS
+
+    for i in range(3):
+        for j in range(3):
+            (tmp_path / f"d{i}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / f"d{i}" / f"e{j}" / "f").write_text("x")
+        (tmp_path / f"d{i}" / "g").write_text("x")
+    monkeypatch.setattr(TS, "PARTITIONS", 5)
+    reader = TS._Reader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) == 10  # nine directories of the second level, and all single entries
+    rows = [r[1] for p in parts for r in reader.read(p)]
+    assert len(rows) == len(set(rows)) == 3 + 9 + 9 + 3
