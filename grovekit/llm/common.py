@@ -4,36 +4,21 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grovekit.staging import scratch, staged  # noqa: F401
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+#: Rows of an Arrow batch of texts. Spark's default of 10,000 of them would be tens of MB, in a worker and again in the JVM.
+TEXT_ROWS = 1000
 
-    Only a local master, where one machine does all, may fall back to a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-grovekit-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def text_batches(spark: SparkSession) -> None:
+    """Sets the session to batches of TEXT_ROWS rows, unless it has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
 
 
 def filesystem(uri: str):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, staged, tidied
+from grovekit.llm.common import documents, staged, text_batches, tidied
 from grovekit.llm.components import connected
 from grovekit.llm.hashing import blocks, mix, runs, word_hashes
 
@@ -464,6 +464,7 @@ def _prepared(docs: DataFrame, size: int, percent: int):
     """Rows (doc_id, cid, n) of docs, index entries with sizes and short histograms (each class its own root), the number
     of buckets, and what verifies pairs of classes."""
     sc = docs.sparkSession.sparkContext
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = staged(docs.mapInArrow(_describe(size), DESCRIBED), "jaccard-docs")
     rows = described.filter("part is null and slice is null").select("doc_id", "cid", "n")

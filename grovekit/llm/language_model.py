@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, filesystem, fold, scratch, staged, tidied
+from grovekit.llm.common import documents, filesystem, fold, scratch, staged, text_batches, tidied
 from grovekit.llm.hashing import blocks, mix, word_hashes
 
 ORDER = 3
@@ -508,6 +508,7 @@ def build(texts: DataFrame, order: int = ORDER, parts: int | None = None, least:
     columns play no part. From an empty table comes a model that knows no word. Without `parts` their number follows the
     size of the texts. The driver holds a few numbers for each part and level."""
     spark = texts.sparkSession
+    text_batches(spark)
     texts = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     starts, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     trie = Trie(scratch(spark, "trie"), parts or max(LEAST_PARTS, -(-size // PART_BYTES)), least)
@@ -569,6 +570,7 @@ def score_texts(docs: DataFrame, trie: Trie, order: int = ORDER) -> DataFrame:
 
     A null or empty text is an end alone. Repeated rows score alike; very long texts are scored whole; an empty table gives
     an empty table; other columns play no part."""
+    text_batches(docs.sparkSession)
     body = docs.select("doc_id", "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return body.mapInArrow(_score(trie, order), schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, tidied
+from grovekit.llm.common import documents, text_batches, tidied
 from grovekit.llm.encoders import word_ids
 
 CAPACITY = 4096
@@ -120,6 +120,7 @@ def pack_documents(docs: DataFrame, model_path: str, capacity: int = CAPACITY) -
     A null or empty text is a document of the end id alone. Null ids stay null, repeated rows are documents of
     their own, other columns are ignored. A long text gives as many full sequences as it fills. No exchange: each
     task packs the rows that it reads, and a lost task gives the same rows when it runs again."""
+    text_batches(docs.sparkSession)
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return body.mapInArrow(_pack(model_path, capacity), SCHEMA)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, scratch, tidied
+from grovekit.llm.common import documents, scratch, text_batches, tidied
 from grovekit.llm.encoders import file_digest, piece_counter
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -62,6 +62,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache: str, text: str = "text
     count of an empty table is an empty table. Very long texts are encoded whole. A pair of digests that stands in the
     cache more than once, as after two runs at a time, counts once."""
     spark = docs.sparkSession
+    text_batches(spark)
     digest = file_digest(model_path)
     keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, fold, staged, tidied
+from grovekit.llm.common import documents, fold, staged, text_batches, tidied
 
 #: Labelled rows that the lexicon and the curve are fitted on, about (a sample by a hash of the id when there are more).
 LABELLED_ROWS = 20_000
@@ -320,6 +320,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     id with two labels or texts counts with each; equal texts count once, as toxic if any row of theirs is. Very long
     texts are read whole. Without toxic or clean rows, as for empty tables, the lexicon is empty. Other columns play no part."""
     spark = docs.sparkSession
+    text_batches(spark)
     usable = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id"), 3) != 1).distinct()
     share = min(1.0, rows / max(1, usable.count()))
     # the sample has about `rows` ids and two small columns whatever the corpus, so it may be broadcast
@@ -371,6 +372,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     and an empty one scores as one without a match. Repeated rows score alike; very long texts count whole; an empty
     table gives an empty table."""
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    text_batches(docs.sparkSession)
 
     scored = docs.select(*keep, score_udf(model)(F.col("text").cast("string")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

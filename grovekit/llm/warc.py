@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import filesystem, scratch, staged, tidied
+from grovekit.llm.common import filesystem, scratch, staged, text_batches, tidied
 
 #: Payloads below this size are never written as revisits.
 REVISIT_BYTES = 1000
@@ -338,6 +338,7 @@ def write_warc(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
     table of archives. Each attempt of a task writes files of its own to a hidden folder; only those that the committed
     table names are moved out of it, so a lost executor leaves no record twice. A task holds one record at a time; an
     empty table gives no archive."""
+    text_batches(planned.sparkSession)
     planned = planned.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
     written = staged(planned.mapInArrow(_write(folder, archive_bytes), WRITTEN), "warc-written")
     return staged(written.mapInArrow(_publish(folder), WRITTEN), "warc-published")
