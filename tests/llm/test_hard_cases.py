@@ -178,3 +178,72 @@ def test_queries_agree_with_their_sql(spark):
         assert collections.Counter(map(tuple, got.collect())) == collections.Counter(theirs), name
     for name in QUERIES.keys() - ORACLE_SQL.keys():
         assert QUERIES[name](spark, folder).select("doc_id").distinct().count() == con.execute("SELECT count(*) FROM documents").fetchone()[0], name
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage by itself in plain Python: words of insult, all pairs of shingle sets, all windows, the tokenizer."""
+    import zlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(12)
+    plain = lambda n: [f"w{k}" for k in rng.integers(0, 4000, n)]
+    insults, rows, labels = ("zork", "blim", "quag"), [], []
+    for i in range(400):
+        w = plain(60)
+        if i % 5 == 0:
+            for k in rng.integers(0, 60, 4):
+                w[k] = insults[rng.integers(3)]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    item = [f"bench{k}" for k in range(14)]
+    for i in range(401, 480):  # copies, near copies, passages of the benchmark
+        w = rows[int(rng.integers(0, 80)) * 5 + 1][1].split()
+        for k in rng.integers(0, len(w), int(rng.integers(0, 4))):
+            w[k] = f"new{i}x{k}"
+        if i % 4 == 0:
+            at = int(rng.integers(0, 5))
+            w[20:20] = item[at : at + int(rng.integers(8, 13))]
+        rows.append((i, " ".join(w)))
+    rows += [(500, None), (501, ""), (502, " ".join(plain(9000)))]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = {i: (t or "").split() for i, t in rows}
+    left = {i: w for i, w in left.items() if not set(w) & set(insults)}
+    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for i, w in left.items()}
+    root = {i: i for i in left}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(left)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if grams[a] and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    left = {i: w for i, w in left.items() if find(i) == i}
+    windows = {tuple(item[k : k + 10]) for k in range(5)}
+    left = {i: w for i, w in left.items() if not any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9))}
+    model, texts = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), dict(rows)
+    tokens = {i: [*model.encode(texts[i] or "", add_special_tokens=False).ids, 2] for i in left}
+
+    got, pieces, sequences = corpus_pipeline.run(spark, str(tmp_path)).collect(), collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        part = np.array(tokens[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(tokens[r["doc_id"]])
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(pieces) == set(left) and 300 < len(left) < 400
+    for i, found in [*pieces.items(), *sequences.items()]:
+        at = 0
+        for start, n in sorted(found):
+            assert start == at
+            at += n
+    assert all(sum(n for _, n in p) == len(tokens[i]) for i, p in pieces.items()) and all(sum(n for _, n in p) <= 4096 for p in sequences.values())
