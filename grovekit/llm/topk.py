@@ -3,7 +3,10 @@
 Vectors lie in blocks; of each block and dimension the index keeps the quantised values as bitmaps, one for each bit.
 A query adds the bitmaps, weighted by its own quantised components, with carry-save bitmap arithmetic; the sums again
 are bitmaps. Read from the most significant downward they give the k-th largest quantised sum, and every row that
-could still be among the first k, given the bound on what quantising left out. Those rows alone are scored exactly."""
+could still be among the first k, given the bound on what quantising left out. Those rows alone are scored exactly.
+
+Queries are first held against a small seed of rows. The k-th score there is what a row of any block must reach: blocks
+whose longest vector can't are skipped, and the others give few rows."""
 
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from grovekit.llm.common import staged
+from grovekit.llm.common import staged, tidied
 
 K = 10
 BLOCK_ROWS = 16384
@@ -24,6 +27,9 @@ QUERY_ROWS = 128
 #: Bits of a quantised component beside its sign.
 BITS = 6
 _ZERO = 1 << BITS
+#: Rows of the seed, which is broadcast.
+SEED_ROWS = 1024
+_NONE = -(2**63)
 BLOCK_SCHEMA = "block long, n long, d long, rows binary, ids binary, vectors binary, shift long, slices binary"
 
 
@@ -132,9 +138,11 @@ class Block:
         most = 2**63 - 1
         return np.array([max(-most, min(most, sum(int(a) * int(b) for a, b in zip(self.vectors[i], query)))) for i in at], np.int64)
 
-    def search(self, row: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The first k (vec_id, score) but for the row itself."""
+    def search(self, row: int, query: np.ndarray, k: int, least: int = _NONE) -> list[tuple[int, int]]:
+        """The first k (vec_id, score) of at least the score `least`, but for the row itself."""
         d = self.vectors.shape[1]
+        if least > _NONE and float(np.sqrt((query.astype(float) ** 2).sum())) * self.longest * (1 + 1e-9) + 1 < least:
+            return []
         query = np.pad(query, (0, max(0, d - len(query))))[:d]
         if len(self.rows) <= k + 1:
             at = np.arange(len(self.rows))
@@ -145,10 +153,15 @@ class Block:
             bound = float(np.sqrt((rough**2).sum())) * self.left_out + float(np.sqrt(((query - rough) ** 2).sum())) * self.longest
             unit = 2.0 ** (shift + self.shift)
             # the row itself may be one of the first; so one more is asked for
-            least = kth_largest(sums, self.all, k + 1) - int(np.ceil(2 * bound * (1 + 1e-9) / unit)) - 1
-            at = np.flatnonzero(np.unpackbits(at_least(sums, self.all, least).view(np.uint8), bitorder="little"))
+            floor = kth_largest(sums, self.all, k + 1) - int(np.ceil(2 * bound * (1 + 1e-9) / unit)) - 1
+            if least > _NONE:
+                # what the components' move upward and the complements add to every sum
+                moved = int(weights[weights > 0].sum()) * _ZERO - int(weights[weights < 0].sum()) * ((1 << (BITS + 2)) - 1 - _ZERO)
+                floor = max(floor, int(np.floor((least * (1 - 1e-12 * np.sign(least)) - bound * (1 + 1e-9)) / unit)) - 1 + moved)
+            at = np.flatnonzero(np.unpackbits(at_least(sums, self.all, floor).view(np.uint8), bitorder="little"))
         at = at[self.rows[at] != row]
         scores = self.exact(at, query)
+        at, scores = at[scores >= least], scores[scores >= least]
         order = np.lexsort((self.ids[at], -scores))[:k]
         return list(zip(self.ids[at][order].tolist(), scores[order].tolist()))
 
@@ -199,6 +212,30 @@ def _build(size: int, sliced: bool):
     return run
 
 
+def _block(r: dict) -> Block:
+    n, d = r["n"], r["d"]
+    rows, ids = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)
+    return Block(rows, ids, np.frombuffer(r["vectors"], np.int64).reshape(n, d), r["shift"], np.frombuffer(r["slices"], np.uint64).reshape(d, BITS + 2, -1))
+
+
+def _prime(k: int):
+    """Query blocks with q_least: the k-th score of each query in the seed, or the least number for fewer rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed = None
+        for batch in batches:
+            least = []
+            for r in batch.to_pylist():
+                seed = seed or _block(r)
+                queries = np.frombuffer(r["q_vectors"], np.int64).reshape(r["q_n"], r["q_d"])
+                found = [seed.search(int(row), q, k) for row, q in zip(np.frombuffer(r["q_rows"], np.int64), queries)]
+                least.append(np.array([x[-1][1] if len(x) == k else _NONE for x in found], np.int64).tobytes())
+            asked = batch.select(["q_n", "q_d", "q_rows", "q_ids", "q_vectors"])
+            yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(least, pa.binary())], [*asked.schema.names, "q_least"])
+
+    return tidied(run)
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, block = None, None
@@ -206,21 +243,18 @@ def _search(k: int):
             out = []
             for r in batch.to_pylist():
                 if held != r["block"]:
-                    n, d = r["n"], r["d"]
-                    held, block = r["block"], Block(
-                        np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.int64).reshape(n, d), r["shift"],
-                        np.frombuffer(r["slices"], np.uint64).reshape(d, BITS + 2, -1),
-                    )
+                    held, block = r["block"], _block(r)
                 queries = np.frombuffer(r["q_vectors"], np.int64).reshape(r["q_n"], r["q_d"])
-                for row, id_, q in zip(np.frombuffer(r["q_rows"], np.int64), np.frombuffer(r["q_ids"], np.int64), queries):
-                    out += [(int(row), int(id_), v, s) for v, s in block.search(int(row), q, k)]
+                each = (np.frombuffer(r[c], np.int64) for c in ("q_rows", "q_ids", "q_least"))
+                for row, id_, least, q in zip(*each, queries):
+                    out += [(int(row), int(id_), v, s) for v, s in block.search(int(row), q, k, int(least))]
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "query_id", "vec_id", "score"])
 
-    return run
+    return tidied(run)
 
 
-def top_k(df: DataFrame, queries: Column, k: int = K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(df: DataFrame, queries: Column, k: int = K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, seed_rows: int = SEED_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest integer inner products of each row where `queries` holds, among
     all other rows of df(vec_id, embedding); ties go to the smaller vec_id.
 
@@ -228,12 +262,16 @@ def top_k(df: DataFrame, queries: Column, k: int = K, block_rows: int = BLOCK_RO
     Components beyond 2^63 / 1024 and scores beyond 64 bits count as the nearest number that has 64 bits. Vectors that
     are null or hold what is null or not finite take no part; other columns, whatever their names, neither.
     Fewer candidates than k give as many ranks; an empty table gives none. Queries are sent to every block of the
-    index, in blocks, and a block gives k rows a query at most."""
+    index, in blocks; a block gives k rows a query at most, and only those that reach the k-th score of the seed."""
     rows = staged(integer_vectors(df).withColumn("row", F.monotonically_increasing_id()), "vectors")
     index = staged(rows.mapInArrow(_build(block_rows, True), BLOCK_SCHEMA), "bit-sliced-index")
     asked = rows.filter(queries).mapInArrow(_build(query_rows, False), BLOCK_SCHEMA)
     groups = max(1, index.count())
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "d", "rows", "ids", "vectors")], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "d", "rows", "ids", "vectors")])
+    # a block of at most seed_rows vectors
+    seed = rows.limit(seed_rows).coalesce(1).mapInArrow(_build(seed_rows, True), BLOCK_SCHEMA)
+    asked = asked.withColumn("_s", F.lit(0)).join(F.broadcast(seed.withColumn("_s", F.lit(0))), "_s").mapInArrow(_prime(k), "q_n long, q_d long, q_rows binary, q_ids binary, q_vectors binary, q_least binary")
+    asked = staged(asked, "primed-queries").withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     pairs = asked.join(index.withColumn("_g", F.pmod(F.hash("block"), F.lit(groups))), "_g").drop("_g")
     found = pairs.mapInArrow(_search(k), "row long, query_id long, vec_id long, score long")
     order = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")

@@ -193,6 +193,8 @@ def test_top_k(spark):
             s = sorted((-int(pad(x) @ pad(y)), i) for b, (i, y) in enumerate(usable) if b != a)[:10]
             want.update((q, r + 1, i, -n) for r, (n, i) in enumerate(s))
     assert counted(top_k(df, F.col("vec_id") % 100 == 0, block_rows=100, query_rows=2).collect()) == want
+    for seed in (1, 40, 400):
+        assert counted(top_k(df, F.col("vec_id") % 100 == 0, block_rows=64, query_rows=3, seed_rows=seed).collect()) == want
     assert top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
