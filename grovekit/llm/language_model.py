@@ -24,6 +24,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ LEAST_COUNT = 2
 #: Steps of a quantised logarithm to the base 10; values are rounded down, so that no sum exceeds 1.
 STEPS = 6000
 #: Tokens whose n-grams a task holds before it combines their counts.
-HELD_TOKENS = 2_000_000
+HELD_TOKENS = 3_000_000
 #: Tokens that are looked up together, about.
 RUN_TOKENS = 600_000
 #: Bytes of text for each part of a level, about, and parts at least.
@@ -339,7 +340,7 @@ def grams(trie: Trie, order: int, tokens: np.ndarray, begin: np.ndarray, weights
     """Where each token's k-gram (that ends with it) stands in level k, for k from 1 to order, or -1; and the counts of
     the words. The start of a text stands before its first token as a word of its own. To `weights` are added, for each k
     from 2, the tokens with a context, what this one leaves to the shorter one, and the k-grams' shares."""
-    distinct, inverse = np.unique(tokens, return_inverse=True)
+    inverse, distinct = pd.factorize(tokens)
     found = trie.words(distinct)
     counts = np.zeros(len(distinct), np.int64)
     if (hit := found >= 0).any():
@@ -350,25 +351,29 @@ def grams(trie: Trie, order: int, tokens: np.ndarray, begin: np.ndarray, weights
     for k in range(2, order + 1):
         before = preceding(trie, k, places[-1], begin)
         at = np.flatnonzero(before >= 0)
-        if k == 2:  # a text has few words that differ: each is looked up once
-            which = np.concatenate([[len(found)], inverse[:-1]])
-            which[begin[:-1]] = len(found)
-            own = np.append(found, trie.vocabulary)
-            known = np.flatnonzero(own >= 0)
-            each = np.zeros(len(own), np.int64)
-            each[known] = np.arange(len(known))
-            start, stop, left = (x if x is None else x[each[which[at]]] for x in trie.successors(1, own[known], scored))
-        else:
-            start, stop, left = trie.successors(k - 1, before[at], scored)
+        # runs of texts repeat words, contexts and n-grams: each that differs is looked up once
+        context, contexts = pd.factorize(before[at])
+        start, stop, left = trie.successors(k - 1, contexts, scored)
+        look = np.flatnonzero(common[at] & (stop > start)[context])
+        gram, first = _numbered(context[look] * np.int64(len(distinct) + 1) + inverse[at[look]])
+        own = look[first]
+        here, share = trie.find(k, before[at[own]], words[at[own]], start[context[own]], scored)
         place = np.full(len(tokens), -1, np.int64)
-        look = np.flatnonzero(common[at] & (stop > start))
-        place[at[look]], share = trie.find(k, before[at[look]], words[at[look]], start[look], scored)
+        place[at[look]] = here[gram]
         places.append(place)
         if scored:
-            weights.append((at, left, at[look], share))
+            weights.append((at, left[context], at[look], share[gram]))
     return places, counts
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each value among those that differ, and where each of these stands first."""
+    number, distinct = pd.factorize(values)
+    first = np.empty(len(distinct), np.int64)
+    first[number[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return number, first
+
+
 def preceding(trie: Trie, k: int, places: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The context of each token's k-gram: where the (k-1)-gram before it stands, given those of level k - 1."""
     before = np.concatenate([[-1], places[:-1]])
