@@ -34,14 +34,22 @@ def filesystem(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def tidied(run):
-    """An Arrow function of a task that gives back to the system, when it ends, the memory that it no longer holds:
-    workers are kept for later tasks, of other operators too."""
+#: What empties the caches that tasks leave in their worker for later ones.
+worker_caches: list = []
+
+
+def tidied(run, keeps_caches: bool = False):
+    """An Arrow function of a task that gives back to the system, when it ends, the memory that it no longer holds: workers
+    are kept for later tasks, of other operators too. It begins by emptying the caches of others, unless it uses them."""
 
     @functools.wraps(run)
     def tidy(batches):
         import pyarrow as pa
 
+        from grovekit.llm.common import worker_caches  # the worker's own list
+
+        for empty in () if keeps_caches else worker_caches:
+            empty()
         try:
             yield from run(batches)
         finally:

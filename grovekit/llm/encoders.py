@@ -12,8 +12,10 @@ import re
 
 import numpy as np
 
+from grovekit.llm.common import worker_caches
+
 #: Bytes, about, of the chunks that a process keeps; beyond it, new chunks are encoded once a batch and forgotten.
-MEMORY_BYTES = 40 << 20
+MEMORY_BYTES = 96 << 20
 #: What a kept chunk takes beside its characters, about.
 CHUNK_BYTES = 150
 
@@ -202,3 +204,6 @@ def word_ids(path: str) -> WordIds:
 @functools.lru_cache(maxsize=4)
 def piece_counter(path: str) -> PieceCounter:
     return PieceCounter(path)
+
+
+worker_caches += [word_ids.cache_clear, piece_counter.cache_clear]

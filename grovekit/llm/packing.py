@@ -111,7 +111,7 @@ def _pack(model_path: str, capacity: int):
             yield rows(found)
         yield rows(list(packer.close()))
 
-    return tidied(run)
+    return tidied(run, keeps_caches=True)
 
 
 def pack_documents(docs: DataFrame, model_path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -40,7 +40,7 @@ def _encode(model_path: str, digest: str):
                 ["content_digest", "tokenizer_digest", "n_tokens"],
             )
 
-    return tidied(run)
+    return tidied(run, keeps_caches=True)
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
