@@ -61,6 +61,13 @@ def tidied(run, keeps_caches: bool = False):
     return tidy
 
 
+def others(df: DataFrame, results) -> list[str]:
+    """The columns of df that aren't named as a result, letter case regarded only where the session regards it."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    taken = {c if exact else c.lower() for c in results}
+    return [c for c in df.columns if (c if exact else c.lower()) not in taken]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

