@@ -2,16 +2,71 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.functions import scalars as S
+from grovekit.staging import batch_bytes, staged
+
+#: Bytes of chunks that a task is given at once.
+CHUNK_BATCH_BYTES = 32 << 20
 
 
 def content_digest(df: DataFrame, content: str = "content") -> DataFrame:
+    """df with the digest of a content that fits a cell, which is 2 GiB at most; chunk_digests() is for larger ones."""
     return df.withColumn("digest", F.sha2(F.col(content).cast("binary"), 256))
 
 
+def _hash_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks in order of path and offset -> a row a path. Between batches only the running hash is kept."""
+    path, end, fault, h = None, 0, None, None
+
+    def row() -> pa.RecordBatch:
+        digest = h.hexdigest() if fault is None else None
+        return pa.RecordBatch.from_arrays([pa.array([path], pa.binary()), pa.array([end]), pa.array([digest], pa.string()), pa.array([fault], pa.string())], ["path", "size", "digest", "fault"])
+
+    for batch in batches:
+        columns = [batch.column(c) for c in ("path", "offset", "content")]
+        for at, offset, content in zip(*columns):
+            at, offset = at.as_py(), offset.as_py()
+            body = content.as_buffer()
+            if h is None or at != path:
+                if h is not None:
+                    yield row()
+                path, end, fault, h = at, 0, None, hashlib.sha256()
+            if offset != end and fault is None:
+                fault = "gap" if offset > end else "overlap"
+            if body is not None:
+                h.update(body)
+                end = max(end, offset + body.size)
+    if h is not None:
+        yield row()
+
+
+def chunk_digests(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """path (binary), size, digest, fault of contents that stand in rows (path, offset, content), of any size together.
+
+    A path's chunks go to one task, sorted outside memory by their offset, and are hashed as they come, a batch of
+    CHUNK_BATCH_BYTES at a time. Chunks must follow one another: a gap or an overlap is a fault, and then there is no
+    digest. With files(path, size), a path of another size, or of no chunks, is at fault too (`size`, `missing`). Written
+    to the shared folder, as the batches are small only while this job runs."""
+    spark = chunks.sparkSession
+    ordered = chunks.select(F.col("path").cast("binary").alias("path"), F.col("offset").cast("long").alias("offset"), F.col("content").cast("binary").alias("content"))
+    ordered = ordered.filter("path is not null and offset is not null and content is not null").repartition("path").sortWithinPartitions("path", "offset")
+    with batch_bytes(spark, CHUNK_BATCH_BYTES):
+        found = staged(ordered.mapInArrow(_hash_chunks, "path binary, size long, digest string, fault string"), "chunk-digests")
+    if files is None:
+        return found
+    want = files.select(F.col("path").cast("binary").alias("path"), F.col("size").alias("_want"))
+    joined = want.join(found, "path", "left")
+    fault = F.when(F.col("size").isNull(), "missing").when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("size") != F.col("_want"), "size")
+    return joined.select("path", "size", F.when(fault.isNull(), F.col("digest")).alias("digest"), fault.alias("fault"))
+
+
 def row_digest() -> Column:
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("path", "kind", "size", "mtime_ns", "mode", "digest")]
     return F.sha2(F.concat_ws("|", *parts), 256)

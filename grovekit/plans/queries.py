@@ -66,6 +66,17 @@ def _(s, d):
     return VF.content_digest(V.content(s, d)).select("path", "digest")
 
 
+@query("s02_chunk_digests", "SELECT path, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS digest FROM content")
+def _(s, d):
+    """Every content cut into rows of 512 bytes, and hashed from these."""
+    c = V.content(s, d).select("path", F.coalesce("content", F.lit("")).cast("binary").alias("whole"))
+    n, step = F.octet_length("whole").cast("long"), F.lit(512).cast("long")
+    cut = c.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0).cast("long")), step)))
+    chunks = cut.select("path", "offset", F.substring("whole", (F.col("offset") + 1).cast("int"), F.lit(512)).alias("content"))
+    found = VF.chunk_digests(chunks, c.select("path", n.alias("size")))
+    return found.filter("fault is null").select(F.col("path").cast("string").alias("path"), "size", "digest")
+
+
 @query("s03_manifest_from_table", "SELECT path, kind, size, CAST(mtime_ns AS BIGINT) AS mtime_ns, mode, digest FROM src_tree")
 def _(s, d):
     docs = V.table(s, d, "documents").filter(V.bucket("dst:", F.col("doc_id")) < 95)
@@ -76,14 +87,57 @@ def _(s, d):
 @query("s01_tree_scan", """SELECT 'source=' || source AS path, 'directory' AS kind FROM documents GROUP BY source UNION ALL SELECT 'source=' || source || '/lang=' || lang, 'directory' FROM documents GROUP BY source, lang""")
 def _(s, d):
     """The directories of a table that was written by source and language; the folder must be mounted on the executors."""
-    from urllib.parse import unquote, urlparse
-
     from grovekit.sources.tree import TreeDataSource
 
+    s.dataSource.register(TreeDataSource)
+    return s.read.format("tree").load(folders(s, d)).filter("kind = 'directory'").select(F.col("path_str").alias("path"), "kind")
+
+
+def folders(s, d) -> str:
+    """A folder of the documents by source and language, in a file for each of them."""
+    from urllib.parse import unquote, urlparse
+
     folder = scratch(s, "scanned")
     V.table(s, d, "documents").select("source", "lang", "doc_id").write.partitionBy("source", "lang").parquet(folder)
-    s.dataSource.register(TreeDataSource)
-    return s.read.format("tree").load(unquote(urlparse(folder).path)).filter("kind = 'directory'").select(F.col("path_str").alias("path"), "kind")
+    return unquote(urlparse(folder).path)
+
+
+@query("s01_frontier_scan", """SELECT 'source=' || source AS path, 'directory' AS kind FROM documents GROUP BY source UNION ALL SELECT 'source=' || source || '/lang=' || lang, 'directory' FROM documents GROUP BY source, lang""")
+def _(s, d):
+    """In rounds: each task hands on what it finds after three names."""
+    from grovekit.sources.tree import scan_tree
+
+    return scan_tree(s, folders(s, d), most=3).filter("kind = 'directory'").select(F.col("path_str").alias("path"), "kind")
+
+
+_SCANNED = (Rule(0, 1, "include", "source=src0/lang=de/**"), Rule(0, 2, "exclude", "source=src[0-3]"), Rule(0, 3, "include", "source=src2/lang=e?"), Rule(0, 4, "exclude", "source=*/lang=fr"))
+
+
+@query("s01_pruned_scan", """SELECT DISTINCT 'source=' || source AS path, NOT source IN ('src0', 'src1', 'src2', 'src3') AS included FROM documents UNION ALL
+ SELECT DISTINCT 'source=' || source || '/lang=' || lang, CASE WHEN source = 'src2' AND lang IN ('en', 'es') THEN true WHEN lang = 'fr' THEN false ELSE source NOT IN ('src0', 'src1', 'src2', 'src3') END
+ FROM documents WHERE source NOT IN ('src1', 'src3')""")
+def _(s, d):
+    """Directories below which no rule can include anything aren't entered: those below src1 and src3 never appear."""
+    from grovekit.sources.tree import scan_tree
+
+    found = scan_tree(s, folders(s, d), _SCANNED).filter("kind = 'directory'").select(F.col("path_str").alias("path"))
+    return FL.filter_decide(found, _SCANNED).select("path", "included")
+
+
+@query("s02_tree_digests", "SELECT 'source=' || source AS folder, count(*) AS rows, true AS same FROM documents GROUP BY source")
+def _(s, d):
+    """Files below a folder, hashed from chunks, against the digests of whole contents; the rows are the documents that
+    the files hold."""
+    from grovekit.sources.tree import digest_tree, scan_tree
+
+    folder = folders(s, d)
+    files = scan_tree(s, folder).filter("kind = 'file' and path_str like '%.parquet' and not path_str like '%/.%'").select("path", "path_str", "size")
+    by_chunks = digest_tree(files, folder, 256).select(F.col("path").cast("string").alias("path_str"), "digest")
+    whole = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{folder}").select(F.col("path").alias("at"), F.sha2("content", 256).alias("want"))
+    name = F.substring_index(F.url_decode(F.col("at")), "/", -3)
+    both = whole.select(name.alias("path_str"), "want").join(by_chunks, "path_str").select(F.substring_index("path_str", "/", 1).alias("folder"), F.coalesce(F.col("want") == F.col("digest"), F.lit(False)).alias("equal"))
+    rows = s.read.parquet(f"file://{folder}").groupBy(F.concat(F.lit("source="), "source").alias("folder")).agg(F.count("*").alias("rows"))
+    return both.groupBy("folder").agg(F.bool_and("equal").alias("same")).join(rows, "folder").select("folder", "rows", "same")
 
 
 _RECORDED = "path, kind, size, CAST(mtime_ns AS BIGINT) AS mtime_ns, mode, digest"
@@ -362,8 +416,38 @@ def _(s, d):
     return FL.filter_decide(V.src(s, d), V.RULES).select("path", "included", "pattern", "origin", "via")
 
 
+#: A long list of rules, of several tiers and scopes.
+MANY_RULES = tuple(
+    Rule(0, i, "include" if i % 5 == 0 else "exclude", f"src{i % 7}/{{en,f?}}/doc-*{i:03d}.txt" if i % 2 else f"**/doc-{i:04d}[0-4]*", origin=f"list:{i}") for i in range(240)
+) + tuple(Rule(1, i, "exclude" if i % 3 else "include", f"*{i:02d}.txt", f"src{i % 5}/en" if i % 2 else f"src{i % 5}", f"ignore:{i}") for i in range(60))
+
+
+@query("j06_many_rules", f"""WITH many AS (SELECT * FROM (VALUES {V.rule_rows(MANY_RULES)}) AS t(tier, scope, ord, action, pattern, regex, origin)),
+ hit AS (SELECT path, action, pattern, origin, via FROM (SELECT a.path, r.action, r.pattern, r.origin, a.ancestor AS via, row_number() OVER (PARTITION BY a.path ORDER BY tier, dist, -length(scope), ord) AS rn
+  FROM anc a JOIN many r ON (scope = '' OR starts_with(a.ancestor, scope || '/')) AND regexp_matches(CASE WHEN scope = '' THEN a.ancestor ELSE substr(a.ancestor, length(scope) + 2) END, regex)) WHERE rn = 1)
+ SELECT s.path, coalesce(x.action = 'include', true) AS included, x.pattern, x.origin, x.via FROM src s LEFT JOIN hit x ON s.path = x.path""")
+def _(s, d):
+    return FL.filter_decide(V.src(s, d), MANY_RULES).select("path", "included", "pattern", "origin", "via")
+
+
+@query("j07_many_scopes", r"""WITH own AS (SELECT path AS scope, CAST(1 AS INTEGER) AS ord, 'include' AS action, regexp_extract(path, '([0-9])\.txt$', 1) AS digit FROM src),
+ r AS (SELECT DISTINCT regexp_extract(scope, '^(.*)/[^/]*$', 1) AS scope, CAST(digit AS INTEGER) AS ord, CASE WHEN CAST(digit AS INTEGER) % 3 = 0 THEN 'include' ELSE 'exclude' END AS action, 'doc-*' || digit || '.txt' AS pattern FROM own
+       UNION ALL SELECT '', 1, 'exclude', '*1.txt' UNION ALL SELECT '', 2, 'exclude', 'src6/**'),
+ hit AS (SELECT path, action FROM (SELECT a.path, r.action, row_number() OVER (PARTITION BY a.path ORDER BY dist, -length(scope), ord) AS rn FROM anc a JOIN r
+  ON (scope = '' OR starts_with(a.ancestor, scope || '/')) AND regexp_matches(CASE WHEN scope = '' THEN a.ancestor ELSE substr(a.ancestor, length(scope) + 2) END,
+   '^' || replace(replace(replace(pattern, '.', '\.'), '**', '.+'), '*', '.*') || '$')) WHERE rn = 1)
+ SELECT s.path, coalesce(x.action = 'include', true) AS included FROM src s LEFT JOIN hit x ON s.path = x.path""")
+def _(s, d):
+    """Rules from the table, for the directory of each document; the root's scope is dealt over several partitions."""
+    last = F.regexp_extract("path", r"([0-9])\.txt$", 1)
+    n = last.cast("int")
+    own = V.src(s, d).select(P.path_parent(F.col("path")).alias("scope"), n.alias("ord"), F.when(n % 3 == 0, "include").otherwise("exclude").alias("action"), F.concat(F.lit("doc-*"), last, F.lit(".txt")).alias("pattern")).distinct()
+    root = s.createDataFrame([("", 1, "exclude", "*1.txt"), ("", 2, "exclude", "src6/**")], own.schema)
+    return FL.ignore_scope_join(V.src(s, d), own.unionByName(root), scope_rows=500).select("path", "included")
+
+
 def scoped_rules(s):
-    return s.createDataFrame([(r.scope, r.ord, r.action, r.regex) for r in V.RULES if r.tier], "scope string, ord int, action string, regex string")
+    return s.createDataFrame([(r.scope, r.ord, r.action, r.pattern) for r in V.RULES if r.tier], "scope string, ord int, action string, pattern string")
 
 
 @query("j07_ignore_scope_join", """SELECT s.path, coalesce(x.action = 'include', true) AS included FROM src s LEFT JOIN (SELECT * FROM (SELECT a.path, r.action, row_number() OVER (PARTITION BY a.path ORDER BY dist, -length(scope), ord) AS rn

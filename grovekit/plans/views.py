@@ -183,9 +183,12 @@ RULES = (
 )
 
 
+def rule_rows(rules) -> str:
+    return ", ".join(f"({r.tier}, '{r.scope}', {r.ord}, '{r.action}', '{r.pattern}', '{r.regex}', '{r.origin}')" for r in rules)
+
+
 def _rules_sql() -> str:
-    rows = ", ".join(f"({r.tier}, '{r.scope}', {r.ord}, '{r.action}', '{r.pattern}', '{r.regex}', '{r.origin}')" for r in RULES)
-    return f"SELECT * FROM (VALUES {rows}) AS t(tier, scope, ord, action, pattern, regex, origin)"
+    return f"SELECT * FROM (VALUES {rule_rows(RULES)}) AS t(tier, scope, ord, action, pattern, regex, origin)"
 
 
 _PATH = "printf('%s/%s/doc-%06d.txt', source, lang, doc_id)"

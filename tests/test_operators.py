@@ -54,7 +54,7 @@ def test_filter_order(spark):
     rules = [Rule(0, 1, "include", "build/keep.txt"), Rule(0, 2, "exclude", "build"), Rule(1, 1, "include", "tmp/keep", "src"), Rule(1, 2, "exclude", "tmp/*", "src")]
     got = {r["path"]: r["included"] for r in FL.filter_decide(paths, rules).collect()}
     assert got == {"build/a.o": False, "build/keep.txt": True, "src/a.c": True, "src/tmp/x": False, "src/tmp/keep": True}
-    table = spark.createDataFrame([(r.scope, r.ord, r.action, r.regex) for r in rules[2:]] + [("", 1, "exclude", "^src/a\\.c$")], "scope string, ord int, action string, regex string")
+    table = spark.createDataFrame([(r.scope, r.ord, r.action, r.pattern) for r in rules[2:]] + [("", 1, "exclude", "src/a.c")], "scope string, ord int, action string, pattern string")
     scoped = {r["path"]: r["included"] for r in FL.ignore_scope_join(paths, table).collect()}
     assert scoped == {"build/a.o": True, "build/keep.txt": True, "src/a.c": False, "src/tmp/x": False, "src/tmp/keep": True}
 
@@ -220,6 +220,6 @@ def test_tree_source_splits_directories(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(TS, "PARTITIONS", 5)
     reader = TS._Reader({"path": str(tmp_path)})
     parts = reader.partitions()
-    assert len(parts) == 10  # nine directories of the second level, and all single entries
+    assert len(parts) == 10  # nine directories of the second level, and all that stands above them
     rows = [r[1] for p in parts for r in reader.read(p)]
     assert len(rows) == len(set(rows)) == 3 + 9 + 9 + 3
