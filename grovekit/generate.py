@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from grovekit.functions.paths import staging_name
 from grovekit.functions.scalars import mix64
 from grovekit.operators.planning import numbered
+from grovekit.operators.selection import least_by
 
 CLASSES = ("flat-small", "deep-small", "zero-byte-storm", "mixed", "compressible", "incompressible", "one-large-file")
 WORKLOADS = ("initial-copy", "no-op", "content-churn", "metadata-churn", "type-replacement", "delete", "interrupted-resume")
@@ -66,9 +67,11 @@ def select_spaced(files: DataFrame, seed: int) -> DataFrame:
 
 
 def select_hashed(files: DataFrame, seed: str) -> DataFrame:
-    """The hundredth part (rounded up) with the least keyed hashes."""
+    """The hundredth part (rounded up) with the least keyed hashes. The last hash that counts is found by rounds of
+    histograms, so that no task sorts what is taken."""
     k = -(-files.count() // 100)
-    return files.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), "path"), 256)).orderBy("_h").limit(k).drop("_h")
+    hashed = F.sha2(F.concat(F.lit(f"{seed}:"), "path"), 256)
+    return least_by(files, F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long"), k, hashed, F.col("path").cast("binary"))
 
 
 def workload(source: DataFrame, kind: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,25 +16,84 @@ CHUNK = 16 << 20
 BATCH_BYTES, BATCH_FILES = 32 << 20, 8192
 
 
-def merge_ranges(ranges: DataFrame) -> DataFrame:
-    """path, offset, length: overlapping ranges become one, touching ones stay apart, empty ones go."""
-    order = W.partitionBy("path").orderBy("offset", "length")
-    end = F.col("offset") + F.col("length")
-    seen = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = ranges.filter("length > 0").withColumn("_new", F.when(seen.isNull() | (F.col("offset") >= seen), 1).otherwise(0))
-    island = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return (
-        marked.withColumn("_island", island).groupBy("path", "_island").agg(F.min("offset").alias("offset"), F.max(end).alias("_end"))
-        .select("path", "offset", (F.col("_end") - F.col("offset")).alias("length"))
-    )
+#: Ranges of one path beyond which they are dealt by offset, over many tasks.
+HOT_RANGES = 1 << 20
+
+
+def _hot(ranges: DataFrame, keys: tuple[str, ...], hot_ranges: int) -> DataFrame | None:
+    """The keys of more ranges than that, a row for each; none where there is no such key, as in most tables."""
+    if ranges.count() <= hot_ranges:
+        return None
+    found = staged(ranges.groupBy(*keys).count().filter(F.col("count") > hot_ranges).select(*keys), "hot-ranges")
+    return found if found.limit(1).count() else None
+
+
+def _split(ranges: DataFrame, keys: tuple[str, ...], hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(ranges of other keys, ranges of hot keys). One hot key stands for HOT_RANGES rows at least."""
+    if hot is None:
+        return ranges, None
+    return ranges.join(F.broadcast(hot), [*keys], "left_anti"), ranges.join(F.broadcast(hot), [*keys], "left_semi")
+
+
+def _ordered(ranges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """ranges dealt by range of (keys, offset, length) and written, with `_part`: a path of very many ranges lies in as many
+    parts as it fills, one after another."""
+    columns = [*keys, "offset", "length"]
+    return staged(ranges.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "ordered-ranges")
+
+
+def _carried(ordered: DataFrame, value: Column, keys: tuple[str, ...]) -> DataFrame:
+    """ordered with `_seen`, the greatest value of the rows before it under its keys: inside its part by a window, and
+    from the parts before it by what each part's rows under those keys came to. Of these only keys that lie in several
+    parts matter, two a part at most."""
+    inside = W.partitionBy("_part", *keys).orderBy("offset", "length").rowsBetween(W.unboundedPreceding, -1)
+    parts = ordered.groupBy("_part", *keys).agg(F.max(value).alias("_most"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = parts.withColumn("_before", F.max("_most").over(earlier)).filter("_before is not null").drop("_most")
+    return ordered.withColumn("_inside", F.max(value).over(inside)).join(F.broadcast(before), ["_part", *keys], "left").withColumn("_seen", F.greatest("_inside", "_before")).drop("_inside", "_before")
 
 
-def missing_chunks(files: DataFrame, ranges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def _seen(ranges: DataFrame, value: Column, keys: tuple[str, ...], hot: DataFrame | None) -> DataFrame:
+    """ranges(keys, offset, length) with `_seen`, the greatest value of the ranges before it under its keys."""
+    cold, many = _split(ranges, keys, hot)
+    seen = cold.withColumn("_seen", F.max(value).over(W.partitionBy(*keys).orderBy("offset", "length").rowsBetween(W.unboundedPreceding, -1)))
+    return seen if many is None else seen.unionByName(_carried(_ordered(many, keys), value, keys).drop("_part"))
+
+
+def merge_ranges(ranges: DataFrame, keys: tuple[str, ...] = ("path",), hot_ranges: int = HOT_RANGES) -> DataFrame:
+    """path, offset, length: overlapping ranges become one, touching ones stay apart, empty ones go.
+
+    A path's ranges are one window, unless they are more than hot_ranges. Those of such paths are dealt by (path, offset),
+    and the greatest end so far and the begin of the open range are carried over the parts' edges, so that one path of very
+    many ranges is the work of many tasks."""
+    full = ranges.filter("length > 0").select(*keys, "offset", "length")
+    return _merged(full, keys, _hot(full, keys, hot_ranges))
+
+
+def _merged(full: DataFrame, keys: tuple[str, ...], hot: DataFrame | None) -> DataFrame:
+    end = F.col("offset") + F.col("length")
+    new = F.col("_seen").isNull() | (F.col("offset") >= F.col("_seen"))
+    cold, many = _split(full, keys, hot)
+    order = W.partitionBy(*keys).orderBy("offset", "length").rowsBetween(W.unboundedPreceding, 0)
+    begun = _seen(cold, end, keys, None).withColumn("_begin", F.max(F.when(new, F.col("offset"))).over(order)).drop("_seen")
+    out = begun.groupBy(*keys, "_begin").agg(F.max(end).alias("_end"))
+    if many is not None:
+        marked = _carried(_ordered(many, keys), end, keys).withColumn("_begin", F.when(new, F.col("offset"))).drop("_seen")
+        # the last begin at or before a row is the greatest so far
+        held = _carried(marked, F.col("_begin"), keys).withColumn("_begin", F.coalesce("_begin", "_seen"))
+        out = out.unionByName(held.groupBy(*keys, "_begin").agg(F.max(end).alias("_end")))
+    return out.select(*keys, F.col("_begin").alias("offset"), (F.col("_end") - F.col("_begin")).alias("length"))
+
+
+def missing_chunks(files: DataFrame, ranges: DataFrame, chunk: int = CHUNK, hot_ranges: int = HOT_RANGES) -> DataFrame:
     """path, offset, length: what files(path, size) lack of the ranges, in steps of `chunk` from where each gap begins."""
-    merged = merge_ranges(ranges)
-    order = W.partitionBy("path").orderBy("offset")
     end = F.col("offset") + F.col("length")
-    inner = merged.select("path", F.coalesce(F.lag(end).over(order), F.lit(0).cast("long")).alias("begin"), F.col("offset").alias("end"))
+    keys = ("path",)
+    full = ranges.filter("length > 0").select("path", "offset", "length")
+    hot = _hot(full, keys, hot_ranges)
+    merged = _merged(full, keys, hot)
+    # merged ranges are apart, so the greatest end before one is that of its neighbour
+    inner = _seen(merged, end, keys, hot).select("path", F.coalesce("_seen", F.lit(0).cast("long")).alias("begin"), F.col("offset").alias("end"))
     last = merged.groupBy("path").agg(F.max(end).alias("begin"))
     tail = files.join(last, "path", "left").select("path", F.coalesce("begin", F.lit(0).cast("long")).alias("begin"), F.col("size").alias("end"))
     gaps = inner.join(files.select("path", "size"), "path").select("path", "begin", F.least("end", "size").alias("end")).unionByName(tail).filter("begin < end")
@@ -41,18 +101,18 @@ def missing_chunks(files: DataFrame, ranges: DataFrame, chunk: int = CHUNK) -> D
     return cut.select("path", "offset", F.least(F.lit(chunk).cast("long"), F.col("end") - F.col("offset")).alias("length"))
 
 
-def range_overlaps(files: DataFrame, ranges: DataFrame) -> DataFrame:
+def range_overlaps(files: DataFrame, ranges: DataFrame, hot_ranges: int = HOT_RANGES) -> DataFrame:
     """Ranges that are at fault: path, offset, length, fault (overlap with an earlier one, or beyond_end)."""
-    order = W.partitionBy("path").orderBy("offset", "length")
     end = F.col("offset") + F.col("length")
-    seen = ranges.withColumn("_seen", F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))).join(files.select("path", "size"), "path", "left")
+    own = ranges.select("path", "offset", "length")
+    seen = _seen(own, end, ("path",), _hot(own, ("path",), hot_ranges)).join(files.select("path", "size"), "path", "left")
     fault = F.when(end > F.col("size"), "beyond_end").when(F.col("offset") < F.col("_seen"), "overlap")
     return seen.withColumn("fault", fault).filter("fault is not null").select("path", "offset", "length", "fault")
 
 
-def range_coverage(files: DataFrame, ranges: DataFrame) -> DataFrame:
+def range_coverage(files: DataFrame, ranges: DataFrame, hot_ranges: int = HOT_RANGES) -> DataFrame:
     """path, size, covered, sent, retransmitted, complete (a file of size 0 is)."""
-    covered = merge_ranges(ranges).groupBy("path").agg(F.sum("length").alias("covered"))
+    covered = merge_ranges(ranges, hot_ranges=hot_ranges).groupBy("path").agg(F.sum("length").alias("covered"))
     sent = ranges.groupBy("path").agg(F.sum("length").alias("sent"))
     zero = F.lit(0).cast("long")
     return (
@@ -81,12 +141,11 @@ def resume_lookup(files: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return joined.withColumn("ranges", F.when(F.col("usable"), F.col("ranges"))).drop(*[f"_{k}" for k in FINGERPRINT])
 
 
-def checkpoint_upsert(checkpoints: DataFrame, new: DataFrame) -> DataFrame:
+def checkpoint_upsert(checkpoints: DataFrame, new: DataFrame, hot_ranges: int = HOT_RANGES) -> DataFrame:
     """path, fingerprint, offset, length: under one fingerprint the union of both; a new fingerprint drops the old."""
     current = new.select("path", F.col("fingerprint").alias("_now")).distinct()
     old = checkpoints.join(current, "path", "left").filter(F.col("_now").isNull() | (F.col("_now") == F.col("fingerprint"))).drop("_now")
-    both = old.unionByName(new).withColumn("path", F.struct("path", "fingerprint"))
-    return merge_ranges(both).select("path.path", "path.fingerprint", "offset", "length")
+    return merge_ranges(old.unionByName(new), ("path", "fingerprint"), hot_ranges)
 
 
 def chunk_files(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -108,33 +167,96 @@ def stripe_missing(missing: DataFrame, streams: int) -> DataFrame:
     return placed.select("path", "offset", "length", ((F.col("place") - 1) % streams).alias("stream_id"))
 
 
+def _batch_ends(sizes: np.ndarray, target: int, most: int, flush_full: bool) -> np.ndarray:
+    """For each file the place after the last one of the batch that would begin with it."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    begin = np.arange(len(sizes))
+    limit = upto[:-1] + target
+    ends = np.searchsorted(upto, limit, "right") - 1
+    if flush_full:  # a batch that is exactly full takes no empty files any more
+        full = np.searchsorted(upto, limit, "left")
+        ends = np.where(upto[np.minimum(full, len(sizes))] == limit, full, ends)
+    return np.minimum(np.maximum(ends, begin + 1), begin + most)
+
+
+def _by_shard(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The rows of one shard after another; only one is held."""
+    held: list[pd.DataFrame] = []
+    for part in parts:
+        for shard, rows in part.groupby("shard", sort=True):
+            if held and held[0]["shard"].iloc[0] != shard:
+                whole = pd.concat(held)
+                yield int(whole["shard"].iloc[0]), whole
+                held = []
+            held.append(rows)
+    if held:
+        whole = pd.concat(held)
+        yield int(whole["shard"].iloc[0]), whole
+
+
 def pack_small_files(files: DataFrame, target: int = BATCH_BYTES, most: int = BATCH_FILES, flush_full: bool = True, shard_files: int = 1 << 20) -> DataFrame:
     """path, size, batch_id: next fit in path order. A batch ends when the next file would exceed the target, when it has
-    `most` files and, with flush_full, when it is exactly full; a larger file has its own. Files are numbered in path order
-    first, and each shard_files of them are packed by themselves, one shard after the other in one task or in several:
-    up to so many files the batches are those of a single scan, and beyond it they never depend on partitions. A batch's
-    number is the shard's place in the upper 32 bits and the batch's place in it below."""
+    `most` files and, with flush_full, when it is exactly full; a larger file has its own. Batches are numbered from 0.
+
+    The batches are those of one scan over all files, for every shard_files. Files are numbered in path order and cut into
+    shards. Where a batch ends follows from where it begins, within `most` files, so a shard sees as many of the next one.
+    All that a shard takes from those before it is which of its first `most` files begins a batch: for each of these a task
+    works out, by jumping from batch to batch, which file of the next shard begins one and how many batches lie between.
+    Running through these tables, of `most` entries a shard, gives each shard its first batch, and a second pass the rest."""
     from grovekit.operators.planning import numbered
 
-    placed = numbered(files.select("path", "size"), F.col("path").cast("binary")).withColumn("shard", F.floor((F.col("place") - 1) / shard_files))
-    shards = placed.repartition("shard").sortWithinPartitions("shard", "place")
+    shard_files = max(shard_files, most)
+    placed = numbered(files.select("path", F.coalesce("size", F.lit(0).cast("long")).alias("size")), F.col("path").cast("binary"))
+    at = (F.col("place") - 1) % shard_files
+    placed = staged(placed.withColumn("shard", F.floor((F.col("place") - 1) / shard_files)).withColumn("at", at), "placed-files")
+    ahead = placed.filter((F.col("at") < most) & (F.col("shard") > 0)).select("path", "size", "place", (F.col("shard") - 1).alias("shard"), (F.col("at") + shard_files).alias("at"))
+    rows = placed.unionByName(ahead).repartition("shard").sortWithinPartitions("shard", "place")
+
+    def ends_of(rows: pd.DataFrame) -> tuple[np.ndarray, int]:
+        own = int((rows["at"] < shard_files).sum())
+        return _batch_ends(rows["size"].to_numpy(np.int64), target, most, flush_full)[:own], own
+
+    def tables(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for shard, rows in _by_shard(parts):
+            ends, own = ends_of(rows)
+            # places beyond the shard stay where they are; jumps double until all have left it
+            jump, count = np.concatenate([ends, np.arange(own, own + most + 1)]), np.concatenate([np.ones(own, np.int64), np.zeros(most + 1, np.int64)])
+            while (jump[:own] < own).any():
+                count, jump = count + count[jump], jump[jump]
+            n = min(most, own)
+            yield pd.DataFrame({"shard": [shard], "exits": [jump[:n] - own], "counts": [count[:n]]})
+
+    def entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entry, batch = 0, 0
+        for part in parts:
+            out = []
+            for shard, exits, counts in zip(part["shard"], part["exits"], part["counts"]):
+                out.append((shard, entry, batch))
+                if entry < len(exits):
+                    entry, batch = int(exits[entry]), batch + int(counts[entry])
+                else:
+                    entry -= len(exits)
+            yield pd.DataFrame(out, columns=["shard", "entry", "batch"])
+
+    jumps = staged(rows.mapInPandas(tables, "shard long, exits array<long>, counts array<long>"), "batch-tables")
+    # one row a shard, in order
+    begins = staged(jumps.repartitionByRange(1, "shard").sortWithinPartitions("shard").mapInPandas(entries, "shard long, entry long, batch long"), "batch-entries")
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, batch, held, n = None, 0, 0, 0
-        for part in parts:
-            ids = []
-            for own, size in zip(part["shard"], part["size"]):
-                if own != shard:
-                    shard, batch, held, n = own, int(own) << 32, 0, 0
-                if n and held + size > target:
-                    batch, held, n = batch + 1, 0, 0
-                ids.append(batch)
-                held, n = held + size, n + 1
-                if n >= most or (flush_full and held == target) or held > target:
-                    batch, held, n = batch + 1, 0, 0
-            yield part[["path", "size"]].assign(batch_id=ids)
-
-    return shards.mapInPandas(pack, "path string, size long, batch_id long")
+        for _, rows in _by_shard(parts):
+            ends, own = ends_of(rows)
+            place, starts = int(rows["entry"].iloc[0]), []
+            while place < own:
+                starts.append(place)
+                place = int(ends[place])
+            begun = np.zeros(own, np.int64)
+            begun[starts] = 1
+            ids = int(rows["batch"].iloc[0]) - 1 + np.cumsum(begun)
+            yield rows[["path", "size"]].iloc[:own].assign(batch_id=ids)
+
+    # one row a shard of a million files
+    dealt = placed.unionByName(ahead).join(F.broadcast(begins), "shard").repartition("shard").sortWithinPartitions("shard", "place")
+    return dealt.mapInPandas(pack, "path string, size long, batch_id long")
 
 
 def work_stats(work: DataFrame) -> DataFrame:

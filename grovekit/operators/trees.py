@@ -125,15 +125,19 @@ def tree_digest(entries: DataFrame, bucket_rows: int = 65_536) -> DataFrame:
 
 
 def tree_profile(entries: DataFrame) -> DataFrame:
-    """One row: counts, mean, median, 90th percentile, largest, and a histogram of sizes."""
+    """One row: counts, mean, median, 90th percentile, largest, and a histogram of sizes. Both quantiles are exact, by rounds
+    of histograms (exact_quantiles)."""
+    from grovekit.operators.selection import exact_quantiles
+
     file, size = F.col("kind") == "file", F.when(F.col("kind") == "file", F.col("size"))
     edges = [("under_1k", 0, 1 << 10), ("to_8k", 1 << 10, 8 << 10), ("to_64k", 8 << 10, 64 << 10), ("to_1m", 64 << 10, 1 << 20), ("to_8m", 1 << 20, 8 << 20), ("above_8m", 8 << 20, 1 << 62)]
+    median, p90 = (F.lit(x).cast("double") for x in exact_quantiles(entries, size, (0.5, 0.9)))
     return entries.agg(
         F.count_if(file).alias("files"),
         F.count_if(F.col("kind") == "directory").alias("directories"),
         F.avg(size).alias("mean_size"),
-        F.percentile(size, 0.5).alias("median_size"),
-        F.percentile(size, 0.9).alias("p90_size"),
+        median.alias("median_size"),
+        p90.alias("p90_size"),
         F.max(size).alias("max_size"),
         *[F.count_if((size >= a) & (size < b)).alias(name) for name, a, b in edges],
     ).withColumn("files_per_directory", F.when(F.col("directories") > 0, F.col("files") / F.col("directories")))
