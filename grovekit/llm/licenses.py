@@ -2,9 +2,9 @@
 
 Templates of m five-word shingles belong to the class of the next power of two s. A class has windows of 2s shingles
 that begin every s shingles (s = 1: every shingle is a window), so a template that stands in a text lies in a window
-whole. A band is the least shingle hash under one of several exchanges of bits; each band is looked up alone, and
-there are so many that a window holding the least allowed part of a template shares one with it but for MISS of
-cases. What is found is then checked by exact containment of the template's shingles."""
+whole. A band is the least of the window's shingle hashes, each hashed again with the band's number; each band is looked
+up alone, and there are so many that a window holding the least allowed part of a template shares one with it but for
+MISS of cases. What is found is then checked by exact containment of the template's shingles."""
 
 from __future__ import annotations
 
@@ -24,6 +24,7 @@ TEMPLATE_ROWS = 100_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK = 4
 
+
 def shingled(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _SEPARATORS), "")
 
@@ -50,10 +51,12 @@ def bands_for(m: int, s: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - held / (2 * s + m - held)))
 
 
-def exchange(k: int) -> int:
-    """The bits that band k exchanges: a signed 64-bit number by the golden ratio's multiples."""
-    x = (k * 0x9E3779B97F4A7C15) & (2**64 - 1)
-    return x - 2**64 if x >= 2**63 else x
+def band_values(hashes: Column, bands: int) -> Column:
+    """Array of struct(band, value, source): for each band the least of the hashes under that band's own hashing, and the
+    hash that it comes from. Hashing again orders the hashes anew for every band, as if by chance, so that a window of few
+    shingles shares a band with a template as often as bands_for() reckons."""
+    numbers = F.array(*[F.lit(k) for k in range(bands)])
+    return F.transform(numbers, lambda k: F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, k).alias("value"), h.alias("source"), k.alias("band")))))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
@@ -75,10 +78,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
     if not classes:
         return spark.createDataFrame([], "doc_id long, template_id string, containment double, n_windows long")
     bands = {s: max(bands_for(t["m"], s) for t in ts) for s, ts in classes.items()}
-    rows = [(s, k, min(h ^ exchange(k) for h in t["hashes"]), t["template_id"]) for s, ts in classes.items() for t in ts for k in range(bands[s])]
-    # The value of a band gives back the hash it comes from. A window that has none of those hashes can't share a
-    # band with a template, so its bands needn't be worked out.
-    sources = F.array(*[F.lit(h) for h in sorted({v ^ exchange(k) for _, k, v, _ in rows})])
+    held = spark.createDataFrame([(s, t["template_id"], t["hashes"]) for s, ts in classes.items() for t in ts], "s int, template_id string, hashes array<long>")
+    found = held.withColumn("v", F.explode(band_values(F.col("hashes"), max(bands.values())))).select("s", "v.band", "v.value", "template_id", "v.source").collect()
+    rows = [tuple(r)[:4] for r in found if r["band"] < bands[r["s"]]]
+    # A window that has none of the hashes that the templates' bands come from can't share a band with a template, so its
+    # bands needn't be worked out.
+    sources = F.array(*[F.lit(h) for h in sorted({r["source"] for r in found if r["band"] < bands[r["s"]]})])
     words = shingled(F.col("text"))
     n = F.size("_words") - SHINGLE + 1
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
@@ -97,15 +102,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
 
     def values(s: int) -> Column:
         """The bands of the windows of class s that begin in a block."""
-        table = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(exchange(k)).alias("bits")) for k in range(bands[s])])
+        numbers = F.array(*[F.lit(k) for k in range(bands[s])])
 
         def window(skip: int) -> Column:
             inside = F.slice("spread", skip + 1, 1 if s == 1 else 2 * s)
             return F.transform(
-                table,
-                lambda b: F.struct(
-                    F.lit(s).alias("s"), (at + skip).alias("start"), b["band"].alias("band"), F.array_min(F.transform(inside, lambda h: h.bitwiseXOR(b["bits"]))).alias("value")
-                ),
+                numbers,
+                lambda k: F.struct(F.lit(s).alias("s"), (at + skip).alias("start"), k.alias("band"), F.array_min(F.transform(inside, lambda h: F.xxhash64(h, k))).alias("value")),
             )
 
         if s == 1:
