@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from grovekit.llm.common import documents, staged
+from grovekit.llm.common import documents, others, staged
 
 SHARDS = 40
 #: Rows that one task orders at the second permutation, about.
@@ -106,7 +106,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = 7, bloc
     An empty table gives an empty table. The same input files and seed give the same shards. Columns of df named shard
     or slot are replaced; all others, whatever their names, are kept."""
     spark = df.sparkSession
-    names = [c for c in df.columns if c not in ("shard", "slot")]
+    names = others(df, ("shard", "slot"))
     # the number of a row is fixed by a written table, so a lost executor can't change it between the jobs below
     keyed = staged(df.select(F.struct(*names).alias("row"), F.monotonically_increasing_id().alias("rid")), "shard-rows").withColumn("part", F.shiftright("rid", 33))
     counts = staged(keyed.groupBy("part").agg(F.count("*").alias("n")), "shard-counts")

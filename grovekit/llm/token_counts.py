@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, scratch, text_batches, tidied
+from grovekit.llm.common import documents, others, scratch, text_batches, tidied
 from grovekit.llm.encoders import file_digest, piece_counter
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -64,7 +64,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache: str, text: str = "text
     spark = docs.sparkSession
     text_batches(spark)
     digest = file_digest(model_path)
-    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
+    keep = others(docs, ("n_bytes", "n_tokens", "over_limit"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     content, tokenizer = F.unhex(F.sha2(body.cast("binary"), 256)).alias("content_digest"), F.lit(digest).alias("tokenizer_digest")
     keyed = docs.select(F.struct(*keep).alias("row"), F.octet_length(body).cast("long").alias("n_bytes"), content, tokenizer)

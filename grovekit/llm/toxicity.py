@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import documents, fold, staged, text_batches, tidied
+from grovekit.llm.common import documents, fold, others, staged, text_batches, tidied
 
 #: Labelled rows that the lexicon and the curve are fitted on, about (a sample by a hash of the id when there are more).
 LABELLED_ROWS = 20_000
@@ -371,7 +371,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score and predicted (columns of those names are replaced, all others kept). A null text counts as empty,
     and an empty one scores as one without a match. Repeated rows score alike; very long texts count whole; an empty
     table gives an empty table."""
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    keep = others(docs, ("score", "predicted"))
     text_batches(docs.sparkSession)
 
     scored = docs.select(*keep, score_udf(model)(F.col("text").cast("string")).alias("score"))

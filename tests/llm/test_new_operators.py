@@ -186,3 +186,38 @@ def test_quantised_drops_what_is_not_whole(spark):
     rows = [(1, [0.5, -0.001]), (2, [float("-inf"), 0.0]), (3, [None, 1.0]), (4, None)]
     got = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("vec_id", F.col("x")).collect()
     assert [tuple(r) for r in got] == [(1, [128, -1])]
+
+
+def test_names_that_differ_in_case(spark, tmp_path):
+    """Columns that equal a result's name in all but case are replaced, as Spark takes them for one."""
+    import public_tokenizers
+
+    from grovekit.llm.content_sort import mark_copies
+    from grovekit.llm.sharding import shuffle_into_shards
+    from grovekit.llm.token_counts import count_tokens
+    from grovekit.llm.toxicity import learn, score_documents
+
+    names = ("Score", "PREDICTED", "N_TOKENS", "N_bytes", "Over_Limit", "Shard", "SLOT", "Keep_Id", "Other")
+    docs = spark.createDataFrame([(1, "a b", *names), (2, "a  b", *names)], ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    for k, df in enumerate((score_documents(docs, learn(docs, labels)), count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), f"file://{tmp_path}/c"), shuffle_into_shards(docs, 2), mark_copies(docs))):
+        df.write.parquet(f"{tmp_path}/{k}")
+        back = spark.read.parquet(f"{tmp_path}/{k}")
+        assert back.count() == 2 and {r["Other"] for r in back.collect()} == {"Other"} and len({c.lower() for c in back.columns}) == len(back.columns)
+
+
+def test_bands_share_as_often_as_reckoned(spark):
+    """Windows that hold just the least allowed part of a template miss all of its bands about as seldom as MISS says."""
+    import math
+
+    from grovekit.llm.licenses import CONTAINED, MISS, band_values, bands_for, class_of
+
+    windows = 30_000
+    for m in (2, 3, 4, 6):
+        s = class_of(m)
+        held, bands = math.ceil(CONTAINED * m), bands_for(m, s)
+        own = F.array(*[F.xxhash64("id", F.lit(j)) for j in range(m)])
+        window = F.concat(F.slice(own, 1, held), F.array(*[F.xxhash64("id", F.lit(1000 + j)) for j in range(2 * s - held)]))
+        both = spark.range(0, windows, 1, 4).select(band_values(own, bands).getField("value").alias("a"), band_values(window, bands).getField("value").alias("b"))
+        same = F.exists(F.arrays_zip("a", "b"), lambda x: x["a"] == x["b"])
+        assert both.filter(~same).count() <= 3 + 3 * windows * MISS
