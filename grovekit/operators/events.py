@@ -51,6 +51,18 @@ def run_totals(events: DataFrame) -> DataFrame:
     )
 
 
+def totals_until_done(events: DataFrame) -> DataFrame:
+    """run_id, transferred, failed, progress, events, outcome: the totals of each run up to its first `done` or `finished`
+    event in order of time (then of type), that one included, or of all of it (`open`). The batch form of the stream."""
+    at = F.struct("ts_nanos", "type")
+    end = events.filter(F.col("type").isin("done", "finished")).groupBy("run_id").agg(F.min(at).alias("_end"))
+    held = events.join(end, "run_id", "left").filter(F.col("_end").isNull() | (at <= F.col("_end")))
+    # rows that share the time and the type of the last one count once
+    last = held.filter(at == F.col("_end")).groupBy("run_id").agg((F.count("*") - 1).alias("_more"))
+    totals = run_totals(held).join(end, "run_id", "left").join(last, "run_id", "left")
+    return totals.select("run_id", "transferred", "failed", "progress", (F.col("events") - F.coalesce("_more", F.lit(0))).alias("events"), F.when(F.col("_end").isNull(), "open").otherwise("done").alias("outcome"))
+
+
 def failure_rollup(failures: DataFrame) -> DataFrame:
     return failures.groupBy("type", "kind", "origin").agg(F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,6 +123,44 @@ def range_coverage(files: DataFrame, ranges: DataFrame, hot_ranges: int = HOT_RA
     )
 
 
+def add_span(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Adds [a, b), not empty, to spans that stand in order and apart; those that it touches become one with it. False, and
+    nothing is changed, if it overlaps one."""
+    at = bisect_left(spans, (a, b))
+    if at and spans[at - 1][1] > a or at < len(spans) and spans[at][0] < b:
+        return False
+    end = spans.pop(at)[1] if at < len(spans) and spans[at][0] == b else b
+    if at and spans[at - 1][1] == a:
+        a, at = spans[at - 1][0], at - 1
+        spans.pop(at)
+    spans.insert(at, (a, end))
+    return True
+
+
+def track_ranges(ranges: DataFrame) -> DataFrame:
+    """path, seq, offset, length, accepted, complete of ranges(path, size, seq, offset, length), by the order of seq: a range
+    is accepted unless it passes the end or overlaps one that was accepted before it (an empty one overlaps nothing);
+    complete once all is covered. The
+    batch form of the stream's tracker: each range depends on those accepted before it, so a path is gone through in order,
+    sorted by Spark, with what is covered held as spans."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, spans, covered = None, [], 0
+        for part in parts:
+            accepted, complete = [], []
+            for own, size, a, n in zip(part["path"], part["size"], part["offset"].tolist(), part["length"].tolist()):
+                if own != path:
+                    path, spans, covered = own, [], 0
+                ok = a + n <= size and (not n or add_span(spans, a, a + n))
+                covered += n if ok else 0
+                accepted.append(ok)
+                complete.append(covered >= size)
+            yield part[["path", "seq", "offset", "length"]].assign(accepted=accepted, complete=complete)
+
+    ordered = ranges.select("path", "size", "seq", "offset", "length").repartition("path").sortWithinPartitions("path", "seq", "offset", "length")
+    return ordered.mapInPandas(run, "path string, seq long, offset long, length long, accepted boolean, complete boolean")
+
+
 FINGERPRINT = ("size", "mtime_ns", "ctime_ns", "device", "inode", "kind")
 
 

@@ -140,6 +140,7 @@ def _(s, d):
     return both.groupBy("folder").agg(F.bool_and("equal").alias("same")).join(rows, "folder").select("folder", "rows", "same")
 
 
+_FP = "sha256(path || '|' || CAST(size AS VARCHAR) || '|' || CAST(mtime_ns AS VARCHAR))"
 _RECORDED = "path, kind, size, CAST(mtime_ns AS BIGINT) AS mtime_ns, mode, digest"
 
 
@@ -193,6 +194,34 @@ def _(s, d):
     return s.read.parquet(target)
 
 
+@query("s13_publish_versions", f"SELECT {_RECORDED}, CAST(2 AS BIGINT) AS version FROM src")
+def _(s, d):
+    """The destination is published, and then the source after it; a publisher that still builds on the first loses."""
+    from grovekit.sources import versions as VS
+
+    target = scratch(s, "versions")
+    VS.publish_version(V.dst(s, d), target)
+    VS.publish_version(V.src(s, d), target)
+    if VS.publish_version(V.dst(s, d), target, base=1) != "changed":
+        raise ValueError("a version was put in the place of one that nobody had read")
+    return VS.read_version(s, target).withColumn("version", F.lit(VS.current_version(s, target)).cast("long"))
+
+
+@query("s12_cache_commits", f"""SELECT path, s.digest, c.fp IS NOT NULL AS hit FROM (SELECT path, digest, {_FP} AS fp FROM src) s
+ LEFT JOIN (SELECT DISTINCT {_FP} AS fp FROM dst WHERE size % 3 <> 0) c USING (fp)""")
+def _(s, d):
+    """Digests through a cache of commits, after a compaction; misses are committed in batches."""
+    from grovekit.sources import versions as VS
+
+    path, held = scratch(s, "digest-cache"), staged(cache(s, d), "cached")
+    VS.commit_digests(held, path)
+    VS.commit_digests(held.limit(50), path)
+    VS.compact_cache(s, path)
+    entries = fingerprinted(s, d).withColumn("content_digest", F.col("digest"))
+    found = VS.digests_by_cache(entries, path, lambda rows: rows.select("fingerprint", F.col("content_digest").alias("digest")), commit_rows=400)
+    return found.select("path", "digest", "hit")
+
+
 _LINES = """SELECT 'rules-' || CAST(page_id AS VARCHAR) AS origin, unnest(generate_series(1, 4)) AS line_number,
  unnest(['# ' || p, '', '+ ' || p, CASE page_id % 3 WHEN 0 THEN '- ' WHEN 1 THEN '!' ELSE '' END || p]) AS line FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)"""
 _PARSED = f"""SELECT origin, CAST(line_number AS BIGINT) AS line_number, CASE WHEN starts_with(line, '+ ') OR starts_with(line, '!') THEN 'include' ELSE 'exclude' END AS action,
@@ -241,8 +270,6 @@ def fingerprinted(s, d):
     return V.src(s, d).select("path", S.fingerprint_key(F.col("path"), F.col("size"), F.col("mtime_ns")).alias("fingerprint"), "digest")
 
 
-_FP = "sha256(path || '|' || CAST(size AS VARCHAR) || '|' || CAST(mtime_ns AS VARCHAR))"
-
 
 @query("s12_digest_cache_append", f"SELECT {_FP} AS fingerprint, digest FROM src WHERE {_FP} NOT IN (SELECT {_FP} FROM dst WHERE size % 3 <> 0)")
 def _(s, d):
@@ -1109,6 +1136,30 @@ def _(s, d):
     return E.run_totals(V.events(s, d))
 
 
+@query("t09_totals_until_done", """WITH e AS (SELECT run_id, ts_nanos, event_id, CASE WHEN type = 'other' AND event_id % 3 = 0 THEN 'done' ELSE type END AS type FROM ev),
+ f AS (SELECT run_id, min(ts_nanos) AS at FROM e WHERE type = 'done' GROUP BY run_id)
+ SELECT e.run_id, count(*) FILTER (type = 'transferred') AS transferred, count(*) FILTER (type = 'failed') AS failed, count(*) FILTER (type = 'progress') AS progress, count(*) AS events,
+ CASE WHEN any_value(f.at) IS NULL THEN 'open' ELSE 'done' END AS outcome FROM e LEFT JOIN f USING (run_id) WHERE f.at IS NULL OR e.ts_nanos < f.at OR e.ts_nanos = f.at AND e.type <= 'done' GROUP BY e.run_id""")
+def _(s, d):
+    kind = F.when((F.col("type") == "other") & (F.col("event_id") % 3 == 0), "done").otherwise(F.col("type"))
+    return E.totals_until_done(V.events(s, d).withColumn("type", kind))
+
+
+@query("t05_range_tracker", """WITH RECURSIVE x AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, l_linenumber AS seq, l_partkey % 8 * 1048576 AS off, CAST(l_quantity AS BIGINT) * 65536 AS len FROM lineitem),
+ o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq, off, len) AS i FROM x),
+ t(path, i, held, covered, seq, off, len, accepted) AS (SELECT DISTINCT path, CAST(0 AS BIGINT), CAST([] AS STRUCT(a BIGINT, b BIGINT)[]), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false FROM o
+  UNION ALL SELECT path, i, CASE WHEN ok THEN list_append(held, {'a': off, 'b': off + len}) ELSE held END, covered + CASE WHEN ok THEN len ELSE 0 END, seq, off, len, ok FROM
+  (SELECT t.path, o.i, t.held, t.covered, CAST(o.seq AS BIGINT) AS seq, o.off, o.len, o.off + o.len <= 10485760 AND len(list_filter(t.held, lambda h: h.a < o.off + o.len AND o.off < h.b)) = 0 AS ok FROM t JOIN o ON o.path = t.path AND o.i = t.i + 1))
+ SELECT path, seq, off AS "offset", len AS length, accepted, covered >= 10485760 AS complete FROM t WHERE i > 0""")
+def _(s, d):
+    li = V.table(s, d, "lineitem")
+    r = li.select(
+        F.col("l_orderkey").cast("string").alias("path"), F.lit(10485760).cast("long").alias("size"), F.col("l_linenumber").cast("long").alias("seq"),
+        (F.col("l_partkey") % 8 * 1048576).cast("long").alias("offset"), (F.col("l_quantity").cast("long") * 65536).alias("length"),
+    )
+    return R.track_ranges(r)
+
+
 @query("t02_phase_latency", """SELECT run_id, name, round((ts_nanos - before) / 1e9, 6) AS seconds FROM (SELECT *, lag(ts_nanos) OVER w AS before, lag(started) OVER w AS begun FROM ev WHERE type = 'phase' WINDOW w AS (PARTITION BY run_id, name ORDER BY ts_nanos))
  WHERE NOT started AND begun""")
 def _(s, d):
@@ -1277,3 +1328,18 @@ def _(s, d):
     current = V.dst(s, d).withColumn("identity", F.col("size").cast("string"))
     SF.publish(RQ.publish_requests(asked, current).drop("identity"), target)
     return s.read.parquet(target).select("path", "digest")
+
+
+@query("m08_publish_versions", f"""SELECT p.path, CASE WHEN q.path IS NOT NULL THEN sha256(q.path) ELSE p.digest END AS digest, CAST(2 AS BIGINT) AS version FROM dst p LEFT JOIN (SELECT {V._PATH} AS path FROM documents d JOIN dst e ON e.path = {V._PATH}
+ WHERE e.kind = 'file' AND e.size = strlen(text)) q ON p.path = q.path""")
+def _(s, d):
+    """Requests of all documents, as a second version of the destination; held against it again they have all changed."""
+    from grovekit.sources import versions as VS
+
+    target, payload = scratch(s, "versions"), F.format_string("%s/%s/doc-%06d.txt", "source", "lang", "doc_id")
+    VS.publish_version(V.dst(s, d).withColumn("identity", F.sha2("digest", 256)), target)
+    asked = V.table(s, d, "documents").select(
+        F.col("doc_id").alias("req_id"), payload.alias("path"), F.sha2(F.sha2(F.col("text"), 256), 256).alias("expected_identity"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"),
+    )
+    VS.apply_requests(asked, target)
+    return VS.read_version(s, target).select("path", "digest", F.lit(VS.current_version(s, target)).cast("long").alias("version"))

@@ -3,7 +3,6 @@ the query's progress (numRowsDroppedByWatermark)."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from grovekit.operators import events as E
 from grovekit.operators.planning import manifest_diff
+from grovekit.operators.ranges import add_span
 
 
 def progress_throughput(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -28,7 +28,7 @@ def dedup_messages(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def run_totals_stream(events: DataFrame) -> DataFrame:
-    """For update or complete mode."""
+    """Running totals, for update or complete mode. Nothing ends a run here, so its state stays; see final_totals_stream."""
     return E.run_totals(events)
 
 
@@ -79,6 +79,68 @@ def phase_latency_stream(events: DataFrame, expire_ms: int | None = None) -> Dat
     return phases.groupBy("run_id", "name").transformWithStateInPandas(job, "run_id long, name string, seconds double", "Append", job.time_mode)
 
 
+class FinalTotals(StatefulProcessor):
+    """Counters of a run until its `done` (or `finished`) event, or until no event has come for `idle_ms` of event time:
+    then one row (run_id, transferred, failed, progress, events, outcome), and the state goes. After `done` a mark stays
+    for `keep_ms`, so that events which come late don't begin the run anew."""
+
+    COUNTERS = ("transferred", "failed", "progress")
+
+    def __init__(self, idle_ms: int, keep_ms: int):
+        self.idle_ms, self.keep_ms = idle_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "transferred long, failed long, progress long, events long, closed boolean, timer long")
+
+    def close(self) -> None:
+        pass
+
+    def _row(self, key, counts, outcome: str) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *counts, outcome)], columns=["run_id", *self.COUNTERS, "events", "outcome"])
+
+    def _wait(self, counts, closed: bool, timer: int | None, at_ms: int) -> None:
+        """One timer a run: the one before goes."""
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at_ms)
+        self.held.update((*counts, closed, at_ms))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        *counts, closed, timer = self.held.get() if self.held.exists() else (0, 0, 0, 0, False, None)
+        if closed:
+            return
+        latest = timerValues.getCurrentWatermarkInMs()
+        # the rows of a trigger come in several frames, in no order
+        part = pd.concat(list(rows)).sort_values(["ts_nanos", "type"], kind="stable")
+        for kind, ns in zip(part["type"], part["ts_nanos"]):
+            latest = max(latest, int(ns) // 1_000_000)
+            counts[3] += 1
+            if kind in self.COUNTERS:
+                counts[self.COUNTERS.index(kind)] += 1
+            if kind in ("done", "finished"):
+                self._wait(counts, True, timer, latest + self.keep_ms)
+                yield self._row(key, counts, "done")
+                return
+        self._wait(counts, False, timer, latest + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.held.exists():
+            return
+        *counts, closed, _ = self.held.get()
+        self.held.clear()
+        if not closed:
+            yield self._row(key, counts, "idle")
+
+
+def final_totals_stream(events: DataFrame, late: str = "10 minutes", idle_ms: int = 86_400_000, keep_ms: int = 3_600_000) -> DataFrame:
+    """Totals of each run when it ends, for append mode; E.totals_until_done is the batch form."""
+    job = FinalTotals(idle_ms, keep_ms)
+    schema = "run_id long, transferred long, failed long, progress long, events long, outcome string"
+    rows = events.withWatermark("ts", late).select("run_id", "type", "ts_nanos", "ts")
+    return rows.groupBy("run_id").transformWithStateInPandas(job, schema, "Append", "EventTime")
+
+
 def union_of(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted (offset, end): overlapping ones become one, touching ones stay apart."""
     out: list[tuple[int, int]] = []
@@ -90,30 +152,57 @@ def union_of(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: Bytes of a file whose covered spans stand in one entry of the state.
+SLOT_BYTES = 64 << 20
+
+
 class RangeTracker(_Expiring):
     """Accepts a range of a path unless it overlaps one that was accepted or passes the end: rows (path, offset, length,
-    accepted, complete). A new fingerprint begins anew."""
+    accepted, complete). A new fingerprint begins anew.
+
+    What is covered stands in a map by slot of SLOT_BYTES: a range reads and writes the entries of its own slots alone, in
+    which spans that touch are one. A slot that is covered whole is one span, and when all of the file is, the map goes
+    and a mark stays. So the state follows the gaps that are left, not the ranges that came."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "fingerprint string, ranges array<struct<a: long, b: long>>", self.expire_ms)
+        self.file = handle.getValueState("file", "fingerprint string, covered long, complete boolean", self.expire_ms)
+        self.slots = handle.getMapState("slots", "slot long", "spans array<struct<a: long, b: long>>", self.expire_ms)
+
+    def _spans(self, slot: int) -> list[tuple[int, int]]:
+        return [(x[0], x[1]) for x in self.slots.getValue((slot,))[0]] if self.slots.containsKey((slot,)) else []
+
+    def _accept(self, a: int, b: int) -> bool:
+        """Adds [a, b) to what is covered, unless any of it is already."""
+        changed = []
+        for slot in range(a // SLOT_BYTES, -(-b // SLOT_BYTES)):
+            spans = self._spans(slot)
+            if not add_span(spans, max(a, slot * SLOT_BYTES), min(b, (slot + 1) * SLOT_BYTES)):
+                return False
+            changed.append((slot, spans))
+        for slot, spans in changed:
+            self.slots.updateValue((slot,), (spans,))
+        return True
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fingerprint, ranges = self.held.get() if self.held.exists() else (None, [])
-        ranges = [tuple(r) for r in ranges]
-        covered, out = sum(y - x for x, y in ranges), []
+        fingerprint, covered, complete = self.file.get() if self.file.exists() else (None, 0, False)
+        out = []
         for part in rows:
             for r in part.itertuples():
                 if r.fingerprint != fingerprint:
-                    fingerprint, ranges, covered = r.fingerprint, [], 0
+                    fingerprint, covered, complete = r.fingerprint, 0, False
+                    if self.slots.exists():
+                        self.slots.clear()
                 a, b = int(r.offset), int(r.offset + r.length)
-                # held ranges are sorted and apart: only the neighbours of the place can overlap
-                at = bisect_left(ranges, (a, b))
-                ok = b <= r.size and not (at and ranges[at - 1][1] > a) and not (at < len(ranges) and ranges[at][0] < b)
-                if ok and a < b:
-                    ranges.insert(at, (a, b))
+                # an empty range overlaps nothing
+                ok = b <= r.size and (a == b or not complete and self._accept(a, b))
+                if ok:
                     covered += b - a
-                out.append((key[0], a, b - a, ok, covered >= r.size))
-        self.held.update((fingerprint, ranges))
+                if not complete and covered >= r.size:
+                    complete = True
+                    if self.slots.exists():
+                        self.slots.clear()
+                out.append((key[0], a, b - a, ok, complete))
+        self.file.update((fingerprint, covered, complete))
         yield pd.DataFrame(out, columns=["path", "offset", "length", "accepted", "complete"])
 
 
