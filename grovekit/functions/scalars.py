@@ -138,16 +138,25 @@ def _mix64_bits(x: pd.Series) -> pd.Series:
     return pd.Series(z.view(np.int64))
 
 
-@F.pandas_udf(T.LongType())
-def compressed_size(sample: pd.Series) -> pd.Series:
-    """Bytes of a sample after a light compression (zstandard at 3 if it is installed, else zlib at 1)."""
-    try:
+#: Codecs that a sample can be tried with, by name and level.
+CODECS = ("zstd-3", "zlib-1")
+
+
+def compressed_size(sample: Column, codec: str = "zstd-3") -> Column:
+    """Bytes of a sample under a codec of CODECS. An executor that lacks it fails: another would give other sizes."""
+    if codec not in CODECS:
+        raise ValueError(f"no such codec: {codec}")
+
+    @F.pandas_udf(T.LongType())
+    def packed(part: pd.Series) -> pd.Series:
+        if codec == "zlib-1":
+            return part.map(lambda b: None if b is None else len(zlib.compress(bytes(b), 1)))
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
-    except ImportError:
-        pack = lambda b: zlib.compress(b, 1)
-    return sample.map(lambda b: None if b is None else len(pack(bytes(b))))
+        return part.map(lambda b: None if b is None else len(pack(bytes(b))))
+
+    return packed(sample)
 
 
 def should_compress(compressed: Column, sampled: Column) -> Column:

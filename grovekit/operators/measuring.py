@@ -256,17 +256,17 @@ def remote_summary(samples: DataFrame) -> DataFrame:
     return own.join(more, "result")
 
 
-def compression_probe(contents: DataFrame, sizes: list[int]) -> DataFrame:
-    """sample_bytes, selected, raw_bytes, adaptive_bytes, ratio of contents(content) for each sample size: what would be
-    compressed by the sample is counted at the sample's ratio."""
+def compression_probe(contents: DataFrame, sizes: list[int], codec: str = "zstd-3") -> DataFrame:
+    """codec, sample_bytes, selected, raw_bytes, adaptive_bytes, ratio of contents(content) for each sample size: what would
+    be compressed by the sample is counted at the sample's ratio."""
     cut = contents.select(F.explode(F.array(*[F.lit(n) for n in sizes])).alias("sample_bytes"), F.col("content").cast("binary").alias("content"))
     size = F.octet_length("content").cast("long")
     sampled = cut.select("sample_bytes", size.alias("raw"), F.substring("content", F.lit(1), F.col("sample_bytes")).alias("sample"))
-    packed = sampled.withColumn("packed", S.compressed_size("sample")).withColumn("seen", F.octet_length("sample").cast("long"))
+    packed = sampled.withColumn("packed", S.compressed_size(F.col("sample"), codec)).withColumn("seen", F.octet_length("sample").cast("long"))
     chosen = S.should_compress(F.col("packed"), F.col("seen"))
     adaptive = F.when(chosen, F.floor(F.col("raw") * F.col("packed") / F.col("seen"))).otherwise(F.col("raw"))
     out = packed.groupBy("sample_bytes").agg(F.count_if(chosen).alias("selected"), F.sum("raw").alias("raw_bytes"), F.sum(adaptive).alias("adaptive_bytes"))
-    return out.withColumn("ratio", S.ratio(F.col("adaptive_bytes"), F.col("raw_bytes"), 1.0))
+    return out.withColumns({"ratio": S.ratio(F.col("adaptive_bytes"), F.col("raw_bytes"), 1.0), "codec": F.lit(codec)})
 
 
 def wire_accounting(df: DataFrame) -> DataFrame:

@@ -207,8 +207,8 @@ def _(s, d):
     return VS.read_version(s, target).withColumn("version", F.lit(VS.current_version(s, target)).cast("long"))
 
 
-@query("s12_cache_commits", f"""SELECT path, s.digest, c.fp IS NOT NULL AS hit FROM (SELECT path, digest, {_FP} AS fp FROM src) s
- LEFT JOIN (SELECT DISTINCT {_FP} AS fp FROM dst WHERE size % 3 <> 0) c USING (fp)""")
+@query("s12_cache_commits", f"""SELECT path, coalesce(c.digest, s.digest) AS digest, c.fp IS NOT NULL AS hit FROM (SELECT path, digest, {_FP} AS fp FROM src) s
+ LEFT JOIN (SELECT {_FP} AS fp, digest FROM dst WHERE size % 3 <> 0) c USING (fp)""")
 def _(s, d):
     """Digests through a cache of commits, after a compaction; misses are committed in batches."""
     from grovekit.sources import versions as VS
@@ -1331,7 +1331,7 @@ def _(s, d):
 
 
 @query("m08_publish_versions", f"""SELECT p.path, CASE WHEN q.path IS NOT NULL THEN sha256(q.path) ELSE p.digest END AS digest, CAST(2 AS BIGINT) AS version FROM dst p LEFT JOIN (SELECT {V._PATH} AS path FROM documents d JOIN dst e ON e.path = {V._PATH}
- WHERE e.kind = 'file' AND e.size = strlen(text)) q ON p.path = q.path""")
+ WHERE e.kind = 'file' AND e.digest = sha256(text)) q ON p.path = q.path""")
 def _(s, d):
     """Requests of all documents, as a second version of the destination; held against it again they have all changed."""
     from grovekit.sources import versions as VS

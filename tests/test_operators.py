@@ -223,3 +223,37 @@ def test_tree_source_splits_directories(spark, tmp_path, monkeypatch):
     assert len(parts) == 10  # nine directories of the second level, and all that stands above them
     rows = [r[1] for p in parts for r in reader.read(p)]
     assert len(rows) == len(set(rows)) == 3 + 9 + 9 + 3
+
+
+@pytest.mark.parametrize("codec", ["zstd-3", "zlib-1"])
+def test_compression_probe(spark, codec):
+    import zlib
+
+    import zstandard
+
+    from grovekit.operators import measuring as M
+
+    pack = zstandard.ZstdCompressor(level=3).compress if codec == "zstd-3" else lambda b: zlib.compress(b, 1)
+    contents = [b"a" * 5000, os.urandom(3000), b"", None, b"ab" * 40 + os.urandom(900)]
+    df = spark.createDataFrame([(c,) for c in contents], "content binary")
+    got = {r["sample_bytes"]: r for r in M.compression_probe(df, [100, 4096], codec).collect()}
+    for n in (100, 4096):
+        chosen, adaptive = 0, 0
+        for c in contents:
+            sample, raw = (c or b"")[:n], len(c or b"")
+            yes = bool(sample) and len(pack(sample)) * 100 < len(sample) * 95
+            chosen += yes
+            adaptive += raw * len(pack(sample)) // len(sample) if yes else raw
+        assert (got[n]["selected"], got[n]["adaptive_bytes"], got[n]["codec"]) == (chosen, adaptive, codec)
+    with pytest.raises(ValueError):
+        M.compression_probe(df, [1], "other")
+
+
+def test_chains_of_links_end_by_doubling(spark):
+    chain = [(f"l{i}", f"l{i + 1}") for i in range(41)]  # l0 leads through 41 links to l41, which is none
+    rows = [*chain, ("a", "b"), ("b", "c"), ("c", "a"), ("in", "a"), ("self", "self"), ("out", None), ("to out", "out"), ("one", "file"), ("two", "one")]
+    df = spark.createDataFrame(rows, "path string, to string")
+    got = {r["path"]: r["end"] for r in RQ.link_ends(df, 41).collect()}
+    assert got == {**{f"l{i}": "l41" for i in range(41)}, **dict.fromkeys(["a", "b", "c", "in", "self", "out", "to out"]), "one": "file", "two": "file"}
+    got = {r["path"]: r["end"] for r in RQ.link_ends(df, 5).collect()}
+    assert [i for i in range(41) if got[f"l{i}"]] == [36, 37, 38, 39, 40] and got["in"] is None
