@@ -46,6 +46,8 @@ WORTH = 0.05
 BINS, SHORT_BINS = 128, 64
 #: Longer index entries are compared with a pivot first.
 LONG_RUN = 16
+#: Where all of an entry is compared, rows that one task compares with one another, or with as many others.
+BLOCK_RUN = 2048
 #: Tokens, and index entries, that a task holds before it puts them out; and classes that it remembers.
 HELD_TOKENS, HELD_ENTRIES, REMEMBERED = 1_500_000, 500_000, 200_000
 
@@ -107,7 +109,8 @@ def _triangles(g: int, runs: int, first: np.ndarray) -> tuple[np.ndarray, np.nda
 def _run_pairs(mode: str, turn: int, percent: int):
     """Pairs (a, b) of rows with one key, from rows sorted by key (key, cid, n, common, root, brief): in `first` all pairs
     of short runs, and those with one row (the pivot) of long ones; in `pivot` those with a pivot of another root; in
-    `rest` all pairs of unlike roots of long ones; in `all` all pairs. Sizes and histograms must allow the link."""
+    `rest` all pairs of unlike roots of long ones; in `all` all pairs. A run of two sides (see _in_blocks) gives the pairs
+    between them. Sizes and histograms must allow the link."""
 
     def allowed(c: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         small, large = np.minimum(c["n"][i], c["n"][j]).astype(np.int64), np.maximum(c["n"][i], c["n"][j]).astype(np.int64)
@@ -142,12 +145,14 @@ def _run_pairs(mode: str, turn: int, percent: int):
                     for at in range(0, len(of), 20_000):
                         yield allowed(c, *_triangles(g, len(of), of[at : at + 20_000]))
         for a, g in zip(first, size):
-            if g <= LONG_RUN:
+            if g <= LONG_RUN and mode != "rest":
                 continue
             rows = np.arange(a, a + g)
             if mode in ("rest", "all"):
-                for k in range(g - 1):  # row by row, so that memory follows the run and not its square
-                    yield allowed(c, np.full(g - 1 - k, a + k), rows[k + 1 :])
+                other = int(np.searchsorted(c["side"][rows], 1))
+                for k in range(other if other < g else g - 1):  # row by row, so that memory follows the run and not its square
+                    against = rows[max(k + 1, other if other < g else 0) :]
+                    yield allowed(c, np.full(len(against), a + k), against)
             else:
                 order = mix((c["root"][rows] ^ (c["cid"][rows] + turn)).view(_U)) if turn else c["common"][rows]
                 p = rows[np.lexsort((c["cid"][rows], order))[-1]]
@@ -177,7 +182,7 @@ def _run_pairs(mode: str, turn: int, percent: int):
                 yield _batch([("a", pairs[0], pa.int64()), ("b", pairs[1], pa.int64())])
 
         for batch in batches:
-            c = {name: batch.column(name).to_numpy() for name in ("key", "cid", "n", "common", "root")}
+            c = {name: batch.column(name).to_numpy() for name in ("key", "cid", "n", "common", "root", "side")}
             c["brief"] = np.frombuffer(b"".join(batch.column("brief").to_pylist()), np.uint8).reshape(-1, SHORT_BINS)
             held = c if held is None else {k: np.concatenate([held[k], c[k]]) for k in c}
             # the last run may go on in the next batch
@@ -505,6 +510,20 @@ def _prepared(docs: DataFrame, size: int, percent: int):
     return rows, left, buckets, verified
 
 
+def _in_blocks(entries: DataFrame) -> DataFrame:
+    """entries for a comparison of all with all: a key of more than BLOCK_RUN rows is cut into blocks of about as many, by
+    the class, and each pair of blocks is a key of its own, in which the blocks are the sides 0 and 1. So what one key
+    takes, which grows with the square of its rows, is dealt over as many tasks as it needs. (Two keys that fall on one
+    64-bit hash would only be compared with one another too.)"""
+    # at most one row for BLOCK_RUN entries
+    long = entries.groupBy("key").count().filter(F.col("count") > BLOCK_RUN).select("key", F.ceil(F.col("count") / BLOCK_RUN).cast("int").alias("_m"))
+    m = F.coalesce("_m", F.lit(1))
+    own = entries.join(F.broadcast(long), "key", "left").withColumn("_own", F.pmod(F.xxhash64("cid"), m).cast("int"))
+    cells = own.withColumn("_other", F.explode(F.sequence(F.lit(0), m - 1)))
+    key = F.when(m > 1, F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))).otherwise(F.col("key"))
+    return cells.select(key.alias("key"), "cid", "n", "common", "root", "brief", (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+
+
 def link_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text): shingles of `size` words, links from a
     Jaccard similarity of `percent` hundredths.
@@ -517,7 +536,8 @@ def link_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     links = roots = None
     first, turn, mode = 0, 0, "first"
     while True:
-        sorted_ = left.repartition(max(8, buckets // 32), "key").sortWithinPartitions("key")
+        run = _in_blocks(left) if mode == "rest" else left.withColumn("side", F.lit(0))
+        sorted_ = run.repartition(max(8, buckets // 32), "key").sortWithinPartitions("key", "side")
         pairs = sorted_.mapInArrow(_run_pairs(mode, turn, percent), "a long, b long").distinct()
         new = staged(verified(pairs), "jaccard-links")
         found = new.count()
@@ -549,7 +569,7 @@ def all_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tupl
     """All links between classes, (a, b) with a < b, and the class of each row: (doc_id, cid, n), without one where a
     text has no shingles. Rows of one class are linked too. There are as many links as near copies have pairs."""
     rows, entries, buckets, verified = _prepared(docs, size, percent)
-    sorted_ = entries.repartition(max(8, buckets // 32), "key").sortWithinPartitions("key")
+    sorted_ = _in_blocks(entries).repartition(max(8, buckets // 32), "key").sortWithinPartitions("key", "side")
     return staged(verified(sorted_.mapInArrow(_run_pairs("all", 0, percent), "a long, b long").distinct()), "jaccard-all-links"), rows
 
 

@@ -221,3 +221,39 @@ def test_bands_share_as_often_as_reckoned(spark):
         both = spark.range(0, windows, 1, 4).select(band_values(own, bands).getField("value").alias("a"), band_values(window, bands).getField("value").alias("b"))
         same = F.exists(F.arrays_zip("a", "b"), lambda x: x["a"] == x["b"])
         assert both.filter(~same).count() <= 3 + 3 * windows * MISS
+
+
+def test_long_entries_in_blocks(spark, monkeypatch):
+    """Near misses that share index entries of more rows than a block: the same links and components as by brute force."""
+    from grovekit.llm import jaccard_join as J
+
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(150):
+        words = [f"b{k}" for k in range(100)]
+        for k in rng.choice(100, int(rng.integers(4, 24)), replace=False):
+            words[k] = f"a{k}"
+        rows.append((i, " ".join(words)))
+    sets = {i: set(t.split()) for i, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in linked:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cut = []
+    blocks = J._in_blocks
+    monkeypatch.setattr(J, "_in_blocks", lambda entries: cut.append(entries.groupBy("key").count().agg(F.max("count")).first()[0]) or blocks(entries))
+    for size in (7, 10**6):
+        monkeypatch.setattr(J, "BLOCK_RUN", size)
+        links, classes = J.all_links(docs, 1, 85)
+        of = {r["cid"]: r["doc_id"] for r in classes.collect()}
+        assert len(of) == 150 and {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in links.collect()} == linked
+        assert {r["doc_id"]: r["component_id"] for r in J.link_components(docs, 1, 85).collect()} == {i: find(i) for i in sets}
+    assert max(cut) > 21 and len(cut) == 4  # both ways of linking, with blocks and without
