@@ -594,3 +594,17 @@ def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(documents(spark, sf_dir))
+
+
+#: All pairs that share a shingle, and the links' closure: for tables of a size that a comparison by SQL is meant for.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+h AS (SELECT g.doc_id, g.k, n.n FROM g JOIN n USING (doc_id)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS total, count(*) AS common FROM h x JOIN h y ON x.k = y.k AND x.doc_id < y.doc_id AND 100 * x.n >= 85 * y.n AND 100 * y.n >= 85 * x.n GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * common >= 85 * (total - common) UNION ALL SELECT b, a FROM p WHERE 100 * common >= 85 * (total - common)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.b), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grovekit.llm.content_sort import OP11_SQL, op11_content_sort
 from grovekit.llm.decontamination import OP10_SQL, op10_positional_decontamination
-from grovekit.llm.jaccard_join import op3_ngram_jaccard_join
+from grovekit.llm.jaccard_join import OP3_SQL, op3_ngram_jaccard_join
 from grovekit.llm.language_model import op8_elias_fano_lm
 from grovekit.llm.licenses import OP2_SQL, op2_license_minhash
 from grovekit.llm.packing import op7_harmonic_packing
@@ -42,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_salvage": OP1_SQL,
     "op2_license_minhash": OP2_SQL,
+    "op3_ngram_jaccard_join": OP3_SQL,
     "op4_bit_sliced_topk": OP4_SQL,
     "op10_positional_decontamination": OP10_SQL,
     "op11_content_sort": OP11_SQL,
