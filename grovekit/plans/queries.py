@@ -358,10 +358,12 @@ def _(s, d):
     return PL.unsupported_kind(plan).select("path", "classification")
 
 
-@query("p13_rule_parse", f"SELECT origin, line, CASE WHEN line = '' OR starts_with(line, '#') THEN NULL WHEN starts_with(line, '+ ') OR starts_with(line, '!') THEN 'include' ELSE 'exclude' END AS action FROM ({_LINES})")
+@query("p13_rule_parse", f"""SELECT origin, line, CASE WHEN line = '' OR starts_with(line, '#') THEN NULL WHEN starts_with(line, '+ ') OR starts_with(line, '!') THEN 'include' ELSE 'exclude' END AS action,
+ CASE WHEN line = '' OR starts_with(line, '#') THEN NULL WHEN starts_with(line, '+ ') OR starts_with(line, '- ') THEN substr(line, 3) WHEN starts_with(line, '!') THEN substr(line, 2) ELSE line END AS pattern FROM ({_LINES})""")
 def _(s, d):
     lines = rule_files(s, d).select("origin", F.explode(F.split("content", "\n")).alias("line"))
-    return lines.select("origin", "line", rule_parse(F.col("line"))["action"].alias("action"))
+    rule = rule_parse(F.col("line"))
+    return lines.select("origin", "line", rule["action"].alias("action"), rule["pattern"].alias("pattern"))
 
 
 @query("p15_sparse_candidate", "SELECT path, size * 1000 AS apparent FROM inodes WHERE size * 1000 >= 1048576 AND allocated_bytes < 0.5 * (size * 1000)")
