@@ -37,15 +37,22 @@ def _name(mark: str, number: int) -> str:
 
 
 def _take(spark: SparkSession, folder: str, stage: str, mark: str, number: int) -> bool:
-    """Renames a staged folder to the number; false, and nothing changed, if the number is taken."""
-    jvm = spark._jvm
-    path, _ = _file_system(spark, folder)
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
-    put = jvm.org.apache.hadoop.fs.Path(path, _name(mark, number))
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    """Renames a staged folder to the number; false, and nothing changed, if the number is taken.
+
+    A staged folder holds files, so the system's own rename fails on another one. Hadoop's local file system would copy
+    into it instead, so mounted folders are renamed by Java's."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    path, fs = _file_system(spark, folder)
+    old, put = jvm.org.apache.hadoop.fs.Path(path, stage), jvm.org.apache.hadoop.fs.Path(path, _name(mark, number))
     try:
-        context.rename(jvm.org.apache.hadoop.fs.Path(path, stage), put, options)
+        if fs.getUri().getScheme() == "file":
+            options = new_array(jvm.java.nio.file.CopyOption, 1)
+            options[0] = jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE
+            jvm.java.nio.file.Files.move(*(jvm.java.io.File(x.toUri().getPath()).toPath() for x in (old, put)), options)
+        else:
+            options = new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration()).rename(old, put, options)
         return True
     except Exception:
         if number in _numbers(spark, folder, mark):

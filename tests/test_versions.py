@@ -4,6 +4,7 @@ import glob
 import hashlib
 import os
 import random
+import shutil
 import threading
 
 import pandas as pd
@@ -54,6 +55,28 @@ def test_of_two_publishers_one_wins(spark, tmp_path):
         assert VS.current_version(spark, target) == base + 1 and VS.read_version(spark, target).count() == 10 + dict(said)["ok"]
 
 
+def test_a_number_is_taken_once(spark, tmp_path):
+    """Many renames to one number at the same time: one succeeds, and what the others staged is still whole."""
+    target = f"file://{tmp_path}/t"
+    spark.range(1).write.parquet(f"{target}/_stage-0")
+    for k in range(1, 24):
+        shutil.copytree(tmp_path / "t" / "_stage-0", tmp_path / "t" / f"_stage-{k}")
+    for number in range(1, 7):
+        start, won = threading.Barrier(4), []
+
+        def take(k):
+            start.wait()
+            won.append(VS._take(spark, target, f"_stage-{k}", "v", number))
+
+        both = [threading.Thread(target=take, args=(4 * (number - 1) + k,)) for k in range(4)]
+        for t in both:
+            t.start()
+        for t in both:
+            t.join()
+        assert sorted(won) == [False, False, False, True]
+        assert not glob.glob(f"{tmp_path}/t/v-*/_stage*") and len(glob.glob(f"{tmp_path}/t/_stage-*")) == 24 - number
+
+
 def test_requests_are_held_against_what_came_between(spark, tmp_path, monkeypatch):
     target = f"file://{tmp_path}/t"
     VS.publish_version(table(spark, 3), target)
