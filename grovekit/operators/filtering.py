@@ -138,20 +138,18 @@ def ignore_scope_join(df: DataFrame, rules: DataFrame, scope_rows: int = SCOPE_R
 
 
 def descend_set(directories: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Directories a scan must enter: included ones, and those below which an include rule could match (it has `**`, or
-    its first components match the directory's). More than needed, never fewer."""
+    """Directories that a scan must enter: included ones, and those below which an include rule could match, by what its
+    automaton can still take after the directory's path. A `*` takes slashes too, so its pattern may match further down
+    than it has components."""
     decided = filter_decide(directories, rules)
-    could = F.lit(False)
-    for r in rules:
-        if r.action != "include":
-            continue
-        if "**" in r.pattern:
-            could = F.lit(True)
-            break
-        parts = r.pattern.split("/")
-        for n in range(1, len(parts)):
-            could = could | F.col("path").rlike(Rule(0, 0, "include", "/".join(parts[:n])).regex)
-    return decided.withColumn("descend", F.col("included") | could)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        descend = RuleSet(rules).descend
+        for batch in batches:
+            found = [path is not None and descend(path) for path in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], [*batch.schema.names, "descend"])
+
+    return decided.mapInArrow(run, T.StructType([*decided.schema.fields, T.StructField("descend", T.BooleanType())]))
 
 
 def filter_explain(decided: DataFrame) -> DataFrame:

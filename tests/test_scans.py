@@ -92,6 +92,14 @@ def test_descent_never_misses(spark):
                 assert all(found.descend("/".join(parts[:k])) for k in range(1, len(parts))), (rules, path)
 
 
+def test_stars_reach_further_down(spark):
+    rules = [Rule(0, 1, "include", "a*c/d.txt"), Rule(0, 2, "exclude", "**")]
+    df = spark.createDataFrame([(p,) for p in ("ab", "ab/xc", "ab/xd", "b", "", "abc")], "path string")
+    got = {r["path"]: r["descend"] for r in FL.descend_set(df, rules).collect()}
+    assert got == {"ab": True, "ab/xc": True, "ab/xd": True, "b": False, "": True, "abc": True}
+    assert FL.descend_set(df, []).filter("descend").count() == 6
+
+
 def test_time_hardly_depends_on_the_number_of_rules():
     """Of fifty times as many rules: far less than fifty times as long."""
     rng = random.Random(3)
