@@ -16,6 +16,8 @@ from grovekit.llm.common import worker_caches
 
 #: Bytes, about, of the chunks that a process keeps; beyond it, new chunks are encoded once a batch and forgotten.
 MEMORY_BYTES = 96 << 20
+#: The same for ids, of which a chunk keeps more than a count.
+ID_MEMORY_BYTES = 64 << 20
 #: What a kept chunk takes beside its characters, about.
 CHUNK_BYTES = 150
 
@@ -119,7 +121,7 @@ class WordIds:
 
     SIGNS = re.compile(r"(?<![^A-Za-z0-9 \t\r\n])([!-&(-/:-@\[-`{-~]+)(?![^A-Za-z0-9 \t\r\n])")
 
-    def __init__(self, path: str, memory: int = MEMORY_BYTES):
+    def __init__(self, path: str, memory: int = ID_MEMORY_BYTES):
         import json
 
         from tokenizers import Tokenizer

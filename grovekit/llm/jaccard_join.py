@@ -34,7 +34,7 @@ PARTS = 16
 #: A shingle whose counter stands this far above the mean belongs to a frequent class.
 FREQUENT = 24
 #: Tokens are told from those of one class only by a bitmap of 2^32 / FOLD bits (16 MB), made in slices.
-SLICE_BITS, FOLD = 6, 32
+SLICE_BITS, FOLD = 8, 32
 SLICES = 1 << SLICE_BITS
 #: Groups of frequent tokens: one for so many tokens of a text.
 GROUP_TOKENS = 32
