@@ -299,9 +299,8 @@ def _add_sketches(part: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array(part.column("part")[:1].to_pylist(), pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def levels_of(counts: np.ndarray) -> np.ndarray:
-    """The frequency class of each counter: 0 for rare tokens, then one for each doubling above the mean."""
-    mean = counts.mean() if len(counts) else 0.0
+def levels_of(counts: np.ndarray, mean: float) -> np.ndarray:
+    """The frequency class of each counter: 0 for rare tokens, then one for each doubling above the mean of all."""
     over = (counts - mean - 6 * np.sqrt(mean)) / FREQUENT
     return np.where(over < 1, 0, 1 + np.floor(np.log2(np.maximum(over, 1)))).astype(np.uint8)
 
@@ -475,9 +474,12 @@ def _prepared(docs: DataFrame, size: int, percent: int):
     rows = described.filter("part is null and slice is null").select("doc_id", "cid", "n")
     # counters and bitmaps below have a fixed size (8 bytes and 1 bit for each of COUNTERS), whatever the corpus
     summed = described.filter("part is not null").select("part", "sketch").groupBy("part").applyInArrow(_add_sketches, "part int, counts binary")
-    counts = np.frombuffer(_gathered(summed.collect(), COUNTERS // PARTS * 8), np.int64)
-    levels = sc.broadcast(levels_of(counts).tobytes())
-    total = int(counts.sum())
+    counts = {r[0]: np.frombuffer(r[1], np.int64) for r in summed.collect()}
+    total = sum(int(c.sum()) for c in counts.values())
+    # part by part, as the driver would hold several numbers for each counter otherwise
+    none = np.zeros(COUNTERS // PARTS, np.int64)
+    levels = sc.broadcast(b"".join(levels_of(counts.get(p, none), total / COUNTERS).tobytes() for p in range(PARTS)))
+    del counts
     buckets = max(64, total // 500_000)
     # of a fixed size too, and as whole: a bit is set wherever a token may stand in two classes
     once = described.filter("slice is not null").select("slice", "twice", "values")
