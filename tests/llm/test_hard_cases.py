@@ -131,12 +131,13 @@ def test_long_words_are_told_apart():
 
 
 def test_texts_of_one_id(spark):
-    """An id with a toxic and a clean text, and a label for it, learns from both."""
+    """An id with two texts learns from both, so a word that half of the labels' texts hold tells nothing."""
     from grovekit.llm.toxicity import learn
 
     rows = [(i * 3, f"zork w{i}") for i in range(60)] + [(i * 3, f"calm v{i}") for i in range(60)]
     labels = [(i * 3, int(i % 2)) for i in range(60)]
-    learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.lexicon == {} and model.score("zork") == model.score("calm")
 
 
 @pytest.mark.parametrize("form", ["hex", "base32", "folded"])

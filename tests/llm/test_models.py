@@ -49,13 +49,77 @@ def test_grammar_patterns():
     assert m.evidence("you leave. a zork") == plain  # a target counts within its clause alone
     assert m.evidence("zork. zork") == 2 * plain and m.evidence("") == 0
     assert m.evidence("the man said " + "word " * 60 + "zork") == told  # a clause has no greatest length
-    for text in ("i will kill you", "we are going to hurt them all", "you will soon burn", "ich werde dich töten. ich werde töten dich"):
+    for text in ("i will kill you", "we are going to hurt them all", "you will soon burn", "ich werde dich töten", "ich werde töten dich", "je vais te tuer", "you know i'll kill you"):
         assert m.evidence(text) == THREAT_WEIGHT
     for text in ("heavy rain can beat and burn young leaves", "kill", "they kill", "you. kill", "i will go. kill you", "i will kill the old engine and then restart for you"):
         assert m.evidence(text) == 0
     assert 0 < m.evidence("i will never kill you") < THREAT_WEIGHT and 0 < m.evidence("he said i will kill you") < THREAT_WEIGHT
 
 
+def test_grammar_reads_objects_mentions_and_reports():
+    from grovekit.llm.toxicity import FACTORS, THREAT_WEIGHT, Model
+
+    m = Model({"zork": 4.0}, (0.0, 1.0))
+    for text in (
+        "they will beat the eggs", "i'll shoot you an email", "people will burn their old letters", "you will burn the letters",
+        "you are going to kill them", "will you kill the process", "the word", "", ",", '"', "he said",
+    ):
+        assert m.evidence(text) == 0, text
+    names = lambda text: [set(n) for n, _ in m.patterns(text)]
+    assert names("the word zork appears in the list") == [{"epithet", "mentioned"}] and m.evidence("the word zork appears") < 0.3
+    assert names("some odd old zork") == [{"bare"}] and names("my good old friend zork zork") == [{"bare"}, {"string"}]
+    for text in ("i will destroy them , they said", "i will destroy them, said the man", '"i will destroy them" they said', "they said i will destroy them"):
+        assert names(text) == [{"threat", "reported"}] and m.evidence(text) == pytest.approx(THREAT_WEIGHT * FACTORS["reported"]), text
+    assert names("i said you are a zork") == names("you are a zork, i said") == names("you are a zork") == [{"epithet", "directed"}]
+    assert names('he wrote "zork" there') == [{"epithet", "directed", "reported"}] and names('"fine" he is a zork') == [{"epithet", "directed"}]
+
+
+def test_composed_grammar_is_its_parts_in_sequence():
+    from grovekit.llm.toxicity import END, FATE, RECIPIENT, SYMBOLS, grammar, parts
+
+    rng, symbols = np.random.default_rng(4), [*SYMBOLS, RECIPIENT, FATE]
+    machine = grammar()
+    for _ in range(300):
+        line = [int(x) for x in rng.choice(symbols, rng.integers(0, 40))] + [END]
+        one_by_one, names = line, [()] * len(line)
+        for part in parts():
+            out = part.run(one_by_one)
+            one_by_one, names = [s for s, _ in out], [a + b for a, (_, b) in zip(names, out)]
+        assert machine.run(line) == list(zip(one_by_one, names))
+
+
+def test_toxicity_learns_plain_counts(spark):
+    """Lexicon, factors and curve against the same counts made by loops over the labelled texts."""
+    from grovekit.llm.toxicity import CHANCE, FACTOR_ROWS, FACTORS, PURITY, Model, chance_log, explaining, features, fit_curve, learn, words_of
+
+    rows, labels = corpus(900)
+    rows = [(i, t + (" you are a zork" if i % 10 == 0 else " the word zork" if i % 97 == 1 else "")) for i, t in rows]
+    got = learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    y = dict(labels)
+    train = [(t, y[i]) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    n1, n0 = sum(v for _, v in train), sum(1 - v for _, v in train)
+    sets = [{f for w in words_of(t) for f in features(w)} for t, _ in train]
+    lexicon = {}
+    for f in set().union(*(s for s, (_, v) in zip(sets, train) if v)):
+        k1, k0 = (sum(f in s for s, (_, v) in zip(sets, train) if v == bad) for bad in (1, 0))
+        if k1 / (k1 + k0) >= PURITY and chance_log(k1, k0, n1 / (n1 + n0)) <= math.log(CHANCE):
+            lexicon[f] = math.log((k1 + 0.5) / (n1 + 1)) - math.log((k0 + 0.5) / (n0 + 1))
+    lexicon = explaining(lexicon, [sorted(s & set(lexicon)) for s, (_, v) in zip(sets, train) if v])
+    assert got.lexicon == pytest.approx(lexicon) and lexicon
+    plain = Model(lexicon, (0.0, 1.0))
+    held = [set().union(*(n for n, _ in plain.patterns(t))) for t, _ in train]
+    odds = lambda hit: math.log((sum(h * v for h, (_, v) in zip(hit, train)) + 0.5) / (n1 + 1)) - math.log((sum(h * (1 - v) for h, (_, v) in zip(hit, train)) + 0.5) / (n0 + 1))
+    whole = odds([bool(h) for h in held])
+    for name, fixed in FACTORS.items():
+        hit = [name in h for h in held]
+        shown = min(2, max(0, odds(hit) / whole))
+        assert got.factors[name] == pytest.approx((FACTOR_ROWS * fixed + sum(hit) * shown) / (FACTOR_ROWS + sum(hit)))
+    assert got.factors["mentioned"] < 0.2 < got.factors["bare"] and got.factors["threat"] == 1
+    weighed = Model(lexicon, (0.0, 1.0), got.factors)
+    curve = fit_curve(np.array([weighed.evidence(t) for t, _ in train]), np.array([float(v) for _, v in train]))
+    assert got.curve == pytest.approx(curve, rel=1e-6)
+
+
 def test_toxicity_of_given_documents(spark):
     """Held-out accuracy on the labelled documents of the smallest tables that have enough of them."""
     import os
