@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.operators.requests import publish_cas, publish_requests
-from grovekit.operators.verifying import digest_cache_append, digest_cache_lookup
-from grovekit.staging import staged
+from grovekit.operators.verifying import digest_cache_lookup
+from grovekit.staging import scratch, staged
 
 
 def _file_system(spark: SparkSession, folder: str):
@@ -142,6 +142,8 @@ def apply_requests(requests: DataFrame, target: str, attempts: int = 3) -> DataF
 CACHE = "fingerprint string, digest string"
 #: Digests that are worked out between two commits, about.
 COMMIT_ROWS = 5_000_000
+#: Commits of one run. A commit takes a few jobs however few its rows, so a run of more misses makes larger ones.
+MOST_COMMITS = 32
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
@@ -158,9 +160,9 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
 
 def commit_digests(found: DataFrame, cache: str) -> int:
     """Appends found(fingerprint, digest) as the next commit and gives its number. Commits of several runs at a time all
-    stand: who finds a number taken takes the next."""
+    stand: who finds a number taken takes the next. found is worked out once; what is compared is its written rows."""
     spark = found.sparkSession
-    stage = _staged_beside(found.select("fingerprint", "digest"), cache, 1)
+    stage = _staged_beside(staged(found.select("fingerprint", "digest"), "digests"), cache, 1)
     while True:
         number = max([*_numbers(spark, cache, "commit"), *_numbers(spark, cache, "base")], default=0) + 1
         if _take(spark, cache, stage, "commit", number):
@@ -186,15 +188,22 @@ def compact_cache(spark: SparkSession, cache: str) -> int:
 
 def digests_by_cache(entries: DataFrame, cache: str, digest: Callable[[DataFrame], DataFrame], commit_rows: int = COMMIT_ROWS) -> DataFrame:
     """entries(.., fingerprint) with digest and hit: cached ones as they are; of the others each fingerprint once goes to
-    `digest`, which takes and returns rows with its fingerprint. They go in batches, each committed before the next, so a
-    run that is lost keeps all but its last batch."""
+    `digest`, which takes and returns rows with its fingerprint. They go in batches of about commit_rows, or of a
+    MOST_COMMITS-th of all where that is more. Each is committed before the next, so a run that is lost keeps all but its
+    last batch. The misses are dealt to a folder a batch, and a batch reads its own alone; it isn't held against the cache
+    again: what another run has committed meanwhile stands twice until the next compaction, and is read once."""
     spark = entries.sparkSession
     looked = staged(digest_cache_lookup(entries, read_cache(spark, cache)), "looked-up")
-    misses = staged(looked.filter("not hit").drop("cached_digest", "hit").dropDuplicates(["fingerprint"]).withColumn("_h", F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 40))), "misses")
-    batches = -(-misses.count() // commit_rows)
-    for k in range(batches):
-        some = misses.filter(F.col("_h") % batches == k).drop("_h")
-        commit_digests(digest_cache_append(read_cache(spark, cache), digest(some)), cache)
+    missed = looked.filter("not hit").drop("cached_digest", "hit")
+    batches = min(-(-missed.select("fingerprint").distinct().count() // commit_rows), MOST_COMMITS)
+    if batches:
+        folder = scratch(spark, "misses")
+        dealt = missed.dropDuplicates(["fingerprint"]).withColumn("_batch", F.pmod(F.xxhash64("fingerprint"), F.lit(batches)))
+        dealt.repartitionByRange("_batch", "fingerprint").write.partitionBy("_batch").parquet(folder)
+        misses = spark.read.schema(dealt.schema).parquet(folder)
+        for k in range(batches):
+            found = digest(misses.filter(F.col("_batch") == k).drop("_batch"))
+            commit_digests(found.groupBy("fingerprint").agg(F.max("digest").alias("digest")), cache)
     known = read_cache(spark, cache).groupBy("fingerprint").agg(F.max("digest").alias("digest"))
     hits = looked.select(*[F.col(c) for c in entries.columns if c != "digest"], "hit")
     return hits.join(known, "fingerprint", "left")

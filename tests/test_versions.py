@@ -146,6 +146,28 @@ def test_unreadable_commits_are_made_anew(spark, tmp_path):
     assert run() == 40 and VS.compact_cache(spark, cache) == 30 and run() == 40
 
 
+def test_many_misses_take_few_commits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(VS, "MOST_COMMITS", 3, raising=False)
+    cache, asked = f"file://{tmp_path}/c", []
+    entries = spark.createDataFrame([(f"p{i}", f"k{i % 40}") for i in range(50)], "path string, fingerprint string")
+
+    def digest(rows):
+        asked.append(sorted(r["fingerprint"] for r in rows.select("fingerprint").collect()))
+        return rows.select("fingerprint", F.sha2("fingerprint", 256).alias("digest"))
+
+    found = VS.digests_by_cache(entries, cache, digest, commit_rows=1).collect()
+    assert {(r["path"], r["digest"], r["hit"]) for r in found} == {(f"p{i}", sha(f"k{i % 40}"), False) for i in range(50)}
+    assert len(asked) == len(VS._numbers(spark, cache, "commit")) == 3 and sorted(sum(asked, [])) == sorted(f"k{i}" for i in range(40))
+
+
+def test_a_commit_works_its_rows_out_once(spark, tmp_path):
+    """Rows that come out anew each time they are worked out are committed all the same."""
+    cache = f"file://{tmp_path}/c"
+    anew = F.udf(lambda _: sha(os.urandom(8).hex())).asNondeterministic()
+    assert VS.commit_digests(spark.range(20).select(F.concat(F.lit("k"), "id").alias("fingerprint"), anew("id").alias("digest")), cache) == 1
+    assert len(cached(spark, cache)) == 20
+
+
 def test_totals_end_at_done(spark, stream):  # noqa: F811
     rows = [event(1, "transferred", 5), event(1, "failed", 6), event(1, "done", 7), event(1, "transferred", 8), event(2, "progress", 9), event(3, "other", 40_000), event(3, "finished", 40_001)]
     batch = {tuple(r) for r in E.totals_until_done(spark.createDataFrame(rows, EVENTS)).collect()}
