@@ -24,9 +24,12 @@ def exploded(df: DataFrame, including_self: bool = True) -> DataFrame:
     return df.select("path", F.posexplode(array).alias("distance", "ancestor"))
 
 
-def drop_collisions(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """Without every entry at or below a colliding path; groups(paths array)."""
+def drop_collisions(entries: DataFrame, groups: DataFrame, below: bool = True) -> DataFrame:
+    """Without every entry at or below a colliding path; groups(paths array). Where paths are keys of a flat table and not
+    of a tree, `below` is false and the colliding paths alone go."""
     bad = groups.select(F.explode("paths").alias("ancestor")).distinct()
+    if not below:
+        return entries.join(bad.withColumnRenamed("ancestor", "path"), "path", "left_anti")
     gone = exploded(entries).join(bad, "ancestor", "left_semi").select("path").distinct()
     return entries.join(gone, "path", "left_anti")
 

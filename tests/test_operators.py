@@ -68,6 +68,22 @@ def test_ranges(spark):
     assert cover == {"f": (20, False), "g": (0, False), "z": (0, True)}
 
 
+def test_addresses_beyond_a_collision_stay(spark, tmp_path):
+    """The rows of the query's SQL: it names the colliding addresses alone. In a tree all below them goes too."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    pages = [(50, "http://h/1"), (1, "http://h/1/"), (2, "https://h/1/x"), (3, "http://h/2")]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["j12_drop_collisions"]).fetchall())
+    assert sorted(map(tuple, entry.queries()["j12_drop_collisions"](spark, str(tmp_path)).collect())) == want == [("h/1/",), ("h/1/x",), ("h/2",)]
+    tree = spark.createDataFrame([("a",), ("A",), ("a/x",), ("ab",)], "path string")
+    assert [r["path"] for r in T.drop_collisions(tree, T.path_collisions(tree)).collect()] == ["ab"]
+
+
 def test_pack_small_files(spark):
     files = spark.createDataFrame([(f"f{i}", n) for i, n in enumerate([4, 6, 3, 9, 20, 1, 0])], "path string, size long").coalesce(1)
     spark.conf.set("spark.sql.shuffle.partitions", "1")
